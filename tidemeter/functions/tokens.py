@@ -1,0 +1,39 @@
+"""Token arithmetic."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+from tidemeter.schema import PARTS
+
+
+def zero(col: Column) -> Column:
+    return F.coalesce(col, F.lit(0).cast("bigint"))
+
+
+def composition(
+    source: Column, total: Column, input_: Column, output: Column, read: Column, write: Column
+) -> dict[str, Column]:
+    """Split a total into fresh input, output, cache read, cache write and other.
+
+    Each part takes what is left of the total, so the five always add up to
+    ``max(0, total)``. Codex reports cached tokens inside its input.
+    """
+    left = F.greatest(zero(total), F.lit(0).cast("bigint"))
+    fresh = F.when(source == "codex", zero(input_) - zero(read)).otherwise(zero(input_))
+    out: dict[str, Column] = {}
+    for name, want in zip(PARTS, (fresh, zero(output), zero(read), zero(write))):
+        out[name] = F.least(F.greatest(want, F.lit(0).cast("bigint")), left)
+        left = left - out[name]
+    out[PARTS[-1]] = left
+    return out
+
+
+def share(part: Column, whole: Column, digits: int = 6) -> Column:
+    """Ratio with 0 for an empty denominator."""
+    return F.round(F.coalesce(F.try_divide(part, whole), F.lit(0.0)), digits)
+
+
+def share_or_null(part: Column, whole: Column, digits: int = 6) -> Column:
+    return F.round(F.try_divide(part, whole), digits)
