@@ -10,11 +10,10 @@ from tidemeter.functions import calendar as cal
 from tidemeter.functions import labels
 from tidemeter.operators import entities as en
 from tidemeter.operators import turns as tn
-from tidemeter.operators.registry import registry
 
 
 def _days(t, name, kind):
-    return en.entity_days(t.rec(name), kind, registry(t.cube(name)))
+    return en.entity_days(t.rec(name), kind, t.slots(name))
 
 
 @query("A3", f"""

@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemeter.operators.cube import hour_cube
-from tidemeter.operators.registry import folded_cube
+from tidemeter.operators.registry import fold, registry
 from tidemeter.sources import tables
 
 ADAPTERS = {"ev": tables.usage_events, "gp": tables.usage_gaps, "ln": tables.usage_lines}
@@ -19,15 +20,31 @@ class Tables:
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root
+        self._kept: dict[tuple[str, str], DataFrame] = {}
+
+    def _once(self, kind: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+        if (kind, name) not in self._kept:
+            self._kept[kind, name] = build()
+        return self._kept[kind, name]
 
     def rec(self, name: str) -> DataFrame:
-        return ADAPTERS[name](self.spark, self.root)
+        return self._once("rec", name, lambda: ADAPTERS[name](self.spark, self.root))
 
     def cube(self, name: str) -> DataFrame:
-        return hour_cube(self.rec(name))
+        """The hour cube, persisted: it is calendar-sized and several branches read it.
+
+        Lost partitions are recomputed from the records.
+        """
+        return self._once(
+            "cube", name, lambda: hour_cube(self.rec(name)).persist(StorageLevel.MEMORY_AND_DISK))
+
+    def slots(self, name: str) -> DataFrame:
+        """At most seven rows, read by every fold of a query."""
+        return self._once(
+            "slots", name, lambda: registry(self.cube(name)).persist(StorageLevel.MEMORY_AND_DISK))
 
     def folded(self, name: str) -> DataFrame:
-        return folded_cube(self.cube(name))
+        return self._once("folded", name, lambda: fold(self.cube(name), self.slots(name)))
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.root}/{name}.parquet")

@@ -18,15 +18,20 @@ def composition(
     """Split a total into fresh input, output, cache read, cache write and other.
 
     Each part takes what is left of the total, so the five always add up to
-    ``max(0, total)``. Codex reports cached tokens inside its input.
+    ``max(0, total)``: a part is the step of the running want, cut off at the total.
+    Codex reports cached tokens inside its input.
     """
-    left = F.greatest(zero(total), F.lit(0).cast("bigint"))
+    nothing = F.lit(0).cast("bigint")
+    whole = F.greatest(zero(total), nothing)
     fresh = F.when(source == "codex", zero(input_) - zero(read)).otherwise(zero(input_))
     out: dict[str, Column] = {}
-    for name, want in zip(PARTS, (fresh, zero(output), zero(read), zero(write))):
-        out[name] = F.least(F.greatest(want, F.lit(0).cast("bigint")), left)
-        left = left - out[name]
-    out[PARTS[-1]] = left
+    wanted, shown = nothing, nothing
+    for name, want in zip(PARTS, (fresh, output, read, write)):
+        wanted = wanted + F.greatest(zero(want), nothing)
+        reached = F.least(wanted, whole)
+        out[name] = reached - shown
+        shown = reached
+    out[PARTS[-1]] = whole - shown
     return out
 
 
