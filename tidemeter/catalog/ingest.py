@@ -1 +1,310 @@
-"""Placeholder."""
+"""Log ingestion, dedup, names, titles, manifests and sinks."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tidemeter.catalog.registry import query
+from tidemeter.catalog.sql import EV, LN, folded, parts
+from tidemeter.functions import calendar as cal
+from tidemeter.functions import labels, pseudonym
+from tidemeter.operators import dedup
+from tidemeter.operators import entities as en
+from tidemeter.operators import quality as ql
+from tidemeter.operators import titles as tt
+from tidemeter.schema import PARTS
+from tidemeter.session import shared_dir
+from tidemeter.sources import layouts, logs, manifest, sinks
+
+ZONE = "Europe/Berlin"
+RULES = ((1, "haiku", "backend-small"), (2, "sonnet", "backend-balanced"), (3, "opus", "backend-large"))
+KEY = b"a fixed key for reproducible reports"
+
+_LOCAL = "(ts AT TIME ZONE 'UTC' AT TIME ZONE 'Europe/Berlin')"
+_EVX = EV + f""",
+evx AS (SELECT ev.*, e.user_id, ev1.k, {_LOCAL.replace('ts', 'ev.ts', 1)} AS lt FROM ev JOIN ev1 ON ev.seq = ev1.event_id JOIN events e ON e.event_id = ev.seq)"""
+_OUT = "coalesce(input,0) AS input, coalesce(output,0){extra} AS output, coalesce(cache_read,0) AS cache_read, coalesce(cache_write,0) AS cache_write, total"
+_SHAPE = "strftime(lt, '%Y-%m-%d') AS day, CAST(hour(lt) AS BIGINT) AS hour"
+_CLAUDE = f"SELECT source, seq, model, session, project, {_SHAPE}, {_OUT.format(extra='')} FROM evx WHERE source='claude' AND ts IS NOT NULL AND model IS NOT NULL"
+_GEMINI = f"SELECT source, seq, coalesce(model, 'gemini-unknown') AS model, 'g-' || user_id AS session, NULL AS project, {_SHAPE}, {_OUT.format(extra='+ CASE WHEN k % 2 = 0 THEN k ELSE 0 END')} FROM evx WHERE source='gemini' AND ts IS NOT NULL"
+_CODEX = f"""SELECT source, seq, coalesce(m, 'codex-unknown') AS model, NULL AS session, NULL AS project, {_SHAPE}, {_OUT.format(extra='+ k % 7')} FROM (
+SELECT *, last_value(CASE WHEN seq % 4 = 0 THEN model END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS m
+FROM evx WHERE source='codex') WHERE ts IS NOT NULL"""
+_COLS = ("source", "model", "session", "project", "day", "hour", "input", "output", "cache_read", "cache_write", "total")
+
+
+def _plain(rec):
+    return rec.withColumn("day", cal.iso(F.col("day"))).withColumn("hour", F.col("hour").cast("bigint")).select(*_COLS)
+
+
+def _pick(sql):
+    return f"SELECT {', '.join(_COLS)} FROM ({sql})"
+
+
+@query("S1 D1", f"WITH {_EVX} {_pick(_CLAUDE)}")
+def claude_records(t):
+    return _plain(logs.parse_claude(layouts.claude_lines(t.spark, t.root), ZONE))
+
+
+@query("S1 D1", f"WITH {_EVX} {_pick(_CLAUDE)}")
+def claude_records_global_scope(t):
+    return _plain(logs.parse_claude(layouts.claude_lines(t.spark, t.root), ZONE, scope="global"))
+
+
+@query("S2", f"WITH {_EVX} {_pick(_GEMINI)}")
+def gemini_records(t):
+    files = layouts.gemini_files(t.spark, t.root)
+    return _plain(logs.parse_gemini(files, ZONE))
+
+
+@query("S3 W1", f"WITH {_EVX} {_pick(_CODEX)}")
+def codex_records(t):
+    return _plain(logs.parse_codex(layouts.codex_lines(t.spark, t.root), ZONE))
+
+
+def _landed(t, name):
+    base = shared_dir(t.spark, name)
+    paths = {s: f"{base}/{s}" for s in ("claude", "gemini", "codex")}
+    layouts.write_logs(layouts.claude_lines(t.spark, t.root), paths["claude"])
+    layouts.write_logs(layouts.gemini_files(t.spark, t.root), paths["gemini"])
+    layouts.write_logs(layouts.codex_lines(t.spark, t.root), paths["codex"])
+    return paths
+
+
+@query("S4 U1 S1 S2 S3 S5", f"WITH {_EVX} {_pick(_CLAUDE)} UNION ALL {_pick(_GEMINI)} UNION ALL {_pick(_CODEX)}")
+def all_sources_from_files(t):
+    return _plain(logs.read_all(t.spark, _landed(t, "logs"), ZONE, pattern="part-*"))
+
+
+@query("S5 P5", f"""WITH {_EVX}
+SELECT 'claude' AS source, 'not_json' AS reason, count(*) AS rows FROM evx WHERE source='claude' AND seq % 50 = 0
+UNION ALL SELECT 'claude', 'no_model', CAST(sum(k % 3 + 1) AS BIGINT) FROM evx WHERE source='claude' AND model IS NULL
+UNION ALL SELECT 'claude', 'bad_timestamp', CAST(sum(k % 3 + 1) AS BIGINT) FROM evx WHERE source='claude' AND model IS NOT NULL AND ts IS NULL
+UNION ALL SELECT source, 'bad_timestamp', count(*) FROM evx WHERE source IN ('gemini', 'codex') AND ts IS NULL GROUP BY 1""")
+def reject_accounting(t):
+    rejected = [
+        logs.classify_claude(layouts.claude_lines(t.spark, t.root), ZONE),
+        logs.classify_gemini(layouts.gemini_files(t.spark, t.root), ZONE),
+        logs.classify_codex(layouts.codex_lines(t.spark, t.root), ZONE),
+    ]
+    slim = [r.where("reason is not null").select("source", "reason") for r in rejected]
+    return ql.reject_counts(slim[0].unionByName(slim[1]).unionByName(slim[2]))
+
+
+@query("S8", """SELECT CASE user_id % 3 WHEN 0 THEN 'claude' WHEN 1 THEN 'gemini' ELSE 'codex' END AS source,
+count(DISTINCT CASE WHEN user_id % 3 = 1 THEN user_id || '-' || (event_id // 2500) ELSE CAST(user_id AS VARCHAR) END) AS files,
+count(DISTINCT CASE WHEN user_id % 3 = 1 THEN user_id || '-' || (event_id // 2500) ELSE CAST(user_id AS VARCHAR) END) AS readable FROM events GROUP BY 1""")
+def source_inventory(t):
+    paths = _landed(t, "inventory")
+    listed = None
+    for source, path in paths.items():
+        files = logs.list_files(t.spark, path, source, pattern="part-*")
+        listed = files if listed is None else listed.unionByName(files)
+    return manifest.inventory(listed, logs.MAX_FILE_BYTES).drop("bytes")
+
+
+_MANIFEST = """m AS (SELECT 'user-' || user_id AS file_path, min(ts) AS first, max(ts) FILTER (ts < TIMESTAMP '2024-01-20') AS t1, count(*) FILTER (ts < TIMESTAMP '2024-01-20') AS b1,
+max(ts) FILTER (ts >= TIMESTAMP '2024-01-03') AS t2, count(*) FILTER (ts >= TIMESTAMP '2024-01-03') AS b2 FROM events GROUP BY user_id)"""
+
+
+def _manifests(t):
+    events = t.table("events").withColumn("source", F.lit("claude")).withColumn(
+        "file_path", F.concat(F.lit("user-"), "user_id"))
+
+    def listing(cond):
+        return events.where(cond).groupBy("source", "file_path").agg(
+            F.max("ts").alias("modified"), F.count(F.lit(1)).alias("bytes"))
+
+    return listing("ts >= timestamp_ntz'2024-01-03'"), listing("ts < timestamp_ntz'2024-01-20'")
+
+
+@query("S6 S7", f"""WITH {_MANIFEST}
+SELECT 'changed' AS state, file_path, b2 AS bytes FROM m WHERE t2 IS NOT NULL AND (t1 IS NULL OR t1 <> t2 OR b1 <> b2)
+UNION ALL SELECT 'removed', file_path, b1 FROM m WHERE t1 IS NOT NULL AND t2 IS NULL""")
+def manifest_changes(t):
+    current, previous = _manifests(t)
+    fresh = manifest.changed(current, previous).select(F.lit("changed").alias("state"), "file_path", "bytes")
+    gone = manifest.removed(current, previous).select(F.lit("removed").alias("state"), "file_path", "bytes")
+    return fresh.unionByName(gone)
+
+
+@query("S7", f"""WITH {_MANIFEST}
+SELECT m.file_path, count(*) AS rows FROM events e JOIN m ON m.file_path = 'user-' || e.user_id
+WHERE t2 IS NOT NULL AND NOT (t1 IS NULL OR t1 <> t2 OR b1 <> b2) GROUP BY 1
+UNION ALL SELECT 'kept files', count(*) FROM m WHERE t2 IS NOT NULL AND NOT (t1 IS NULL OR t1 <> t2 OR b1 <> b2)""")
+def stale_rows_dropped(t):
+    current, previous = _manifests(t)
+    parsed = t.table("events").select(
+        F.lit("claude").alias("source"), F.concat(F.lit("user-"), "user_id").alias("file_path"))
+    kept = manifest.drop_stale(parsed, current, manifest.changed(current, previous))
+    per = kept.groupBy("file_path").agg(F.count(F.lit(1)).alias("rows"))
+    return per.unionByName(per.agg(F.lit("kept files").alias("file_path"), F.count(F.lit(1)).alias("rows")))
+
+
+@query("D2", """SELECT 's' || user_id AS session, max('/p' || (event_id % 7) || '/s' || user_id || '.jsonl') AS file_path FROM events GROUP BY 1""")
+def last_path_per_session(t):
+    files = t.table("events").select(
+        F.concat(F.lit("/p"), F.col("event_id") % 7, F.lit("/s"), "user_id", F.lit(".jsonl")).alias("file_path")).distinct()
+    return dedup.session_index(files)
+
+
+_STAMP = """x AS (SELECT event_id, event_id % 6 AS v, ts FROM events),
+y AS (SELECT event_id, v, CASE WHEN v = 3 THEN ts WHEN v = 4 THEN date_trunc('day', ts) WHEN v = 5 THEN NULL
+WHEN v = 2 THEN (date_trunc('second', ts) - INTERVAL 5 HOUR - INTERVAL 30 MINUTE) AT TIME ZONE 'UTC' AT TIME ZONE 'Europe/Berlin'
+WHEN v = 1 THEN (date_trunc('second', ts) + INTERVAL 8 HOUR) AT TIME ZONE 'UTC' AT TIME ZONE 'Europe/Berlin'
+ELSE ts AT TIME ZONE 'UTC' AT TIME ZONE 'Europe/Berlin' END AS lt FROM x)"""
+
+
+@query("X1 X2 X3", f"""WITH {_STAMP}
+SELECT event_id, strftime(lt, '%Y-%m-%d') AS day, CAST(hour(lt) AS BIGINT) AS hour, strftime(lt, '%Y-%m-%d %H:%M:%S') AS wall FROM y""")
+def local_time_fields(t):
+    v, ts = F.col("event_id") % 6, F.col("ts")
+    micro, second = (F.date_format(ts, p) for p in ("yyyy-MM-dd'T'HH:mm:ss.SSSSSS", "yyyy-MM-dd'T'HH:mm:ss"))
+    text = (
+        F.when(v == 0, F.concat(micro, F.lit("Z"))).when(v == 1, F.concat(second, F.lit("-08:00")))
+        .when(v == 2, F.concat(second, F.lit("+0530"))).when(v == 3, micro)
+        .when(v == 4, F.date_format(ts, "yyyy-MM-dd")).otherwise(F.concat(F.lit("x"), micro)))
+    wall = cal.wall_clock(cal.instant(F.col("text"), ZONE), ZONE)
+    return t.table("events").withColumn("text", text).select(
+        "event_id", cal.iso(cal.local_day(F.col("text"), ZONE)).alias("day"),
+        cal.local_hour(F.col("text"), ZONE).cast("bigint").alias("hour"),
+        F.date_format(wall, "yyyy-MM-dd HH:mm:ss").alias("wall"))
+
+
+@query("X4 X5 X6 X7", f"""WITH {LN}
+SELECT DISTINCT strftime(day, '%Y-%m-%d') AS day, strftime(date_trunc('week', day), '%Y-%m-%d') AS week, strftime(date_trunc('month', day), '%Y-%m-%d') AS month,
+strftime(date_trunc('month', day) - INTERVAL 5 MONTH, '%Y-%m-%d') AS five_months_back, CAST(date_diff('day', DATE '1970-01-01', day) AS BIGINT) AS day_number,
+CAST(date_diff('day', DATE '1995-01-01', day) AS BIGINT) AS distance, CAST(day(last_day(day)) AS BIGINT) AS month_days, CAST(isodow(day) - 1 AS BIGINT) AS weekday FROM ln""")
+def calendar_fields(t):
+    d = F.col("day")
+    rows = t.rec("ln").select("day").distinct()
+    return rows.select(
+        cal.iso(d).alias("day"), cal.iso(cal.period_start(d, "week")).alias("week"),
+        cal.iso(cal.period_start(d, "month")).alias("month"), cal.iso(cal.shift_months(d, -5)).alias("five_months_back"),
+        cal.day_number(d).cast("bigint").alias("day_number"),
+        cal.day_distance(F.lit("1995-01-01").cast("date"), d).cast("bigint").alias("distance"),
+        F.size(cal.period_days(cal.period_start(d, "month"), "month")).cast("bigint").alias("month_days"),
+        cal.weekday(d).cast("bigint").alias("weekday"))
+
+
+_REQUEST = """x AS (SELECT event_id, CASE event_id % 8 WHEN 0 THEN 'claude-opus-4-1' WHEN 1 THEN 'sonnet' WHEN 2 THEN 'Claude-Haiku-3.5' WHEN 3 THEN 'claude-unknown-5'
+WHEN 4 THEN 'backend-large' WHEN 5 THEN 'opus-x' WHEN 6 THEN 'claude-haiku-4-5-fast' ELSE event_type END AS model FROM events)"""
+
+
+@query("X8 X9 J1", f"""WITH {_REQUEST}, t AS (SELECT model, count(*) AS calls, regexp_matches(model, '(?i)^(claude-)?(opus|sonnet|haiku)(-[0-9][A-Za-z0-9_.-]*)?$') AS is_tier FROM x GROUP BY 1)
+SELECT model, calls, CASE WHEN is_tier THEN lower(regexp_extract(model, '(?i)(opus|sonnet|haiku)', 1)) END AS tier,
+CASE WHEN model LIKE 'backend-%' OR NOT is_tier THEN model WHEN contains(model, 'haiku') THEN 'backend-small' WHEN contains(model, 'sonnet') THEN 'backend-balanced'
+WHEN contains(model, 'opus') THEN 'backend-large' ELSE model END AS backend FROM t""")
+def alias_resolution(t):
+    v = F.col("event_id") % 8
+    model = F.col("event_type")
+    for i, name in enumerate(("claude-opus-4-1", "sonnet", "Claude-Haiku-3.5", "claude-unknown-5", "backend-large", "opus-x", "claude-haiku-4-5-fast")):
+        model = F.when(v == i, name).otherwise(model)
+    rows = t.table("events").select(model.alias("model")).groupBy("model").agg(F.count(F.lit(1)).alias("calls"))
+    return rows.select("model", "calls", labels.tier(F.col("model")).alias("tier"),
+                       labels.resolve_model(F.col("model"), RULES).alias("backend"))
+
+
+_SPOKEN = """c AS (SELECT conv_id, turn, role, CASE WHEN turn = 0 AND conv_id % 7 = 0 THEN '<command> ' || text WHEN turn = 0 AND conv_id % 11 = 0 THEN 'Caveat: ' || text ELSE text END AS text FROM conversations),
+u AS (SELECT conv_id, turn, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS text FROM c WHERE role = 'user'),
+f AS (SELECT conv_id, turn, left(regexp_replace(regexp_replace(string_split_regex(text, '[\\r\\n]+')[1], '^\\s+|\\s+$', '', 'g'), '\\s+', ' ', 'g'), 60) AS title FROM u
+WHERE text <> '' AND NOT starts_with(text, '<') AND NOT starts_with(lower(text), 'caveat')),
+g AS (SELECT conv_id, arg_min(title, turn) AS title FROM f WHERE length(title) >= 3 GROUP BY 1)"""
+
+
+def _conversation_lines(t):
+    """Conversations as log lines; odd turns carry their text in a content list."""
+    text = F.when((F.col("turn") == 0) & (F.col("conv_id") % 7 == 0), F.concat(F.lit("<command> "), "text")).when(
+        (F.col("turn") == 0) & (F.col("conv_id") % 11 == 0), F.concat(F.lit("Caveat: "), "text")).otherwise(F.col("text"))
+    as_list = F.array(
+        F.struct(F.lit("image").alias("type"), F.lit(None).cast("string").alias("text")),
+        F.struct(F.lit("text").alias("type"), text.alias("text")))
+    wrap = lambda content: F.to_json(F.struct(F.col("role").alias("type"), F.struct(content.alias("content")).alias("message")))
+    return t.table("conversations").select(
+        F.concat(F.lit("conversation-"), "conv_id").alias("session"), F.col("turn").alias("line_no"),
+        F.when(F.col("turn") % 2 == 0, wrap(text)).otherwise(wrap(as_list)).alias("value"))
+
+
+@query("N1 X19", f"WITH {_SPOKEN} SELECT 'conversation-' || conv_id AS session, title FROM g")
+def session_titles(t):
+    return tt.session_titles(tt.utterances(_conversation_lines(t)))
+
+
+@query("J3 X12", f"""WITH {_SPOKEN}, s AS (SELECT DISTINCT conv_id FROM conversations)
+SELECT 'conversation-' || s.conv_id AS session, CASE WHEN s.conv_id % 5 = 0 THEN 'Summary ' || s.conv_id ELSE coalesce(nullif(title, ''), 'conversa') END AS label
+FROM s LEFT JOIN g USING (conv_id)""")
+def session_label_lookup(t):
+    lines = _conversation_lines(t)
+    sessions = lines.select("session").distinct()
+    summaries = t.table("conversations").where("conv_id % 5 = 0").select(
+        F.concat(F.lit("conversation-"), "conv_id").alias("session"), F.concat(F.lit("Summary "), "conv_id").alias("summary")).distinct()
+    return tt.label_sessions(sessions, tt.session_titles(tt.utterances(lines)), summaries)
+
+
+@query("X17 J4 N2 L5", f"""WITH {EV} SELECT 'project' AS kind, CAST(sum(total) AS BIGINT) AS total, count(*) AS calls, 18 AS alias_length FROM ev WHERE project <> '' GROUP BY project
+UNION ALL SELECT 'session', CAST(sum(total) AS BIGINT), count(*), 18 FROM ev WHERE session <> '' GROUP BY session""")
+def pseudonymised_totals(t):
+    rec = t.rec("ev")
+    out = None
+    for kind in ("project", "session"):
+        hidden = rec.withColumn(kind, pseudonym.pseudonym(KEY, kind, F.col(kind)))
+        rows = en.entity_totals(en.entity_days(hidden, kind)).select(
+            F.lit(kind).alias("kind"), "total", "calls", F.length("entity").alias("alias_length"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+@query("X18", f"""WITH {LN} SELECT 'session' AS kind, count(DISTINCT session) AS members, count(DISTINCT session) AS aliases, 18 AS shortest FROM ln""")
+def pseudonym_table(t):
+    aliases = pseudonym.alias_table(t.rec("ln"), "session", KEY, "session")
+    return aliases.agg(
+        F.lit("session").alias("kind"), F.count(F.lit(1)).alias("members"),
+        F.count_distinct("alias").alias("aliases"), F.min(F.length("alias")).alias("shortest"))
+
+
+@query("S9 T1", f"""WITH {folded('ln')} SELECT strftime(date_trunc('month', day), '%Y-%m-%d') AS period, CAST(sum(total) AS BIGINT) AS total_tokens,
+CAST(coalesce(sum(total) FILTER (cm = 'brand-3'), 0) AS BIGINT) AS "brand-3", CAST(coalesce(sum(total) FILTER (cm = 'other'), 0) AS BIGINT) AS other, count(*) AS calls FROM lnf GROUP BY 1""")
+def csv_export(t):
+    from tidemeter.operators.periods import period_model
+
+    path = shared_dir(t.spark, "csv")
+    sinks.write_period_csv(period_model(t.folded("ln"), ["month"]), ["brand-3", "other"], path)
+    return t.spark.read.option("header", "true").schema(
+        "period string, total_tokens bigint, `brand-3` bigint, other bigint, calls bigint").csv(path)
+
+
+@query("S11", f"""WITH {EV} SELECT strftime(day, '%Y-%m-%d') AS generated, 'gemini' AS scope, CAST(sum(total) AS BIGINT) AS tokens FROM ev WHERE source = 'gemini' GROUP BY 1""")
+def history_export(t):
+    from tidemeter.operators.cube import additive
+
+    path = shared_dir(t.spark, "history")
+    history = additive(t.cube("ev"), ["source", "day"], ["total"]).select(
+        F.col("source").alias("scope"), cal.iso(F.col("day")).alias("generated"), F.col("total").alias("tokens"))
+    sinks.write_history_json(history, "gemini", path)
+    return t.spark.read.schema("scope string, generated string, tokens bigint").json(path)
+
+
+@query("S12", f"""WITH {folded('ev')}, h AS (SELECT hour, sum(total) AS v FROM evf WHERE hour IS NOT NULL GROUP BY 1), m AS (SELECT cm, sum(total) AS v FROM evf GROUP BY 1),
+p AS (SELECT hour AS peak_hour FROM h ORDER BY v DESC, hour LIMIT 1), l AS (SELECT cm AS dominant_model FROM m ORDER BY v DESC, cm LIMIT 1),
+s AS (SELECT CAST(sum(total) AS BIGINT) AS total, count(*) AS calls, CAST(sum(coalesce(cache_read,0)) AS BIGINT) AS cache_read FROM evf)
+SELECT total, calls, cache_read, peak_hour, dominant_model, round(cache_read / total, 6) AS cache_share,
+CASE WHEN peak_hour < 6 OR peak_hour >= 22 THEN 'night' ELSE 'day' END AS persona FROM s, p, l""")
+def report_headline(t):
+    return sinks.report_row(t.folded("ev"))
+
+
+@query("S14", f"""WITH {folded('ev')}, {parts('evf')}, g AS (SELECT g.grain, strftime(g.period, '%Y-%m-%d') AS period, cm AS model, CAST(sum(total) AS BIGINT) AS v, count(*) AS c,
+{', '.join(f'CAST(sum({x}) AS VARCHAR) AS {x}' for x in PARTS)}
+FROM pt, LATERAL (SELECT 'day' AS grain, day AS period UNION ALL SELECT 'week', CAST(date_trunc('week', day) AS DATE) UNION ALL SELECT 'month', CAST(date_trunc('month', day) AS DATE)) g GROUP BY 1, 2, 3)
+SELECT grain, period, CAST(sum(v) OVER (PARTITION BY grain, period) AS BIGINT) AS total, CAST(sum(c) OVER (PARTITION BY grain, period) AS BIGINT) AS calls,
+model, v AS model_total, c AS model_calls, concat_ws('/', {', '.join(PARTS)}) AS parts FROM g""")
+def nested_document(t):
+    path = shared_dir(t.spark, "document")
+    sinks.write_document(t.folded("ev"), path)
+    back = t.spark.read.schema(
+        "grain string, period string, total bigint, calls bigint, models map<string,bigint>, "
+        "model_calls map<string,bigint>, reuse map<string,array<bigint>>").json(path)
+    return back.select("grain", "period", "total", "calls", "model_calls", "reuse", F.explode("models").alias("model", "model_total")).select(
+        "grain", "period", "total", "calls", "model", "model_total",
+        F.element_at("model_calls", F.col("model")).alias("model_calls"),
+        F.array_join(F.element_at("reuse", F.col("model")).cast("array<string>"), "/").alias("parts"))

@@ -31,12 +31,14 @@ DEFAULT_MODEL = {"gemini": "gemini-unknown", "codex": "codex-unknown"}
 _CORRUPT = {"columnNameOfCorruptRecord": "_bad", "mode": "PERMISSIVE"}
 
 
-def list_files(spark: SparkSession, path: str | list[str], source: str) -> DataFrame:
+def list_files(
+    spark: SparkSession, path: str | list[str], source: str, pattern: str | None = None
+) -> DataFrame:
     """File metadata only: the content column is never read."""
     files = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", GLOBS[source])
+        .option("pathGlobFilter", pattern or GLOBS[source])
         .load(path)
         .select(
             F.lit(source).alias("source"),
@@ -45,17 +47,19 @@ def list_files(spark: SparkSession, path: str | list[str], source: str) -> DataF
             F.col("length").alias("bytes"),
         )
     )
-    if source == "gemini":
+    if source == "gemini" and pattern is None:
         files = files.where(F.col("file_path").rlike(r"/chats/[^/]+$"))
     return files
 
 
 def _scan(
-    spark: SparkSession, path: str | list[str], source: str, whole: bool, max_file_bytes: int
+    spark: SparkSession, path: str | list[str], source: str, whole: bool, pattern: str | None,
+    max_file_bytes: int,
 ) -> DataFrame:
+    """``pattern`` overrides the tool's own file names, for logs landed by other writers."""
     scan = (
         spark.read.option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", GLOBS[source])
+        .option("pathGlobFilter", pattern or GLOBS[source])
         .option("wholetext", str(whole).lower())
         .text(path)
         .where(F.col("_metadata.file_size") <= max_file_bytes)
@@ -65,7 +69,7 @@ def _scan(
             F.col("_metadata.file_block_start").alias("block"),
         )
     )
-    if source == "gemini":
+    if source == "gemini" and pattern is None:
         scan = scan.where(F.col("file_path").rlike(r"/chats/[^/]+$"))
     return scan
 
@@ -79,19 +83,21 @@ def scan_lines(
     spark: SparkSession,
     path: str | list[str],
     source: str,
+    pattern: str | None = None,
     max_file_bytes: int = MAX_FILE_BYTES,
 ) -> DataFrame:
-    return number_lines(_scan(spark, path, source, False, max_file_bytes))
+    return number_lines(_scan(spark, path, source, False, pattern, max_file_bytes))
 
 
 def scan_files(
     spark: SparkSession,
     path: str | list[str],
     source: str,
+    pattern: str | None = None,
     max_file_bytes: int = MAX_FILE_BYTES,
 ) -> DataFrame:
     """One row per file, bounded by the file-size guard."""
-    return number_lines(_scan(spark, path, source, True, max_file_bytes))
+    return number_lines(_scan(spark, path, source, True, pattern, max_file_bytes))
 
 
 def _stripped(lines: DataFrame) -> DataFrame:
@@ -262,16 +268,18 @@ def parse_codex(lines: DataFrame, zone: str) -> DataFrame:
     return classify_codex(lines, zone).where("reason is null").drop("reason")
 
 
-def read_claude(spark: SparkSession, path, zone: str, rules=(), scope: str = "file") -> DataFrame:
-    return parse_claude(scan_lines(spark, path, "claude"), zone, rules, scope)
+def read_claude(
+    spark: SparkSession, path, zone: str, rules=(), scope: str = "file", pattern: str | None = None
+) -> DataFrame:
+    return parse_claude(scan_lines(spark, path, "claude", pattern), zone, rules, scope)
 
 
-def read_gemini(spark: SparkSession, path, zone: str) -> DataFrame:
-    return parse_gemini(scan_files(spark, path, "gemini"), zone)
+def read_gemini(spark: SparkSession, path, zone: str, pattern: str | None = None) -> DataFrame:
+    return parse_gemini(scan_files(spark, path, "gemini", pattern), zone)
 
 
-def read_codex(spark: SparkSession, path, zone: str) -> DataFrame:
-    return parse_codex(scan_lines(spark, path, "codex"), zone)
+def read_codex(spark: SparkSession, path, zone: str, pattern: str | None = None) -> DataFrame:
+    return parse_codex(scan_lines(spark, path, "codex", pattern), zone)
 
 
 READERS: dict[str, Callable[..., DataFrame]] = {
@@ -292,30 +300,34 @@ def read_all(
     zone: str,
     sources: Iterable[str] | None = None,
     rules: Iterable[tuple[int, str, str]] = (),
+    pattern: str | None = None,
 ) -> DataFrame:
     """Bag union of the selected sources; unselected paths are never listed."""
     chosen = [s for s in (sources or READERS) if s in paths and s in READERS]
     if not chosen:
         return spark.createDataFrame([], RECORD)
     extra = {"claude": {"rules": rules}}
-    frames = [READERS[s](spark, paths[s], zone, **extra.get(s, {})) for s in chosen]
+    named = {"pattern": pattern} if pattern else {}
+    frames = [READERS[s](spark, paths[s], zone, **extra.get(s, {}), **named) for s in chosen]
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 
-def read_rejects(spark: SparkSession, paths: Mapping[str, str | list[str]], zone: str) -> DataFrame:
+def read_rejects(
+    spark: SparkSession, paths: Mapping[str, str | list[str]], zone: str, pattern: str | None = None
+) -> DataFrame:
     """Rejected rows of every source with a reason; oversize files appear by listing."""
     frames = []
     columns = ["source", "reason", "file_path", "block", "seq"]
     if "claude" in paths:
-        frames.append(classify_claude(scan_lines(spark, paths["claude"], "claude"), zone))
+        frames.append(classify_claude(scan_lines(spark, paths["claude"], "claude", pattern), zone))
     if "gemini" in paths:
-        frames.append(classify_gemini(scan_files(spark, paths["gemini"], "gemini"), zone))
+        frames.append(classify_gemini(scan_files(spark, paths["gemini"], "gemini", pattern), zone))
     if "codex" in paths:
-        frames.append(classify_codex(scan_lines(spark, paths["codex"], "codex"), zone))
+        frames.append(classify_codex(scan_lines(spark, paths["codex"], "codex", pattern), zone))
     rejected = [f.where("reason is not null").select(*columns) for f in frames]
     for source, path in paths.items():
         rejected.append(
-            list_files(spark, path, source)
+            list_files(spark, path, source, pattern)
             .where(F.col("bytes") > MAX_FILE_BYTES)
             .select("source", F.lit("file_too_large").alias("reason"), "file_path",
                     F.lit(0).cast("bigint").alias("block"), F.lit(0).cast("bigint").alias("seq"))

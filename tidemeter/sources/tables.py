@@ -30,8 +30,8 @@ def _event_fields(df: DataFrame) -> DataFrame:
     )
 
 
-def _event_record(df: DataFrame, when: Column) -> DataFrame:
-    """``when`` is the local wall-clock time of the event."""
+def event_usage(df: DataFrame, when: Column) -> DataFrame:
+    """Events with usage columns; ``when`` is the local wall-clock time of the event."""
     src, k = F.col("source"), F.col("k")
     n = lambda c: F.coalesce(c, F.lit(0).cast("bigint"))
     base = _event_fields(df).withColumn("w", when).withColumn("day", F.to_date("w"))
@@ -43,7 +43,7 @@ def _event_record(df: DataFrame, when: Column) -> DataFrame:
     )
     inp, out, read, write = (n(F.col(c)) for c in ("input", "output", "cache_read", "cache_write"))
     week = F.date_format(F.date_trunc("week", F.col("day")), "yyyyMMdd")
-    return _record(
+    return (
         base.withColumn(
             "total",
             F.when(src == "claude", inp + out + read + write)
@@ -72,7 +72,7 @@ def _event_record(df: DataFrame, when: Column) -> DataFrame:
 
 def usage_events(spark: SparkSession, root: str) -> DataFrame:
     """Events as usage records: 30 dense days, every hour, some missing fields."""
-    return _event_record(spark.read.parquet(f"{root}/events.parquet"), F.col("ts"))
+    return _record(event_usage(spark.read.parquet(f"{root}/events.parquet"), F.col("ts")))
 
 
 def usage_gaps(spark: SparkSession, root: str) -> DataFrame:
@@ -80,7 +80,7 @@ def usage_gaps(spark: SparkSession, root: str) -> DataFrame:
     off = F.datediff(F.col("ts"), F.lit("2024-01-01").cast("date"))
     shift = (F.floor(off / 4) * 3 + F.floor(off / 11) * 7).cast("int")
     moved = F.col("ts") + F.make_dt_interval(shift)
-    return _event_record(spark.read.parquet(f"{root}/events.parquet"), moved)
+    return _record(event_usage(spark.read.parquet(f"{root}/events.parquet"), moved))
 
 
 def usage_lines(spark: SparkSession, root: str) -> DataFrame:
