@@ -1 +1,145 @@
-"""Placeholder."""
+"""Streaming and incremental queries, run once over the available data."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tidemeter.catalog.ingest import _CLAUDE, _CODEX, _EVX, _GEMINI, ZONE, _pick, _plain
+from tidemeter.catalog.records import _FIELDS
+from tidemeter.catalog.registry import query
+from tidemeter.catalog.sql import EV, GP
+from tidemeter.operators.cube import hour_cube, in_range
+from tidemeter.plans.mart import UsageMart
+from tidemeter.session import shared_dir
+from tidemeter.sources import layouts, logs, tables
+from tidemeter.streaming import live as lv
+
+
+def _event_stream(t):
+    events = lv.file_stream(t.spark, t.root, t.table("events").schema, "events.parquet")
+    return tables.events_as_usage(events)
+
+
+@query("L6 L2", f"""WITH {EV} SELECT strftime(day, '%Y-%m-%d') AS day, coalesce(model, 'unknown') AS model, CAST(sum(total) AS BIGINT) AS total, count(*) AS calls
+FROM ev WHERE ts IS NOT NULL GROUP BY 1, 2""")
+def streamed_day_totals(t):
+    out = shared_dir(t.spark, "day-totals")
+    lv.write_updates(lv.tumbling_totals(_event_stream(t), "1 day"), out, shared_dir(t.spark, "ck")).awaitTermination()
+    rows = lv.read_updates(t.spark, out, ["start", "model"])
+    return rows.select(F.date_format("start", "yyyy-MM-dd").alias("day"), "model", "total", "calls")
+
+
+@query("L6", f"""WITH {EV} SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H') AS at, coalesce(model, 'unknown') AS model, CAST(sum(total) AS BIGINT) AS total, count(*) AS calls
+FROM ev WHERE ts IS NOT NULL GROUP BY 1, 2""")
+def streamed_hour_totals(t):
+    out = shared_dir(t.spark, "hour-totals")
+    lv.write_updates(lv.tumbling_totals(_event_stream(t), "1 hour"), out, shared_dir(t.spark, "ck")).awaitTermination()
+    rows = lv.read_updates(t.spark, out, ["start", "model"])
+    return rows.select(F.date_format("start", "yyyy-MM-dd HH").alias("at"), "model", "total", "calls")
+
+
+@query("L7", f"""WITH {EV} SELECT source, count(*) AS messages, CAST(sum(total) AS BIGINT) AS total FROM ev WHERE ts IS NOT NULL GROUP BY 1""")
+def streamed_dedup(t):
+    out = shared_dir(t.spark, "dedup")
+    copies = F.array_repeat(F.col("seq"), (F.col("seq") % 3 + 1).cast("int"))
+    repeated = _event_stream(t).withColumn("copy", F.explode(copies)).drop("copy")
+    lv.write_rows(lv.unique_messages(repeated, ["file_path", "seq"]), out, shared_dir(t.spark, "ck")).awaitTermination()
+    return t.spark.read.parquet(out).groupBy("source").agg(
+        F.count(F.lit(1)).alias("messages"), F.sum("total").alias("total"))
+
+
+@query("L8", f"""WITH {EV}, x AS (SELECT *, CASE WHEN ts - lag(ts) OVER w <= INTERVAL 6 HOUR THEN 0 ELSE 1 END AS fresh FROM ev WHERE ts IS NOT NULL AND session <> '' WINDOW w AS (PARTITION BY session ORDER BY ts)),
+y AS (SELECT *, sum(fresh) OVER (PARTITION BY session ORDER BY ts, seq) AS g FROM x)
+SELECT session, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS first_ts, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS last_ts, CAST(sum(total) AS BIGINT) AS total, count(*) AS calls
+FROM y GROUP BY session, g HAVING max(ts) + INTERVAL 6 HOUR <= (SELECT max(ts) FROM ev) - INTERVAL 1 DAY""")
+def streamed_activity_sessions(t):
+    out = shared_dir(t.spark, "activity")
+    # The watermark follows every event, so sessions are filtered after it.
+    stream = lv.activity_sessions(_event_stream(t), ["session"], "6 hours", "1 day")
+    lv.write_rows(stream, out, shared_dir(t.spark, "ck")).awaitTermination()
+    text = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c)
+    return t.spark.read.parquet(out).where("session <> ''").select("session", text("first_ts"), text("last_ts"), "total", "calls")
+
+
+@query("L8 W21", f"""WITH {GP}, d AS (SELECT day, sum(total) AS total FROM gp WHERE ts IS NOT NULL GROUP BY 1),
+e AS (SELECT *, CASE WHEN day - lag(day) OVER (ORDER BY day) < 8 AND month(day) = month(lag(day) OVER (ORDER BY day)) THEN 0 ELSE 1 END AS fresh FROM d),
+f AS (SELECT *, sum(fresh) OVER (ORDER BY day) AS g FROM e)
+SELECT strftime(min(day), '%Y-%m') AS month, strftime(min(day), '%Y-%m-%d') AS start, strftime(max(day), '%Y-%m-%d') AS "end", CAST(sum(total) AS BIGINT) AS total
+FROM f GROUP BY g HAVING max(day) + INTERVAL 180 HOUR <= (SELECT max(day) FROM d) - INTERVAL 1 DAY""")
+def streamed_seasons(t):
+    events = lv.file_stream(t.spark, t.root, t.table("events").schema, "events.parquet")
+    out = shared_dir(t.spark, "seasons")
+    lv.write_rows(lv.season_sessions(tables.gaps_as_usage(events)), out, shared_dir(t.spark, "ck")).awaitTermination()
+    day = lambda c: F.date_format(c, "yyyy-MM-dd").alias(c)
+    return t.spark.read.parquet(out).select("month", day("start"), day("end"), "total")
+
+
+@query("L1", f"WITH {_EVX} {_pick(_CLAUDE)} UNION ALL {_pick(_GEMINI)} UNION ALL {_pick(_CODEX)}")
+def streamed_log_ingest(t):
+    """Two landings of immutable files per source, each picked up by one run of the query."""
+    landing, out = shared_dir(t.spark, "landing"), shared_dir(t.spark, "ingested")
+    builders = {"claude": layouts.claude_lines, "gemini": layouts.gemini_files, "codex": layouts.codex_lines}
+    for source, build in builders.items():
+        lines, check = build(t.spark, t.root), shared_dir(t.spark, "ck")
+        early = F.pmod(F.xxhash64("owner"), F.lit(2)) == 0
+        for i, chunk in enumerate((lines.where(early), lines.where(~early))):
+            layouts.write_logs(chunk, f"{landing}/{source}/chunk-{i}")
+            lv.ingest_logs(t.spark, f"{landing}/{source}", source, ZONE, out, check, pattern="part-*").awaitTermination()
+    return _plain(t.spark.read.parquet(out))
+
+
+def _id_sql(where):
+    return f"""(SELECT left(sha256(string_agg(l, ';' ORDER BY l)), 24) FROM (SELECT strftime(day, '%Y-%m-%d') || '=' || sha256(string_agg(h, '' ORDER BY h)) AS l FROM
+(SELECT day, sha256(concat_ws('|', coalesce(model, 'unknown'), source, count(*), {_FIELDS})) AS h FROM ev {where} GROUP BY day, model, source) GROUP BY day))"""
+
+
+@query("L2 L3 L4 A13", f"""WITH {EV}
+SELECT 'first' AS step, 'published' AS outcome, 1 AS version, {_id_sql("WHERE day <= DATE '2024-01-15'")} AS snapshot_id
+UNION ALL SELECT 'again', 'unchanged', 1, {_id_sql("WHERE day <= DATE '2024-01-15'")}
+UNION ALL SELECT 'broken', 'failed', 1, {_id_sql("WHERE day <= DATE '2024-01-15'")}
+UNION ALL SELECT 'later', 'published', 2, {_id_sql('')}""")
+def publish_on_change(t):
+    """Four refreshes of one mart: new data, no change, a failing input, more data."""
+    mart = UsageMart(t.spark, shared_dir(t.spark, "mart"))
+    early = in_range(t.cube("ev"), None, "2024-01-15")
+    missing = lambda: hour_cube(t.spark.read.parquet(f"{mart.root}/no-such-table"))
+    steps = []
+    for name, build in (("first", lambda: early), ("again", lambda: early), ("broken", missing), ("later", lambda: t.cube("ev"))):
+        outcome = mart.try_publish(build).split(":")[0]
+        version, ident = mart.latest()
+        steps.append((name, outcome, int(version), ident))
+    return t.spark.createDataFrame(steps, "step string, outcome string, version int, snapshot_id string")
+
+
+@query("L2 L3", f"""WITH {EV} SELECT strftime(date_trunc('month', day), '%Y-%m-%d') AS period, CAST(sum(total) AS BIGINT) AS total, count(*) AS calls FROM ev GROUP BY 1""")
+def streamed_mart(t):
+    mart = UsageMart(t.spark, shared_dir(t.spark, "mart"))
+    lv.maintain(_event_stream(t), mart, shared_dir(t.spark, "ck")).awaitTermination()
+    return mart.current().where("grain = 'month'").select("period", "total", "calls")
+
+
+@query("S6 S7 L1", f"WITH {_EVX} {_pick(_CLAUDE)}")
+def refresh_changed_files(t):
+    """A first landing, then grown and replaced files: only changed days are rewritten."""
+    landing, mart = shared_dir(t.spark, "files"), UsageMart(t.spark, shared_dir(t.spark, "mart"))
+    lines = layouts.claude_lines(t.spark, t.root)
+    read = lambda source, files, after: logs.read_claude(
+        t.spark, landing, ZONE, pattern="part-*", files=files, after=after)
+    for chunk in (lines.where("seq < 40000"), lines):
+        layouts.write_logs(chunk, landing)
+        mart.refresh_files(logs.list_files(t.spark, landing, "claude", "part-*"), read)
+    return _plain(mart.records())
+
+
+@query("L5 X17", f"""WITH {EV} SELECT 'stable' AS state, count(DISTINCT session) AS members FROM ev WHERE session <> ''""")
+def stable_pseudonyms(t):
+    """Aliases of two refreshes agree member by member."""
+    from tidemeter.catalog.ingest import KEY
+    from tidemeter.functions import pseudonym
+
+    rec = t.rec("ev")
+    late = pseudonym.alias_table(rec, "session", KEY, "session")
+    early = pseudonym.alias_table(in_range(rec, None, "2024-01-15"), "session", KEY, "session").withColumnRenamed("alias", "before")
+    both = late.join(early, "value", "left")
+    same = F.coalesce(F.col("before") == F.col("alias"), F.lit(True))
+    return both.agg(F.when(F.min(same), "stable").otherwise("moved").alias("state"), F.count(F.lit(1)).alias("members"))

@@ -33,8 +33,15 @@ def session_titles(spoken: DataFrame) -> DataFrame:
     return first_per_key(cleaned, ["session"], ["line_no"]).select("session", "title")
 
 
-def label_sessions(sessions: DataFrame, titles: DataFrame, summaries: DataFrame | None = None) -> DataFrame:
-    """Session label: sidecar summary, else title, else the short id."""
+def label_sessions(
+    sessions: DataFrame, titles: DataFrame, summaries: DataFrame | None = None, hidden: bool = False
+) -> DataFrame:
+    """Session label: sidecar summary, else title, else the short id.
+
+    Pseudonymised reports set ``hidden``: the alias in ``session`` is then its own label.
+    """
+    if hidden:
+        return sessions.withColumn("label", F.col("session"))
     out = sessions.join(titles, "session", "left")
     choices = [F.nullif("title", F.lit(""))]
     if summaries is not None:

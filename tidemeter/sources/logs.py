@@ -34,7 +34,10 @@ _CORRUPT = {"columnNameOfCorruptRecord": "_bad", "mode": "PERMISSIVE"}
 def list_files(
     spark: SparkSession, path: str | list[str], source: str, pattern: str | None = None
 ) -> DataFrame:
-    """File metadata only: the content column is never read."""
+    """File metadata only: the content column is never read.
+
+    ``file_path`` is the identity that records carry; ``path`` is what a reader is given.
+    """
     files = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", "true")
@@ -42,7 +45,8 @@ def list_files(
         .load(path)
         .select(
             F.lit(source).alias("source"),
-            F.col("path").alias("file_path"),
+            F.col("_metadata.file_path").alias("file_path"),
+            "path",
             F.col("modificationTime").alias("modified"),
             F.col("length").alias("bytes"),
         )
@@ -54,11 +58,15 @@ def list_files(
 
 def _scan(
     spark: SparkSession, path: str | list[str], source: str, whole: bool, pattern: str | None,
-    max_file_bytes: int,
+    max_file_bytes: int, after: str | None = None,
 ) -> DataFrame:
-    """``pattern`` overrides the tool's own file names, for logs landed by other writers."""
+    """``pattern`` overrides the tool's own file names, for logs landed by other writers.
+
+    ``after`` skips files last modified earlier, while the folder is listed.
+    """
+    reader = spark.read.option("modifiedAfter", after) if after else spark.read
     scan = (
-        spark.read.option("recursiveFileLookup", "true")
+        reader.option("recursiveFileLookup", "true")
         .option("pathGlobFilter", pattern or GLOBS[source])
         .option("wholetext", str(whole).lower())
         .text(path)
@@ -79,14 +87,20 @@ def number_lines(lines: DataFrame) -> DataFrame:
     return lines.withColumn("seq", F.monotonically_increasing_id())
 
 
+def only_files(lines: DataFrame, files: DataFrame | None) -> DataFrame:
+    """Keep the lines of the listed files."""
+    return lines if files is None else lines.join(files.select("file_path"), "file_path", "left_semi")
+
+
 def scan_lines(
     spark: SparkSession,
     path: str | list[str],
     source: str,
     pattern: str | None = None,
     max_file_bytes: int = MAX_FILE_BYTES,
+    after: str | None = None,
 ) -> DataFrame:
-    return number_lines(_scan(spark, path, source, False, pattern, max_file_bytes))
+    return number_lines(_scan(spark, path, source, False, pattern, max_file_bytes, after))
 
 
 def scan_files(
@@ -95,9 +109,10 @@ def scan_files(
     source: str,
     pattern: str | None = None,
     max_file_bytes: int = MAX_FILE_BYTES,
+    after: str | None = None,
 ) -> DataFrame:
     """One row per file, bounded by the file-size guard."""
-    return number_lines(_scan(spark, path, source, True, pattern, max_file_bytes))
+    return number_lines(_scan(spark, path, source, True, pattern, max_file_bytes, after))
 
 
 def _stripped(lines: DataFrame) -> DataFrame:
@@ -269,17 +284,26 @@ def parse_codex(lines: DataFrame, zone: str) -> DataFrame:
 
 
 def read_claude(
-    spark: SparkSession, path, zone: str, rules=(), scope: str = "file", pattern: str | None = None
+    spark: SparkSession, path, zone: str, rules=(), scope: str = "file", pattern: str | None = None,
+    files: DataFrame | None = None, after: str | None = None,
 ) -> DataFrame:
-    return parse_claude(scan_lines(spark, path, "claude", pattern), zone, rules, scope)
+    lines = scan_lines(spark, path, "claude", pattern, after=after)
+    return parse_claude(only_files(lines, files), zone, rules, scope)
 
 
-def read_gemini(spark: SparkSession, path, zone: str, pattern: str | None = None) -> DataFrame:
-    return parse_gemini(scan_files(spark, path, "gemini", pattern), zone)
+def read_gemini(
+    spark: SparkSession, path, zone: str, pattern: str | None = None,
+    files: DataFrame | None = None, after: str | None = None,
+) -> DataFrame:
+    return parse_gemini(only_files(scan_files(spark, path, "gemini", pattern, after=after), files), zone)
 
 
-def read_codex(spark: SparkSession, path, zone: str, pattern: str | None = None) -> DataFrame:
-    return parse_codex(scan_lines(spark, path, "codex", pattern), zone)
+def read_codex(
+    spark: SparkSession, path, zone: str, pattern: str | None = None,
+    files: DataFrame | None = None, after: str | None = None,
+) -> DataFrame:
+    lines = scan_lines(spark, path, "codex", pattern, after=after)
+    return parse_codex(only_files(lines, files), zone)
 
 
 READERS: dict[str, Callable[..., DataFrame]] = {

@@ -70,17 +70,25 @@ def event_usage(df: DataFrame, when: Column) -> DataFrame:
     )
 
 
+def events_as_usage(events: DataFrame) -> DataFrame:
+    """Row-wise mapping, usable on a batch or a stream of events."""
+    return _record(event_usage(events, F.col("ts")))
+
+
 def usage_events(spark: SparkSession, root: str) -> DataFrame:
     """Events as usage records: 30 dense days, every hour, some missing fields."""
-    return _record(event_usage(spark.read.parquet(f"{root}/events.parquet"), F.col("ts")))
+    return events_as_usage(spark.read.parquet(f"{root}/events.parquet"))
 
 
-def usage_gaps(spark: SparkSession, root: str) -> DataFrame:
-    """The same events on a stretched calendar, so that quiet days and long gaps occur."""
+def gaps_as_usage(events: DataFrame) -> DataFrame:
+    """Events on a stretched calendar, so that quiet days and long gaps occur."""
     off = F.datediff(F.col("ts"), F.lit("2024-01-01").cast("date"))
     shift = (F.floor(off / 4) * 3 + F.floor(off / 11) * 7).cast("int")
-    moved = F.col("ts") + F.make_dt_interval(shift)
-    return _record(event_usage(spark.read.parquet(f"{root}/events.parquet"), moved))
+    return _record(event_usage(events, F.col("ts") + F.make_dt_interval(shift)))
+
+
+def usage_gaps(spark: SparkSession, root: str) -> DataFrame:
+    return gaps_as_usage(spark.read.parquet(f"{root}/events.parquet"))
 
 
 def usage_lines(spark: SparkSession, root: str) -> DataFrame:
