@@ -10,6 +10,10 @@ from tidemeter.functions import calendar as cal
 from tidemeter.operators import compare as cp
 from tidemeter.operators import entities as en
 from tidemeter.operators.periods import by_period
+from tidemeter.schema import COUNTERS, PARTS
+
+# Sums that a period roll-up of the cube carries.
+_PERIOD = (*[c for c in COUNTERS if c != "total"], *PARTS)
 
 
 @query("W7", f"""
@@ -38,7 +42,7 @@ WITH {folded('ev')}, {_OPEN_WEEK}
 SELECT 'elapsed' AS mode, CAST(sum(current) AS BIGINT) AS current, CAST(sum(previous) AS BIGINT) AS previous,
 round((sum(current) - sum(previous)) * 100 / sum(previous), 4) AS change_pct FROM chg""")
 def open_week_delta(t):
-    return cp.window_delta(cp.attribution(t.folded("ev"), "week", "2024-01-30"))
+    return cp.window_delta(cp.attribution(t.kept("ev", "total", "calls"), "week", "2024-01-30"))
 
 
 @query("W8", f"""
@@ -46,7 +50,7 @@ WITH {folded('ln')}, x AS (SELECT CAST(date_trunc('month', day) AS DATE) AS peri
 y AS (SELECT total AS current, lag(total) OVER (ORDER BY period) AS previous, period FROM x)
 SELECT 'full' AS mode, current, previous, round((current - previous) * 100 / previous, 4) AS change_pct FROM y ORDER BY period DESC LIMIT 1""")
 def closed_month_delta(t):
-    return cp.window_delta(cp.attribution(t.folded("ln"), "month", "2010-01-01"))
+    return cp.window_delta(cp.attribution(t.kept("ln", "total", "calls"), "month", "2010-01-01"))
 
 
 @query("W9", f"""
@@ -58,7 +62,7 @@ r AS (SELECT *, current - previous AS delta, row_number() OVER (ORDER BY abs(cur
 SELECT least(rn, 6) AS rank, CASE WHEN rn <= 5 THEN model ELSE 'rest' END AS model, CAST(sum(current) AS BIGINT) AS current,
 CAST(sum(previous) AS BIGINT) AS previous, CAST(sum(delta) AS BIGINT) AS delta FROM r GROUP BY 1, 2""")
 def change_attribution(t):
-    return cp.fold_changes(cp.attribution(t.folded("ln"), "month", "2010-01-01"))
+    return cp.fold_changes(cp.attribution(t.kept("ln", "total", "calls"), "month", "2010-01-01"))
 
 
 @query("W10 F9", f"""
@@ -69,7 +73,7 @@ CAST(coalesce(sum(total) FILTER (day >= DATE '1998-04-01'), 0) - coalesce(sum(to
 FROM lnf WHERE day BETWEEN DATE '1998-01-01' AND DATE '1998-06-30' GROUP BY 1""")
 def interval_comparison(t):
     return cp.interval_comparison(
-        t.folded("ln"), "month", "2001-06-15", "1998-01-01", "1998-03-01", "1998-04-01", since="1995-02-01")
+        t.kept("ln", "total", "calls", *_PERIOD), "month", "2001-06-15", "1998-01-01", "1998-03-01", "1998-04-01", since="1995-02-01")
 
 
 @query("W11", f"""
@@ -86,7 +90,7 @@ UNION ALL (SELECT 'hour', CAST(hour AS VARCHAR), CAST(sum(total) AS BIGINT) AS v
 UNION ALL (SELECT 'project', project, CAST(sum(total) AS BIGINT) AS v FROM ins GROUP BY 2 ORDER BY v DESC, project LIMIT 3)""")
 def peak_month_profile(t):
     return cp.peak_profile(
-        t.folded("ln"), en.entity_days(t.rec("ln"), "project"), "month", "2001-06-15", since="1995-02-01")
+        t.kept("ln", "total", "calls", *_PERIOD), en.entity_days(t.rec("ln"), "project"), "month", "2001-06-15", since="1995-02-01")
 
 
 @query("W12", f"""
@@ -155,7 +159,7 @@ count(*) FILTER (day >= DATE '2024-01-22') AS calls, CAST(coalesce(sum(total) FI
 FROM evf WHERE day BETWEEN DATE '2024-01-15' AND DATE '2024-01-28' GROUP BY 1)
 SELECT *, total - previous AS delta FROM x""")
 def scope_summary(t):
-    return cp.scope_summary(t.folded("ev"), "week", "2024-01-22")
+    return cp.scope_summary(t.kept("ev", "total", "calls"), "week", "2024-01-22")
 
 
 @query("E4", f"""

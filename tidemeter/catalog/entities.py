@@ -99,7 +99,7 @@ round(f.total / (SELECT sum(total) FROM lnf), 6) AS share, active_periods, strft
 strftime(pp, '%Y-%m-%d') AS peak_period, peak_total,
 (SELECT model FROM m WHERE m.entity = f.entity AND m.total > 0 ORDER BY m.total DESC, model LIMIT 1) AS dominant_model FROM f""")
 def project_catalogue(t):
-    rows = en.catalogue(_days(t, "ln", "project"))
+    rows = en.catalogue(_days(t, "ln", "project"), t.rec("ln").agg(F.sum("total")))
     return rows.withColumn("first_day", cal.iso(F.col("first_day"))).withColumn("peak_period", cal.iso(F.col("peak_period")))
 
 

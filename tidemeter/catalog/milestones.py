@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemeter.catalog.registry import query
-from tidemeter.catalog.sequences import _DAYS, _RUN, _TREND
+from tidemeter.catalog.sequences import _DAY_SUMS, _DAYS, _RUN, _TREND
 from tidemeter.catalog.sql import folded
 from tidemeter.functions import calendar as cal
 from tidemeter.operators import milestones as ms
@@ -93,18 +93,18 @@ FROM st JOIN ladder USING (metric) WHERE tracked AND value >= target AND (bf IS
 
 @query("C4 A18 A19 A20", f"WITH {folded('ev')}, {_values('evf', '2024-01-30')} SELECT metric, CAST(value AS DOUBLE) AS value FROM mv")
 def metric_values(t):
-    return ms.metric_values(t.rec("ev"), t.folded("ev"), "2024-01-31")
+    return ms.metric_values(t.rec("ev"), t.kept("ev", *_DAY_SUMS), "2024-01-31")
 
 
 @query("C4 J7", f"WITH {folded('ln')}, {_values('lnf', '2001-11-04')}, {_LADDER}, {_GOALS} SELECT * FROM gl")
 def milestone_progress(t):
-    return ms.goals(ms.metric_values(t.rec("ln"), t.folded("ln"), "2001-11-05"))
+    return ms.goals(ms.metric_values(t.rec("ln"), t.kept("ln", *_DAY_SUMS), "2001-11-05"))
 
 
 @query("C5 J8", f"""WITH {folded('gp')}, {_running('gpf')}, {_LADDER}, {_UNLOCK}
 SELECT metric, rung, target, tier, strftime(day, '%Y-%m-%d') AS day, precision FROM ul""")
 def milestone_unlock_days(t):
-    rows = ms.unlock_days(ms.running_metrics(t.rec("gp"), t.folded("gp")))
+    rows = ms.unlock_days(ms.running_metrics(t.rec("gp"), t.kept("gp", *_DAY_SUMS)))
     return rows.withColumn("day", cal.iso(F.col("day")))
 
 
@@ -113,7 +113,7 @@ rk AS (SELECT *, row_number() OVER (PARTITION BY metric, day ORDER BY CASE tier
 count(*) OVER (PARTITION BY metric, day) AS crossed FROM ul)
 SELECT metric, strftime(day, '%Y-%m-%d') AS day, rung, target, tier, crossed FROM rk WHERE rn = 1""")
 def milestone_timeline(t):
-    rows = ms.timeline(ms.unlock_days(ms.running_metrics(t.rec("gp"), t.folded("gp"))))
+    rows = ms.timeline(ms.unlock_days(ms.running_metrics(t.rec("gp"), t.kept("gp", *_DAY_SUMS))))
     return rows.withColumn("day", cal.iso(F.col("day")))
 
 
@@ -122,14 +122,14 @@ nx AS (SELECT *, row_number() OVER (PARTITION BY metric ORDER BY target, rung) A
 SELECT metric, rung, target, tier, value, progress, remaining FROM nx WHERE rn = 1
 ORDER BY progress DESC, CASE tier WHEN 'prismatic' THEN 3 WHEN 'gold' THEN 2 WHEN 'silver' THEN 1 ELSE 0 END DESC, target, metric LIMIT 3""")
 def next_goals(t):
-    return ms.next_goals(ms.goals(ms.metric_values(t.rec("ev"), t.folded("ev"), "2024-01-31")))
+    return ms.next_goals(ms.goals(ms.metric_values(t.rec("ev"), t.kept("ev", *_DAY_SUMS), "2024-01-31")))
 
 
 @query("J9 U2", f"""WITH {folded('gp')}, {_running('gpf')}, {_LADDER}, {_UNLOCK}
 SELECT metric, rung, target, tier FROM ul WHERE day > DATE '2024-02-10'""")
 def newly_unlocked(t):
-    running = ms.running_metrics(t.rec("gp"), t.folded("gp"))
-    earlier = ms.running_metrics(in_range(t.rec("gp"), None, "2024-02-10"), in_range(t.folded("gp"), None, "2024-02-10"))
+    running = ms.running_metrics(t.rec("gp"), t.kept("gp", *_DAY_SUMS))
+    earlier = ms.running_metrics(in_range(t.rec("gp"), None, "2024-02-10"), in_range(t.kept("gp", *_DAY_SUMS), None, "2024-02-10"))
     return ms.newly_unlocked(ms.unlock_days(running), ms.unlock_days(earlier)).select("metric", "rung", "target", "tier")
 
 
@@ -152,7 +152,7 @@ _MATRICES = " UNION ALL ".join([
 
 @query("C6 A17", f"WITH {folded('ln')} {_MATRICES}")
 def matrix_milestones(t):
-    return ms.matrix_milestones(t.folded("ln"))
+    return ms.matrix_milestones(t.kept("ln", *_DAY_SUMS))
 
 
 _PAIRS = " UNION ALL ".join(
@@ -164,4 +164,4 @@ FROM (VALUES {', '.join(f'({i}, {float(v)!r})' for i, v in enumerate(xs))}) x(i,
 
 @query("C7", f"WITH {folded('ev')}, {_values('evf', '2024-01-30')} {_PAIRS}")
 def compound_milestones(t):
-    return ms.compound_milestones(ms.metric_values(t.rec("ev"), t.folded("ev"), "2024-01-31"))
+    return ms.compound_milestones(ms.metric_values(t.rec("ev"), t.kept("ev", *_DAY_SUMS), "2024-01-31"))

@@ -16,6 +16,8 @@ from tidemeter.operators.cube import additive, hour_cube, in_range
 from tidemeter.operators.snapshot import snapshot_id
 from tidemeter.schema import COUNTERS
 
+_DAY_SUMS = ("total", "calls", "input", "output", "cache_read", "cache_write")
+
 _SEASON = """
 d AS (SELECT day, CAST(sum(total) AS BIGINT) AS total, count(*) AS calls, CAST(sum(coalesce(cache_read,0)) AS BIGINT) AS cache_read FROM {b} GROUP BY 1 HAVING sum(total) > 0),
 e AS (SELECT *, lag(day) OVER (ORDER BY day) AS p FROM d),
@@ -43,12 +45,12 @@ def _season_frame(cube, since, until):
 
 @query("W21 W22", f"WITH {folded('gp')}, {_SEASON.format(b='gpf', since='2024-01-01', until='2024-03-05')} SELECT * FROM sea")
 def seasons_with_gaps(t):
-    return _season_frame(t.folded("gp"), "2024-01-01", "2024-03-05")
+    return _season_frame(t.kept("gp", "total", "calls", "cache_read"), "2024-01-01", "2024-03-05")
 
 
 @query("W21 W22", f"WITH {folded('ln')}, {_SEASON.format(b='lnf', since='1995-01-02', until='2001-11-04')} SELECT * FROM sea")
 def seasons_by_month(t):
-    return _season_frame(t.folded("ln"), "1995-01-02", "2001-11-04")
+    return _season_frame(t.kept("ln", "total", "calls", "cache_read"), "1995-01-02", "2001-11-04")
 
 
 _REC = """
@@ -78,7 +80,7 @@ def _records(rec, cube):
 
 @query("W23", f"WITH {folded('gp')}, {_REC.format(p='cur_', b='gpf')} SELECT * FROM cur_rec")
 def personal_records(t):
-    return _records(t.rec("gp"), t.folded("gp"))
+    return _records(t.rec("gp"), t.kept("gp", *_DAY_SUMS))
 
 
 @query("W24 J6", f"""
@@ -88,7 +90,7 @@ SELECT a.id, a.value, a.achieved, o.value AS prior_value,
 CASE WHEN o.value IS NULL THEN 'baseline' WHEN a.value > o.value THEN 'broken' WHEN a.value = o.value AND a.achieved <> o.achieved THEN 'tied'
 WHEN a.value = o.value THEN 'standing' ELSE 'historic' END AS status, round(a.value - o.value, 6) AS delta FROM cur_rec a LEFT JOIN old_rec o USING (id)""")
 def records_against_history(t):
-    cube = t.folded("gp")
+    cube = t.kept("gp", *_DAY_SUMS)
     old = _records(in_range(t.rec("gp"), None, "2024-02-15"), in_range(cube, None, "2024-02-15"))
     history = old.withColumn("generated", F.lit("2024-02-15"))
     return ss.against_history(_records(t.rec("gp"), cube), history)
@@ -154,7 +156,7 @@ WHEN active_hours BETWEEN 1 AND 6 AND four_hour_share >= 0.72 THEN 'deep' WHEN m
 
 
 def _modes(t, name):
-    return md.classify(md.daily_features(t.folded(name), en.entity_days(t.rec(name), "project", t.slots(name))))
+    return md.classify(md.daily_features(t.kept(name, "total", "calls", "cache_read"), en.entity_days(t.rec(name), "project", t.slots(name))))
 
 
 @query("C1 C2", f"""

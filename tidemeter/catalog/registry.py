@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemeter.operators.cube import hour_cube
+from tidemeter.operators.cube import additive, hour_cube
 from tidemeter.operators.registry import fold, registry
 from tidemeter.sources import tables
 
@@ -31,12 +31,18 @@ class Tables:
         return self._once("rec", name, lambda: ADAPTERS[name](self.spark, self.root))
 
     def cube(self, name: str) -> DataFrame:
-        """The hour cube, persisted: it is calendar-sized and several branches read it.
+        """The hour cube, left lazy so that a query scans and sums only what it uses."""
+        return self._once("cube", name, lambda: hour_cube(self.rec(name)))
 
-        Lost partitions are recomputed from the records.
+    def kept(self, name: str, *columns: str) -> DataFrame:
+        """The folded cube with some sums, persisted for queries that branch over it.
+
+        It is calendar-sized; lost partitions are recomputed from the records.
         """
+        keys = ["day", "hour", "source", "model"]
         return self._once(
-            "cube", name, lambda: hour_cube(self.rec(name)).persist(StorageLevel.MEMORY_AND_DISK))
+            "kept " + " ".join(columns), name,
+            lambda: additive(self.folded(name), keys, list(columns)).persist(StorageLevel.MEMORY_AND_DISK))
 
     def slots(self, name: str) -> DataFrame:
         """At most seven rows, read by every fold of a query."""

@@ -220,7 +220,7 @@ def model_shares(t):
     return p.model_share(t.folded("ln"))
 
 
-@query("A23", f"""
+@query("A23 X16", f"""
 WITH {EV} SELECT CAST(sum(coalesce(cache_read,0)) AS BIGINT) AS cache_read, CAST(sum(total) AS BIGINT) AS total,
 round(sum(coalesce(cache_read,0)) / sum(total), 6) AS cache_share FROM ev""")
 def cache_share(t):

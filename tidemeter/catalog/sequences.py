@@ -10,7 +10,7 @@ from tidemeter.functions import calendar as cal
 from tidemeter.operators import entities as en
 from tidemeter.operators import sequence as sq
 
-_N = "coalesce({c}, 0)"
+_DAY_SUMS = ("total", "calls", "input", "output", "cache_read", "cache_write")
 _DAYS = """d AS (SELECT day, CAST(sum(total) AS BIGINT) AS total, count(*) AS calls, CAST(sum(coalesce(cache_read,0)) AS BIGINT) AS cache_read,
 CAST(sum(coalesce(input,0)) AS BIGINT) AS input, CAST(sum(coalesce(output,0)) AS BIGINT) AS output, CAST(sum(coalesce(cache_write,0)) AS BIGINT) AS cache_write,
 CAST(coalesce(sum(total) FILTER (source='claude'),0) AS BIGINT) AS source_claude, CAST(coalesce(sum(total) FILTER (source='gemini'),0) AS BIGINT) AS source_gemini,
@@ -40,7 +40,7 @@ x AS (SELECT days.day, {', '.join(f"count(*) FILTER (kind = '{k}') AS {k}" for k
 FROM days LEFT JOIN f ON days.day = f.day GROUP BY 1)
 SELECT strftime(day, '%Y-%m-%d') AS day, {', '.join(f'CAST(sum({k}) OVER (ORDER BY day) AS BIGINT) AS {k}' for k in ('hours', 'models', 'projects', 'sessions'))} FROM x""")
 def running_distinct(t):
-    cube = t.folded("ln")
+    cube = t.kept("ln", *_DAY_SUMS)
     rows = sq.running_distinct(sq.day_totals(cube), sq.first_seen(t.rec("ln"), cube))
     return rows.withColumn("day", cal.iso(F.col("day")))
 
@@ -134,5 +134,5 @@ UNION ALL (SELECT 'relay', day, from_model || ' > ' || to_model FROM rl ORDER BY
 SELECT strftime(date_trunc('month', day), '%Y-%m-%d') AS period, count(*) AS events, strftime(max(day), '%Y-%m-%d') AS day,
 string_agg(kind || '=' || label, '; ' ORDER BY day, kind, label) AS label FROM e GROUP BY 1""")
 def moment_events(t):
-    rows = sq.moments(t.folded("gp"), en.entity_days(t.rec("gp"), "project"), "month")
+    rows = sq.moments(t.kept("gp", *_DAY_SUMS), en.entity_days(t.rec("gp"), "project"), "month")
     return rows.withColumn("period", cal.iso(F.col("period"))).withColumn("day", cal.iso(F.col("day")))

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 from tidemeter.functions import calendar as cal
 from tidemeter.functions.tokens import share, share_or_null
@@ -23,7 +24,10 @@ TOP_CHANGES = 5
 STATUS_BAND = 0.12
 STATUS_PRIOR = 4
 
-_ALL = W.partitionBy()
+
+def _all() -> WindowSpec:
+    """Frame over a whole calendar-sized table."""
+    return W.partitionBy()
 
 
 def with_period(cube: DataFrame, grain: str) -> DataFrame:
@@ -52,7 +56,7 @@ def window_pair(cube: DataFrame, grain: str, generated: str, until: str | None =
     totals = additive(with_period(additive(cube, ["day"], ["total"]), grain), ["period"], ["total"])
     pair = totals.orderBy(F.desc("period")).limit(2)
     now = F.lit(generated).cast("date")
-    current = F.max("period").over(_ALL)
+    current = F.max("period").over(_all())
     is_open = now.between(current, cal.period_end(current, grain))
     if until:
         is_open = is_open & (F.lit(until).cast("date") >= now)
@@ -62,7 +66,7 @@ def window_pair(cube: DataFrame, grain: str, generated: str, until: str | None =
         mode = mode.when(elapsed > 0, "elapsed")
     return pair.select(
         "period", (F.col("period") == current).alias("is_current"), mode.alias("mode"),
-        elapsed.alias("elapsed"), F.count(F.lit(1)).over(_ALL).alias("n"),
+        elapsed.alias("elapsed"), F.count(F.lit(1)).over(_all()).alias("n"),
     ).where("n = 2 and mode is not null").drop("n")
 
 
@@ -93,7 +97,7 @@ def window_delta(changes: DataFrame) -> DataFrame:
 
 def fold_changes(changes: DataFrame, limit: int = TOP_CHANGES) -> DataFrame:
     """Largest changes first, the remainder folded into one row."""
-    moved = changes.withColumn("_base", F.sum("previous").over(_ALL)).where("_base > 0 and delta <> 0")
+    moved = changes.withColumn("_base", F.sum("previous").over(_all())).where("_base > 0 and delta <> 0")
     ranked = moved.withColumn("rank", F.row_number().over(W.orderBy(F.desc(F.abs("delta")), "model")))
     shown = ranked.withColumn("rank", F.least("rank", F.lit(limit + 1)).cast("bigint")).withColumn(
         "model", F.when(F.col("rank") <= limit, F.col("model")).otherwise("rest"))
@@ -112,13 +116,13 @@ def interval_comparison(
     rows = mark_complete(by_period(cube, grain).select("period", "total"), grain, generated, since, until)
     rows = mark_adjacent(rows.where("complete"), grain).withColumn(
         "i", F.row_number().over(W.orderBy("period")))
-    place = lambda day: F.max(F.when(F.col("period") == F.lit(day).cast("date"), F.col("i"))).over(_ALL)
+    place = lambda day: F.max(F.when(F.col("period") == F.lit(day).cast("date"), F.col("i"))).over(_all())
     rows = rows.withColumn("a1", place(start)).withColumn("a2", place(end)).withColumn("b1", place(b_start))
-    rows = rows.withColumn("b2", F.expr("b1 + a2 - a1")).withColumn("n", F.max("i").over(_ALL))
+    rows = rows.withColumn("b2", F.expr("b1 + a2 - a1")).withColumn("n", F.max("i").over(_all()))
     side = F.when(F.expr("i between a1 and a2"), "a").when(F.expr("i between b1 and b2"), "b")
     rows = rows.withColumn("side", side).where("a2 >= a1 and b1 > a2 and b2 <= n and side is not null")
     gap = F.expr("not adjacent and i <> a1 and i <> b1")
-    whole = rows.withColumn("_gaps", F.count_if(gap).over(_ALL)).where("_gaps = 0").select("period", "side")
+    whole = rows.withColumn("_gaps", F.count_if(gap).over(_all())).where("_gaps = 0").select("period", "side")
     pm = period_models(cube, grain).join(whole, "period")
     pick = lambda s: F.coalesce(F.sum(F.when(F.col("side") == s, F.col("total"))), F.lit(0).cast("bigint"))
     return pm.groupBy("model").agg(pick("b").alias("current"), pick("a").alias("previous")).withColumn(
@@ -196,7 +200,7 @@ def model_evidence(cube: DataFrame) -> DataFrame:
     per = additive(cube, ["model"], ["total", "calls"])
     return per.select(
         F.lit("model").alias("kind"), F.col("model").alias("id"), "total", "calls",
-        share(F.col("total"), F.sum("total").over(_ALL)).alias("share"))
+        share(F.col("total"), F.sum("total").over(_all())).alias("share"))
 
 
 def period_evidence(cube: DataFrame, grain: str) -> DataFrame:
@@ -211,11 +215,11 @@ def entity_evidence(kind: str, days: DataFrame, cube: DataFrame) -> DataFrame:
     per_model = en.entity_model(days).where("total > 0")
     per = per_model.groupBy("entity").agg(
         F.sum("total").alias("total"), F.count(F.lit(1)).alias("components"))
-    whole = cube.agg(F.sum("total").alias("everything")).withColumn("one", F.lit(1))
     lead = dominant(["entity"], per_model).select("entity", F.col("model").alias("dominant_model"))
-    return per.withColumn("one", F.lit(1)).join(F.broadcast(whole), "one").join(lead, "entity", "left").select(
+    everything = cube.agg(F.sum("total")).scalar()
+    return per.join(lead, "entity", "left").select(
         F.lit(kind).alias("kind"), F.col("entity").alias("id"), "total",
-        share(F.col("total"), F.col("everything")).alias("share"), "components", "dominant_model")
+        share(F.col("total"), everything).alias("share"), "components", "dominant_model")
 
 
 def compare(evidence: DataFrame, left: tuple[str, str], right: tuple[str, str]) -> DataFrame:

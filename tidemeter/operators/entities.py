@@ -27,17 +27,15 @@ FLOW_LIMITS = (7, 7, 8)
 def entity_days(rec: DataFrame, kind: str, slots: DataFrame | None = None) -> DataFrame:
     """(day, entity, model) totals and turns of records that carry the entity.
 
-    ``kind`` is ``project`` or ``session``. Folding happens after the reduction.
+    ``kind`` is ``project`` or ``session``. Seats are looked up before the reduction (a
+    seven-row broadcast), so the entity rows are shuffled once and not again after folding.
     """
-    named = rec.where(F.col(kind) != "").withColumn("model", labels.model_or_unknown(F.col("model")))
-    reduced = named.groupBy("day", F.col(kind).alias("entity"), "model").agg(
-        F.sum(zero(F.col("total"))).alias("total"), F.count(F.lit(1)).alias("calls")
-    )
-    if slots is None:
-        return reduced
-    return fold(reduced, slots).groupBy("day", "entity", "model").agg(
-        F.sum("total").alias("total"), F.sum("calls").alias("calls")
-    )
+    named = rec.where(F.col(kind) != "").select(
+        "day", F.col(kind).alias("entity"), labels.model_or_unknown(F.col("model")).alias("model"), "total")
+    if slots is not None:
+        named = fold(named, slots)
+    return named.groupBy("day", "entity", "model").agg(
+        F.sum(zero(F.col("total"))).alias("total"), F.count(F.lit(1)).alias("calls"))
 
 
 def top_by(rec: DataFrame, column: str, limit: int = TOP_BY) -> DataFrame:
@@ -123,9 +121,11 @@ def top_entities_by_day(days: DataFrame, limit: int = TOP_ENTITIES) -> DataFrame
     return ranked.where(F.col("rank") <= limit).withColumn("rank", F.col("rank").cast("bigint"))
 
 
-def catalogue(days: DataFrame, grain: str = "month") -> DataFrame:
+def catalogue(days: DataFrame, everything: DataFrame, grain: str = "month") -> DataFrame:
     """Every entity with share, active periods, first day, peak period and dominant model.
 
+    ``everything`` is the one-row grand total; it enters as a scalar subquery.
+
     Buffers stay primitive until one row per (entity, period) is left.
     """
     periodic = days.withColumn("period", cal.period_start(F.col("day"), grain))
@@ -138,16 +138,12 @@ def catalogue(days: DataFrame, grain: str = "month") -> DataFrame:
         F.min("first_day").alias("first_day"),
         F.max(F.struct(F.col("total").alias("v"), (-cal.day_number(F.col("period"))).alias("d"))).alias("peak"),
     )
-    whole = days.agg(F.sum("total").alias("everything")).withColumn("one", F.lit(1))
     lead = dominant(["entity"], entity_model(days)).select("entity", F.col("model").alias("dominant_model"))
-    return (
-        facts.withColumn("one", F.lit(1)).join(F.broadcast(whole), "one").join(lead, "entity", "left")
-        .select(
-            "entity", labels.project_label(F.col("entity")).alias("label"), "total",
-            share(F.col("total"), F.col("everything")).alias("share"), "active_periods", "first_day",
-            F.date_from_unix_date(-F.col("peak.d")).alias("peak_period"),
-            F.col("peak.v").alias("peak_total"), "dominant_model",
-        )
+    return facts.join(lead, "entity", "left").select(
+        "entity", labels.project_label(F.col("entity")).alias("label"), "total",
+        share(F.col("total"), everything.scalar()).alias("share"), "active_periods", "first_day",
+        F.date_from_unix_date(-F.col("peak.d")).alias("peak_period"),
+        F.col("peak.v").alias("peak_total"), "dominant_model",
     )
 
 
@@ -222,17 +218,19 @@ def distribution(rec: DataFrame, cube: DataFrame) -> DataFrame:
     days = per_day.agg(
         F.count(F.lit(1)).alias("days"), F.sum("total").alias("total"), F.sum("calls").alias("calls"),
         F.avg("total").alias("m"), F.stddev_pop("total").alias("sd"), F.max("total").alias("day_max"),
-    ).withColumn("one", F.lit(1))
+    )
     per_session = rec.where(F.col("session") != "").groupBy("session").agg(F.sum(zero(F.col("total"))).alias("total"))
-    sessions = per_session.agg(
-        F.count(F.lit(1)).alias("sessions"), F.max("total").alias("session_max")).withColumn("one", F.lit(1))
-    median = exact_median(per_session, "total").withColumn("one", F.lit(1))
     per_project = rec.where(F.col("project") != "").groupBy("project").agg(F.sum(zero(F.col("total"))).alias("total"))
-    projects = per_project.agg(
-        F.count(F.lit(1)).alias("projects"), F.max("total").alias("project_max")).withColumn("one", F.lit(1))
-    joined = days
-    for part in (sessions, median, projects):
-        joined = joined.join(F.broadcast(part), "one")
+
+    def facts(per: DataFrame):
+        return per.agg(F.struct(F.count(F.lit(1)).alias("n"), F.max("total").alias("most"))).scalar()
+
+    joined = days.select(
+        "*", facts(per_session).alias("s"), facts(per_project).alias("p"),
+        exact_median(per_session, "total").scalar().alias("median"),
+    ).select(
+        "*", F.col("s.n").alias("sessions"), F.col("s.most").alias("session_max"),
+        F.col("p.n").alias("projects"), F.col("p.most").alias("project_max"))
     ratio = lambda a, b: F.round(F.try_divide(F.col(a), F.col(b)), 4)
     return joined.select(
         "days", "total", "calls", "sessions", "projects",

@@ -53,8 +53,8 @@ def health(provenance_rows: DataFrame) -> DataFrame:
 
 def capabilities(provenance_rows: DataFrame, replay: DataFrame) -> DataFrame:
     """Status of each analysis by the share of records that can feed it."""
-    row = overall(provenance_rows).withColumn("one", F.lit(1)).join(
-        F.broadcast(replay.withColumn("one", F.lit(1))), "one")
+    row = overall(provenance_rows).withColumn(
+        "replay_retained", replay.select("replay_retained").scalar())
     n = F.greatest("records", F.lit(1).cast("bigint"))
     ratios = {
         "project": F.col("with_project"), "session": F.col("replay_retained"), "rhythm": F.col("valid_ts"),

@@ -19,19 +19,17 @@ SURGE_CV, STEADY_CV = 1.15, 0.28
 RATIO_FLOOR = 1000
 KEEP_SNAPSHOTS, KEEP_SCOPES = 24, 8
 
-_TIME = W.orderBy("day")
-
-
 def label_seasons(days: DataFrame) -> DataFrame:
     """Active days with a season number: a new month or a gap of eight days starts one."""
     active = days.where("total > 0")
-    before = F.lag("day").over(_TIME)
+    time = W.orderBy("day")
+    before = F.lag("day").over(time)
     fresh = (
         before.isNull() | (F.trunc("day", "month") != F.trunc(before, "month"))
         | (F.datediff("day", before) >= QUIET_BREAK)
     )
     return active.withColumn("_new", fresh.cast("int")).withColumn(
-        "season", F.sum("_new").over(_TIME.rowsBetween(W.unboundedPreceding, 0)).cast("bigint")).drop("_new")
+        "season", F.sum("_new").over(time.rowsBetween(W.unboundedPreceding, 0)).cast("bigint")).drop("_new")
 
 
 def seasons(cube: DataFrame, since: str | None = None, until: str | None = None) -> DataFrame:

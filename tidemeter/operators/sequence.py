@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 from tidemeter.functions import calendar as cal
 from tidemeter.operators.cube import additive
@@ -17,9 +18,13 @@ from tidemeter.operators.cube import additive
 MILESTONES = tuple(10**n for n in range(3, 13))
 SHORT, LONG = 7, 30
 
-_TIME = W.orderBy("day")
-_SO_FAR = _TIME.rowsBetween(W.unboundedPreceding, 0)
-_ALL = W.partitionBy()
+
+def _time() -> WindowSpec:
+    return W.orderBy("day")
+
+
+def _so_far() -> WindowSpec:
+    return _time().rowsBetween(W.unboundedPreceding, 0)
 
 
 def day_totals(cube: DataFrame) -> DataFrame:
@@ -79,7 +84,7 @@ def trend(days: DataFrame, generated: str, since: str | None = None, until: str
     spine = bounds.select(F.explode(F.sequence("a", "b")).alias("day"))
     rows = spine.join(closed.select("day", "total"), "day", "left").select(
         "day", F.coalesce("total", F.lit(0).cast("bigint")).alias("total"))
-    step = F.signum((F.col("total") - F.lag("total").over(_TIME)).cast("double"))
+    step = F.signum((F.col("total") - F.lag("total").over(_time())).cast("double"))
     rows = rows.withColumn("step", F.coalesce(step, F.lit(0.0))).withColumn(
         "back", F.row_number().over(W.orderBy(F.desc("day"))))
     mean = lambda lo, hi: F.avg(F.when(F.col("back").between(lo, hi), F.col("total")))
@@ -123,7 +128,7 @@ def running_distinct(days: DataFrame, firsts: DataFrame) -> DataFrame:
         F.sum(F.when(F.col("kind") == k, F.col("fresh"))).alias(k) for k in kinds])
     rows = days.select("day").join(wide, "day", "left")
     return rows.select("day", *[
-        F.coalesce(F.sum(k).over(_SO_FAR), F.lit(0).cast("bigint")).alias(k) for k in kinds])
+        F.coalesce(F.sum(k).over(_so_far()), F.lit(0).cast("bigint")).alias(k) for k in kinds])
 
 
 def running_totals(cube: DataFrame) -> DataFrame:
@@ -134,22 +139,22 @@ def running_totals(cube: DataFrame) -> DataFrame:
     sums = ("total", "calls", "cache_read", "input", "output", "cache_write")
     days = cube.groupBy("day").agg(*[F.sum(c).alias(c) for c in sums], *per_source)
     active = F.col("total") > 0
-    rank = F.sum(active.cast("int")).over(_SO_FAR)
+    rank = F.sum(active.cast("int")).over(_so_far())
     rows = days.withColumn("_rank", rank).withColumn(
         "_island", F.when(active, F.date_sub(F.col("day"), F.col("_rank").cast("int"))))
     length = F.when(active, F.row_number().over(W.partitionBy("_island").orderBy("day")))
     rows = rows.withColumn("_length", length)
     running = [*sums, "source_claude", "source_gemini", "source_codex"]
     return rows.select(
-        "day", *[F.sum(c).over(_SO_FAR).alias(c) for c in running],
-        F.greatest(F.max("total").over(_SO_FAR), F.lit(0).cast("bigint")).alias("max_day"),
+        "day", *[F.sum(c).over(_so_far()).alias(c) for c in running],
+        F.greatest(F.max("total").over(_so_far()), F.lit(0).cast("bigint")).alias("max_day"),
         F.col("_rank").cast("bigint").alias("active_days"),
-        F.coalesce(F.max("_length").over(_SO_FAR), F.lit(0)).cast("bigint").alias("longest_streak"))
+        F.coalesce(F.max("_length").over(_so_far()), F.lit(0)).cast("bigint").alias("longest_streak"))
 
 
 def milestone_crossings(days: DataFrame) -> DataFrame:
     """Every power of ten the running total passes, with its day."""
-    running = days.select("day", F.sum("total").over(_SO_FAR).alias("reached"), "total")
+    running = days.select("day", F.sum("total").over(_so_far()).alias("reached"), "total")
     goals = F.filter(
         F.array(*[F.lit(m).cast("bigint") for m in MILESTONES]),
         lambda g: (g > F.col("reached") - F.col("total")) & (g <= F.col("reached")))
@@ -172,7 +177,7 @@ def daily_leader(cube: DataFrame) -> DataFrame:
 def relays(leaders: DataFrame) -> DataFrame:
     """Days whose leader differs from the leader of the calendar day before."""
     rows = leaders.select(
-        "day", "leader", F.lag("leader").over(_TIME).alias("before"), F.lag("day").over(_TIME).alias("_d"))
+        "day", "leader", F.lag("leader").over(_time()).alias("before"), F.lag("day").over(_time()).alias("_d"))
     return rows.where("before is not null and leader is not null and before <> leader and datediff(day, _d) = 1").select(
         "day", F.col("before").alias("from_model"), F.col("leader").alias("to_model"))
 
