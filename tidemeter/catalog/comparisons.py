@@ -22,7 +22,7 @@ y AS (SELECT *, lag(total) OVER (ORDER BY period) AS previous FROM x)
 SELECT strftime(period, '%Y-%m-%d') AS period, total, previous, total - previous AS change,
 round((total - previous) * 100 / previous, 4) AS change_pct FROM y""")
 def month_over_month(t):
-    rows = cp.period_change(by_period(t.cube("ln"), "month").select("period", "total"))
+    rows = cp.period_change(by_period(t.cube("ln", "day"), "month").select("period", "total"))
     return rows.withColumn("period", cal.iso(F.col("period")))
 
 
@@ -42,7 +42,7 @@ WITH {folded('ev')}, {_OPEN_WEEK}
 SELECT 'elapsed' AS mode, CAST(sum(current) AS BIGINT) AS current, CAST(sum(previous) AS BIGINT) AS previous,
 round((sum(current) - sum(previous)) * 100 / sum(previous), 4) AS change_pct FROM chg""")
 def open_week_delta(t):
-    return cp.window_delta(cp.attribution(t.kept("ev", "total", "calls"), "week", "2024-01-30"))
+    return cp.window_delta(cp.attribution(t.kept("ev", "day timed model", "total", "calls"), "week", "2024-01-30"))
 
 
 @query("W8", f"""
@@ -50,7 +50,7 @@ WITH {folded('ln')}, x AS (SELECT CAST(date_trunc('month', day) AS DATE) AS peri
 y AS (SELECT total AS current, lag(total) OVER (ORDER BY period) AS previous, period FROM x)
 SELECT 'full' AS mode, current, previous, round((current - previous) * 100 / previous, 4) AS change_pct FROM y ORDER BY period DESC LIMIT 1""")
 def closed_month_delta(t):
-    return cp.window_delta(cp.attribution(t.kept("ln", "total", "calls"), "month", "2010-01-01"))
+    return cp.window_delta(cp.attribution(t.kept("ln", "day timed model", "total", "calls"), "month", "2010-01-01"))
 
 
 @query("W9", f"""
@@ -62,7 +62,7 @@ r AS (SELECT *, current - previous AS delta, row_number() OVER (ORDER BY abs(cur
 SELECT least(rn, 6) AS rank, CASE WHEN rn <= 5 THEN model ELSE 'rest' END AS model, CAST(sum(current) AS BIGINT) AS current,
 CAST(sum(previous) AS BIGINT) AS previous, CAST(sum(delta) AS BIGINT) AS delta FROM r GROUP BY 1, 2""")
 def change_attribution(t):
-    return cp.fold_changes(cp.attribution(t.kept("ln", "total", "calls"), "month", "2010-01-01"))
+    return cp.fold_changes(cp.attribution(t.kept("ln", "day timed model", "total", "calls"), "month", "2010-01-01"))
 
 
 @query("W10 F9", f"""
@@ -73,7 +73,7 @@ CAST(coalesce(sum(total) FILTER (day >= DATE '1998-04-01'), 0) - coalesce(sum(to
 FROM lnf WHERE day BETWEEN DATE '1998-01-01' AND DATE '1998-06-30' GROUP BY 1""")
 def interval_comparison(t):
     return cp.interval_comparison(
-        t.kept("ln", "total", "calls", *_PERIOD), "month", "2001-06-15", "1998-01-01", "1998-03-01", "1998-04-01", since="1995-02-01")
+        t.kept("ln", "day model", "total", "calls", *_PERIOD), "month", "2001-06-15", "1998-01-01", "1998-03-01", "1998-04-01", since="1995-02-01")
 
 
 @query("W11", f"""
@@ -90,14 +90,14 @@ UNION ALL (SELECT 'hour', CAST(hour AS VARCHAR), CAST(sum(total) AS BIGINT) AS v
 UNION ALL (SELECT 'project', project, CAST(sum(total) AS BIGINT) AS v FROM ins GROUP BY 2 ORDER BY v DESC, project LIMIT 3)""")
 def peak_month_profile(t):
     return cp.peak_profile(
-        t.kept("ln", "total", "calls", *_PERIOD), en.entity_days(t.rec("ln"), "project"), "month", "2001-06-15", since="1995-02-01")
+        t.kept("ln", "day hour model", "total", "calls", *_PERIOD), en.entity_days(t.rec("ln"), "project"), "month", "2001-06-15", since="1995-02-01")
 
 
 @query("W12", f"""
 WITH {EV} SELECT '2024-01-01' AS period, CAST(sum(total) AS BIGINT) AS total,
 CAST(round(sum(total) / 30 * 31) AS BIGINT) AS forecast, CAST(round(30 / 31 * 100) AS BIGINT) AS progress FROM ev""")
 def month_forecast(t):
-    return cp.month_forecast(t.cube("ev"), "2024-01-30").withColumn("period", cal.iso(F.col("period")))
+    return cp.month_forecast(t.cube("ev", "day"), "2024-01-30").withColumn("period", cal.iso(F.col("period")))
 
 
 @query("W16", f"""
@@ -108,7 +108,7 @@ CASE WHEN mean IS NULL THEN 'unknown' WHEN mean = 0 AND total > 0 THEN 'warming'
 WHEN total / mean - 1 > 0.12 THEN 'warming' WHEN total / mean - 1 < -0.12 THEN 'cooling' ELSE 'steady' END AS status
 FROM y ORDER BY y.period DESC LIMIT 1""")
 def usage_status(t):
-    rows = cp.usage_status(by_period(t.cube("ln"), "month").select("period", "total"))
+    rows = cp.usage_status(by_period(t.cube("ln", "day"), "month").select("period", "total"))
     return rows.withColumn("period", cal.iso(F.col("period")))
 
 
@@ -116,7 +116,7 @@ def usage_status(t):
 WITH {folded('ln')}, x AS (SELECT cm AS id, CAST(sum(total) AS BIGINT) AS total, count(*) AS calls FROM lnf GROUP BY 1)
 SELECT 'model' AS kind, *, round(total / sum(total) OVER (), 6) AS share FROM x""")
 def evidence_models(t):
-    return cp.model_evidence(t.folded("ln"))
+    return cp.model_evidence(t.folded("ln", "model"))
 
 
 @query("E1", f"""
@@ -124,7 +124,7 @@ WITH {LN}, x AS (SELECT CAST(date_trunc('week', day) AS DATE) AS period, CAST(su
 y AS (SELECT *, lag(total) OVER (ORDER BY period) AS p FROM x)
 SELECT 'period' AS kind, strftime(period, '%Y-%m-%d') AS id, total, calls, total - p AS change, round((total - p) * 100 / p, 4) AS change_pct FROM y""")
 def evidence_periods(t):
-    return cp.period_evidence(t.cube("ln"), "week")
+    return cp.period_evidence(t.cube("ln", "day"), "week")
 
 
 def _entity_evidence(kind, base):
@@ -137,12 +137,12 @@ count(*) AS components, any_value(d.cm) AS dominant_model FROM x JOIN d ON x.id
 
 @query("E1", _entity_evidence("project", "ln"))
 def evidence_projects(t):
-    return cp.entity_evidence("project", en.entity_days(t.rec("ln"), "project", t.slots("ln")), t.cube("ln"))
+    return cp.entity_evidence("project", en.entity_days(t.rec("ln"), "project", t.slots("ln")), t.cube("ln", "model"))
 
 
 @query("E1", _entity_evidence("session", "ev"))
 def evidence_sessions(t):
-    return cp.entity_evidence("session", en.entity_days(t.rec("ev"), "session", t.slots("ev")), t.cube("ev"))
+    return cp.entity_evidence("session", en.entity_days(t.rec("ev"), "session", t.slots("ev")), t.cube("ev", "model"))
 
 
 @query("E2", f"""
@@ -150,7 +150,7 @@ WITH {EV}, x AS (SELECT CAST(coalesce(sum(total) FILTER (model = 'click'), 0) AS
 CAST(coalesce(sum(total) FILTER (model = 'purchase'), 0) AS BIGINT) AS peeked FROM ev)
 SELECT pinned, peeked, peeked - pinned AS delta, round((peeked - pinned) / pinned, 6) AS ratio FROM x""")
 def compare_two_models(t):
-    return cp.compare(cp.model_evidence(t.folded("ev")), ("model", "click"), ("model", "purchase"))
+    return cp.compare(cp.model_evidence(t.folded("ev", "model")), ("model", "click"), ("model", "purchase"))
 
 
 @query("E3", f"""
@@ -159,7 +159,7 @@ count(*) FILTER (day >= DATE '2024-01-22') AS calls, CAST(coalesce(sum(total) FI
 FROM evf WHERE day BETWEEN DATE '2024-01-15' AND DATE '2024-01-28' GROUP BY 1)
 SELECT *, total - previous AS delta FROM x""")
 def scope_summary(t):
-    return cp.scope_summary(t.kept("ev", "total", "calls"), "week", "2024-01-22")
+    return cp.scope_summary(t.kept("ev", "day model", "total", "calls"), "week", "2024-01-22")
 
 
 @query("E4", f"""
@@ -174,5 +174,5 @@ UNION ALL SELECT 'composition', 'other_part', CAST(sum(other_part) AS BIGINT) FR
 def model_branches(t):
     slots = t.slots("ev")
     return cp.model_branches(
-        "click", t.folded("ev"), en.entity_days(t.rec("ev"), "project", slots),
+        "click", t.folded("ev", "model"), en.entity_days(t.rec("ev"), "project", slots),
         en.entity_days(t.rec("ev"), "session", slots))

@@ -136,14 +136,14 @@ round(total / sessions, 4) AS session_mean, round(med, 4) AS session_median, ses
 round(total / projects, 4) AS project_mean, project_max, round(total / calls, 4) AS tokens_per_call,
 round(calls / days, 4) AS calls_per_day, round(sessions / days, 4) AS sessions_per_day FROM a, b, c""")
 def distribution_statistics(t):
-    return en.distribution(t.rec("ln"), t.cube("ln"))
+    return en.distribution(t.rec("ln"), t.cube("ln", "day"))
 
 
 @query("A19", f"""
 WITH {folded('ev')}, x AS (SELECT cm, sum(total) AS v FROM evf GROUP BY 1), y AS (SELECT v / sum(v) OVER () AS p FROM x)
 SELECT round(max(p), 6) AS top_share, round(sum(p * p), 6) AS herfindahl FROM y""")
 def model_concentration(t):
-    return en.concentration(t.folded("ev"))
+    return en.concentration(t.folded("ev", "model"))
 
 
 _REPLAY = """

@@ -268,7 +268,7 @@ def csv_export(t):
     from tidemeter.operators.periods import period_model
 
     path = shared_dir(t.spark, "csv")
-    sinks.write_period_csv(period_model(t.folded("ln"), ["month"]), ["brand-3", "other"], path)
+    sinks.write_period_csv(period_model(t.folded("ln", "day model"), ["month"]), ["brand-3", "other"], path)
     return t.spark.read.option("header", "true").schema(
         "period string, total_tokens bigint, `brand-3` bigint, other bigint, calls bigint").csv(path)
 
@@ -278,7 +278,7 @@ def history_export(t):
     from tidemeter.operators.cube import additive
 
     path = shared_dir(t.spark, "history")
-    history = additive(t.cube("ev"), ["source", "day"], ["total"]).select(
+    history = additive(t.cube("ev", "day source"), ["source", "day"], ["total"]).select(
         F.col("source").alias("scope"), cal.iso(F.col("day")).alias("generated"), F.col("total").alias("tokens"))
     sinks.write_history_json(history, "gemini", path)
     return t.spark.read.schema("scope string, generated string, tokens bigint").json(path)
@@ -290,7 +290,7 @@ s AS (SELECT CAST(sum(total) AS BIGINT) AS total, count(*) AS calls, CAST(sum(co
 SELECT total, calls, cache_read, peak_hour, dominant_model, round(cache_read / total, 6) AS cache_share,
 CASE WHEN peak_hour < 6 OR peak_hour >= 22 THEN 'night' ELSE 'day' END AS persona FROM s, p, l""")
 def report_headline(t):
-    return sinks.report_row(t.folded("ev"))
+    return sinks.report_row(t.folded("ev", "hour model"))
 
 
 @query("S14", f"""WITH {folded('ev')}, {parts('evf')}, g AS (SELECT g.grain, strftime(g.period, '%Y-%m-%d') AS period, cm AS model, CAST(sum(total) AS BIGINT) AS v, count(*) AS c,
@@ -300,7 +300,7 @@ SELECT grain, period, CAST(sum(v) OVER (PARTITION BY grain, period) AS BIGINT) A
 model, v AS model_total, c AS model_calls, concat_ws('/', {', '.join(PARTS)}) AS parts FROM g""")
 def nested_document(t):
     path = shared_dir(t.spark, "document")
-    sinks.write_document(t.folded("ev"), path)
+    sinks.write_document(t.folded("ev", "day model"), path)
     back = t.spark.read.schema(
         "grain string, period string, total bigint, calls bigint, models map<string,bigint>, "
         "model_calls map<string,bigint>, reuse map<string,array<bigint>>").json(path)

@@ -8,7 +8,7 @@ from tidemeter.catalog.ingest import _CLAUDE, _CODEX, _EVX, _GEMINI, ZONE, _pick
 from tidemeter.catalog.records import _FIELDS
 from tidemeter.catalog.registry import query
 from tidemeter.catalog.sql import EV, GP
-from tidemeter.operators.cube import hour_cube, in_range
+from tidemeter.operators.cube import in_range, usage_cube
 from tidemeter.plans.mart import UsageMart
 from tidemeter.session import shared_dir
 from tidemeter.sources import layouts, logs, tables
@@ -101,10 +101,10 @@ UNION ALL SELECT 'later', 'published', 2, {_id_sql('')}""")
 def publish_on_change(t):
     """Four refreshes of one mart: new data, no change, a failing input, more data."""
     mart = UsageMart(t.spark, shared_dir(t.spark, "mart"))
-    early = in_range(t.cube("ev"), None, "2024-01-15")
-    missing = lambda: hour_cube(t.spark.read.parquet(f"{mart.root}/no-such-table"))
+    early = in_range(t.cube("ev", "day source model"), None, "2024-01-15")
+    missing = lambda: usage_cube(t.spark.read.parquet(f"{mart.root}/no-such-table"))
     steps = []
-    for name, build in (("first", lambda: early), ("again", lambda: early), ("broken", missing), ("later", lambda: t.cube("ev"))):
+    for name, build in (("first", lambda: early), ("again", lambda: early), ("broken", missing), ("later", lambda: t.cube("ev", "day source model"))):
         outcome = mart.try_publish(build).split(":")[0]
         version, ident = mart.latest()
         steps.append((name, outcome, int(version), ident))

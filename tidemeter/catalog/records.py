@@ -12,7 +12,7 @@ from tidemeter.operators import modes as md
 from tidemeter.operators import quality as ql
 from tidemeter.operators import seasons as ss
 from tidemeter.operators import turns as tn
-from tidemeter.operators.cube import additive, hour_cube, in_range
+from tidemeter.operators.cube import additive, in_range
 from tidemeter.operators.snapshot import snapshot_id
 from tidemeter.schema import COUNTERS
 
@@ -45,12 +45,12 @@ def _season_frame(cube, since, until):
 
 @query("W21 W22", f"WITH {folded('gp')}, {_SEASON.format(b='gpf', since='2024-01-01', until='2024-03-05')} SELECT * FROM sea")
 def seasons_with_gaps(t):
-    return _season_frame(t.kept("gp", "total", "calls", "cache_read"), "2024-01-01", "2024-03-05")
+    return _season_frame(t.kept("gp", "day model", "total", "calls", "cache_read"), "2024-01-01", "2024-03-05")
 
 
 @query("W21 W22", f"WITH {folded('ln')}, {_SEASON.format(b='lnf', since='1995-01-02', until='2001-11-04')} SELECT * FROM sea")
 def seasons_by_month(t):
-    return _season_frame(t.kept("ln", "total", "calls", "cache_read"), "1995-01-02", "2001-11-04")
+    return _season_frame(t.kept("ln", "day model", "total", "calls", "cache_read"), "1995-01-02", "2001-11-04")
 
 
 _REC = """
@@ -80,7 +80,7 @@ def _records(rec, cube):
 
 @query("W23", f"WITH {folded('gp')}, {_REC.format(p='cur_', b='gpf')} SELECT * FROM cur_rec")
 def personal_records(t):
-    return _records(t.rec("gp"), t.kept("gp", *_DAY_SUMS))
+    return _records(t.rec("gp"), t.kept("gp", "day hour model", *_DAY_SUMS))
 
 
 @query("W24 J6", f"""
@@ -90,7 +90,7 @@ SELECT a.id, a.value, a.achieved, o.value AS prior_value,
 CASE WHEN o.value IS NULL THEN 'baseline' WHEN a.value > o.value THEN 'broken' WHEN a.value = o.value AND a.achieved <> o.achieved THEN 'tied'
 WHEN a.value = o.value THEN 'standing' ELSE 'historic' END AS status, round(a.value - o.value, 6) AS delta FROM cur_rec a LEFT JOIN old_rec o USING (id)""")
 def records_against_history(t):
-    cube = t.kept("gp", *_DAY_SUMS)
+    cube = t.kept("gp", "day hour model", *_DAY_SUMS)
     old = _records(in_range(t.rec("gp"), None, "2024-02-15"), in_range(cube, None, "2024-02-15"))
     history = old.withColumn("generated", F.lit("2024-02-15"))
     return ss.against_history(_records(t.rec("gp"), cube), history)
@@ -106,7 +106,7 @@ WITH {EV}, {_SNAP}, k AS (SELECT *, row_number() OVER (PARTITION BY scope ORDER
 kk AS (SELECT * FROM k WHERE n <= 24), u AS (SELECT scope FROM kk GROUP BY 1 ORDER BY max(generated) DESC, scope LIMIT 8)
 SELECT scope, id, generated, tokens FROM kk WHERE scope IN (FROM u)""")
 def history_upkeep(t):
-    rows = additive(t.cube("ev"), ["source", "model", "day"], ["total"]).select(
+    rows = additive(t.cube("ev", "day source model"), ["source", "model", "day"], ["total"]).select(
         F.concat_ws("/", "source", "model").alias("scope"), cal.iso(F.col("day")).alias("generated"),
         F.col("total").alias("tokens"))
     rows = rows.select("scope", F.concat_ws("@", "scope", "generated").alias("id"), "generated", "tokens")
@@ -131,7 +131,7 @@ def snapshot_story(t):
 
     from tidemeter.operators.periods import dominant
 
-    per = additive(t.folded("gp"), ["source", "day", "model"], ["total"])
+    per = additive(t.folded("gp", "day source model"), ["source", "day", "model"], ["total"])
     lead = dominant(["source", "day"], per).select("source", "day", F.col("model").alias("dominant_model"))
     rows = additive(per, ["source", "day"], ["total"]).join(lead, ["source", "day"], "left").select(
         F.col("source").alias("scope"), cal.iso(F.col("day")).alias("generated"), F.col("total").alias("tokens"),
@@ -156,7 +156,7 @@ WHEN active_hours BETWEEN 1 AND 6 AND four_hour_share >= 0.72 THEN 'deep' WHEN m
 
 
 def _modes(t, name):
-    return md.classify(md.daily_features(t.kept(name, "total", "calls", "cache_read"), en.entity_days(t.rec(name), "project", t.slots(name))))
+    return md.classify(md.daily_features(t.kept(name, "day hour model", "total", "calls", "cache_read"), en.entity_days(t.rec(name), "project", t.slots(name))))
 
 
 @query("C1 C2", f"""
@@ -186,14 +186,14 @@ strftime(min(day), '%Y-%m-%d') AS first_day, strftime(max(day), '%Y-%m-%d') AS l
 
 @query("P1 A12", f"WITH {EV} SELECT 'all' AS source, {_COV} FROM ev UNION ALL SELECT source, {_COV} FROM ev GROUP BY 1")
 def field_coverage(t):
-    return ql.provenance(t.cube("ev"))
+    return ql.provenance(t.cube("ev", "day source"))
 
 
 @query("P2", f"""
 WITH {EV} SELECT strftime(max(day), '%Y-%m-%d') AS last_day, date_diff('day', max(day), DATE '2024-02-01') AS age_days,
 CASE WHEN max(day) = DATE '2024-02-01' THEN 'fresh' WHEN date_diff('day', max(day), DATE '2024-02-01') <= 3 THEN 'recent' ELSE 'stale' END AS freshness FROM ev""")
 def freshness(t):
-    return ql.freshness(ql.provenance(t.cube("ev")), "2024-02-01")
+    return ql.freshness(ql.provenance(t.cube("ev", "day source")), "2024-02-01")
 
 
 @query("P3", f"""
@@ -202,7 +202,7 @@ round(with_session / records, 6) AS with_session_ratio, round(with_components /
 SELECT *, CASE WHEN valid_ts_ratio >= 0.95 AND with_project_ratio >= 0.7 AND with_session_ratio >= 0.7 AND with_components_ratio >= 0.9 THEN 'full'
 WHEN valid_ts_ratio >= 0.9 AND (with_project_ratio >= 0.25 OR with_session_ratio >= 0.25) THEN 'trend' ELSE 'base' END AS grade FROM r""")
 def health_grade(t):
-    return ql.health(ql.provenance(t.cube("ev")))
+    return ql.health(ql.provenance(t.cube("ev", "day source")))
 
 
 @query("P4", f"""
@@ -212,7 +212,7 @@ UNION ALL SELECT 'rhythm', valid_ts / records FROM c UNION ALL SELECT 'reuse', w
 UNION ALL SELECT 'flow', greatest(with_project, with_session) / records FROM c)
 SELECT capability, round(r, 6) AS ratio, CASE WHEN round(r, 6) >= 0.85 THEN 'ok' WHEN r > 0 THEN 'partial' ELSE 'off' END AS status FROM l""")
 def capabilities(t):
-    return ql.capabilities(ql.provenance(t.cube("ev")), tn.replay_counts(t.rec("ev")))
+    return ql.capabilities(ql.provenance(t.cube("ev", "day source")), tn.replay_counts(t.rec("ev")))
 
 
 _FIELDS = ", ".join(f"CAST(sum(coalesce({c},0)) AS BIGINT)" for c in COUNTERS)
@@ -224,5 +224,5 @@ d AS (SELECT day, sha256(string_agg(h, '' ORDER BY h)) AS g FROM r GROUP BY 1),
 e AS (SELECT day, strftime(day, '%Y-%m-%d') || '=' || g AS l FROM d)
 SELECT left(sha256(string_agg(l, ';' ORDER BY l)), 24) AS snapshot_id, strftime(min(day), '%Y-%m-%d') AS first_day, strftime(max(day), '%Y-%m-%d') AS last_day FROM e""")
 def snapshot_identity(t):
-    return snapshot_id(hour_cube(t.rec("ev")))
+    return snapshot_id(t.cube("ev", "day source model"))
 

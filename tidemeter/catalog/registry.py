@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemeter.operators.cube import additive, hour_cube
+from tidemeter.operators.cube import additive, usage_cube
 from tidemeter.operators.registry import fold, registry
 from tidemeter.sources import tables
 
@@ -30,27 +30,28 @@ class Tables:
     def rec(self, name: str) -> DataFrame:
         return self._once("rec", name, lambda: ADAPTERS[name](self.spark, self.root))
 
-    def cube(self, name: str) -> DataFrame:
-        """The hour cube, left lazy so that a query scans and sums only what it uses."""
-        return self._once("cube", name, lambda: hour_cube(self.rec(name)))
+    def cube(self, name: str, keys: str = "day hour source model") -> DataFrame:
+        """The usage cube by the named keys, left lazy so that only used columns are read."""
+        return self._once(f"cube {keys}", name, lambda: usage_cube(self.rec(name), keys.split()))
 
-    def kept(self, name: str, *columns: str) -> DataFrame:
+    def slots(self, name: str) -> DataFrame:
+        """At most seven rows, read by every fold of a query."""
+        return self._once(
+            "slots", name,
+            lambda: registry(self.cube(name, "day model")).persist(StorageLevel.MEMORY_AND_DISK))
+
+    def folded(self, name: str, keys: str = "day hour source model") -> DataFrame:
+        return self._once(f"folded {keys}", name, lambda: fold(self.cube(name, keys), self.slots(name)))
+
+    def kept(self, name: str, keys: str, *columns: str) -> DataFrame:
         """The folded cube with some sums, persisted for queries that branch over it.
 
         It is calendar-sized; lost partitions are recomputed from the records.
         """
-        keys = ["day", "hour", "source", "model"]
         return self._once(
-            "kept " + " ".join(columns), name,
-            lambda: additive(self.folded(name), keys, list(columns)).persist(StorageLevel.MEMORY_AND_DISK))
-
-    def slots(self, name: str) -> DataFrame:
-        """At most seven rows, read by every fold of a query."""
-        return self._once(
-            "slots", name, lambda: registry(self.cube(name)).persist(StorageLevel.MEMORY_AND_DISK))
-
-    def folded(self, name: str) -> DataFrame:
-        return self._once("folded", name, lambda: fold(self.cube(name), self.slots(name)))
+            f"kept {keys} {columns}", name,
+            lambda: additive(self.folded(name, keys), keys.split(), list(columns)).persist(
+                StorageLevel.MEMORY_AND_DISK))
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.root}/{name}.parquet")

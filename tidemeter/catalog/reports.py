@@ -24,7 +24,7 @@ SELECT strftime(period, '%Y-%m-%d') AS period, model, total, calls,
 def weekly_model_change(t):
     from pyspark.sql import Window as W
 
-    weekly = p.period_model(t.folded("ev"), ["week"])
+    weekly = p.period_model(t.folded("ev", "day model"), ["week"])
     before = F.lag("total").over(W.partitionBy("model").orderBy("period"))
     return weekly.select(
         cal.iso(F.col("period")).alias("period"), "model", "total", "calls",
@@ -37,14 +37,14 @@ WITH {LN} SELECT source, CAST(sum(total) AS BIGINT) AS total, count(*) AS calls
 WHERE day BETWEEN DATE '1997-03-01' AND DATE '1999-09-30' AND source IN ('claude', 'codex') GROUP BY 1""")
 def range_and_source_filter(t):
     rows = c.from_sources(c.in_range(t.rec("ln"), "1997-03-01", "1999-09-30"), ["claude", "codex"])
-    return c.additive(c.hour_cube(rows), ["source"], ["total", "calls"])
+    return c.additive(c.usage_cube(rows, ["source"]), ["source"], ["total", "calls"])
 
 
 @query("F3", f"""
 WITH {EV} SELECT strftime(date_trunc('week', day), '%Y-%m-%d') AS period,
   CAST(sum(total) AS BIGINT) AS total, count(*) AS calls FROM ev WHERE model IN ('click', 'view') GROUP BY 1""")
 def model_set_filter(t):
-    rows = p.by_period(c.with_models(t.cube("ev"), ["click", "view"]), "week")
+    rows = p.by_period(c.with_models(t.cube("ev", "day model"), ["click", "view"]), "week")
     return rows.select(cal.iso(F.col("period")).alias("period"), "total", "calls")
 
 
@@ -53,7 +53,7 @@ WITH {LN} SELECT model, CAST(sum(total) AS BIGINT) AS total, count(DISTINCT day)
 WHERE day IN (SELECT CAST(unnest(generate_series(DATE '1998-02-01', DATE '1998-02-28', INTERVAL 1 DAY)) AS DATE))
 GROUP BY 1""")
 def period_focus(t):
-    rows = p.focus_days(t.cube("ln"), "month", "1998-02-01")
+    rows = p.focus_days(t.cube("ln", "day model"), "month", "1998-02-01")
     return rows.groupBy("model").agg(F.sum("total").alias("total"), F.count_distinct("day").alias("days"))
 
 
@@ -66,7 +66,7 @@ a AS (SELECT 'all', date_trunc('month', day), total FROM ln)
 SELECT mode, strftime(period, '%Y-%m-%d') AS period, CAST(sum(total) AS BIGINT) AS total, count(*) AS calls
 FROM (FROM m UNION ALL FROM w UNION ALL FROM d UNION ALL FROM a) GROUP BY 1, 2""")
 def rolling_windows(t):
-    cube = t.cube("ln")
+    cube = t.cube("ln", "day")
     out = None
     for mode, count, grain in (("day", 14, "day"), ("week", 8, "week"), ("month", 6, "month"), ("all", 0, "month")):
         rows = p.by_period(p.rolling(cube, mode, "2001-06-15", count), grain).select(
@@ -82,7 +82,7 @@ f AS (SELECT 'found' AS pick, * FROM x WHERE period = DATE '1999-05-01'),
 l AS (SELECT 'last' AS pick, * FROM x ORDER BY period DESC LIMIT 1)
 SELECT pick, strftime(period, '%Y-%m-%d') AS period, total, calls FROM (FROM f UNION ALL FROM l)""")
 def focus_rows(t):
-    months = p.by_period(t.cube("ln"), "month").select("period", "total", "calls")
+    months = p.by_period(t.cube("ln", "day"), "month").select("period", "total", "calls")
     found = p.focus_row(months, "1999-05-01").withColumn("pick", F.lit("found"))
     last = p.focus_row(months, "2050-01-01").withColumn("pick", F.lit("last"))
     return found.unionByName(last).select("pick", cal.iso(F.col("period")).alias("period"), "total", "calls")
@@ -95,7 +95,7 @@ SELECT g.grain, CAST(sum(CASE WHEN cm IN ('brand-1', 'brand-2', 'other') THEN to
   round(sum(CASE WHEN cm IN ('brand-1', 'brand-2', 'other') THEN total ELSE 0 END) / sum(total), 6) AS covered
 FROM lnf, (VALUES ('day'), ('week'), ('month')) g(grain) GROUP BY 1""")
 def filter_coverage(t):
-    return p.filter_coverage(t.folded("ln"), ["brand-1", "brand-2", "other"])
+    return p.filter_coverage(t.folded("ln", "day model"), ["brand-1", "brand-2", "other"])
 
 
 @query("F8 F9", f"""
@@ -105,7 +105,7 @@ SELECT strftime(period, '%Y-%m-%d') AS period, total,
   period + 6 < DATE '2001-06-15' AND period >= DATE '1996-01-03' AND period + 6 <= DATE '2001-06-30' AS complete,
   coalesce(lag(period) OVER (ORDER BY period) + 7 = period, false) AS adjacent FROM x""")
 def complete_and_adjacent_weeks(t):
-    weeks = p.by_period(t.cube("ln"), "week").select("period", "total")
+    weeks = p.by_period(t.cube("ln", "day"), "week").select("period", "total")
     marked = p.mark_adjacent(p.mark_complete(weeks, "week", "2001-06-15", "1996-01-03", "2001-06-30"), "week")
     return marked.select(cal.iso(F.col("period")).alias("period"), "total", "complete", "adjacent")
 
@@ -119,7 +119,7 @@ SELECT 'model' AS dimension, m AS member, {_SUMMARY} FROM n GROUP BY 2
 UNION ALL SELECT 'source', source, {_SUMMARY} FROM n GROUP BY 2
 UNION ALL SELECT 'all', 'all', {_SUMMARY} FROM n""")
 def usage_summary(t):
-    return p.summary(t.cube("ev"))
+    return p.summary(t.cube("ev", "source model"))
 
 
 def _by(grain):
@@ -129,7 +129,7 @@ WITH {LN} SELECT strftime(date_trunc('{grain}', day), '%Y-%m-%d') AS period, cou
 
 
 def _period_frame(t, grain):
-    return p.by_period(t.cube("ln"), grain).select(cal.iso(F.col("period")).alias("period"), "calls", *COUNTERS)
+    return p.by_period(t.cube("ln", "day"), grain).select(cal.iso(F.col("period")).alias("period"), "calls", *COUNTERS)
 
 
 @query("A2", _by("day"))
@@ -152,7 +152,7 @@ WITH {folded('ln')}
 SELECT g.grain, strftime(g.period, '%Y-%m-%d') AS period, cm AS model, CAST(sum(total) AS BIGINT) AS total, count(*) AS calls
 FROM lnf, LATERAL {grains()} g GROUP BY 1, 2, 3""")
 def period_model_totals(t):
-    return p.period_model(t.folded("ln")).select(
+    return p.period_model(t.folded("ln", "day model")).select(
         "grain", cal.iso(F.col("period")).alias("period"), "model", "total", "calls")
 
 
@@ -162,7 +162,7 @@ SELECT g.grain, strftime(g.period, '%Y-%m-%d') AS period, cm AS model,
 {', '.join(f'CAST(sum({x}) AS BIGINT) AS {x}' for x in PARTS)}
 FROM pt, LATERAL {grains()} g GROUP BY 1, 2, 3""")
 def period_model_composition(t):
-    return p.period_model(t.folded("ev")).select(
+    return p.period_model(t.folded("ev", "day model")).select(
         "grain", cal.iso(F.col("period")).alias("period"), "model", *PARTS)
 
 
@@ -183,14 +183,14 @@ WITH {EV} SELECT strftime(day, '%Y-%m-%d') AS day, CAST(sum(total) AS BIGINT) AS
 {', '.join(f"CAST(coalesce(sum(total) FILTER (source='{s}'),0) AS BIGINT) AS {s}_total" for s in ('claude', 'gemini', 'codex'))}
 FROM ev GROUP BY 1""")
 def daily_counters(t):
-    return p.daily_counters(t.cube("ev")).withColumn("day", cal.iso(F.col("day")))
+    return p.daily_counters(t.cube("ev", "day source")).withColumn("day", cal.iso(F.col("day")))
 
 
 @query("A8", f"""
 WITH {folded('ev')} SELECT strftime(day, '%Y-%m-%d') AS day, cm AS model,
 CAST(sum(coalesce(cache_read,0)) AS BIGINT) AS cache_read FROM evf GROUP BY 1, 2""")
 def daily_cache_by_model(t):
-    rows = c.additive(t.folded("ev"), ["day", "model"], ["cache_read"])
+    rows = c.additive(t.folded("ev", "day model"), ["day", "model"], ["cache_read"])
     return rows.withColumn("day", cal.iso(F.col("day")))
 
 
@@ -202,14 +202,14 @@ WITH {folded('ln')}
 SELECT 'model' AS dimension, cm AS member, {_STATS} FROM lnf GROUP BY 2
 UNION ALL SELECT 'source', source, {_STATS} FROM lnf GROUP BY 2""")
 def dimension_stats(t):
-    return p.dimension_stats(t.folded("ln"))
+    return p.dimension_stats(t.folded("ln", "source model"))
 
 
 @query("A12", f"""
 WITH {EV} SELECT strftime(min(day), '%Y-%m-%d') AS first_day, strftime(max(day), '%Y-%m-%d') AS last_day,
 count(DISTINCT day) AS days FROM ev""")
 def coverage_days(t):
-    return p.coverage_days(t.cube("ev"))
+    return p.coverage_days(t.cube("ev", "day"))
 
 
 @query("A15", f"""
@@ -217,7 +217,7 @@ WITH {folded('ln')}, x AS (SELECT cm AS model, CAST(sum(total) AS BIGINT) AS tot
 SELECT model, total, calls, round(total / sum(total) OVER (), 6) AS share,
 row_number() OVER (ORDER BY total DESC, model) AS rank FROM x""")
 def model_shares(t):
-    return p.model_share(t.folded("ln"))
+    return p.model_share(t.folded("ln", "model"))
 
 
 @query("A23 X16", f"""
@@ -226,7 +226,7 @@ round(sum(coalesce(cache_read,0)) / sum(total), 6) AS cache_share FROM ev""")
 def cache_share(t):
     from tidemeter.functions.tokens import share
 
-    return c.additive(t.cube("ev"), [], ["cache_read", "total"]).withColumn(
+    return c.additive(t.cube("ev", "source"), [], ["cache_read", "total"]).withColumn(
         "cache_share", share(F.col("cache_read"), F.col("total")))
 
 
@@ -237,7 +237,7 @@ round(sum(read_part + write_part) / nullif(sum(t), 0), 6) AS cache_share,
 round(sum(output_part) / nullif(sum(t), 0), 6) AS output_share
 FROM pt, LATERAL {grains()} g GROUP BY 1, 2""")
 def period_shares(t):
-    return p.period_shares(p.period_model(t.cube("ev"))).withColumn("period", cal.iso(F.col("period")))
+    return p.period_shares(p.period_model(t.cube("ev", "day model"))).withColumn("period", cal.iso(F.col("period")))
 
 
 @query("T1", f"""
@@ -245,35 +245,35 @@ WITH {folded('ln')} SELECT strftime(date_trunc('month', day), '%Y-%m-%d') AS per
 {', '.join(f'CAST(coalesce(sum(total) FILTER (cm = {chr(39)}{m}{chr(39)}),0) AS BIGINT) AS "{m}"' for m in ('brand-3', 'brand-7', 'other'))},
 count(*) AS calls FROM lnf GROUP BY 1""")
 def wide_month_table(t):
-    months = p.period_model(t.folded("ln"), ["month"])
+    months = p.period_model(t.folded("ln", "day model"), ["month"])
     return p.wide(months, ["brand-3", "brand-7", "other"]).withColumn("period", cal.iso(F.col("period")))
 
 
 @query("T2", f"""
 WITH {LN} SELECT model, CAST(sum(total) AS BIGINT) AS total FROM ln GROUP BY 1 ORDER BY total DESC, model LIMIT 3""")
 def top_models(t):
-    return p.top_models(t.cube("ln"))
+    return p.top_models(t.cube("ln", "model"))
 
 
 @query("T3", f"""
 WITH {folded('ln')} SELECT r.model, coalesce(s.model, 'other') AS identity, coalesce(s.slot, 7) AS slot
 FROM reg0 r LEFT JOIN slots s ON r.model = s.model""")
 def model_registry(t):
-    return r.slot_table(t.cube("ln"))
+    return r.slot_table(t.cube("ln", "day model"))
 
 
 @query("T3", f"""
 WITH {folded('ev')} SELECT r.model, coalesce(s.model, 'other') AS identity, coalesce(s.slot, 7) AS slot
 FROM reg0 r LEFT JOIN slots s ON r.model = s.model""")
 def model_registry_events(t):
-    return r.slot_table(t.cube("ev"))
+    return r.slot_table(t.cube("ev", "day model"))
 
 
 @query("A14", f"""
 WITH {folded('ln')} SELECT cm AS latest_backend, model AS raw_model, cm <> model AS folded FROM lnf
 WHERE day BETWEEN DATE '1996-01-01' AND DATE '1999-12-31' ORDER BY day DESC, ts DESC, model DESC LIMIT 1""")
 def latest_backend(t):
-    return r.latest_backend(t.cube("ln"), "1996-01-01", "1999-12-31")
+    return r.latest_backend(t.cube("ln", "day model"), "1996-01-01", "1999-12-31")
 
 
 @query("T7", f"""
@@ -283,5 +283,5 @@ FROM pt GROUP BY 1)
 SELECT strftime(period, '%Y-%m-%d') AS period, cache_share,
 row_number() OVER (ORDER BY cache_share DESC NULLS LAST, period) AS position FROM x""")
 def sorted_by_cache_share(t):
-    shares = p.period_shares(p.period_model(t.cube("ev"), ["day"])).select("period", "cache_share")
+    shares = p.period_shares(p.period_model(t.cube("ev", "day model"), ["day"])).select("period", "cache_share")
     return p.ordered(shares, "cache_share").withColumn("period", cal.iso(F.col("period")))

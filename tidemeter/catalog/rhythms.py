@@ -20,7 +20,7 @@ def _sum_if(cond, name):
 WITH {folded('ev')} SELECT strftime(day, '%Y-%m-%d') AS day, hour, cm AS model, CAST(sum(total) AS BIGINT) AS total
 FROM evf WHERE hour IS NOT NULL GROUP BY 1, 2, 3""")
 def hourly_by_day_model(t):
-    rows = rh.hourly(t.folded("ev"), ["day", "model"])
+    rows = rh.hourly(t.folded("ev", "day hour model"), ["day", "model"])
     return rows.select(cal.iso(F.col("day")).alias("day"), F.col("hour").cast("bigint").alias("hour"), "model", "total")
 
 
@@ -29,7 +29,7 @@ WITH {EV}, x AS (SELECT day, h.hour AS hour, CAST(coalesce(sum(total) FILTER (ev
 FROM ev, range(24) h(hour) WHERE ev.hour IS NOT NULL GROUP BY 1, 2)
 SELECT strftime(day, '%Y-%m-%d') AS day, string_agg(total, ',' ORDER BY hour) AS hours FROM x GROUP BY 1""")
 def hour_vectors(t):
-    rows = rh.hour_vector(rh.hourly(t.cube("ev"), ["day"]), ["day"])
+    rows = rh.hour_vector(rh.hourly(t.cube("ev", "day hour"), ["day"]), ["day"])
     return rows.select(cal.iso(F.col("day")).alias("day"), F.array_join(F.col("hours").cast("array<string>"), ",").alias("hours"))
 
 
@@ -40,7 +40,7 @@ SELECT (SELECT hour FROM x ORDER BY total DESC, hour LIMIT 1) AS peak_hour, max(
 {_sum_if('hour BETWEEN 6 AND 11', 'morning_tokens')}, {_sum_if('hour BETWEEN 12 AND 17', 'afternoon_tokens')},
 {_sum_if('hour >= 18', 'evening_tokens')} FROM x""")
 def peak_night_and_bands(t):
-    return rh.rhythm_summary(t.cube("ev"))
+    return rh.rhythm_summary(t.cube("ev", "hour"))
 
 
 @query("A20", f"""
@@ -52,38 +52,38 @@ round(sum(total) FILTER (hour BETWEEN 18 AND 21) / sum(total), 6) AS evening_ind
 count(*) FILTER (total > 0) AS active_hours, round(avg(total) FILTER (total > 0), 4) AS active_hour_mean,
 max(total) AS peak_hour_total FROM x""")
 def hour_share_indices(t):
-    return rh.hour_indices(t.cube("ev"))
+    return rh.hour_indices(t.cube("ev", "hour"))
 
 
 @query("A17", f"""
 WITH {LN} SELECT CAST(isodow(day) - 1 AS BIGINT) AS weekday, CAST(sum(total) AS BIGINT) AS total FROM ln GROUP BY 1""")
 def weekday_totals(t):
-    return rh.weekday_totals(t.cube("ln"))
+    return rh.weekday_totals(t.cube("ln", "day"))
 
 
 @query("A17", f"""
 WITH {LN} SELECT CAST(month(day) AS BIGINT) AS month, CAST(sum(total) AS BIGINT) AS total FROM ln GROUP BY 1""")
 def month_of_year_totals(t):
-    return rh.month_totals(t.cube("ln"))
+    return rh.month_totals(t.cube("ln", "day"))
 
 
 @query("A17", f"""
 WITH {LN} SELECT CAST(isodow(day) - 1 AS BIGINT) AS weekday, hour, CAST(sum(total) AS BIGINT) AS total FROM ln GROUP BY 1, 2""")
 def weekday_hour_matrix(t):
-    return rh.weekday_hour(t.cube("ln")).withColumn("hour", F.col("hour").cast("bigint"))
+    return rh.weekday_hour(t.cube("ln", "day hour")).withColumn("hour", F.col("hour").cast("bigint"))
 
 
 @query("A17", f"""
 WITH {folded('ln')} SELECT cm AS model, {_BAND} AS band, CAST(sum(total) AS BIGINT) AS total FROM lnf GROUP BY 1, 2""")
 def model_band_matrix(t):
-    return rh.model_band(t.folded("ln"))
+    return rh.model_band(t.folded("ln", "hour model"))
 
 
 @query("A17", f"""
 WITH {EV} SELECT CAST(month(day) AS BIGINT) AS month, {_BAND} AS band, CAST(sum(total) AS BIGINT) AS total
 FROM ev WHERE hour IS NOT NULL GROUP BY 1, 2""")
 def month_band_matrix(t):
-    return rh.month_band(t.cube("ev"))
+    return rh.month_band(t.cube("ev", "day hour"))
 
 
 _MATRIX = """
@@ -100,7 +100,7 @@ CAST(CASE WHEN total = 0 THEN 0 WHEN hi <= lo THEN 4
   ELSE least(greatest(ceil((total - lo) / (hi - lo) * 4), 1), 4) END AS BIGINT) AS level,
 round(coalesce(total / nullif(sum(total) OVER (PARTITION BY day), 0), 0), 6) AS day_share FROM cells, lim""")
 def activity_matrix(t):
-    return rh.activity_matrix(t.cube("gp"), "2024-02-28").withColumn("day", cal.iso(F.col("day")))
+    return rh.activity_matrix(t.cube("gp", "day hour"), "2024-02-28").withColumn("day", cal.iso(F.col("day")))
 
 
 @query("T9", f"""
@@ -111,7 +111,7 @@ count(*) FILTER (total > 0) AS active_hours FROM ph)
 SELECT *, CASE WHEN total > 0 AND night > total * 0.42 THEN 'night' WHEN total > 0 AND dawn > total * 0.38 THEN 'dawn'
 WHEN total > 0 AND dusk > total * 0.4 THEN 'dusk' WHEN active_hours >= 20 THEN 'all_hours' ELSE 'day' END AS persona FROM f""")
 def rhythm_persona(t):
-    return rh.persona(rh.activity_matrix(t.cube("ev"), "2024-01-30"))
+    return rh.persona(rh.activity_matrix(t.cube("ev", "day hour"), "2024-01-30"))
 
 
 @query("T11", f"""
@@ -120,7 +120,7 @@ h AS (SELECT hour, CAST(sum(total) AS BIGINT) AS total FROM ev WHERE hour IS NOT
 (SELECT 'top_day' AS kind, strftime(day, '%Y-%m-%d') AS member, total FROM d ORDER BY total DESC, day LIMIT 1)
 UNION ALL (SELECT 'top_hour', CAST(hour AS VARCHAR), total FROM h ORDER BY total DESC, hour LIMIT 1)""")
 def highlights(t):
-    return rh.highlights(t.cube("ev"))
+    return rh.highlights(t.cube("ev", "day hour"))
 
 
 @query("A22", f"""
@@ -128,4 +128,4 @@ WITH {EV}, s AS (SELECT i AS position, TIMESTAMP '2024-01-30 20:00:00' - to_hour
 SELECT s.position, strftime(s.at, '%Y-%m-%d') AS day, CAST(hour(s.at) AS BIGINT) AS hour,
 CAST(coalesce((SELECT sum(total) FROM ev WHERE ev.day = CAST(s.at AS DATE) AND ev.hour = hour(s.at)), 0) AS BIGINT) AS total FROM s""")
 def recent_hours(t):
-    return rh.recent_hours(t.cube("ev"), "2024-01-30 20:41:00").withColumn("day", cal.iso(F.col("day")))
+    return rh.recent_hours(t.cube("ev", "day hour"), "2024-01-30 20:41:00").withColumn("day", cal.iso(F.col("day")))

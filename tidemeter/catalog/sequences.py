@@ -27,7 +27,7 @@ SELECT strftime(day, '%Y-%m-%d') AS day, {', '.join(f'CAST(sum({c}) OVER w AS BI
 greatest(max(total) OVER w, 0) AS max_day, CAST(sum(CAST(total > 0 AS INTEGER)) OVER w AS BIGINT) AS active_days,
 coalesce(max(len) OVER w, 0) AS longest_streak FROM j WINDOW w AS (ORDER BY day)""")
 def running_totals(t):
-    return sq.running_totals(t.cube("gp")).withColumn("day", cal.iso(F.col("day")))
+    return sq.running_totals(t.cube("gp", "day source")).withColumn("day", cal.iso(F.col("day")))
 
 
 @query("W3", f"""
@@ -40,7 +40,7 @@ x AS (SELECT days.day, {', '.join(f"count(*) FILTER (kind = '{k}') AS {k}" for k
 FROM days LEFT JOIN f ON days.day = f.day GROUP BY 1)
 SELECT strftime(day, '%Y-%m-%d') AS day, {', '.join(f'CAST(sum({k}) OVER (ORDER BY day) AS BIGINT) AS {k}' for k in ('hours', 'models', 'projects', 'sessions'))} FROM x""")
 def running_distinct(t):
-    cube = t.kept("ln", *_DAY_SUMS)
+    cube = t.kept("ln", "day hour model", *_DAY_SUMS)
     rows = sq.running_distinct(sq.day_totals(cube), sq.first_seen(t.rec("ln"), cube))
     return rows.withColumn("day", cal.iso(F.col("day")))
 
@@ -50,7 +50,7 @@ WITH {GP}, {_DAYS.format(base='gp')}, {_ISLANDS}
 SELECT coalesce(max(n) FILTER (e = DATE '2024-03-05'), 0) AS current, max(n) AS longest,
 strftime((SELECT e FROM i1 ORDER BY n DESC, e LIMIT 1), '%Y-%m-%d') AS longest_end FROM i1""")
 def activity_streaks(t):
-    rows = sq.streaks(sq.day_totals(t.cube("gp")), "2024-03-05")
+    rows = sq.streaks(sq.day_totals(t.cube("gp", "day")), "2024-03-05")
     return rows.withColumn("longest_end", cal.iso(F.col("longest_end")))
 
 
@@ -58,7 +58,7 @@ def activity_streaks(t):
 WITH {GP} SELECT CASE WHEN max(day) >= DATE '2024-03-20' THEN 'active' ELSE 'quiet' END AS state,
 greatest(date_diff('day', max(day), DATE '2024-03-20'), 0) AS quiet_days FROM gp WHERE total > 0""")
 def quiet_tail(t):
-    return sq.quiet_tail(sq.day_totals(t.cube("gp")), "2024-03-20")
+    return sq.quiet_tail(sq.day_totals(t.cube("gp", "day")), "2024-03-20")
 
 
 _TREND = """b AS (SELECT min(day) AS a FROM {base} WHERE day <= DATE '{last}'),
@@ -73,19 +73,19 @@ round(CASE WHEN n >= 14 AND p7 > 0 THEN a7 / p7 - 1 ELSE 0 END, 6) AS momentum,
 
 @query("W15 J5", f"WITH {EV}, {_TREND.format(base='ev', last='2024-01-29')}")
 def trend_dense(t):
-    return sq.trend(sq.day_totals(t.cube("ev")), "2024-01-30")
+    return sq.trend(sq.day_totals(t.cube("ev", "day")), "2024-01-30")
 
 
 @query("W15 J5", f"WITH {GP}, {_TREND.format(base='gp', last='2024-02-25')}")
 def trend_with_gaps(t):
-    return sq.trend(sq.day_totals(t.cube("gp")), "2024-04-01", until="2024-02-25")
+    return sq.trend(sq.day_totals(t.cube("gp", "day")), "2024-04-01", until="2024-02-25")
 
 
 @query("J5", f"""
 WITH {GP}, s AS (SELECT CAST(unnest(generate_series((SELECT min(day) FROM gp), DATE '2024-03-10', INTERVAL 1 DAY)) AS DATE) AS day)
 SELECT strftime(s.day, '%Y-%m-%d') AS day, CAST(coalesce(sum(total), 0) AS BIGINT) AS total FROM s LEFT JOIN gp ON s.day = gp.day GROUP BY 1""")
 def dense_calendar(t):
-    return sq.dense(sq.day_totals(t.cube("gp")), None, "2024-03-10").withColumn("day", cal.iso(F.col("day")))
+    return sq.dense(sq.day_totals(t.cube("gp", "day")), None, "2024-03-10").withColumn("day", cal.iso(F.col("day")))
 
 
 _CROSS = """r AS (SELECT day, CAST(sum(total) OVER (ORDER BY day) AS BIGINT) AS reached, total FROM d),
@@ -96,7 +96,7 @@ x AS (SELECT day, reached, milestone FROM r JOIN m ON milestone > reached - tota
 @query("W17", f"""
 WITH {LN}, {_DAYS.format(base='ln')}, {_CROSS} SELECT strftime(day, '%Y-%m-%d') AS day, reached, milestone FROM x""")
 def milestone_crossings(t):
-    return sq.milestone_crossings(sq.day_totals(t.cube("ln"))).withColumn("day", cal.iso(F.col("day")))
+    return sq.milestone_crossings(sq.day_totals(t.cube("ln", "day"))).withColumn("day", cal.iso(F.col("day")))
 
 
 _LEAD = """lm AS (SELECT day, cm, CAST(sum(total) AS BIGINT) AS v FROM {base} GROUP BY 1, 2),
@@ -108,7 +108,7 @@ rl AS (SELECT a.day, b.leader AS from_model, a.leader AS to_model FROM ld a JOIN
 @query("W18", f"""
 WITH {LN}, lnc AS (SELECT *, model AS cm FROM ln), {_LEAD.format(base='lnc')} SELECT strftime(day, '%Y-%m-%d') AS day, from_model, to_model FROM rl""")
 def leader_relays(t):
-    return sq.relays(sq.daily_leader(t.cube("ln"))).withColumn("day", cal.iso(F.col("day")))
+    return sq.relays(sq.daily_leader(t.cube("ln", "day model"))).withColumn("day", cal.iso(F.col("day")))
 
 
 @query("W19", f"""
@@ -134,5 +134,5 @@ UNION ALL (SELECT 'relay', day, from_model || ' > ' || to_model FROM rl ORDER BY
 SELECT strftime(date_trunc('month', day), '%Y-%m-%d') AS period, count(*) AS events, strftime(max(day), '%Y-%m-%d') AS day,
 string_agg(kind || '=' || label, '; ' ORDER BY day, kind, label) AS label FROM e GROUP BY 1""")
 def moment_events(t):
-    rows = sq.moments(t.kept("gp", *_DAY_SUMS), en.entity_days(t.rec("gp"), "project"), "month")
+    rows = sq.moments(t.kept("gp", "day model", *_DAY_SUMS), en.entity_days(t.rec("gp"), "project"), "month")
     return rows.withColumn("period", cal.iso(F.col("period"))).withColumn("day", cal.iso(F.col("day")))

@@ -1,13 +1,17 @@
-"""The hour cube: the only full pass over raw records that most answers need.
-
-Its keys are calendar hours, sources and model names, so its size follows the
-calendar and not the data. Every aggregate buffer is a fixed-width primitive, which
-keeps the raw pass on hash aggregation with map-side combine (a struct or string
-buffer would force a sort of the raw rows).
+"""The usage cube: the one pass over raw records behind most answers.
+
+Its keys are calendar days, hours, sources and model names, so its size follows the
+calendar and not the data. A query asks for the keys it needs and no others: with few
+keys each map task folds its rows into a handful of groups before anything is shuffled.
+Every aggregate buffer is a fixed-width primitive, which keeps the raw pass on hash
+aggregation with map-side combine (a struct or string buffer would force a sort of the
+raw rows).
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,21 +19,22 @@ from tidemeter.functions import labels
 from tidemeter.functions.tokens import composition, zero
 from tidemeter.schema import COUNTERS, PARTS
 
+KEYS = ("day", "hour", "source", "model")
 COVERAGE = (
     "valid_ts", "with_project", "with_session", "with_input", "with_output",
     "with_cache_read", "with_cache_write", "with_components",
 )
 
 
-def hour_cube(rec: DataFrame) -> DataFrame:
-    """(day, hour, source, model) totals of everything that is additive.
+def usage_cube(rec: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+    """Totals of everything additive by any of day, hour, timed, source and model.
 
-    ``hour`` is null for records without a parseable time: they count in day totals
-    and stay out of hour answers.
+    ``hour`` is null for records without a parseable time: they count in day totals and
+    stay out of hour answers. ``timed`` tells them apart where the hour itself is not needed.
     """
     named = rec.withColumn("model", labels.model_or_unknown(F.col("model"))).withColumn(
         "source", labels.source_or_unknown(F.col("source"))
-    )
+    ).withColumn("timed", F.col("hour").isNotNull())
     parts = composition(*[F.col(c) for c in ("source", "total", "input", "output", "cache_read", "cache_write")])
     present = {
         "valid_ts": F.col("ts").isNotNull(),
@@ -41,7 +46,7 @@ def hour_cube(rec: DataFrame) -> DataFrame:
     for c in ("output", "cache_read", "cache_write"):
         everything = everything & present[f"with_{c}"]
     present["with_components"] = everything
-    return named.groupBy("day", "hour", "source", "model").agg(
+    return named.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("calls"),
         *[F.sum(zero(F.col(c))).alias(c) for c in COUNTERS],
         *[F.sum(parts[p]).alias(p) for p in PARTS],

@@ -18,7 +18,7 @@ MATRIX_DAYS = 14
 
 def timed(cube: DataFrame) -> DataFrame:
     """Rows with a known hour."""
-    return cube.where(F.col("hour").isNotNull())
+    return cube.where(F.col("hour").isNotNull() if "hour" in cube.columns else F.col("timed"))
 
 
 def in_hours(lo: int, hi: int) -> Column:

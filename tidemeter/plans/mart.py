@@ -20,7 +20,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemeter.operators.cube import COVERAGE, hour_cube
+from tidemeter.operators.cube import COVERAGE, usage_cube
 from tidemeter.operators.entities import entity_days
 from tidemeter.operators.registry import folded_cube
 from tidemeter.operators.snapshot import snapshot_id
@@ -60,7 +60,7 @@ class UsageMart:
         rec = rec.persist(StorageLevel.MEMORY_AND_DISK)
         try:
             for name, frame in (
-                ("hours", hour_cube(rec)),
+                ("hours", usage_cube(rec)),
                 ("projects", entity_days(rec, "project")),
                 ("sessions", entity_days(rec, "session")),
             ):
