@@ -68,8 +68,7 @@ def _scan(
     scan = (
         reader.option("recursiveFileLookup", "true")
         .option("pathGlobFilter", pattern or GLOBS[source])
-        .option("wholetext", str(whole).lower())
-        .text(path)
+        .text(path, wholetext=whole)
         .where(F.col("_metadata.file_size") <= max_file_bytes)
         .select(
             "value",
