@@ -63,7 +63,7 @@ def _mode_rows():
 
 def test_work_modes(spark):
     rec = records(spark, _mode_rows())
-    classified = md.classify(md.daily_features(cube(spark, _mode_rows()), en.entity_days(rec, "project")))
+    classified = md.classify(md.daily_features(cube(spark, _mode_rows()), en.entity_cube(rec, "project")))
     got = {r["day"].isoformat(): r["mode"] for r in classified.collect()}
     want = ["insufficient", "explore", "deep", "cruise", "sprint", "cache"]
     assert [got[f"2026-07-{d:02d}"] for d in range(1, 7)] == want
@@ -71,7 +71,7 @@ def test_work_modes(spark):
 
 def test_work_mode_model_filter_applies_first(spark):
     rows = [r for r in _mode_rows() if r["model"] == "a"]
-    classified = md.classify(md.daily_features(cube(spark, rows), en.entity_days(records(spark, rows), "project")))
+    classified = md.classify(md.daily_features(cube(spark, rows), en.entity_cube(records(spark, rows), "project")))
     got = {r["day"].isoformat(): (r["total"], r["mode"]) for r in classified.collect()}
     assert got["2026-07-07"] == (800, "insufficient")
 
@@ -96,7 +96,7 @@ def test_season_character(spark):
 def test_records_and_ratio_floor(spark):
     rows = [dict(day="2026-07-01", total=100, cache_read=100), dict(day="2026-07-02", total=2000, cache_read=1000),
             dict(day="2026-07-21", total=3000, cache_read=0)]
-    table = ss.record_days(cube(spark, rows), tn.running_max_turns(records(spark, rows)))
+    table = ss.record_days(cube(spark, rows), tn.running_max_turns(cube(spark, rows), en.entity_cube(records(spark, rows), "session")))
     got = {r["id"]: (r["value"], r["achieved"].isoformat()) for r in ss.personal_records(table).collect()}
     assert got["peak-cache-ratio"] == (0.5, "2026-07-02")
     assert got["peak-day-token"] == (3000.0, "2026-07-21")
@@ -183,14 +183,14 @@ def test_forecast(spark):
 
 def test_running_max_turns(spark):
     rows = [dict(day="2026-07-01", session="s")] * 2 + [dict(day="2026-07-02", session="s")] * 3 + [dict(day="2026-07-03")]
-    got = tn.running_max_turns(records(spark, rows)).orderBy("day").collect()
+    got = tn.running_max_turns(cube(spark, rows), en.entity_cube(records(spark, rows), "session")).orderBy("day").collect()
     assert [r["max_turns"] for r in got] == [2, 5, 5]
 
 
 def test_replay_keeps_the_last_200(spark):
     rows = [dict(day="2026-07-01", hour=1, ts_raw=f"2026-07-01T00:{i // 60:02d}:{i % 60:02d}", session="s", total=i) for i in range(250)]
     rec = records(spark, rows)
-    counts = row(tn.replay_counts(rec))
+    counts = row(tn.replay_counts(en.entity_cube(rec, "session", ["entity"])))
     assert (counts["replay_eligible"], counts["replay_retained"]) == (250, 200)
     got = tn.replay(rec).orderBy("turn").collect()
     assert [r["total"] for r in got] == list(range(50, 250))
@@ -383,6 +383,6 @@ def test_pseudonymised_totals_equal_raw_totals(spark):
     rows = [dict(day="2026-07-01", session=f"s{i % 3}", total=i) for i in range(9)]
     rec = records(spark, rows)
     hidden = rec.withColumn("session", pseudonym.pseudonym(b"k", "session", F.col("session")))
-    totals = lambda r: sorted(x["total"] for x in en.entity_totals(en.entity_days(r, "session")).collect())
+    totals = lambda r: sorted(x["total"] for x in en.entity_totals(en.entity_cube(r, "session", ["entity"])).collect())
     assert totals(rec) == totals(hidden)
-    assert not {x["entity"] for x in en.entity_days(hidden, "session").collect()} & {"s0", "s1", "s2"}
+    assert not {x["entity"] for x in en.entity_cube(hidden, "session", ["entity"]).collect()} & {"s0", "s1", "s2"}

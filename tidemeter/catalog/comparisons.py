@@ -8,7 +8,6 @@ from tidemeter.catalog.registry import query
 from tidemeter.catalog.sql import EV, LN, folded, parts
 from tidemeter.functions import calendar as cal
 from tidemeter.operators import compare as cp
-from tidemeter.operators import entities as en
 from tidemeter.operators.periods import by_period
 from tidemeter.schema import COUNTERS, PARTS
 
@@ -90,7 +89,7 @@ UNION ALL (SELECT 'hour', CAST(hour AS VARCHAR), CAST(sum(total) AS BIGINT) AS v
 UNION ALL (SELECT 'project', project, CAST(sum(total) AS BIGINT) AS v FROM ins GROUP BY 2 ORDER BY v DESC, project LIMIT 3)""")
 def peak_month_profile(t):
     return cp.peak_profile(
-        t.kept("ln", "day hour model", "total", "calls", *_PERIOD), en.entity_days(t.rec("ln"), "project"), "month", "2001-06-15", since="1995-02-01")
+        t.kept("ln", "day hour model", "total", "calls", *_PERIOD), t.entities("ln", "project", "period entity", "month"), "month", "2001-06-15", since="1995-02-01")
 
 
 @query("W12", f"""
@@ -137,12 +136,12 @@ count(*) AS components, any_value(d.cm) AS dominant_model FROM x JOIN d ON x.id
 
 @query("E1", _entity_evidence("project", "ln"))
 def evidence_projects(t):
-    return cp.entity_evidence("project", en.entity_days(t.rec("ln"), "project", t.slots("ln")), t.cube("ln", "model"))
+    return cp.entity_evidence("project", t.entities("ln", "project"), t.cube("ln", "model"))
 
 
 @query("E1", _entity_evidence("session", "ev"))
 def evidence_sessions(t):
-    return cp.entity_evidence("session", en.entity_days(t.rec("ev"), "session", t.slots("ev")), t.cube("ev", "model"))
+    return cp.entity_evidence("session", t.entities("ev", "session"), t.cube("ev", "model"))
 
 
 @query("E2", f"""
@@ -172,7 +171,6 @@ UNION ALL SELECT 'composition', 'read_part', CAST(sum(read_part) AS BIGINT) FROM
 UNION ALL SELECT 'composition', 'write_part', CAST(sum(write_part) AS BIGINT) FROM m
 UNION ALL SELECT 'composition', 'other_part', CAST(sum(other_part) AS BIGINT) FROM m""")
 def model_branches(t):
-    slots = t.slots("ev")
     return cp.model_branches(
-        "click", t.folded("ev", "model"), en.entity_days(t.rec("ev"), "project", slots),
-        en.entity_days(t.rec("ev"), "session", slots))
+        "click", t.folded("ev", "model"), t.entities("ev", "project"),
+        t.entities("ev", "session"))

@@ -12,10 +12,6 @@ from tidemeter.operators import entities as en
 from tidemeter.operators import turns as tn
 
 
-def _days(t, name, kind):
-    return en.entity_days(t.rec(name), kind, t.slots(name))
-
-
 @query("A3", f"""
 WITH {LN} SELECT project AS member, CAST(sum(total) AS BIGINT) AS total FROM ln GROUP BY 1 ORDER BY total DESC, member LIMIT 8""")
 def top_projects(t):
@@ -32,7 +28,7 @@ def top_sessions(t):
 WITH {folded('ln')} SELECT project AS entity, cm AS model, CAST(sum(total) AS BIGINT) AS total, count(*) AS calls
 FROM lnf GROUP BY 1, 2""")
 def project_model_totals(t):
-    return en.entity_model(_days(t, "ln", "project"))
+    return en.entity_model(t.entities("ln", "project"))
 
 
 @query("A9 A21", f"""
@@ -48,15 +44,15 @@ WITH {folded('ev')} SELECT 'project_model' AS relation, project AS entity, cm AS
 FROM evf WHERE project <> '' GROUP BY 2, 3
 UNION ALL SELECT 'model_session', session, cm, CAST(sum(total) AS BIGINT) FROM evf WHERE session <> '' GROUP BY 2, 3""")
 def relation_edges(t):
-    left = en.edges(_days(t, "ev", "project")).withColumn("relation", F.lit("project_model"))
-    right = en.edges(_days(t, "ev", "session")).withColumn("relation", F.lit("model_session"))
+    left = en.edges(t.entities("ev", "project")).withColumn("relation", F.lit("project_model"))
+    right = en.edges(t.entities("ev", "session")).withColumn("relation", F.lit("model_session"))
     return left.unionByName(right)
 
 
 @query("A11", f"""
 WITH {EV} SELECT session AS entity, CAST(sum(total) AS BIGINT) AS total, count(*) AS calls FROM ev WHERE session <> '' GROUP BY 1""")
 def session_totals(t):
-    return en.entity_totals(en.entity_days(t.rec("ev"), "session"))
+    return en.entity_totals(t.entities("ev", "session", "entity"))
 
 
 _TOPS = """
@@ -71,12 +67,12 @@ FROM tops t"""
 
 @query("T4", f"WITH {folded('ln')}, {_TOPS.format(kind='project', base='lnf', extra='')}")
 def top_projects_composed(t):
-    return en.top_entities(_days(t, "ln", "project"))
+    return en.top_entities(t.entities("ln", "project"))
 
 
 @query("T4 F3", "WITH " + folded("ev") + ", " + _TOPS.format(kind="session", base="evf", extra="AND cm IN ('click', 'view', 'error')"))
 def top_sessions_of_models(t):
-    return en.top_entities(_days(t, "ev", "session"), ["click", "view", "error"])
+    return en.top_entities(t.entities("ev", "session"), ["click", "view", "error"])
 
 
 @query("T4", f"""
@@ -84,7 +80,7 @@ WITH {LN}, x AS (SELECT day, project AS entity, CAST(sum(total) AS BIGINT) AS to
 y AS (SELECT *, row_number() OVER (PARTITION BY day ORDER BY total DESC, entity) AS rank FROM x)
 SELECT strftime(day, '%Y-%m-%d') AS day, entity, total, rank FROM y WHERE rank <= 6""")
 def top_projects_by_day(t):
-    rows = en.top_entities_by_day(en.entity_days(t.rec("ln"), "project"))
+    rows = en.top_entities_by_day(t.entities("ln", "project", "day entity"))
     return rows.withColumn("day", cal.iso(F.col("day")))
 
 
@@ -99,7 +95,7 @@ round(f.total / (SELECT sum(total) FROM lnf), 6) AS share, active_periods, strft
 strftime(pp, '%Y-%m-%d') AS peak_period, peak_total,
 (SELECT model FROM m WHERE m.entity = f.entity AND m.total > 0 ORDER BY m.total DESC, model LIMIT 1) AS dominant_model FROM f""")
 def project_catalogue(t):
-    rows = en.catalogue(_days(t, "ln", "project"), t.rec("ln").agg(F.sum("total")))
+    rows = en.catalogue(t.entities("ln", "project", "period entity model", "month"), t.rec("ln").agg(F.sum("total")))
     return rows.withColumn("first_day", cal.iso(F.col("first_day"))).withColumn("peak_period", cal.iso(F.col("peak_period")))
 
 
@@ -107,7 +103,7 @@ def project_catalogue(t):
 WITH {folded('ln')} SELECT project AS entity, strftime(date_trunc('month', day), '%Y-%m-%d') AS period, cm AS model,
 CAST(sum(total) AS BIGINT) AS total FROM lnf GROUP BY 1, 2, 3 HAVING sum(total) > 0""")
 def project_series(t):
-    return en.entity_series(_days(t, "ln", "project"), "month").withColumn("period", cal.iso(F.col("period")))
+    return en.entity_series(t.entities("ln", "project", "period entity model", "month")).withColumn("period", cal.iso(F.col("period")))
 
 
 @query("T6", f"""
@@ -122,7 +118,7 @@ ts AS (SELECT entity FROM s GROUP BY 1 ORDER BY sum(total) DESC, entity LIMIT 8)
 SELECT 'project_model' AS relation, * FROM p WHERE entity IN (FROM tp)
 UNION ALL SELECT 'model_session', * FROM s WHERE entity IN (FROM ts)""")
 def flow_slice(t):
-    return en.flow_slice(en.edges(_days(t, "ev", "project")), en.edges(_days(t, "ev", "session")))
+    return en.flow_slice(en.edges(t.entities("ev", "project")), en.edges(t.entities("ev", "session")))
 
 
 @query("A18", f"""
@@ -136,7 +132,7 @@ round(total / sessions, 4) AS session_mean, round(med, 4) AS session_median, ses
 round(total / projects, 4) AS project_mean, project_max, round(total / calls, 4) AS tokens_per_call,
 round(calls / days, 4) AS calls_per_day, round(sessions / days, 4) AS sessions_per_day FROM a, b, c""")
 def distribution_statistics(t):
-    return en.distribution(t.rec("ln"), t.cube("ln", "day"))
+    return en.distribution(t.cube("ln", "day"), t.entities("ln", "project", "entity"), t.entities("ln", "session", "entity"))
 
 
 @query("A19", f"""
@@ -168,7 +164,7 @@ def session_replay_last_three(t):
 WITH {EV}, x AS (SELECT session, count(*) AS n FROM ev WHERE session <> '' GROUP BY 1)
 SELECT CAST(sum(n) AS BIGINT) AS replay_eligible, CAST(sum(least(n, 200)) AS BIGINT) AS replay_retained, max(n) AS max_turns FROM x""")
 def replay_counts(t):
-    return tn.replay_counts(t.rec("ev"))
+    return tn.replay_counts(t.entities("ev", "session", "entity"))
 
 
 @query("W4", f"""
@@ -177,7 +173,7 @@ y AS (SELECT day, sum(n) OVER (PARTITION BY session ORDER BY day) AS c FROM x),
 SELECT strftime(d.day, '%Y-%m-%d') AS day, CAST(coalesce(max(c) OVER (ORDER BY d.day), 0) AS BIGINT) AS max_turns
 FROM (SELECT DISTINCT day FROM ev) d LEFT JOIN z ON d.day = z.day""")
 def running_max_turns(t):
-    return tn.running_max_turns(t.rec("ev")).withColumn("day", cal.iso(F.col("day")))
+    return tn.running_max_turns(t.cube("ev", "day"), t.entities("ev", "session", "day entity")).withColumn("day", cal.iso(F.col("day")))
 
 
 @query("X11 X12", f"""

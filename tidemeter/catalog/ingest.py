@@ -248,7 +248,7 @@ def pseudonymised_totals(t):
     out = None
     for kind in ("project", "session"):
         hidden = rec.withColumn(kind, pseudonym.pseudonym(KEY, kind, F.col(kind)))
-        rows = en.entity_totals(en.entity_days(hidden, kind)).select(
+        rows = en.entity_totals(en.entity_cube(hidden, kind, ["entity"])).select(
             F.lit(kind).alias("kind"), "total", "calls", F.length("entity").alias("alias_length"))
         out = rows if out is None else out.unionByName(rows)
     return out

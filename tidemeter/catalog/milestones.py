@@ -14,6 +14,13 @@ from tidemeter.operators.cube import in_range
 _TIER = """CASE WHEN CASE WHEN {n} <= 1 THEN 1.0 ELSE {i} / greatest({n} - 1, 1) END >= 0.85 THEN 'prismatic'
 WHEN CASE WHEN {n} <= 1 THEN 1.0 ELSE {i} / greatest({n} - 1, 1) END >= 0.6 THEN 'gold'
 WHEN CASE WHEN {n} <= 1 THEN 1.0 ELSE {i} / greatest({n} - 1, 1) END >= 0.35 THEN 'silver' ELSE 'bronze' END"""
+
+
+def _entities(t, name):
+    """Project and session cubes by day, kept because many metrics read them."""
+    return t.kept_entities(name, "project"), t.kept_entities(name, "session")
+
+
 _Q = lambda names: ", ".join(f"'{n}'" for n in names)
 _RULES = ", ".join(
     f"('{m}', {i}, '{shape}', {float(lo)!r}, {float(hi)!r}, {n})" for i, (m, shape, lo, hi, n) in enumerate(ms.LADDERS))
@@ -93,18 +100,18 @@ FROM st JOIN ladder USING (metric) WHERE tracked AND value >= target AND (bf IS
 
 @query("C4 A18 A19 A20", f"WITH {folded('ev')}, {_values('evf', '2024-01-30')} SELECT metric, CAST(value AS DOUBLE) AS value FROM mv")
 def metric_values(t):
-    return ms.metric_values(t.rec("ev"), t.kept("ev", "day hour source model", *_DAY_SUMS), "2024-01-31")
+    return ms.metric_values(t.kept("ev", "day hour source model", *_DAY_SUMS), *_entities(t, "ev"), "2024-01-31")
 
 
 @query("C4 J7", f"WITH {folded('ln')}, {_values('lnf', '2001-11-04')}, {_LADDER}, {_GOALS} SELECT * FROM gl")
 def milestone_progress(t):
-    return ms.goals(ms.metric_values(t.rec("ln"), t.kept("ln", "day hour source model", *_DAY_SUMS), "2001-11-05"))
+    return ms.goals(ms.metric_values(t.kept("ln", "day hour source model", *_DAY_SUMS), *_entities(t, "ln"), "2001-11-05"))
 
 
 @query("C5 J8", f"""WITH {folded('gp')}, {_running('gpf')}, {_LADDER}, {_UNLOCK}
 SELECT metric, rung, target, tier, strftime(day, '%Y-%m-%d') AS day, precision FROM ul""")
 def milestone_unlock_days(t):
-    rows = ms.unlock_days(ms.running_metrics(t.rec("gp"), t.kept("gp", "day hour source model", *_DAY_SUMS)))
+    rows = ms.unlock_days(ms.running_metrics(t.kept("gp", "day hour source model", *_DAY_SUMS), *_entities(t, "gp")))
     return rows.withColumn("day", cal.iso(F.col("day")))
 
 
@@ -113,7 +120,7 @@ rk AS (SELECT *, row_number() OVER (PARTITION BY metric, day ORDER BY CASE tier
 count(*) OVER (PARTITION BY metric, day) AS crossed FROM ul)
 SELECT metric, strftime(day, '%Y-%m-%d') AS day, rung, target, tier, crossed FROM rk WHERE rn = 1""")
 def milestone_timeline(t):
-    rows = ms.timeline(ms.unlock_days(ms.running_metrics(t.rec("gp"), t.kept("gp", "day hour source model", *_DAY_SUMS))))
+    rows = ms.timeline(ms.unlock_days(ms.running_metrics(t.kept("gp", "day hour source model", *_DAY_SUMS), *_entities(t, "gp"))))
     return rows.withColumn("day", cal.iso(F.col("day")))
 
 
@@ -122,14 +129,16 @@ nx AS (SELECT *, row_number() OVER (PARTITION BY metric ORDER BY target, rung) A
 SELECT metric, rung, target, tier, value, progress, remaining FROM nx WHERE rn = 1
 ORDER BY progress DESC, CASE tier WHEN 'prismatic' THEN 3 WHEN 'gold' THEN 2 WHEN 'silver' THEN 1 ELSE 0 END DESC, target, metric LIMIT 3""")
 def next_goals(t):
-    return ms.next_goals(ms.goals(ms.metric_values(t.rec("ev"), t.kept("ev", "day hour source model", *_DAY_SUMS), "2024-01-31")))
+    return ms.next_goals(ms.goals(ms.metric_values(t.kept("ev", "day hour source model", *_DAY_SUMS), *_entities(t, "ev"), "2024-01-31")))
 
 
 @query("J9 U2", f"""WITH {folded('gp')}, {_running('gpf')}, {_LADDER}, {_UNLOCK}
 SELECT metric, rung, target, tier FROM ul WHERE day > DATE '2024-02-10'""")
 def newly_unlocked(t):
-    running = ms.running_metrics(t.rec("gp"), t.kept("gp", "day hour source model", *_DAY_SUMS))
-    earlier = ms.running_metrics(in_range(t.rec("gp"), None, "2024-02-10"), in_range(t.kept("gp", "day hour source model", *_DAY_SUMS), None, "2024-02-10"))
+    running = ms.running_metrics(t.kept("gp", "day hour source model", *_DAY_SUMS), *_entities(t, "gp"))
+    cut = lambda df: in_range(df, None, "2024-02-10")
+    earlier = ms.running_metrics(
+        cut(t.kept("gp", "day hour source model", *_DAY_SUMS)), *[cut(e) for e in _entities(t, "gp")])
     return ms.newly_unlocked(ms.unlock_days(running), ms.unlock_days(earlier)).select("metric", "rung", "target", "tier")
 
 
@@ -164,4 +173,4 @@ FROM (VALUES {', '.join(f'({i}, {float(v)!r})' for i, v in enumerate(xs))}) x(i,
 
 @query("C7", f"WITH {folded('ev')}, {_values('evf', '2024-01-30')} {_PAIRS}")
 def compound_milestones(t):
-    return ms.compound_milestones(ms.metric_values(t.rec("ev"), t.kept("ev", "day hour source model", *_DAY_SUMS), "2024-01-31"))
+    return ms.compound_milestones(ms.metric_values(t.kept("ev", "day hour source model", *_DAY_SUMS), *_entities(t, "ev"), "2024-01-31"))

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from tidemeter.catalog.registry import query
 from tidemeter.catalog.sql import EV, GP, folded
 from tidemeter.functions import calendar as cal
-from tidemeter.operators import entities as en
 from tidemeter.operators import modes as md
 from tidemeter.operators import quality as ql
 from tidemeter.operators import seasons as ss
@@ -73,14 +72,14 @@ UNION ALL SELECT day, 'max-session-turns', mt FROM {p}x UNION ALL SELECT day, 'p
 UNION ALL (SELECT 'longest-active-streak', CAST(n AS DOUBLE), strftime(e, '%Y-%m-%d') FROM {p}i ORDER BY n DESC, e LIMIT 1))"""
 
 
-def _records(rec, cube):
-    rows = ss.record_days(cube, tn.running_max_turns(rec))
+def _records(cube, sessions):
+    rows = ss.record_days(cube, tn.running_max_turns(cube, sessions))
     return ss.personal_records(rows).withColumn("achieved", cal.iso(F.col("achieved")))
 
 
 @query("W23", f"WITH {folded('gp')}, {_REC.format(p='cur_', b='gpf')} SELECT * FROM cur_rec")
 def personal_records(t):
-    return _records(t.rec("gp"), t.kept("gp", "day hour model", *_DAY_SUMS))
+    return _records(t.kept("gp", "day hour model", *_DAY_SUMS), t.entities("gp", "session", "day entity"))
 
 
 @query("W24 J6", f"""
@@ -91,9 +90,10 @@ CASE WHEN o.value IS NULL THEN 'baseline' WHEN a.value > o.value THEN 'broken' W
 WHEN a.value = o.value THEN 'standing' ELSE 'historic' END AS status, round(a.value - o.value, 6) AS delta FROM cur_rec a LEFT JOIN old_rec o USING (id)""")
 def records_against_history(t):
     cube = t.kept("gp", "day hour model", *_DAY_SUMS)
-    old = _records(in_range(t.rec("gp"), None, "2024-02-15"), in_range(cube, None, "2024-02-15"))
+    sessions = t.kept_entities("gp", "session")
+    old = _records(in_range(cube, None, "2024-02-15"), in_range(sessions, None, "2024-02-15"))
     history = old.withColumn("generated", F.lit("2024-02-15"))
-    return ss.against_history(_records(t.rec("gp"), cube), history)
+    return ss.against_history(_records(cube, sessions), history)
 
 
 _SNAP = """
@@ -156,7 +156,7 @@ WHEN active_hours BETWEEN 1 AND 6 AND four_hour_share >= 0.72 THEN 'deep' WHEN m
 
 
 def _modes(t, name):
-    return md.classify(md.daily_features(t.kept(name, "day hour model", "total", "calls", "cache_read"), en.entity_days(t.rec(name), "project", t.slots(name))))
+    return md.classify(md.daily_features(t.kept(name, "day hour model", "total", "calls", "cache_read"), t.entities(name, "project", "day entity")))
 
 
 @query("C1 C2", f"""
@@ -212,7 +212,7 @@ UNION ALL SELECT 'rhythm', valid_ts / records FROM c UNION ALL SELECT 'reuse', w
 UNION ALL SELECT 'flow', greatest(with_project, with_session) / records FROM c)
 SELECT capability, round(r, 6) AS ratio, CASE WHEN round(r, 6) >= 0.85 THEN 'ok' WHEN r > 0 THEN 'partial' ELSE 'off' END AS status FROM l""")
 def capabilities(t):
-    return ql.capabilities(ql.provenance(t.cube("ev", "day source")), tn.replay_counts(t.rec("ev")))
+    return ql.capabilities(ql.provenance(t.cube("ev", "day source")), tn.replay_counts(t.entities("ev", "session", "entity")))
 
 
 _FIELDS = ", ".join(f"CAST(sum(coalesce({c},0)) AS BIGINT)" for c in COUNTERS)

@@ -9,6 +9,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemeter.operators.cube import additive, usage_cube
+from tidemeter.operators.entities import entity_cube
 from tidemeter.operators.registry import fold, registry
 from tidemeter.sources import tables
 
@@ -53,6 +54,18 @@ class Tables:
             lambda: additive(self.folded(name, keys), keys.split(), list(columns)).persist(
                 StorageLevel.MEMORY_AND_DISK))
 
+    def entities(self, name: str, kind: str, keys: str = "entity model", grain: str | None = None) -> DataFrame:
+        """The project or session cube by the named keys, under folded model names."""
+        slots = self.slots(name) if "model" in keys else None
+        return self._once(
+            f"{kind} {keys} {grain}", name, lambda: entity_cube(self.rec(name), kind, keys.split(), slots, grain))
+
+    def kept_entities(self, name: str, kind: str, keys: str = "day entity") -> DataFrame:
+        """An entity cube that several branches read; it spills to executor disks."""
+        return self._once(
+            f"kept {kind} {keys}", name,
+            lambda: self.entities(name, kind, keys).persist(StorageLevel.MEMORY_AND_DISK))
+
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.root}/{name}.parquet")
 

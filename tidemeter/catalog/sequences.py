@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from tidemeter.catalog.registry import query
 from tidemeter.catalog.sql import EV, GP, LN, folded
 from tidemeter.functions import calendar as cal
-from tidemeter.operators import entities as en
 from tidemeter.operators import sequence as sq
 
 _DAY_SUMS = ("total", "calls", "input", "output", "cache_read", "cache_write")
@@ -41,7 +40,7 @@ FROM days LEFT JOIN f ON days.day = f.day GROUP BY 1)
 SELECT strftime(day, '%Y-%m-%d') AS day, {', '.join(f'CAST(sum({k}) OVER (ORDER BY day) AS BIGINT) AS {k}' for k in ('hours', 'models', 'projects', 'sessions'))} FROM x""")
 def running_distinct(t):
     cube = t.kept("ln", "day hour model", *_DAY_SUMS)
-    rows = sq.running_distinct(sq.day_totals(cube), sq.first_seen(t.rec("ln"), cube))
+    rows = sq.running_distinct(sq.day_totals(cube), sq.first_seen(cube, t.entities("ln", "project", "day entity"), t.entities("ln", "session", "day entity")))
     return rows.withColumn("day", cal.iso(F.col("day")))
 
 
@@ -114,14 +113,14 @@ def leader_relays(t):
 @query("W19", f"""
 WITH {GP} SELECT project AS entity, strftime(min(day), '%Y-%m-%d') AS day FROM gp WHERE total > 0 AND project <> '' GROUP BY 1""")
 def first_observed_projects(t):
-    return sq.first_observed(en.entity_days(t.rec("gp"), "project")).withColumn("day", cal.iso(F.col("day")))
+    return sq.first_observed(t.entities("gp", "project", "entity")).withColumn("day", cal.iso(F.col("day")))
 
 
 @query("W19", f"""
 WITH {GP} SELECT project AS entity, strftime(min(day), '%Y-%m-%d') AS day FROM gp WHERE total > 0 AND project <> '' GROUP BY 1
 ORDER BY day DESC, entity LIMIT 1""")
 def newest_project(t):
-    firsts = sq.first_observed(en.entity_days(t.rec("gp"), "project"))
+    firsts = sq.first_observed(t.entities("gp", "project", "entity"))
     return sq.newest_entity(firsts).withColumn("day", cal.iso(F.col("day")))
 
 
@@ -134,5 +133,5 @@ UNION ALL (SELECT 'relay', day, from_model || ' > ' || to_model FROM rl ORDER BY
 SELECT strftime(date_trunc('month', day), '%Y-%m-%d') AS period, count(*) AS events, strftime(max(day), '%Y-%m-%d') AS day,
 string_agg(kind || '=' || label, '; ' ORDER BY day, kind, label) AS label FROM e GROUP BY 1""")
 def moment_events(t):
-    rows = sq.moments(t.kept("gp", "day model", *_DAY_SUMS), en.entity_days(t.rec("gp"), "project"), "month")
+    rows = sq.moments(t.kept("gp", "day model", *_DAY_SUMS), t.entities("gp", "project", "entity"), "month")
     return rows.withColumn("period", cal.iso(F.col("period"))).withColumn("day", cal.iso(F.col("day")))

@@ -69,15 +69,16 @@ def alias_table(values: DataFrame, column: str, key: bytes, kind: str) -> DataFr
         "_after", F.lead("_hex").over(beside)
     )
     alone = F.col("_before").isNull() & F.col("_after").isNull()
+    tokens = {c: base32(F.col(c), _FULL) for c in ("_hex", "_before", "_after")}
+    crowded = full.where(~alone).select("value", *[t.alias(c) for c, t in tokens.items()])
 
     def differs(length: int) -> Column:
-        mine = base32(F.col("_hex"), length)
-        apart = lambda c: c.isNull() | (base32(c, length) != mine)
-        return apart(F.col("_before")) & apart(F.col("_after"))
-
-    longer = F.coalesce(
-        *[F.when(differs(n), base32(F.col("_hex"), n)) for n in range(LENGTH + 2, 24, 2)],
-        base32(F.col("_hex"), _FULL),
-    )
-    picked = F.when(alone, F.col("_short")).otherwise(longer)
-    return full.select("value", F.concat(F.lit(PREFIX[kind]), picked).alias("alias"))
+        mine = F.substring("_hex", 1, length)
+        apart = lambda c: F.col(c).isNull() | (F.substring(c, 1, length) != mine)
+        return apart("_before") & apart("_after")
+
+    longer = F.coalesce(*[
+        F.when(differs(n), F.substring("_hex", 1, n)) for n in range(LENGTH + 2, _FULL, 2)], F.col("_hex"))
+    prefix = F.lit(PREFIX[kind])
+    short = full.where(alone).select("value", F.concat(prefix, F.col("_short")).alias("alias"))
+    return short.unionByName(crowded.select("value", F.concat(prefix, longer).alias("alias")))

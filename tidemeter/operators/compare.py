@@ -143,21 +143,24 @@ def peak_period(cube: DataFrame, grain: str, generated: str, since=None, until=N
 def peak_profile(
     cube: DataFrame, projects: DataFrame, grain: str, generated: str, since=None, until=None
 ) -> DataFrame:
-    """The peak period's total, change, model mix, busiest hour and top three projects."""
+    """The peak period's total, change, model mix, busiest hour and top three projects.
+
+    ``projects`` is a project cube by period. The peak enters each branch as the same
+    scalar subquery, which Spark evaluates once.
+    """
     peak = peak_period(cube, grain, generated, since, until)
-    one = F.broadcast(peak.select("period"))
+    at_peak = F.col("period") == peak.select("period").scalar()
     head = peak.select(F.explode(F.array(
         F.struct(F.lit("total").alias("section"), cal.iso(F.col("period")).alias("member"), F.col("total").alias("value")),
         F.struct(F.lit("change").alias("section"), cal.iso(F.col("period")).alias("member"),
                  (F.col("total") - F.col("previous_total")).alias("value")),
     )).alias("s")).select("s.*")
-    mix = period_models(cube, grain).join(one, "period").where("total > 0").select(
+    inside = with_period(cube, grain).where(at_peak)
+    mix = additive(inside, ["model"], ["total"]).where("total > 0").select(
         F.lit("model").alias("section"), F.col("model").alias("member"), F.col("total").alias("value"))
-    hours = additive(with_period(hourly(cube, ["day"]), grain).join(one, "period"), ["hour"], ["total"])
-    hour = hours.orderBy(F.desc("total"), "hour").limit(1).select(
+    hour = hourly(inside, []).orderBy(F.desc("total"), "hour").limit(1).select(
         F.lit("hour").alias("section"), F.col("hour").cast("string").alias("member"), F.col("total").alias("value"))
-    inside = with_period(projects, grain).join(one, "period")
-    tops = inside.groupBy("entity").agg(F.sum("total").alias("total")).where("total > 0").orderBy(
+    tops = projects.where(at_peak).groupBy("entity").agg(F.sum("total").alias("total")).where("total > 0").orderBy(
         F.desc("total"), "entity").limit(3).select(
         F.lit("project").alias("section"), F.col("entity").alias("member"), F.col("total").alias("value"))
     return head.unionByName(mix).unionByName(hour).unionByName(tops)

@@ -62,6 +62,21 @@ def additive(df: DataFrame, keys: list[str], columns: list[str] | None = None) -
     return df.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in columns or default])
 
 
+def beside(keys: list[str], *frames: DataFrame) -> DataFrame:
+    """Put frames of unique keys and different numeric columns side by side.
+
+    A union and one aggregation replace a chain of outer joins on the same keys.
+    """
+    names = [c for f in frames for c in f.columns if c not in keys]
+    stacked = [
+        f.select(*keys, *[F.col(c) if c in f.columns else F.lit(None).cast("bigint").alias(c) for c in names])
+        for f in frames]
+    rows = stacked[0]
+    for frame in stacked[1:]:
+        rows = rows.unionByName(frame)
+    return rows.groupBy(*keys).agg(*[F.max(c).alias(c) for c in names])
+
+
 def in_range(df: DataFrame, since: str | None = None, until: str | None = None) -> DataFrame:
     """Inclusive day range; either bound may be open."""
     if since:

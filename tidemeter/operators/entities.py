@@ -24,18 +24,25 @@ TOP_BY = 8
 FLOW_LIMITS = (7, 7, 8)
 
 
-def entity_days(rec: DataFrame, kind: str, slots: DataFrame | None = None) -> DataFrame:
-    """(day, entity, model) totals and turns of records that carry the entity.
+def entity_cube(
+    rec: DataFrame, kind: str, keys: Sequence[str] = ("day", "entity", "model"),
+    slots: DataFrame | None = None, grain: str | None = None,
+) -> DataFrame:
+    """Totals, turns and first active day of records that carry a project or session.
 
-    ``kind`` is ``project`` or ``session``. Seats are looked up before the reduction (a
-    seven-row broadcast), so the entity rows are shuffled once and not again after folding.
+    Like the usage cube, it groups by the keys a query needs: any of day, period (of
+    ``grain``), entity and model. Seats are looked up before the reduction (a seven-row
+    broadcast), so entity rows are shuffled once and not again after folding.
     """
     named = rec.where(F.col(kind) != "").select(
         "day", F.col(kind).alias("entity"), labels.model_or_unknown(F.col("model")).alias("model"), "total")
-    if slots is not None:
+    if slots is not None and "model" in keys:
         named = fold(named, slots)
-    return named.groupBy("day", "entity", "model").agg(
-        F.sum(zero(F.col("total"))).alias("total"), F.count(F.lit(1)).alias("calls"))
+    if grain is not None:
+        named = named.withColumn("period", cal.period_start(F.col("day"), grain))
+    return named.groupBy(*keys).agg(
+        F.sum(zero(F.col("total"))).alias("total"), F.count(F.lit(1)).alias("calls"),
+        F.min(F.when(F.col("total") > 0, F.col("day"))).alias("first_day"))
 
 
 def top_by(rec: DataFrame, column: str, limit: int = TOP_BY) -> DataFrame:
@@ -121,24 +128,22 @@ def top_entities_by_day(days: DataFrame, limit: int = TOP_ENTITIES) -> DataFrame
     return ranked.where(F.col("rank") <= limit).withColumn("rank", F.col("rank").cast("bigint"))
 
 
-def catalogue(days: DataFrame, everything: DataFrame, grain: str = "month") -> DataFrame:
+def catalogue(periods: DataFrame, everything: DataFrame) -> DataFrame:
     """Every entity with share, active periods, first day, peak period and dominant model.
 
-    ``everything`` is the one-row grand total; it enters as a scalar subquery.
-
-    Buffers stay primitive until one row per (entity, period) is left.
+    ``periods`` is (period, entity, model); ``everything`` is the one-row grand total and
+    enters as a scalar subquery. Buffers stay primitive until one row per (entity, period)
+    is left.
     """
-    periodic = days.withColumn("period", cal.period_start(F.col("day"), grain))
-    by_period = periodic.groupBy("entity", "period").agg(
-        F.sum("total").alias("total"), F.min(F.when(F.col("total") > 0, F.col("day"))).alias("first_day")
-    ).where("total > 0")
+    by_period = periods.groupBy("entity", "period").agg(
+        F.sum("total").alias("total"), F.min("first_day").alias("first_day")).where("total > 0")
     facts = by_period.groupBy("entity").agg(
         F.sum("total").alias("total"),
         F.count(F.lit(1)).alias("active_periods"),
         F.min("first_day").alias("first_day"),
         F.max(F.struct(F.col("total").alias("v"), (-cal.day_number(F.col("period"))).alias("d"))).alias("peak"),
     )
-    lead = dominant(["entity"], entity_model(days)).select("entity", F.col("model").alias("dominant_model"))
+    lead = dominant(["entity"], entity_model(periods)).select("entity", F.col("model").alias("dominant_model"))
     return facts.join(lead, "entity", "left").select(
         "entity", labels.project_label(F.col("entity")).alias("label"), "total",
         share(F.col("total"), everything.scalar()).alias("share"), "active_periods", "first_day",
@@ -147,10 +152,9 @@ def catalogue(days: DataFrame, everything: DataFrame, grain: str = "month") -> D
     )
 
 
-def entity_series(days: DataFrame, grain: str) -> DataFrame:
-    """(entity, period, model) totals."""
-    periodic = days.withColumn("period", cal.period_start(F.col("day"), grain))
-    return periodic.groupBy("entity", "period", "model").agg(F.sum("total").alias("total")).where("total > 0")
+def entity_series(periods: DataFrame) -> DataFrame:
+    """(entity, period, model) totals with activity."""
+    return periods.where("total > 0").select("entity", "period", "model", "total")
 
 
 def flow_slice(
@@ -212,15 +216,17 @@ def exact_median(values: DataFrame, column: str, digits: int = 21) -> DataFrame:
     return ranks.agg((F.sum("prefix") / 2).alias("median"))
 
 
-def distribution(rec: DataFrame, cube: DataFrame) -> DataFrame:
-    """Day statistics, session statistics and densities in one row."""
+def distribution(cube: DataFrame, projects: DataFrame, sessions: DataFrame) -> DataFrame:
+    """Day statistics, session statistics and densities in one row.
+
+    ``projects`` and ``sessions`` are entity cubes by any keys that include the entity.
+    """
     per_day = cube.groupBy("day").agg(F.sum("total").alias("total"), F.sum("calls").alias("calls"))
     days = per_day.agg(
         F.count(F.lit(1)).alias("days"), F.sum("total").alias("total"), F.sum("calls").alias("calls"),
         F.avg("total").alias("m"), F.stddev_pop("total").alias("sd"), F.max("total").alias("day_max"),
     )
-    per_session = rec.where(F.col("session") != "").groupBy("session").agg(F.sum(zero(F.col("total"))).alias("total"))
-    per_project = rec.where(F.col("project") != "").groupBy("project").agg(F.sum(zero(F.col("total"))).alias("total"))
+    per_session, per_project = entity_totals(sessions), entity_totals(projects)
 
     def facts(per: DataFrame):
         return per.agg(F.struct(F.count(F.lit(1)).alias("n"), F.max("total").alias("most"))).scalar()

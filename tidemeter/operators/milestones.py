@@ -130,24 +130,26 @@ def unpivot(row: DataFrame, columns: dict[str, str], keys: tuple[str, ...] = ())
     return row.select(*keys, F.explode(pairs).alias("m")).select(*keys, "m.*")
 
 
-def running_metrics(rec: DataFrame, cube: DataFrame) -> DataFrame:
-    """(day, metric, value) of every tracked metric, all of them non-decreasing."""
+def running_metrics(cube: DataFrame, projects: DataFrame, sessions: DataFrame) -> DataFrame:
+    """(day, metric, value) of every tracked metric, all of them non-decreasing.
+
+    The entity cubes are by day.
+    """
     days = sq.day_totals(cube)
     totals = unpivot(sq.running_totals(cube), {
         **{c: c for c in ("total", "calls", "cache_read", "input", "output", "cache_write", "max_day",
                           "active_days", "source_claude", "source_gemini", "source_codex")},
         "longest_streak": "streak"}, ("day",))
-    seen = unpivot(sq.running_distinct(days, sq.first_seen(rec, cube)),
+    seen = unpivot(sq.running_distinct(days, sq.first_seen(cube, projects, sessions)),
                    {c: c for c in ("hours", "models", "projects", "sessions")}, ("day",))
-    turns = unpivot(tn.running_max_turns(rec), {"max_turns": "max_turns"}, ("day",))
+    turns = unpivot(tn.running_max_turns(cube, sessions), {"max_turns": "max_turns"}, ("day",))
     return totals.unionByName(seen).unionByName(turns)
 
 
-def metric_values(rec: DataFrame, cube: DataFrame, generated: str, running: DataFrame | None = None) -> DataFrame:
+def metric_values(cube: DataFrame, projects: DataFrame, sessions: DataFrame, generated: str) -> DataFrame:
     """(metric, value) of every laddered metric at the end of the range."""
-    running = running if running is not None else running_metrics(rec, cube)
-    last = running.groupBy("metric").agg(F.max("value").alias("value"))
-    shape = unpivot(en.distribution(rec, cube), {c: c for c in (
+    last = running_metrics(cube, projects, sessions).groupBy("metric").agg(F.max("value").alias("value"))
+    shape = unpivot(en.distribution(cube, projects, sessions), {c: c for c in (
         "day_mean", "tokens_per_call", "calls_per_day", "session_mean", "session_median", "session_max",
         "sessions_per_day", "project_mean", "project_max", "day_cv")})
     clock = unpivot(rh.hour_indices(cube), {c: c for c in (

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemeter.functions.tokens import share
-from tidemeter.operators.cube import additive
+from tidemeter.operators.cube import additive, beside
 from tidemeter.operators.rhythm import hour_vector, hourly
 
 # The classification thresholds.
@@ -33,16 +33,16 @@ def daily_features(cube: DataFrame, projects: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("models"))
     hours = hour_vector(hourly(cube, ["day"]), ["day"]).select(
         "day", F.size(F.filter("hours", lambda h: h > 0)).cast("bigint").alias("active_hours"),
-        best_four_hours(F.col("hours")).alias("_four"))
+        best_four_hours(F.col("hours")).alias("four"))
     places = projects.groupBy("day", "entity").agg(F.sum("total").alias("total")).where("total > 0").groupBy("day").agg(
         F.count(F.lit(1)).alias("projects"))
+    rows = beside(["day"], days, models, hours, places)
     none = F.lit(0).cast("bigint")
-    rows = days.join(models, "day", "left").join(hours, "day", "left").join(places, "day", "left")
     return rows.select(
         "day", "total", "calls",
         F.coalesce(F.try_divide("cache_read", "total"), F.lit(0.0)).alias("cache_ratio"),
         *[F.coalesce(c, none).alias(c) for c in ("models", "projects", "active_hours")],
-        F.coalesce(F.try_divide("_four", "total"), F.lit(0.0)).alias("four_hour_share"))
+        F.coalesce(F.try_divide("four", "total"), F.lit(0.0)).alias("four_hour_share"))
 
 
 def classify(features: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tidemeter.functions import calendar as cal
 from tidemeter.functions.tokens import share
-from tidemeter.operators.cube import additive
+from tidemeter.operators.cube import additive, beside
 from tidemeter.operators.periods import dominant
 from tidemeter.operators.sequence import islands
 
@@ -77,7 +77,7 @@ def record_days(cube: DataFrame, turns: DataFrame) -> DataFrame:
         F.max("total").alias("peak_hour_total"))
     models = additive(cube, ["day", "model"], ["total"]).where("total > 0").groupBy("day").agg(
         F.count(F.lit(1)).alias("models"))
-    return days.join(hours, "day", "left").join(models, "day", "left").join(turns, "day", "left")
+    return beside(["day"], days, hours, models, turns)
 
 
 def personal_records(rows: DataFrame) -> DataFrame:

@@ -103,10 +103,11 @@ def trend(days: DataFrame, generated: str, since: str | None = None, until: str
         F.round(momentum, 6).alias("momentum"), "growth_streak", "decline_streak")
 
 
-def first_seen(rec: DataFrame, cube: DataFrame) -> DataFrame:
+def first_seen(cube: DataFrame, projects: DataFrame, sessions: DataFrame) -> DataFrame:
     """(kind, day, fresh): members of each kind first seen on that day.
 
-    Counting first days and summing them replaces a running distinct count.
+    Counting first days and summing them replaces a running distinct count. The entity
+    cubes are by day.
     """
     hours = additive(cube.where("hour is not null"), ["day", "hour"], ["total"]).where("total <> 0").select(
         F.lit("hours").alias("kind"), F.col("hour").cast("string").alias("member"), "day")
@@ -114,8 +115,8 @@ def first_seen(rec: DataFrame, cube: DataFrame) -> DataFrame:
         F.lit("models").alias("kind"), F.col("model").alias("member"), "day")
     small = hours.unionByName(models).groupBy("kind", "member").agg(F.min("day").alias("day"))
     out = small.groupBy("kind", "day").agg(F.count(F.lit(1)).alias("fresh"))
-    for kind, column in (("projects", "project"), ("sessions", "session")):
-        firsts = rec.where(F.col(column) != "").groupBy(column).agg(F.min("day").alias("day"))
+    for kind, entities in (("projects", projects), ("sessions", sessions)):
+        firsts = entities.groupBy("entity").agg(F.min("day").alias("day"))
         out = out.unionByName(
             firsts.groupBy("day").agg(F.count(F.lit(1)).alias("fresh")).select(F.lit(kind).alias("kind"), "day", "fresh"))
     return out
@@ -182,9 +183,9 @@ def relays(leaders: DataFrame) -> DataFrame:
         "day", F.col("before").alias("from_model"), F.col("leader").alias("to_model"))
 
 
-def first_observed(days: DataFrame) -> DataFrame:
+def first_observed(entities: DataFrame) -> DataFrame:
     """First day each entity shows activity."""
-    return days.where("total > 0").groupBy("entity").agg(F.min("day").alias("day"))
+    return entities.groupBy("entity").agg(F.min("first_day").alias("day")).where("day is not null")
 
 
 def newest_entity(firsts: DataFrame) -> DataFrame:

@@ -35,9 +35,9 @@ def replay(rec: DataFrame, keep: int = REPLAY_TURNS) -> DataFrame:
     ).withColumn("running_share", share(F.col("running"), F.col("_all"))).drop("_all")
 
 
-def replay_counts(rec: DataFrame, keep: int = REPLAY_TURNS) -> DataFrame:
-    """Eligible and retained turns, from per-session counts alone."""
-    per = rec.where(F.col("session") != "").groupBy("session").agg(F.count(F.lit(1)).alias("turns"))
+def replay_counts(sessions: DataFrame, keep: int = REPLAY_TURNS) -> DataFrame:
+    """Eligible and retained turns, from a session cube alone."""
+    per = sessions.groupBy("entity").agg(F.sum("calls").alias("turns"))
     return per.agg(
         F.coalesce(F.sum("turns"), F.lit(0).cast("bigint")).alias("replay_eligible"),
         F.coalesce(F.sum(F.least("turns", F.lit(keep).cast("bigint"))), F.lit(0).cast("bigint")).alias("replay_retained"),
@@ -45,16 +45,18 @@ def replay_counts(rec: DataFrame, keep: int = REPLAY_TURNS) -> DataFrame:
     )
 
 
-def running_max_turns(rec: DataFrame) -> DataFrame:
+def running_max_turns(cube: DataFrame, sessions: DataFrame) -> DataFrame:
     """Per observed day, the longest session so far, counted in cumulative turns.
 
-    The per-session window holds one row per active day of that session.
+    ``sessions`` is a session cube by day; the per-session window holds one row per
+    active day of that session.
     """
-    per_day = rec.where(F.col("session") != "").groupBy("session", "day").agg(F.count(F.lit(1)).alias("turns"))
+    per_day = sessions.groupBy("entity", "day").agg(F.sum("calls").alias("turns"))
     so_far = F.sum("turns").over(
-        W.partitionBy("session").orderBy("day").rowsBetween(W.unboundedPreceding, 0))
+        W.partitionBy("entity").orderBy("day").rowsBetween(W.unboundedPreceding, 0))
     best = per_day.withColumn("so_far", so_far).groupBy("day").agg(F.max("so_far").alias("best"))
-    days = rec.select("day").distinct().join(best, "day", "left")
+    observed = cube.select("day", F.lit(None).cast("bigint").alias("best"))
+    days = best.unionByName(observed).groupBy("day").agg(F.max("best").alias("best"))
     return days.select(
         "day",
         F.coalesce(F.max("best").over(W.orderBy("day").rowsBetween(W.unboundedPreceding, 0)),

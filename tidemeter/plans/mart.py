@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemeter.operators.cube import COVERAGE, usage_cube
-from tidemeter.operators.entities import entity_days
+from tidemeter.operators.entities import entity_cube
 from tidemeter.operators.registry import folded_cube
 from tidemeter.operators.snapshot import snapshot_id
 from tidemeter.schema import COUNTERS, PARTS, RECORD
@@ -61,8 +61,8 @@ class UsageMart:
         try:
             for name, frame in (
                 ("hours", usage_cube(rec)),
-                ("projects", entity_days(rec, "project")),
-                ("sessions", entity_days(rec, "session")),
+                ("projects", entity_cube(rec, "project")),
+                ("sessions", entity_cube(rec, "session")),
             ):
                 frame.write.mode("overwrite").parquet(self._path(name, f"batch={batch_id}"))
         finally:
@@ -78,7 +78,7 @@ class UsageMart:
     def entities(self, kind: str) -> DataFrame:
         """(day, entity, model) totals over all batches; ``kind`` is project or session."""
         return self.spark.read.parquet(self._path(f"{kind}s")).groupBy("day", "entity", "model").agg(
-            F.sum("total").alias("total"), F.sum("calls").alias("calls"))
+            F.sum("total").alias("total"), F.sum("calls").alias("calls"), F.min("first_day").alias("first_day"))
 
     def versions(self) -> DataFrame:
         return table_or_empty(self.spark, self._path("published", "pointers"), _POINTER)
