@@ -202,17 +202,13 @@ def exact_median(values: DataFrame, column: str, digits: int = 21) -> DataFrame:
     )).alias("r")).select("r.which", "r.rank", F.lit(0).cast("bigint").alias("prefix"))
     for level in (2, 1, 0):
         shift = digits * level
-        rows = hist.select(
-            F.shiftright("v", shift + digits).alias("prefix") if level < 2 else F.lit(0).cast("bigint").alias("prefix"),
-            F.shiftright("v", shift).alias("bucket"), "n",
-        )
-        near = rows.join(F.broadcast(ranks.select("prefix").distinct()), "prefix", "left_semi")
-        counts = near.groupBy("prefix", "bucket").agg(F.sum("n").alias("n"))
-        upto = F.sum("n").over(W.partitionBy("prefix").orderBy("bucket").rowsBetween(W.unboundedPreceding, 0))
-        cumulative = counts.withColumn("upto", upto).withColumn("before", F.col("upto") - F.col("n"))
-        ranks = cumulative.join(F.broadcast(ranks), "prefix").where(
-            (F.col("rank") > F.col("before")) & (F.col("rank") <= F.col("upto"))
-        ).select("which", (F.col("rank") - F.col("before")).alias("rank"), F.col("bucket").alias("prefix"))
+        inside = F.lit(0).cast("bigint") if level == 2 else F.shiftright("v", shift + digits)
+        rows = hist.select(inside.alias("prefix"), F.shiftright("v", shift).alias("bucket"), "n")
+        counts = rows.join(F.broadcast(ranks), "prefix").groupBy("which", "rank", "bucket").agg(F.sum("n").alias("n"))
+        upto = F.sum("n").over(W.partitionBy("which").orderBy("bucket").rowsBetween(W.unboundedPreceding, 0))
+        ranks = counts.withColumn("upto", upto).where(
+            (F.col("rank") > F.col("upto") - F.col("n")) & (F.col("rank") <= F.col("upto"))
+        ).select("which", (F.col("rank") - F.col("upto") + F.col("n")).alias("rank"), F.col("bucket").alias("prefix"))
     return ranks.agg((F.sum("prefix") / 2).alias("median"))
 
 
