@@ -195,16 +195,21 @@ def exact_median(values: DataFrame, column: str, digits: int = 21) -> DataFrame:
     most 2^21 rows) and narrows both middle ranks to one bucket.
     """
     hist = values.groupBy(F.col(column).alias("v")).agg(F.count(F.lit(1)).alias("n"))
-    n = hist.agg(F.sum("n").alias("n"))
-    ranks = n.select(F.explode(F.array(
-        F.struct(F.lit(0).alias("which"), F.expr("(n + 1) div 2").alias("rank")),
-        F.struct(F.lit(1).alias("which"), F.expr("n div 2 + 1").alias("rank")),
-    )).alias("r")).select("r.which", "r.rank", F.lit(0).cast("bigint").alias("prefix"))
+    ranks = None
     for level in (2, 1, 0):
         shift = digits * level
-        inside = F.lit(0).cast("bigint") if level == 2 else F.shiftright("v", shift + digits)
-        rows = hist.select(inside.alias("prefix"), F.shiftright("v", shift).alias("bucket"), "n")
-        counts = rows.join(F.broadcast(ranks), "prefix").groupBy("which", "rank", "bucket").agg(F.sum("n").alias("n"))
+        bucket = F.shiftright("v", shift).alias("bucket")
+        if ranks is None:
+            top = hist.select(bucket, "n").groupBy("bucket").agg(F.sum("n").alias("n"))
+            counted = top.withColumn("total", F.sum("n").over(W.partitionBy()))
+            counts = counted.select("bucket", "n", F.explode(F.array(
+                F.struct(F.lit(0).alias("which"), F.expr("(total + 1) div 2").alias("rank")),
+                F.struct(F.lit(1).alias("which"), F.expr("total div 2 + 1").alias("rank")),
+            )).alias("r")).select("r.*", "bucket", "n")
+        else:
+            rows = hist.select(F.shiftright("v", shift + digits).alias("prefix"), bucket, "n")
+            counts = rows.join(F.broadcast(ranks), "prefix").groupBy("which", "rank", "bucket").agg(
+                F.sum("n").alias("n"))
         upto = F.sum("n").over(W.partitionBy("which").orderBy("bucket").rowsBetween(W.unboundedPreceding, 0))
         ranks = counts.withColumn("upto", upto).where(
             (F.col("rank") > F.col("upto") - F.col("n")) & (F.col("rank") <= F.col("upto"))

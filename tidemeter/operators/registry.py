@@ -37,22 +37,16 @@ def registry(cube: DataFrame) -> DataFrame:
     recently active model takes the last seat when it arrived too late for one.
     """
     activity = model_activity(cube)
-    seats = activity.orderBy(*_first_rank()).limit(CAPACITY).select(
-        F.lit("seat").alias("role"), "model",
-        F.struct(F.col("first_ts").isNull().alias("a"), F.col("first_ts").alias("b"),
-                 F.col("first_day").alias("c"), F.col("model").alias("model")).alias("rank"),
-    )
-    newest = activity.orderBy(F.desc("latest"), F.desc("model")).limit(1).select(
-        F.lit("newest").alias("role"), "model",
-        F.struct(F.lit(True).alias("a"), F.lit(None).cast("timestamp").alias("b"),
-                 F.lit(None).cast("date").alias("c"), F.col("model").alias("model")).alias("rank"),
-    )
+    seats = activity.orderBy(*_first_rank()).limit(CAPACITY).withColumn("role", F.lit("seat"))
+    newest = activity.orderBy(F.desc("latest"), F.desc("model")).limit(1).withColumn("role", F.lit("newest"))
+    # Both branches carry every column, so they share one pass over the cube.
+    rank = F.struct(
+        F.col("first_ts").isNull().alias("untimed"), F.col("first_ts"), F.col("first_day"), F.col("model"))
     both = seats.unionByName(newest).agg(
         F.transform(
-            F.array_sort(F.collect_list(F.when(F.col("role") == "seat", F.col("rank")))),
-            lambda r: r["model"],
+            F.array_sort(F.collect_list(F.when(F.col("role") == "seat", rank))), lambda r: r["model"]
         ).alias("seated"),
-        F.max(F.when(F.col("role") == "newest", F.col("model"))).alias("newest"),
+        F.max(F.when(F.col("role") == "newest", F.struct("latest", "model")))["model"].alias("newest"),
     )
     final = F.when(
         F.array_contains("seated", F.col("newest")), F.col("seated")
