@@ -95,7 +95,7 @@ round(f.total / (SELECT sum(total) FROM lnf), 6) AS share, active_periods, strft
 strftime(pp, '%Y-%m-%d') AS peak_period, peak_total,
 (SELECT model FROM m WHERE m.entity = f.entity AND m.total > 0 ORDER BY m.total DESC, model LIMIT 1) AS dominant_model FROM f""")
 def project_catalogue(t):
-    rows = en.catalogue(t.entities("ln", "project", "period entity model", "month"), t.rec("ln").agg(F.sum("total")))
+    rows = en.catalogue(t.kept_entities("ln", "project", "period entity model", "month"), t.rec("ln").agg(F.sum("total")))
     return rows.withColumn("first_day", cal.iso(F.col("first_day"))).withColumn("peak_period", cal.iso(F.col("peak_period")))
 
 
@@ -118,7 +118,7 @@ ts AS (SELECT entity FROM s GROUP BY 1 ORDER BY sum(total) DESC, entity LIMIT 8)
 SELECT 'project_model' AS relation, * FROM p WHERE entity IN (FROM tp)
 UNION ALL SELECT 'model_session', * FROM s WHERE entity IN (FROM ts)""")
 def flow_slice(t):
-    return en.flow_slice(en.edges(t.entities("ev", "project")), en.edges(t.entities("ev", "session")))
+    return en.flow_slice(en.edges(t.kept_entities("ev", "project", "entity model")), en.edges(t.kept_entities("ev", "session", "entity model")))
 
 
 @query("A18", f"""

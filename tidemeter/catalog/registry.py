@@ -60,11 +60,13 @@ class Tables:
         return self._once(
             f"{kind} {keys} {grain}", name, lambda: entity_cube(self.rec(name), kind, keys.split(), slots, grain))
 
-    def kept_entities(self, name: str, kind: str, keys: str = "day entity") -> DataFrame:
+    def kept_entities(
+        self, name: str, kind: str, keys: str = "day entity", grain: str | None = None
+    ) -> DataFrame:
         """An entity cube that several branches read; it spills to executor disks."""
         return self._once(
-            f"kept {kind} {keys}", name,
-            lambda: self.entities(name, kind, keys).persist(StorageLevel.MEMORY_AND_DISK))
+            f"kept {kind} {keys} {grain}", name,
+            lambda: self.entities(name, kind, keys, grain).persist(StorageLevel.MEMORY_AND_DISK))
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.root}/{name}.parquet")

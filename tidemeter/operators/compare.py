@@ -15,7 +15,7 @@ from tidemeter.functions import calendar as cal
 from tidemeter.functions.tokens import share, share_or_null
 from tidemeter.operators import entities as en
 from tidemeter.operators.cube import additive
-from tidemeter.operators.periods import by_period, dominant, mark_adjacent, mark_complete
+from tidemeter.operators.periods import by_period, mark_adjacent, mark_complete
 from tidemeter.operators.rhythm import hourly, timed
 from tidemeter.schema import PARTS
 
@@ -217,12 +217,11 @@ def entity_evidence(kind: str, days: DataFrame, cube: DataFrame) -> DataFrame:
     """Total, share of everything, component count and dominant model of every entity."""
     per_model = en.entity_model(days).where("total > 0")
     per = per_model.groupBy("entity").agg(
-        F.sum("total").alias("total"), F.count(F.lit(1)).alias("components"))
-    lead = dominant(["entity"], per_model).select("entity", F.col("model").alias("dominant_model"))
+        F.sum("total").alias("total"), F.count(F.lit(1)).alias("components"), F.min(en.lead_first()).alias("lead"))
     everything = cube.agg(F.sum("total")).scalar()
-    return per.join(lead, "entity", "left").select(
+    return per.select(
         F.lit(kind).alias("kind"), F.col("entity").alias("id"), "total",
-        share(F.col("total"), everything).alias("share"), "components", "dominant_model")
+        share(F.col("total"), everything).alias("share"), "components", F.col("lead.model").alias("dominant_model"))
 
 
 def compare(evidence: DataFrame, left: tuple[str, str], right: tuple[str, str]) -> DataFrame:

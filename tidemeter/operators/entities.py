@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -89,34 +89,29 @@ def edges(days: DataFrame) -> DataFrame:
     return entity_model(days).select("entity", "model", "total")
 
 
-def with_dominant(entities: DataFrame, per_model: DataFrame) -> DataFrame:
-    """Attach each entity's largest model; both sides hold top-k entities only."""
-    return entities.join(
-        dominant(["entity"], per_model).select("entity", F.col("model").alias("dominant_model"),
-                                               F.col("total").alias("dominant_total")),
-        "entity", "left",
-    )
+def lead_first() -> Column:
+    """Sort key of a model row: larger totals first, then the smaller name."""
+    return F.struct((-F.col("total")).alias("down"), F.col("model").alias("model"))
 
 
-def top_entities(days: DataFrame, models: Sequence[str] | None = None, limit: int = TOP_ENTITIES) -> DataFrame:
-    """Largest entities of the range with dominant model and model composition."""
-    chosen = days.where(F.col("model").isin(list(models))) if models else days
-    per_model = entity_model(chosen)
-    tops = (
-        per_model.groupBy("entity").agg(F.sum("total").alias("total"))
-        .where("total > 0").orderBy(F.desc("total"), "entity").limit(limit)
-    )
-    kept = per_model.join(F.broadcast(tops.select("entity")), "entity", "left_semi")
-    parts = kept.groupBy("entity").agg(
-        F.array_join(
-            F.transform(
-                F.array_sort(F.collect_list(F.struct((-F.col("total")).alias("n"), F.col("model").alias("m")))),
-                lambda s: F.concat(s["m"], F.lit(":"), (-s["n"]).cast("string")),
-            ), ","
-        ).alias("composition")
+def top_entities(entities: DataFrame, models: Sequence[str] | None = None, limit: int = TOP_ENTITIES) -> DataFrame:
+    """Largest entities of the range with dominant model and model composition.
+
+    An entity has at most one row per seated model, so its list holds eight items at most
+    and one pass yields total, leader and composition together.
+    """
+    chosen = entities.where(F.col("model").isin(list(models))) if models else entities
+    per = entity_model(chosen).groupBy("entity").agg(
+        F.sum("total").alias("total"), F.array_sort(F.collect_list(lead_first())).alias("parts"))
+    tops = per.where("total > 0").orderBy(F.desc("total"), "entity").limit(limit)
+    first = F.when(-F.col("parts")[0]["down"] > 0, F.col("parts")[0])
+    return tops.select(
+        "entity", "total",
+        F.row_number().over(W.orderBy(F.desc("total"), "entity")).cast("bigint").alias("rank"),
+        first["model"].alias("dominant_model"), (-first["down"]).alias("dominant_total"),
+        F.array_join(F.transform(
+            "parts", lambda p: F.concat(p["model"], F.lit(":"), (-p["down"]).cast("string"))), ",").alias("composition"),
     )
-    ranked = tops.withColumn("rank", F.row_number().over(W.orderBy(F.desc("total"), "entity")).cast("bigint"))
-    return with_dominant(ranked, kept).join(parts, "entity", "left")
 
 
 def top_entities_by_day(days: DataFrame, limit: int = TOP_ENTITIES) -> DataFrame:
