@@ -340,7 +340,7 @@ def test_local_time(spark, text, day, hour):
 @pytest.mark.parametrize("value", ["/home/me/project", "ü-ñ-你好", "x" * 300])
 def test_pseudonym_is_hmac(spark, value):
     key = b"k" * 100
-    digest = hmac.new(key, f"tokens/project/v1\0{value}".encode(), hashlib.sha256).digest()
+    digest = hmac.new(key, f"usage/project/v1\0{value}".encode(), hashlib.sha256).digest()
     want = "Project-" + base64.b32encode(digest).decode()[:10]
     assert row(spark.range(1).select(pseudonym.pseudonym(key, "project", F.lit(value)).alias("p")))["p"] == want
     full = row(spark.range(1).select(pseudonym.token(key, "project", F.lit(value), 52).alias("p")))["p"]

@@ -32,6 +32,11 @@ def wall_clock(ts: Column, zone: str) -> Column:
     return F.convert_timezone(F.current_timezone(), F.lit(zone), ts.cast("timestamp_ntz"))
 
 
+def as_utc(wall: Column) -> Column:
+    """The instant at which a UTC clock shows this wall-clock time."""
+    return F.convert_timezone(F.lit("UTC"), F.current_timezone(), wall).cast("timestamp")
+
+
 def local_day(ts_raw: Column, zone: str) -> Column:
     return F.to_date(wall_clock(instant(ts_raw, zone), zone))
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 PREFIX = {"project": "Project-", "session": "Session-"}
 LENGTH = 10
-FRAME = "tokens/{kind}/v1\0"
+FRAME = "usage/{kind}/v1\0"
 
 _BLOCK = 64
 _FULL = 52

@@ -20,6 +20,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemeter.functions import calendar as cal
 from tidemeter.operators.cube import COVERAGE, usage_cube
 from tidemeter.operators.entities import entity_cube
 from tidemeter.operators.registry import folded_cube
@@ -122,7 +123,7 @@ class UsageMart:
         """Bring ``records`` in line with the files that exist now.
 
         Only new or changed files are parsed and only days with changes are rewritten.
-        ``read`` takes (source, files, after): the files to keep and a time before which
+        ``read`` takes (source, files, after): the files to keep and a UTC time before which
         none of them was modified, both None on a first load. No file list reaches the
         driver, only one count and one time per source. Returns the files parsed.
         """
@@ -133,7 +134,9 @@ class UsageMart:
         gone = manifest.removed(current, previous)
         todo = fresh.groupBy("source").agg(
             F.count(F.lit(1)).alias("files"),
-            F.date_format(F.min("modified") - F.expr("interval 1 second"), "yyyy-MM-dd'T'HH:mm:ss").alias("after")).collect()
+            F.date_format(
+                cal.wall_clock(F.min("modified"), "UTC") - F.expr("interval 1 second"), "yyyy-MM-dd'T'HH:mm:ss"
+            ).alias("after")).collect()
         first = previous.isEmpty()
         parsed = self.spark.createDataFrame([], RECORD)
         for row in todo:

@@ -62,9 +62,11 @@ def _scan(
 ) -> DataFrame:
     """``pattern`` overrides the tool's own file names, for logs landed by other writers.
 
-    ``after`` skips files last modified earlier, while the folder is listed.
+    ``after``, in UTC, skips files last modified earlier while the folder is listed.
     """
-    reader = spark.read.option("modifiedAfter", after) if after else spark.read
+    reader = spark.read
+    if after:
+        reader = reader.option("modifiedAfter", after).option("timeZone", "UTC")
     scan = (
         reader.option("recursiveFileLookup", "true")
         .option("pathGlobFilter", pattern or GLOBS[source])

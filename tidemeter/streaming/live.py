@@ -14,6 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from tidemeter.functions import calendar as cal
 from tidemeter.functions import labels
 from tidemeter.functions.tokens import zero
 from tidemeter.plans.mart import UsageMart
@@ -79,13 +80,19 @@ def maintain(
     return start(stream, each, checkpoint, interval)
 
 
-def tumbling_totals(stream: DataFrame, width: str, delay: str = "1 day") -> DataFrame:
-    """Totals per event-time window and model; week and month roll up from days."""
-    timed = stream.where("ts is not null").withWatermark("ts", delay)
+def tumbling_totals(stream: DataFrame, width: str, delay: str = "1 day", zone: str | None = None) -> DataFrame:
+    """Totals per event-time window and model; week and month roll up from days.
+
+    Windows follow the wall clock of ``zone`` (the session's by default), so that a day
+    window is a calendar day of the report. Watermarks need instants and windows count in
+    UTC, so the wall clock is carried as if it were UTC and read back the same way.
+    """
+    wall = cal.wall_clock(F.col("ts"), zone) if zone else F.col("ts").cast("timestamp_ntz")
+    timed = stream.where("ts is not null").withColumn("at", cal.as_utc(wall)).withWatermark("at", delay)
     return timed.groupBy(
-        F.window("ts", width).alias("w"), labels.model_or_unknown(F.col("model")).alias("model")
+        F.window("at", width).alias("w"), labels.model_or_unknown(F.col("model")).alias("model")
     ).agg(F.sum(zero(F.col("total"))).alias("total"), F.count(F.lit(1)).alias("calls")).select(
-        F.col("w.start").alias("start"), "model", "total", "calls")
+        cal.wall_clock(F.col("w.start"), "UTC").alias("start"), "model", "total", "calls")
 
 
 def unique_messages(stream: DataFrame, keys: list[str], delay: str = "1 day") -> DataFrame:
