@@ -26,8 +26,8 @@ evx AS (SELECT ev.*, e.user_id, ev1.k, {_LOCAL.replace('ts', 'ev.ts', 1)} AS lt
 _OUT = "coalesce(input,0) AS input, coalesce(output,0){extra} AS output, coalesce(cache_read,0) AS cache_read, coalesce(cache_write,0) AS cache_write, total"
 _SHAPE = "strftime(lt, '%Y-%m-%d') AS day, CAST(hour(lt) AS BIGINT) AS hour"
 _CLAUDE = f"SELECT source, seq, model, session, project, {_SHAPE}, {_OUT.format(extra='')} FROM evx WHERE source='claude' AND ts IS NOT NULL AND model IS NOT NULL"
-_GEMINI = f"SELECT source, seq, coalesce(model, 'gemini-unknown') AS model, 'g-' || user_id AS session, NULL AS project, {_SHAPE}, {_OUT.format(extra='+ CASE WHEN k % 2 = 0 THEN k ELSE 0 END')} FROM evx WHERE source='gemini' AND ts IS NOT NULL"
-_CODEX = f"""SELECT source, seq, coalesce(m, 'codex-unknown') AS model, NULL AS session, NULL AS project, {_SHAPE}, {_OUT.format(extra='+ k % 7')} FROM (
+_GEMINI = f"SELECT source, seq, coalesce(model, 'gemini-unknown') AS model, 'g-' || user_id AS session, CAST(NULL AS VARCHAR) AS project, {_SHAPE}, {_OUT.format(extra='+ CASE WHEN k % 2 = 0 THEN k ELSE 0 END')} FROM evx WHERE source='gemini' AND ts IS NOT NULL"
+_CODEX = f"""SELECT source, seq, coalesce(m, 'codex-unknown') AS model, CAST(NULL AS VARCHAR) AS session, CAST(NULL AS VARCHAR) AS project, {_SHAPE}, {_OUT.format(extra='+ k % 7')} FROM (
 SELECT *, last_value(CASE WHEN seq % 4 = 0 THEN model END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS m
 FROM evx WHERE source='codex') WHERE ts IS NOT NULL"""
 _COLS = ("source", "model", "session", "project", "day", "hour", "input", "output", "cache_read", "cache_write", "total")
