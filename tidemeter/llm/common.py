@@ -41,8 +41,8 @@ def settle(df: DataFrame, name: str) -> DataFrame:
 def fan_out(df: DataFrame, mb: float) -> int:
     """Partitions for an exchange of data of the size of ``df``: ``mb`` of stored input each, the session's number at least."""
     spark = df.sparkSession
-    stored = float(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(200_000, int(stored / (mb * (1 << 20)))))
+    stored = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(200_000, stored // int(mb * (1 << 20))))
 
 
 def chunks(batches: Iterable[pa.RecordBatch], limit: int = CHUNK, column: str = "text") -> Iterator[pa.RecordBatch]:
