@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemeter.llm import decontaminate, substrings
+from tidemeter.llm import decontaminate, packing, substrings
 from tidemeter.llm.common import load
 
 
@@ -18,8 +18,12 @@ def op2_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.report(load(spark, sf_dir, "documents"))
 
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.report(load(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op2_substrings)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_substrings, op4_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
