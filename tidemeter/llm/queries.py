@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemeter.llm import decontaminate, packing, substrings
+from tidemeter.llm import decontaminate, packing, substrings, topk
 from tidemeter.llm.common import load
 
 
@@ -22,9 +22,13 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.report(load(spark, sf_dir, "documents"))
 
 
+def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(load(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op2_substrings, op4_packing)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_substrings, op4_packing, op5_topk)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontaminate": decontaminate.ORACLE_SQL, "op2_substrings": substrings.ORACLE_SQL}
+    return {"op1_decontaminate": decontaminate.ORACLE_SQL, "op2_substrings": substrings.ORACLE_SQL, "op5_topk": topk.ORACLE_SQL}
