@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemeter.llm import decontaminate, packing, substrings, topk
+from tidemeter.llm import decontaminate, packing, substrings, topk, toxicity
 from tidemeter.llm.common import load
 
 
@@ -18,6 +18,10 @@ def op2_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.report(load(spark, sf_dir, "documents"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.report(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.report(load(spark, sf_dir, "documents"))
 
@@ -27,7 +31,7 @@ def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op2_substrings, op4_packing, op5_topk)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_substrings, op3_toxicity, op4_packing, op5_topk)}
 
 
 def oracle_sql() -> dict[str, str]:
