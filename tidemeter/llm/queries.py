@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemeter.llm import decontaminate, packing, substrings, topk, toxicity
+from tidemeter.llm import decontaminate, jaccard, packing, substrings, topk, toxicity
 from tidemeter.llm.common import load
 
 
@@ -30,9 +30,13 @@ def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(load(spark, sf_dir, "embeddings"))
 
 
+def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.report(load(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op2_substrings, op3_toxicity, op4_packing, op5_topk)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_substrings, op3_toxicity, op4_packing, op5_topk, op6_jaccard)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontaminate": decontaminate.ORACLE_SQL, "op2_substrings": substrings.ORACLE_SQL, "op5_topk": topk.ORACLE_SQL}
+    return {"op1_decontaminate": decontaminate.ORACLE_SQL, "op2_substrings": substrings.ORACLE_SQL, "op5_topk": topk.ORACLE_SQL, "op6_jaccard": jaccard.ORACLE_SQL}
