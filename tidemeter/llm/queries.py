@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemeter.llm import decontaminate, jaccard, packing, substrings, suffixes, topk, toxicity
+from tidemeter.llm import decontaminate, jaccard, packing, substrings, suffixes, tokencounts, topk, toxicity
 from tidemeter.llm.common import load
 
 
@@ -38,8 +38,12 @@ def op7_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.report(load(spark, sf_dir, "documents"))
 
 
+def op8_tokencounts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencounts.report(load(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op2_substrings, op3_toxicity, op4_packing, op5_topk, op6_jaccard, op7_suffixes)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_substrings, op3_toxicity, op4_packing, op5_topk, op6_jaccard, op7_suffixes, op8_tokencounts)}
 
 
 def oracle_sql() -> dict[str, str]:
