@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemeter.llm import decontaminate, jaccard, packing, substrings, suffixes, tokencounts, topk, toxicity
+from tidemeter.llm import decontaminate, jaccard, linedup, packing, substrings, suffixes, tokencounts, topk, toxicity
 from tidemeter.llm.common import load
 
 
@@ -42,9 +42,13 @@ def op8_tokencounts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencounts.report(load(spark, sf_dir, "documents"))
 
 
+def op9_linedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linedup.report(load(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op2_substrings, op3_toxicity, op4_packing, op5_topk, op6_jaccard, op7_suffixes, op8_tokencounts)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_substrings, op3_toxicity, op4_packing, op5_topk, op6_jaccard, op7_suffixes, op8_tokencounts, op9_linedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontaminate": decontaminate.ORACLE_SQL, "op2_substrings": substrings.ORACLE_SQL, "op5_topk": topk.ORACLE_SQL, "op6_jaccard": jaccard.ORACLE_SQL}
+    return {"op1_decontaminate": decontaminate.ORACLE_SQL, "op2_substrings": substrings.ORACLE_SQL, "op5_topk": topk.ORACLE_SQL, "op6_jaccard": jaccard.ORACLE_SQL, "op9_linedup": linedup.ORACLE_SQL}
