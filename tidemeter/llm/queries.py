@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemeter.llm import decontaminate, jaccard, linedup, packing, substrings, suffixes, tokencounts, topk, toxicity
+from tidemeter.llm import decontaminate, jaccard, linedup, packing, pii, substrings, suffixes, tokencounts, topk, toxicity
 from tidemeter.llm.common import load
 
 
@@ -46,8 +46,12 @@ def op9_linedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linedup.report(load(spark, sf_dir, "documents"))
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(load(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op2_substrings, op3_toxicity, op4_packing, op5_topk, op6_jaccard, op7_suffixes, op8_tokencounts, op9_linedup)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_substrings, op3_toxicity, op4_packing, op5_topk, op6_jaccard, op7_suffixes, op8_tokencounts, op9_linedup, op10_pii)}
 
 
 def oracle_sql() -> dict[str, str]:
