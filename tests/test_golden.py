@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tests.helpers import cube, days, records, row
 from tidemeter.functions import calendar as cal
 from tidemeter.functions import labels, pseudonym
-from tidemeter.functions.tokens import composition
+from tidemeter.functions.volumes import composition
 from tidemeter.operators import compare as cp
 from tidemeter.operators import entities as en
 from tidemeter.operators import milestones as ms
@@ -347,7 +347,7 @@ def test_pseudonym_is_hmac(spark, value):
     assert full == base64.b32encode(digest).decode().rstrip("=")
 
 
-def test_pseudonyms_stay_apart_when_tokens_collide(spark, monkeypatch):
+def test_pseudonyms_stay_apart_when_codes_collide(spark, monkeypatch):
     monkeypatch.setattr(pseudonym, "LENGTH", 2)
     values = spark.range(3000).select(F.concat(F.lit("v"), "id").alias("v"))
     got = pseudonym.alias_table(values, "v", b"key", "session").collect()

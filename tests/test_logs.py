@@ -164,4 +164,4 @@ def test_csv_quoting(spark, tmp_path):
     rows = cube(spark, [dict(day="2026-07-01", model='say "hi", ok', total=5)])
     write_period_csv(period_model(rows, ["day"]), ['say "hi", ok'], str(tmp_path / "csv"))
     text = next((tmp_path / "csv").glob("part-*.csv")).read_text()
-    assert text.splitlines() == ['period,total_tokens,"say ""hi"", ok",calls', "2026-07-01,5,5,1"]
+    assert text.splitlines() == ['period,total_volume,"say ""hi"", ok",calls', "2026-07-01,5,5,1"]

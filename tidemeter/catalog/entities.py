@@ -129,7 +129,7 @@ b AS (SELECT count(*) AS sessions, CAST(max(total) AS BIGINT) AS session_max, me
 c AS (SELECT count(*) AS projects, CAST(max(total) AS BIGINT) AS project_max FROM p)
 SELECT days, total, calls, sessions, projects, round(m, 4) AS day_mean, day_max, round(sd / m, 6) AS day_cv,
 round(total / sessions, 4) AS session_mean, round(med, 4) AS session_median, session_max,
-round(total / projects, 4) AS project_mean, project_max, round(total / calls, 4) AS tokens_per_call,
+round(total / projects, 4) AS project_mean, project_max, round(total / calls, 4) AS volume_per_call,
 round(calls / days, 4) AS calls_per_day, round(sessions / days, 4) AS sessions_per_day FROM a, b, c""")
 def distribution_statistics(t):
     return en.distribution(t.cube("ln", "day"), t.entities("ln", "project", "entity"), t.entities("ln", "session", "entity"))

@@ -262,7 +262,7 @@ def pseudonym_table(t):
         F.count_distinct("alias").alias("aliases"), F.min(F.length("alias")).alias("shortest"))
 
 
-@query("S9 T1", f"""WITH {folded('ln')} SELECT strftime(date_trunc('month', day), '%Y-%m-%d') AS period, CAST(sum(total) AS BIGINT) AS total_tokens,
+@query("S9 T1", f"""WITH {folded('ln')} SELECT strftime(date_trunc('month', day), '%Y-%m-%d') AS period, CAST(sum(total) AS BIGINT) AS total_volume,
 CAST(coalesce(sum(total) FILTER (cm = 'brand-3'), 0) AS BIGINT) AS "brand-3", CAST(coalesce(sum(total) FILTER (cm = 'other'), 0) AS BIGINT) AS other, count(*) AS calls FROM lnf GROUP BY 1""")
 def csv_export(t):
     from tidemeter.operators.periods import period_model
@@ -270,18 +270,18 @@ def csv_export(t):
     path = shared_dir(t.spark, "csv")
     sinks.write_period_csv(period_model(t.folded("ln", "day model"), ["month"]), ["brand-3", "other"], path)
     return t.spark.read.option("header", "true").schema(
-        "period string, total_tokens bigint, `brand-3` bigint, other bigint, calls bigint").csv(path)
+        "period string, total_volume bigint, `brand-3` bigint, other bigint, calls bigint").csv(path)
 
 
-@query("S11", f"""WITH {EV} SELECT strftime(day, '%Y-%m-%d') AS generated, 'gemini' AS scope, CAST(sum(total) AS BIGINT) AS tokens FROM ev WHERE source = 'gemini' GROUP BY 1""")
+@query("S11", f"""WITH {EV} SELECT strftime(day, '%Y-%m-%d') AS generated, 'gemini' AS scope, CAST(sum(total) AS BIGINT) AS volume FROM ev WHERE source = 'gemini' GROUP BY 1""")
 def history_export(t):
     from tidemeter.operators.cube import additive
 
     path = shared_dir(t.spark, "history")
     history = additive(t.cube("ev", "day source"), ["source", "day"], ["total"]).select(
-        F.col("source").alias("scope"), cal.iso(F.col("day")).alias("generated"), F.col("total").alias("tokens"))
+        F.col("source").alias("scope"), cal.iso(F.col("day")).alias("generated"), F.col("total").alias("volume"))
     sinks.write_history_json(history, "gemini", path)
-    return t.spark.read.schema("scope string, generated string, tokens bigint").json(path)
+    return t.spark.read.schema("scope string, generated string, volume bigint").json(path)
 
 
 @query("S12", f"""WITH {folded('ev')}, h AS (SELECT hour, sum(total) AS v FROM evf WHERE hour IS NOT NULL GROUP BY 1), m AS (SELECT cm, sum(total) AS v FROM evf GROUP BY 1),

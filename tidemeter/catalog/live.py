@@ -16,15 +16,15 @@ from tidemeter.streaming import live as lv
 
 
 def _event_stream(t):
-    events = lv.file_stream(t.spark, t.root, t.table("events").schema, "events.parquet")
+    events = lv.table_stream(t.spark, t.root, "events", t.table("events").schema)
     return tables.events_as_usage(events)
 
 
 @query("L6 L2", f"""WITH {EV} SELECT strftime(day, '%Y-%m-%d') AS day, coalesce(model, 'unknown') AS model, CAST(sum(total) AS BIGINT) AS total, count(*) AS calls
-FROM ev WHERE ts IS NOT NULL GROUP BY 1, 2""")
+FROM ev GROUP BY 1, 2""")
 def streamed_day_totals(t):
     out = shared_dir(t.spark, "day-totals")
-    lv.write_updates(lv.tumbling_totals(_event_stream(t), "1 day"), out, shared_dir(t.spark, "ck")).awaitTermination()
+    lv.write_updates(lv.tumbling_totals(_event_stream(t), "1 day", untimed=True), out, shared_dir(t.spark, "ck")).awaitTermination()
     rows = lv.read_updates(t.spark, out, ["start", "model"])
     return rows.select(F.date_format("start", "yyyy-MM-dd").alias("day"), "model", "total", "calls")
 
@@ -38,7 +38,7 @@ def streamed_hour_totals(t):
     return rows.select(F.date_format("start", "yyyy-MM-dd HH").alias("at"), "model", "total", "calls")
 
 
-@query("L7", f"""WITH {EV} SELECT source, count(*) AS messages, CAST(sum(total) AS BIGINT) AS total FROM ev WHERE ts IS NOT NULL GROUP BY 1""")
+@query("L7", f"""WITH {EV} SELECT source, count(*) AS messages, CAST(sum(total) AS BIGINT) AS total FROM ev GROUP BY 1""")
 def streamed_dedup(t):
     out = shared_dir(t.spark, "dedup")
     copies = F.array_repeat(F.col("seq"), (F.col("seq") % 3 + 1).cast("int"))
@@ -51,11 +51,11 @@ def streamed_dedup(t):
 @query("L8", f"""WITH {EV}, x AS (SELECT *, CASE WHEN ts - lag(ts) OVER w <= INTERVAL 6 HOUR THEN 0 ELSE 1 END AS fresh FROM ev WHERE ts IS NOT NULL AND session <> '' WINDOW w AS (PARTITION BY session ORDER BY ts)),
 y AS (SELECT *, sum(fresh) OVER (PARTITION BY session ORDER BY ts, seq) AS g FROM x)
 SELECT session, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS first_ts, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS last_ts, CAST(sum(total) AS BIGINT) AS total, count(*) AS calls
-FROM y GROUP BY session, g HAVING max(ts) + INTERVAL 6 HOUR <= (SELECT max(ts) FROM ev) - INTERVAL 1 DAY""")
+FROM y GROUP BY session, g""")
 def streamed_activity_sessions(t):
     out = shared_dir(t.spark, "activity")
     # The watermark follows every event, so sessions are filtered after it.
-    stream = lv.activity_sessions(_event_stream(t), ["session"], "6 hours", "1 day")
+    stream = lv.activity_sessions(lv.closed(_event_stream(t), shared_dir(t.spark, "marker")), ["session"], "6 hours", "1 day")
     lv.write_rows(stream, out, shared_dir(t.spark, "ck")).awaitTermination()
     text = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c)
     return t.spark.read.parquet(out).where("session <> ''").select("session", text("first_ts"), text("last_ts"), "total", "calls")
@@ -65,11 +65,11 @@ def streamed_activity_sessions(t):
 e AS (SELECT *, CASE WHEN day - lag(day) OVER (ORDER BY day) < 8 AND month(day) = month(lag(day) OVER (ORDER BY day)) THEN 0 ELSE 1 END AS fresh FROM d),
 f AS (SELECT *, sum(fresh) OVER (ORDER BY day) AS g FROM e)
 SELECT strftime(min(day), '%Y-%m') AS month, strftime(min(day), '%Y-%m-%d') AS start, strftime(max(day), '%Y-%m-%d') AS "end", CAST(sum(total) AS BIGINT) AS total
-FROM f GROUP BY g HAVING max(day) + INTERVAL 180 HOUR <= (SELECT max(day) FROM d) - INTERVAL 1 DAY""")
+FROM f GROUP BY g""")
 def streamed_seasons(t):
-    events = lv.file_stream(t.spark, t.root, t.table("events").schema, "events.parquet")
+    events = lv.table_stream(t.spark, t.root, "events", t.table("events").schema)
     out = shared_dir(t.spark, "seasons")
-    lv.write_rows(lv.season_sessions(tables.gaps_as_usage(events)), out, shared_dir(t.spark, "ck")).awaitTermination()
+    lv.write_rows(lv.season_sessions(lv.closed(tables.gaps_as_usage(events), shared_dir(t.spark, "marker"))), out, shared_dir(t.spark, "ck")).awaitTermination()
     day = lambda c: F.date_format(c, "yyyy-MM-dd").alias(c)
     return t.spark.read.parquet(out).select("month", day("start"), day("end"), "total")
 
@@ -88,6 +88,21 @@ def streamed_log_ingest(t):
     return _plain(t.spark.read.parquet(out))
 
 
+@query("L1 P5", f"""WITH {_EVX}
+SELECT 'claude' AS source, 'not_json' AS reason, count(*) AS rows FROM evx WHERE source='claude' AND seq % 50 = 0
+UNION ALL SELECT 'claude', 'no_model', CAST(sum(k % 3 + 1) AS BIGINT) FROM evx WHERE source='claude' AND model IS NULL
+UNION ALL SELECT 'claude', 'bad_timestamp', CAST(sum(k % 3 + 1) AS BIGINT) FROM evx WHERE source='claude' AND model IS NOT NULL AND ts IS NULL
+UNION ALL SELECT source, 'bad_timestamp', count(*) FROM evx WHERE source IN ('gemini', 'codex') AND ts IS NULL GROUP BY 1""")
+def streamed_rejects(t):
+    """What a stream of landed files did not yield, with reasons."""
+    landing, out = shared_dir(t.spark, "landing"), shared_dir(t.spark, "ingested")
+    builders = {"claude": layouts.claude_lines, "gemini": layouts.gemini_files, "codex": layouts.codex_lines}
+    for source, build in builders.items():
+        layouts.write_logs(build(t.spark, t.root), f"{landing}/{source}")
+        lv.ingest_logs(t.spark, f"{landing}/{source}", source, ZONE, out, shared_dir(t.spark, "ck"), pattern="part-*").awaitTermination()
+    return t.spark.read.parquet(f"{out}-rejects").groupBy("source", "reason").agg(F.count(F.lit(1)).alias("rows"))
+
+
 def _id_sql(where):
     return f"""(SELECT left(sha256(string_agg(l, ';' ORDER BY l)), 24) FROM (SELECT strftime(day, '%Y-%m-%d') || '=' || sha256(string_agg(h, '' ORDER BY h)) AS l FROM
 (SELECT day, sha256(concat_ws('|', coalesce(model, 'unknown'), source, count(*), {_FIELDS})) AS h FROM ev {where} GROUP BY day, model, source) GROUP BY day))"""

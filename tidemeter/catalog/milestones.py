@@ -72,7 +72,7 @@ hh AS (SELECT hour, sum(total) AS v FROM {b} WHERE hour IS NOT NULL GROUP BY 1),
 dd AS (SELECT count(*) AS days, sum(total) AS total, sum(calls) AS calls, sum(cache_read) AS cr, avg(total) AS m, stddev_pop(total) AS sd FROM d),
 sa AS (SELECT count(*) AS n, max(v) AS mx, median(v) AS med FROM ss), pa AS (SELECT count(*) AS n, max(v) AS mx FROM pp),
 mv AS (SELECT metric, max(value) AS value FROM rm GROUP BY 1
-UNION ALL SELECT 'day_mean', round(m, 4) FROM dd UNION ALL SELECT 'tokens_per_call', round(total / calls, 4) FROM dd
+UNION ALL SELECT 'day_mean', round(m, 4) FROM dd UNION ALL SELECT 'volume_per_call', round(total / calls, 4) FROM dd
 UNION ALL SELECT 'calls_per_day', round(calls / days, 4) FROM dd UNION ALL SELECT 'session_mean', round(total / n, 4) FROM dd, sa
 UNION ALL SELECT 'session_median', round(med, 4) FROM sa UNION ALL SELECT 'session_max', mx FROM sa
 UNION ALL SELECT 'sessions_per_day', round(n / days, 4) FROM dd, sa UNION ALL SELECT 'project_mean', round(total / n, 4) FROM dd, pa

@@ -97,20 +97,20 @@ def records_against_history(t):
 
 
 _SNAP = """
-s0 AS (SELECT source || '/' || coalesce(model, 'unknown') AS scope, strftime(day, '%Y-%m-%d') AS generated, CAST(sum(total) AS BIGINT) AS tokens FROM ev GROUP BY 1, 2),
-s1 AS (SELECT scope, scope || '@' || generated AS id, generated, tokens FROM s0)"""
+s0 AS (SELECT source || '/' || coalesce(model, 'unknown') AS scope, strftime(day, '%Y-%m-%d') AS generated, CAST(sum(total) AS BIGINT) AS volume FROM ev GROUP BY 1, 2),
+s1 AS (SELECT scope, scope || '@' || generated AS id, generated, volume FROM s0)"""
 
 
 @query("W25", f"""
 WITH {EV}, {_SNAP}, k AS (SELECT *, row_number() OVER (PARTITION BY scope ORDER BY generated DESC, id DESC) AS n FROM s1),
 kk AS (SELECT * FROM k WHERE n <= 24), u AS (SELECT scope FROM kk GROUP BY 1 ORDER BY max(generated) DESC, scope LIMIT 8)
-SELECT scope, id, generated, tokens FROM kk WHERE scope IN (FROM u)""")
+SELECT scope, id, generated, volume FROM kk WHERE scope IN (FROM u)""")
 def history_upkeep(t):
     rows = additive(t.cube("ev", "day source model"), ["source", "model", "day"], ["total"]).select(
         F.concat_ws("/", "source", "model").alias("scope"), cal.iso(F.col("day")).alias("generated"),
-        F.col("total").alias("tokens"))
-    rows = rows.select("scope", F.concat_ws("@", "scope", "generated").alias("id"), "generated", "tokens")
-    stale = rows.withColumn("tokens", F.col("tokens") - 1)
+        F.col("total").alias("volume"))
+    rows = rows.select("scope", F.concat_ws("@", "scope", "generated").alias("id"), "generated", "volume")
+    stale = rows.withColumn("volume", F.col("volume") - 1)
     fresh = rows.where("generated >= '2024-01-20'")
     earlier = rows.where("generated < '2024-01-20'").unionByName(stale.where("generated >= '2024-01-20'"))
     return ss.upsert_history(earlier, fresh)
@@ -118,14 +118,14 @@ def history_upkeep(t):
 
 @query("W26", f"""
 WITH {folded('gp')}, dm AS (SELECT source AS scope, day, cm, CAST(sum(total) AS BIGINT) AS v FROM gpf GROUP BY 1, 2, 3),
-s AS (SELECT scope, strftime(day, '%Y-%m-%d') AS generated, CAST(sum(v) AS BIGINT) AS tokens,
+s AS (SELECT scope, strftime(day, '%Y-%m-%d') AS generated, CAST(sum(v) AS BIGINT) AS volume,
   arg_max(cm, v) AS ld, strftime(day, '%Y-%m') AS sid FROM dm GROUP BY scope, day),
 l AS (SELECT DISTINCT ON (scope, day) scope, strftime(day, '%Y-%m-%d') AS generated, cm AS ld FROM dm WHERE v > 0 ORDER BY scope, day, v DESC, cm),
-z AS (SELECT s.scope, s.generated, tokens, l.ld, sid FROM s LEFT JOIN l USING (scope, generated)),
-y AS (SELECT *, lag(generated) OVER w AS pg, lag(tokens) OVER w AS pt, lag(ld) OVER w AS pl, lag(sid) OVER w AS ps FROM z WINDOW w AS (PARTITION BY scope ORDER BY generated))
-SELECT scope, generated, pg AS previous_generated, tokens, tokens - pt AS delta, round((tokens - pt) / nullif(pt, 0), 6) AS ratio,
+z AS (SELECT s.scope, s.generated, volume, l.ld, sid FROM s LEFT JOIN l USING (scope, generated)),
+y AS (SELECT *, lag(generated) OVER w AS pg, lag(volume) OVER w AS pt, lag(ld) OVER w AS pl, lag(sid) OVER w AS ps FROM z WINDOW w AS (PARTITION BY scope ORDER BY generated))
+SELECT scope, generated, pg AS previous_generated, volume, volume - pt AS delta, round((volume - pt) / nullif(pt, 0), 6) AS ratio,
 coalesce(pl <> ld, false) AS model_changed, CASE WHEN ps IS NULL THEN 'baseline' WHEN ps = sid THEN 'continued' ELSE 'new' END AS season_state,
-CAST(coalesce(tokens > pt, false) AS BIGINT) AS records_broken FROM y""")
+CAST(coalesce(volume > pt, false) AS BIGINT) AS records_broken FROM y""")
 def snapshot_story(t):
     from pyspark.sql import Window as W
 
@@ -134,9 +134,9 @@ def snapshot_story(t):
     per = additive(t.folded("gp", "day source model"), ["source", "day", "model"], ["total"])
     lead = dominant(["source", "day"], per).select("source", "day", F.col("model").alias("dominant_model"))
     rows = additive(per, ["source", "day"], ["total"]).join(lead, ["source", "day"], "left").select(
-        F.col("source").alias("scope"), cal.iso(F.col("day")).alias("generated"), F.col("total").alias("tokens"),
+        F.col("source").alias("scope"), cal.iso(F.col("day")).alias("generated"), F.col("total").alias("volume"),
         "dominant_model", F.date_format("day", "yyyy-MM").alias("season_id"))
-    up = F.col("tokens") > F.lag("tokens").over(W.partitionBy("scope").orderBy("generated"))
+    up = F.col("volume") > F.lag("volume").over(W.partitionBy("scope").orderBy("generated"))
     return ss.story_facts(rows.withColumn("records_broken", F.coalesce(up, F.lit(False)).cast("bigint")))
 
 

@@ -170,7 +170,7 @@ def period_model_composition(t):
 WITH {EV}, {parts('ev')}
 SELECT seq, {', '.join(f'CAST({x} AS BIGINT) AS {x}' for x in PARTS)} FROM pt""")
 def record_composition(t):
-    from tidemeter.functions.tokens import composition
+    from tidemeter.functions.volumes import composition
 
     rec = t.rec("ev")
     made = composition(*[F.col(x) for x in ("source", "total", "input", "output", "cache_read", "cache_write")])
@@ -224,7 +224,7 @@ def model_shares(t):
 WITH {EV} SELECT CAST(sum(coalesce(cache_read,0)) AS BIGINT) AS cache_read, CAST(sum(total) AS BIGINT) AS total,
 round(sum(coalesce(cache_read,0)) / sum(total), 6) AS cache_share FROM ev""")
 def cache_share(t):
-    from tidemeter.functions.tokens import share
+    from tidemeter.functions.volumes import share
 
     return c.additive(t.cube("ev", "source"), [], ["cache_read", "total"]).withColumn(
         "cache_share", share(F.col("cache_read"), F.col("total")))

@@ -36,9 +36,9 @@ def hour_vectors(t):
 @query("A16", f"""
 WITH {EV}, x AS (SELECT hour, CAST(sum(total) AS BIGINT) AS total FROM ev WHERE hour IS NOT NULL GROUP BY 1)
 SELECT (SELECT hour FROM x ORDER BY total DESC, hour LIMIT 1) AS peak_hour, max(total) AS peak_total,
-{_sum_if('hour < 6 OR hour >= 22', 'night_tokens')}, {_sum_if('hour < 6', 'late_tokens')},
-{_sum_if('hour BETWEEN 6 AND 11', 'morning_tokens')}, {_sum_if('hour BETWEEN 12 AND 17', 'afternoon_tokens')},
-{_sum_if('hour >= 18', 'evening_tokens')} FROM x""")
+{_sum_if('hour < 6 OR hour >= 22', 'night_volume')}, {_sum_if('hour < 6', 'late_volume')},
+{_sum_if('hour BETWEEN 6 AND 11', 'morning_volume')}, {_sum_if('hour BETWEEN 12 AND 17', 'afternoon_volume')},
+{_sum_if('hour >= 18', 'evening_volume')} FROM x""")
 def peak_night_and_bands(t):
     return rh.rhythm_summary(t.cube("ev", "hour"))
 

@@ -69,8 +69,8 @@ def alias_table(values: DataFrame, column: str, key: bytes, kind: str) -> DataFr
         "_after", F.lead("_hex").over(beside)
     )
     alone = F.col("_before").isNull() & F.col("_after").isNull()
-    tokens = {c: base32(F.col(c), _FULL) for c in ("_hex", "_before", "_after")}
-    crowded = full.where(~alone).select("value", *[t.alias(c) for c, t in tokens.items()])
+    codes = {c: base32(F.col(c), _FULL) for c in ("_hex", "_before", "_after")}
+    crowded = full.where(~alone).select("value", *[t.alias(c) for c, t in codes.items()])
 
     def differs(length: int) -> Column:
         mine = F.substring("_hex", 1, length)

@@ -1,4 +1,4 @@
-"""Token arithmetic."""
+"""Arithmetic of volumes."""
 
 from __future__ import annotations
 
@@ -12,6 +12,13 @@ def zero(col: Column) -> Column:
     return F.coalesce(col, F.lit(0).cast("bigint"))
 
 
+def counter(text: Column) -> Column:
+    """A counter's text as a whole number, whole decimals too; null where it is none."""
+    number = text.try_cast("decimal(38,9)")
+    whole = number.try_cast("bigint")
+    return F.when(whole == number, whole)
+
+
 def composition(
     source: Column, total: Column, input_: Column, output: Column, read: Column, write: Column
 ) -> dict[str, Column]:
@@ -19,7 +26,7 @@ def composition(
 
     Each part takes what is left of the total, so the five always add up to
     ``max(0, total)``: a part is the step of the running want, cut off at the total.
-    Codex reports cached tokens inside its input.
+    Codex reports cached volume inside its input.
     """
     nothing = F.lit(0).cast("bigint")
     whole = F.greatest(zero(total), nothing)

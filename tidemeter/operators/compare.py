@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
 from tidemeter.functions import calendar as cal
-from tidemeter.functions.tokens import share, share_or_null
+from tidemeter.functions.volumes import share, share_or_null
 from tidemeter.operators import entities as en
 from tidemeter.operators.cube import additive
 from tidemeter.operators.periods import by_period, mark_adjacent, mark_complete

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemeter.functions import labels
-from tidemeter.functions.tokens import composition, zero
+from tidemeter.functions.volumes import composition, zero
 from tidemeter.schema import COUNTERS, PARTS
 
 KEYS = ("day", "hour", "source", "model")

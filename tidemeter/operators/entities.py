@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tidemeter.functions import calendar as cal
 from tidemeter.functions import labels
-from tidemeter.functions.tokens import share, zero
+from tidemeter.functions.volumes import share, zero
 from tidemeter.operators.periods import dominant
 from tidemeter.operators.registry import fold
 
@@ -241,7 +241,7 @@ def distribution(cube: DataFrame, projects: DataFrame, sessions: DataFrame) -> D
         ratio("total", "sessions").alias("session_mean"),
         F.round("median", 4).alias("session_median"), "session_max",
         ratio("total", "projects").alias("project_mean"), "project_max",
-        ratio("total", "calls").alias("tokens_per_call"),
+        ratio("total", "calls").alias("volume_per_call"),
         ratio("calls", "days").alias("calls_per_day"),
         ratio("sessions", "days").alias("sessions_per_day"),
     )

@@ -38,7 +38,7 @@ LADDERS = (
     ("input", "log", 1e3, 1e14, 54),
     ("output", "log", 1e3, 1e13, 50),
     ("cache_write", "log", 1e3, 1e13, 46),
-    ("tokens_per_call", "log", 10, 1e8, 42),
+    ("volume_per_call", "log", 10, 1e8, 42),
     ("calls_per_day", "log", 1, 1e5, 38),
     ("session_mean", "log", 100, 1e10, 46),
     ("session_median", "log", 100, 1e10, 42),
@@ -150,7 +150,7 @@ def metric_values(cube: DataFrame, projects: DataFrame, sessions: DataFrame, gen
     """(metric, value) of every laddered metric at the end of the range."""
     last = running_metrics(cube, projects, sessions).groupBy("metric").agg(F.max("value").alias("value"))
     shape = unpivot(en.distribution(cube, projects, sessions), {c: c for c in (
-        "day_mean", "tokens_per_call", "calls_per_day", "session_mean", "session_median", "session_max",
+        "day_mean", "volume_per_call", "calls_per_day", "session_mean", "session_median", "session_max",
         "sessions_per_day", "project_mean", "project_max", "day_cv")})
     clock = unpivot(rh.hour_indices(cube), {c: c for c in (
         "night_index", "morning_index", "work_index", "evening_index", "active_hours", "active_hour_mean",

@@ -6,12 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemeter.functions.tokens import share
+from tidemeter.functions.volumes import share
 from tidemeter.operators.cube import additive, beside
 from tidemeter.operators.rhythm import hour_vector, hourly
 
 # The classification thresholds.
-MINIMUM_TOKENS = 1000
+MINIMUM_VOLUME = 1000
 CACHE_RATIO = 0.35
 EXPLORE_MODELS, EXPLORE_PROJECTS = 3, 4
 DEEP_HOURS, DEEP_SHARE = 6, 0.72
@@ -47,10 +47,10 @@ def daily_features(cube: DataFrame, projects: DataFrame) -> DataFrame:
 
 def classify(features: DataFrame) -> DataFrame:
     """First rule that holds. The median comes from days that reach the minimum."""
-    median = F.median(F.when(F.col("total") >= MINIMUM_TOKENS, F.col("total"))).over(W.partitionBy())
+    median = F.median(F.when(F.col("total") >= MINIMUM_VOLUME, F.col("total"))).over(W.partitionBy())
     rows = features.withColumn("median", F.coalesce(median, F.lit(0.0)))
     mode = (
-        F.when(F.col("total") < MINIMUM_TOKENS, "insufficient")
+        F.when(F.col("total") < MINIMUM_VOLUME, "insufficient")
         .when(F.col("cache_ratio") >= CACHE_RATIO, "cache")
         .when((F.col("models") >= EXPLORE_MODELS) | (F.col("projects") >= EXPLORE_PROJECTS), "explore")
         .when(F.col("active_hours").between(1, DEEP_HOURS) & (F.col("four_hour_share") >= DEEP_SHARE), "deep")

@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemeter.functions import calendar as cal
-from tidemeter.functions.tokens import share, share_or_null
+from tidemeter.functions.volumes import share, share_or_null
 from tidemeter.operators.cube import additive, in_range
 from tidemeter.schema import COUNTERS, GRAINS, PARTS
 
@@ -95,7 +95,7 @@ def focus_days(cube: DataFrame, grain: str, period: str) -> DataFrame:
 
 
 def filter_coverage(cube: DataFrame, models: Sequence[str]) -> DataFrame:
-    """Selected and all tokens per grain."""
+    """Selected and all volume per grain."""
     pm = period_model(cube)
     chosen = F.coalesce(F.sum(F.when(F.col("model").isin(list(models)), F.col("total"))), F.lit(0).cast("bigint"))
     return pm.groupBy("grain").agg(chosen.alias("selected"), F.sum("total").alias("everything")).withColumn(

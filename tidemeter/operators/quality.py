@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemeter.functions import calendar as cal
-from tidemeter.functions.tokens import share
+from tidemeter.functions.volumes import share
 from tidemeter.operators.cube import COVERAGE
 
 # Grade limits and the field behind each capability.

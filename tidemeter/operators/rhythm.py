@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemeter.functions import calendar as cal
-from tidemeter.functions.tokens import share
+from tidemeter.functions.volumes import share
 from tidemeter.operators.cube import additive
 
 # Hour ranges of bands, indices and persona rules.
@@ -51,13 +51,13 @@ def hour_vector(hours: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def rhythm_summary(cube: DataFrame) -> DataFrame:
-    """Peak hour (first maximum), night tokens and the four band totals."""
+    """Peak hour (first maximum), night volume and the four band totals."""
     per_hour = hourly(cube, [])
     return per_hour.agg(
         F.max_by("hour", F.struct("total", -F.col("hour"))).cast("bigint").alias("peak_hour"),
         F.max("total").alias("peak_total"),
-        _sum_if(is_night()).alias("night_tokens"),
-        *[_sum_if(in_hours(lo, hi)).alias(f"{name}_tokens") for name, lo, hi in BANDS],
+        _sum_if(is_night()).alias("night_volume"),
+        *[_sum_if(in_hours(lo, hi)).alias(f"{name}_volume") for name, lo, hi in BANDS],
     )
 
 

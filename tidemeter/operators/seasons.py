@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemeter.functions import calendar as cal
-from tidemeter.functions.tokens import share
+from tidemeter.functions.volumes import share
 from tidemeter.operators.cube import additive, beside
 from tidemeter.operators.periods import dominant
 from tidemeter.operators.sequence import islands
@@ -143,18 +143,18 @@ def upsert_history(
 def story_facts(snapshots: DataFrame) -> DataFrame:
     """What changed between consecutive snapshots of each scope.
 
-    Input is (scope, generated, tokens, dominant_model, season_id, records_broken).
+    Input is (scope, generated, volume, dominant_model, season_id, records_broken).
     """
     w = W.partitionBy("scope").orderBy("generated")
     lag = lambda c: F.lag(c).over(w)
-    prev = lag("tokens")
+    prev = lag("volume")
     rows = snapshots.select(
         "*", prev.alias("_t"), lag("dominant_model").alias("_m"), lag("season_id").alias("_s"),
         lag("generated").alias("previous_generated"))
     return rows.select(
-        "scope", "generated", "previous_generated", "tokens",
-        (F.col("tokens") - F.col("_t")).alias("delta"),
-        F.round(F.try_divide(F.col("tokens") - F.col("_t"), F.col("_t")), 6).alias("ratio"),
+        "scope", "generated", "previous_generated", "volume",
+        (F.col("volume") - F.col("_t")).alias("delta"),
+        F.round(F.try_divide(F.col("volume") - F.col("_t"), F.col("_t")), 6).alias("ratio"),
         F.coalesce((F.col("_m") != F.col("dominant_model")), F.lit(False)).alias("model_changed"),
         F.when(F.col("_s").isNull(), "baseline").when(F.col("_s") == F.col("season_id"), "continued")
         .otherwise("new").alias("season_state"),

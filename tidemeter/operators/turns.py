@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemeter.functions.tokens import share, zero
+from tidemeter.functions.volumes import share, zero
 
 # Fixed value: turns kept per session for replay.
 REPLAY_TURNS = 200

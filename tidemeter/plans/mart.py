@@ -49,6 +49,9 @@ def prepare_checkpoints(spark: SparkSession, fallback: str) -> None:
         spark.sparkContext.setCheckpointDir(base)
 
 
+_FAILURE = "version long, error string, message string"
+
+
 class UsageMart:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
@@ -56,7 +59,7 @@ class UsageMart:
     def _path(self, *parts: str) -> str:
         return "/".join((self.root, *parts))
 
-    def add_batch(self, rec: DataFrame, batch_id: int) -> None:
+    def add_batch(self, rec: DataFrame, batch_id: int | str) -> None:
         """Write one batch's partial aggregates; safe to repeat with the same id."""
         rec = rec.persist(StorageLevel.MEMORY_AND_DISK)
         try:
@@ -110,8 +113,15 @@ class UsageMart:
         try:
             return "published" if self.publish(build()) else "unchanged"
         except Exception as error:  # noqa: BLE001 - any failure must leave readers on the old version
+            version, _ = self.latest()
+            self.spark.createDataFrame([(version, type(error).__name__, str(error)[:500])], _FAILURE).withColumn(
+                "at", F.current_timestamp()).coalesce(1).write.mode("append").parquet(self._path("published", "failures"))
             return f"failed: {type(error).__name__}"
 
+    def failures(self) -> DataFrame:
+        """Refreshes that left the version as it was, and why."""
+        return table_or_empty(self.spark, self._path("published", "failures"), f"{_FAILURE}, at timestamp")
+
     def current(self) -> DataFrame:
         version, _ = self.latest()
         return self.spark.read.parquet(self._path("published", "data", f"version={version}"))

@@ -30,26 +30,33 @@ RECORD = T.StructType(
     ]
 )
 
+# Counter names of the log formats. Counters and the objects that hold them are read as text,
+# so that a value which is not what the format says can be told from a missing one.
+CLAUDE_COUNTERS = {
+    "input": "input_tokens", "output": "output_tokens",
+    "cache_read": "cache_read_input_tokens", "cache_write": "cache_creation_input_tokens",
+}
+GEMINI_USAGE = "tokens"
+GEMINI_COUNTERS = {n: n for n in ("input", "output", "cached", "thoughts", "tool", "total")}
+CODEX_COUNTERS = {
+    "input": "input_tokens", "cache_read": "cached_input_tokens", "output": "output_tokens",
+    "reasoning": "reasoning_output_tokens", "total": "total_tokens",
+}
+
 CLAUDE_LINE = """
     type string, timestamp string, sessionId string, cwd string,
-    message struct<id string, model string,
-        usage struct<input_tokens bigint, output_tokens bigint,
-            cache_read_input_tokens bigint, cache_creation_input_tokens bigint>>,
+    message struct<id string, model string, usage string>,
     _bad string
 """
 
-GEMINI_FILE = """
+GEMINI_FILE = f"""
     sessionId string,
-    messages array<struct<type string, model string, timestamp string,
-        tokens struct<input bigint, output bigint, cached bigint,
-            thoughts bigint, tool bigint, total bigint>>>,
+    messages array<struct<type string, model string, timestamp string, {GEMINI_USAGE} string>>,
     _bad string
 """
 
 CODEX_LINE = """
     type string, timestamp string,
-    payload struct<type string, model string,
-        info struct<last_token_usage struct<input_tokens bigint, cached_input_tokens bigint,
-            output_tokens bigint, reasoning_output_tokens bigint, total_tokens bigint>>>,
+    payload struct<type string, model string, info struct<last_token_usage string>>,
     _bad string
 """

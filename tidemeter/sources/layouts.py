@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemeter.schema import CLAUDE_COUNTERS, CODEX_COUNTERS, GEMINI_USAGE
 from tidemeter.sources.tables import event_usage
 
 GEMINI_RANGE = 2500
@@ -26,9 +27,7 @@ def claude_lines(spark: SparkSession, root: str) -> DataFrame:
     """(file_path, block, seq, value): turns repeated up to three times, broken lines between."""
     e = _events(spark, root, "claude")
     usage = F.struct(
-        F.col("input").alias("input_tokens"), F.col("output").alias("output_tokens"),
-        F.col("cache_read").alias("cache_read_input_tokens"),
-        F.col("cache_write").alias("cache_creation_input_tokens"))
+        *(F.col(c).alias(n) for c, n in CLAUDE_COUNTERS.items()))
     ident = F.when(F.col("k") % 5 != 0, F.concat(F.lit("msg-"), "event_id"))
     turn = F.to_json(F.struct(
         F.lit("assistant").alias("type"), F.col("stamp").alias("timestamp"), F.col("session").alias("sessionId"),
@@ -48,12 +47,12 @@ def claude_lines(spark: SparkSession, root: str) -> DataFrame:
 def gemini_files(spark: SparkSession, root: str) -> DataFrame:
     """One document per user and event range: at most ``GEMINI_RANGE`` messages each."""
     e = _events(spark, root, "gemini")
-    tokens = F.struct(
+    usage = F.struct(
         "input", "output", F.col("cache_read").alias("cached"),
         F.when(F.col("k") % 2 == 0, F.col("k")).alias("thoughts"), F.when(F.col("k") % 2 == 1, F.col("k")).alias("tool"),
         F.when(F.col("k") % 4 == 0, F.col("total")).alias("total"))
     message = F.struct(
-        F.lit("gemini").alias("type"), F.col("model"), F.col("stamp").alias("timestamp"), tokens.alias("tokens"))
+        F.lit("gemini").alias("type"), F.col("model"), F.col("stamp").alias("timestamp"), usage.alias(GEMINI_USAGE))
     docs = e.groupBy("user_id", F.expr(f"event_id div {GEMINI_RANGE}").alias("part")).agg(
         F.transform(F.array_sort(F.collect_list(F.struct("event_id", message.alias("m")))), lambda s: s["m"]).alias("messages"))
     name = F.concat_ws("-", F.lit("session"), "user_id", "part")
@@ -67,9 +66,9 @@ def codex_lines(spark: SparkSession, root: str) -> DataFrame:
     """Token events with a context event before every fourth id."""
     e = _events(spark, root, "codex")
     usage = F.struct(
-        F.col("input").alias("input_tokens"), F.col("cache_read").alias("cached_input_tokens"),
-        F.col("output").alias("output_tokens"), (F.col("k") % 7).alias("reasoning_output_tokens"),
-        F.when(F.col("k") % 3 == 0, F.col("total")).alias("total_tokens"))
+        *(F.col(c).alias(CODEX_COUNTERS[c]) for c in ("input", "cache_read", "output")),
+        (F.col("k") % 7).alias(CODEX_COUNTERS["reasoning"]),
+        F.when(F.col("k") % 3 == 0, F.col("total")).alias(CODEX_COUNTERS["total"]))
     payload = lambda *fields: F.struct(
         F.lit("event_msg").alias("type"), F.col("stamp").alias("timestamp"), F.struct(*fields).alias("payload"))
     count = F.to_json(payload(

@@ -17,13 +17,14 @@ from pyspark.sql import functions as F
 
 from tidemeter.functions import calendar as cal
 from tidemeter.functions import labels
-from tidemeter.functions.tokens import zero
+from tidemeter.functions.volumes import counter, zero
 from tidemeter.operators.dedup import first_per_key
-from tidemeter.schema import CLAUDE_LINE, CODEX_LINE, GEMINI_FILE, RECORD
+from tidemeter.schema import (
+    CLAUDE_COUNTERS, CLAUDE_LINE, CODEX_COUNTERS, CODEX_LINE, GEMINI_COUNTERS, GEMINI_FILE, GEMINI_USAGE, RECORD,
+)
 
-# Input guards, file name patterns, placeholder names.
+# The guard of files that are read whole, file name patterns, placeholder names.
 MAX_FILE_BYTES = 64 * 1024 * 1024
-MAX_LINE_CHARS = 4 * 1024 * 1024
 GLOBS = {"claude": "*.jsonl", "gemini": "session-*.json", "codex": "rollout-*.jsonl"}
 SYNTHETIC_MODEL = "<synthetic>"
 DEFAULT_MODEL = {"gemini": "gemini-unknown", "codex": "codex-unknown"}
@@ -56,9 +57,14 @@ def list_files(
     return files
 
 
+def fits(size: Column, most: int | None) -> Column:
+    """Within the guard; no guard lets everything through."""
+    return F.lit(True) if most is None else size <= most
+
+
 def _scan(
     spark: SparkSession, path: str | list[str], source: str, whole: bool, pattern: str | None,
-    max_file_bytes: int, after: str | None = None,
+    max_file_bytes: int | None, after: str | None = None,
 ) -> DataFrame:
     """``pattern`` overrides the tool's own file names, for logs landed by other writers.
 
@@ -71,7 +77,7 @@ def _scan(
         reader.option("recursiveFileLookup", "true")
         .option("pathGlobFilter", pattern or GLOBS[source])
         .text(path, wholetext=whole)
-        .where(F.col("_metadata.file_size") <= max_file_bytes)
+        .where(fits(F.col("_metadata.file_size"), max_file_bytes))
         .select(
             "value",
             F.col("_metadata.file_path").alias("file_path"),
@@ -98,9 +104,10 @@ def scan_lines(
     path: str | list[str],
     source: str,
     pattern: str | None = None,
-    max_file_bytes: int = MAX_FILE_BYTES,
+    max_file_bytes: int | None = None,
     after: str | None = None,
 ) -> DataFrame:
+    """One row per line. The scan splits large files, so no size needs a guard."""
     return number_lines(_scan(spark, path, source, False, pattern, max_file_bytes, after))
 
 
@@ -109,10 +116,10 @@ def scan_files(
     path: str | list[str],
     source: str,
     pattern: str | None = None,
-    max_file_bytes: int = MAX_FILE_BYTES,
+    max_file_bytes: int | None = MAX_FILE_BYTES,
     after: str | None = None,
 ) -> DataFrame:
-    """One row per file, bounded by the file-size guard."""
+    """One row per file, so a file must fit in a task; ``read_rejects`` lists what the guard leaves out."""
     return number_lines(_scan(spark, path, source, True, pattern, max_file_bytes, after))
 
 
@@ -121,6 +128,18 @@ def _stripped(lines: DataFrame) -> DataFrame:
     return lines.withColumn("value", text).where(F.char_length("value") > 0)
 
 
+def _usage(text: Column, names: Mapping[str, str]) -> tuple[dict[str, Column], Column, Column]:
+    """Counters of a usage object, and whether it, or one of them, is present but not what it should be."""
+    fields = F.from_json(text, ", ".join(f"{n} string" for n in names.values()))
+    found = {key: counter(fields[n]) for key, n in names.items()}
+    bad = reduce(lambda a, b: a | b, (fields[n].isNotNull() & found[key].isNull() for key, n in names.items()))
+    return found, text.isNotNull() & ~text.rlike(r"^\s*\{"), bad
+
+
+def _too_long(most: int | None) -> Column:
+    return F.lit(False) if most is None else F.char_length("value") > most
+
+
 def _reason(*cases: tuple[str, Column]) -> Column:
     """Name of the first failing check, null for a good row."""
     return F.coalesce(*[F.when(F.coalesce(bad, F.lit(False)), F.lit(name)) for name, bad in cases])
@@ -134,24 +153,19 @@ def _finish(rows: DataFrame, zone: str) -> DataFrame:
 
 def classify_claude(
     lines: DataFrame, zone: str, rules: Iterable[tuple[int, str, str]] = (),
-    max_line_chars: int = MAX_LINE_CHARS,
+    max_line_chars: int | None = None,
 ) -> DataFrame:
     """Every assistant line (or unreadable line) with a reject ``reason`` or null."""
     o = F.col("o")
-    usage = F.col("o.message.usage")
-    too_long = F.char_length("value") > max_line_chars
+    found, bad_usage, bad_counter = _usage(F.col("o.message.usage"), CLAUDE_COUNTERS)
+    too_long = _too_long(max_line_chars)
     parsed = _stripped(lines).withColumn(
         "o", F.from_json(F.when(~too_long, F.col("value")), CLAUDE_LINE, _CORRUPT)
     )
     broken = o["_bad"].isNotNull()
     kept = parsed.where(too_long | (o["type"] == "assistant") | (o["type"].isNull() & broken))
     model = o["message"]["model"]
-    counters = {
-        "input": zero(usage["input_tokens"]),
-        "output": zero(usage["output_tokens"]),
-        "cache_read": zero(usage["cache_read_input_tokens"]),
-        "cache_write": zero(usage["cache_creation_input_tokens"]),
-    }
+    counters = {n: zero(c) for n, c in found.items()}
     ts = cal.instant(o["timestamp"], zone)
     rows = kept.select(
         F.lit("claude").alias("source"),
@@ -169,6 +183,8 @@ def classify_claude(
             ("not_json", o["type"].isNull()),
             ("no_model", F.coalesce(F.nullif(model, F.lit("")), F.lit(SYNTHETIC_MODEL)) == SYNTHETIC_MODEL),
             ("bad_timestamp", ts.isNull()),
+            ("bad_usage", bad_usage),
+            ("bad_counter", bad_counter),
         ).alias("reason"),
     )
     tagged = rows.withColumn("message_key", F.coalesce(
@@ -184,10 +200,14 @@ def classify_claude(
 
 def parse_claude(
     lines: DataFrame, zone: str, rules: Iterable[tuple[int, str, str]] = (),
-    scope: str = "file",
+    scope: str = "file", max_line_chars: int | None = None,
 ) -> DataFrame:
     """Assistant turns, first occurrence of each message kept per file (or globally)."""
-    good = classify_claude(lines, zone, rules).where("reason is null").drop("reason")
+    return first_messages(classify_claude(lines, zone, rules, max_line_chars), scope)
+
+
+def first_messages(classified: DataFrame, scope: str = "file") -> DataFrame:
+    good = classified.where("reason is null").drop("reason")
     keys = ["message_key"] if scope == "global" else ["file_path", "message_key"]
     return first_per_key(good, keys, ["file_path", "block", "seq"]).drop("message_key")
 
@@ -199,8 +219,8 @@ def classify_gemini(files: DataFrame, zone: str) -> DataFrame:
         "file_path", "block", F.col("o.sessionId").alias("session"), broken.alias("broken"),
         F.posexplode_outer("o.messages").alias("pos", "m"),
     ).where(F.col("broken") | (F.col("m.type") == "gemini"))
-    tk = F.col("m.tokens")
-    parts = {n: zero(tk[n]) for n in ("input", "output", "cached", "thoughts", "tool")}
+    found, bad_usage, bad_counter = _usage(F.col(f"m.{GEMINI_USAGE}"), GEMINI_COUNTERS)
+    parts = {n: zero(c) for n, c in found.items() if n != "total"}
     ts = cal.instant(F.col("m.timestamp"), zone)
     rows = exploded.select(
         F.lit("gemini").alias("source"),
@@ -212,12 +232,15 @@ def classify_gemini(files: DataFrame, zone: str) -> DataFrame:
         parts["cached"].alias("cache_read"),
         F.lit(0).cast("bigint").alias("cache_write"),
         F.coalesce(
-            F.nullif(tk["total"], F.lit(0).cast("bigint")), reduce(lambda a, b: a + b, parts.values())
+            F.nullif(found["total"], F.lit(0).cast("bigint")), reduce(lambda a, b: a + b, parts.values())
         ).alias("total"),
         "session",
         F.lit(None).cast("string").alias("project"),
         "file_path", "block", F.col("pos").cast("bigint").alias("seq"),
-        _reason(("not_json", F.col("broken")), ("bad_timestamp", ts.isNull())).alias("reason"),
+        _reason(
+            ("not_json", F.col("broken")), ("bad_timestamp", ts.isNull()),
+            ("bad_usage", bad_usage), ("bad_counter", bad_counter),
+        ).alias("reason"),
     )
     return _finish(rows, zone)
 
@@ -227,32 +250,37 @@ def parse_gemini(files: DataFrame, zone: str) -> DataFrame:
 
 
 def carry_forward(events: DataFrame, column: str, out: str) -> DataFrame:
-    """Latest non-null ``column`` at or before each event of the same file."""
-    so_far = (
-        W.partitionBy("file_path").orderBy("block", "seq")
-        .rowsBetween(W.unboundedPreceding, W.currentRow)
-    )
-    return events.withColumn(out, F.last(column, ignorenulls=True).over(so_far))
+    """Latest non-null ``column`` at or before each event of the same file.
+
+    In two steps, so that no task holds more than one split of a file: the last value of each split is
+    carried over the splits of its file, and inside a split over its lines.
+    """
+    inside = W.partitionBy("file_path", "block").orderBy("seq").rowsBetween(W.unboundedPreceding, W.currentRow)
+    before = W.partitionBy("file_path").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
+    splits = events.groupBy("file_path", "block").agg(
+        F.max_by(column, F.when(F.col(column).isNotNull(), F.col("seq"))).alias("_end"))
+    splits = splits.select("file_path", "block", F.last("_end", ignorenulls=True).over(before).alias("_before"))
+    carried = events.withColumn("_inside", F.last(column, ignorenulls=True).over(inside)).join(splits, ["file_path", "block"], "left")
+    return carried.withColumn(out, F.coalesce("_inside", "_before")).drop("_inside", "_before")
 
 
 def classify_codex(
-    lines: DataFrame, zone: str, max_line_chars: int = MAX_LINE_CHARS
+    lines: DataFrame, zone: str, max_line_chars: int | None = None
 ) -> DataFrame:
     """Token events with the model in force; context events only feed the carry-forward."""
     o = F.col("o")
-    usage = F.col("o.payload.info.last_token_usage")
-    too_long = F.char_length("value") > max_line_chars
+    text = F.col("o.payload.info.last_token_usage")
+    found, bad_usage, bad_counter = _usage(text, CODEX_COUNTERS)
+    too_long = _too_long(max_line_chars)
     parsed = _stripped(lines).withColumn(
         "o", F.from_json(F.when(~too_long, F.col("value")), CODEX_LINE, _CORRUPT)
     )
     broken = o["type"].isNull() & o["_bad"].isNotNull()
     kind = o["payload"]["type"]
     context = (o["type"] == "event_msg") & (kind == "turn_context")
-    count = (o["type"] == "event_msg") & (kind == "token_count") & F.coalesce(*[
-        usage[n] for n in ("input_tokens", "cached_input_tokens", "output_tokens",
-                           "reasoning_output_tokens", "total_tokens")
-    ]).isNotNull()
-    inp, out = zero(usage["input_tokens"]), zero(usage["output_tokens"])
+    some = F.coalesce(*found.values()).isNotNull() | bad_usage | bad_counter
+    count = (o["type"] == "event_msg") & (kind == "token_count") & some
+    inp, out = zero(found["input"]), zero(found["output"])
     ts = cal.instant(o["timestamp"], zone)
     events = parsed.where(too_long | broken | context | count).select(
         F.lit("codex").alias("source"),
@@ -260,10 +288,10 @@ def classify_codex(
         ts.alias("ts"),
         F.when(context, F.nullif(o["payload"]["model"], F.lit(""))).alias("declared"),
         inp.alias("input"),
-        (out + zero(usage["reasoning_output_tokens"])).alias("output"),
-        zero(usage["cached_input_tokens"]).alias("cache_read"),
+        (out + zero(found["reasoning"])).alias("output"),
+        zero(found["cache_read"]).alias("cache_read"),
         F.lit(0).cast("bigint").alias("cache_write"),
-        F.coalesce(F.nullif(usage["total_tokens"], F.lit(0).cast("bigint")), inp + out).alias("total"),
+        F.coalesce(F.nullif(found["total"], F.lit(0).cast("bigint")), inp + out).alias("total"),
         F.lit(None).cast("string").alias("session"),
         F.lit(None).cast("string").alias("project"),
         "file_path", "block", "seq",
@@ -272,6 +300,8 @@ def classify_codex(
             ("line_too_long", too_long),
             ("not_json", o["type"].isNull()),
             ("bad_timestamp", ts.isNull()),
+            ("bad_usage", bad_usage & ~context),
+            ("bad_counter", bad_counter & ~context),
         ).alias("reason"),
     )
     modelled = carry_forward(events, "declared", "model").where(~F.col("is_context"))
@@ -280,31 +310,33 @@ def classify_codex(
     )
 
 
-def parse_codex(lines: DataFrame, zone: str) -> DataFrame:
-    return classify_codex(lines, zone).where("reason is null").drop("reason")
+def parse_codex(lines: DataFrame, zone: str, max_line_chars: int | None = None) -> DataFrame:
+    return classify_codex(lines, zone, max_line_chars).where("reason is null").drop("reason")
 
 
 def read_claude(
     spark: SparkSession, path, zone: str, rules=(), scope: str = "file", pattern: str | None = None,
     files: DataFrame | None = None, after: str | None = None,
+    max_file_bytes: int | None = None, max_line_chars: int | None = None,
 ) -> DataFrame:
-    lines = scan_lines(spark, path, "claude", pattern, after=after)
-    return parse_claude(only_files(lines, files), zone, rules, scope)
+    lines = only_files(scan_lines(spark, path, "claude", pattern, max_file_bytes, after), files)
+    return parse_claude(lines, zone, rules, scope, max_line_chars)
 
 
 def read_gemini(
     spark: SparkSession, path, zone: str, pattern: str | None = None,
-    files: DataFrame | None = None, after: str | None = None,
+    files: DataFrame | None = None, after: str | None = None, max_file_bytes: int | None = MAX_FILE_BYTES,
 ) -> DataFrame:
-    return parse_gemini(only_files(scan_files(spark, path, "gemini", pattern, after=after), files), zone)
+    return parse_gemini(only_files(scan_files(spark, path, "gemini", pattern, max_file_bytes, after), files), zone)
 
 
 def read_codex(
     spark: SparkSession, path, zone: str, pattern: str | None = None,
     files: DataFrame | None = None, after: str | None = None,
+    max_file_bytes: int | None = None, max_line_chars: int | None = None,
 ) -> DataFrame:
-    lines = scan_lines(spark, path, "codex", pattern, after=after)
-    return parse_codex(only_files(lines, files), zone)
+    lines = only_files(scan_lines(spark, path, "codex", pattern, max_file_bytes, after), files)
+    return parse_codex(lines, zone, max_line_chars)
 
 
 READERS: dict[str, Callable[..., DataFrame]] = {
@@ -337,24 +369,34 @@ def read_all(
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 
+def classify(lines: DataFrame, source: str, zone: str, max_line_chars: int | None = None) -> DataFrame:
+    """Records and rejects of one of the three log sources."""
+    if source == "gemini":
+        return classify_gemini(lines, zone)
+    return {"claude": classify_claude, "codex": classify_codex}[source](lines, zone, max_line_chars=max_line_chars)
+
+
+def rejects(classified: DataFrame) -> DataFrame:
+    return classified.where("reason is not null").select("source", "reason", "file_path", "block", "seq")
+
+
 def read_rejects(
-    spark: SparkSession, paths: Mapping[str, str | list[str]], zone: str, pattern: str | None = None
+    spark: SparkSession, paths: Mapping[str, str | list[str]], zone: str, pattern: str | None = None,
+    max_file_bytes: Mapping[str, int | None] | None = None, max_line_chars: int | None = None,
 ) -> DataFrame:
-    """Rejected rows of every source with a reason; oversize files appear by listing."""
+    """Rejected rows of every source with a reason; files beyond a guard appear by listing.
+
+    ``max_file_bytes`` names guards by source; without it only files that are read whole have one.
+    """
+    guards = {"gemini": MAX_FILE_BYTES} | dict(max_file_bytes or {})
     frames = []
-    columns = ["source", "reason", "file_path", "block", "seq"]
-    if "claude" in paths:
-        frames.append(classify_claude(scan_lines(spark, paths["claude"], "claude", pattern), zone))
-    if "gemini" in paths:
-        frames.append(classify_gemini(scan_files(spark, paths["gemini"], "gemini", pattern), zone))
-    if "codex" in paths:
-        frames.append(classify_codex(scan_lines(spark, paths["codex"], "codex", pattern), zone))
-    rejected = [f.where("reason is not null").select(*columns) for f in frames]
     for source, path in paths.items():
-        rejected.append(
-            list_files(spark, path, source, pattern)
-            .where(F.col("bytes") > MAX_FILE_BYTES)
-            .select("source", F.lit("file_too_large").alias("reason"), "file_path",
-                    F.lit(0).cast("bigint").alias("block"), F.lit(0).cast("bigint").alias("seq"))
-        )
-    return reduce(DataFrame.unionByName, rejected)
+        scan = scan_files if source == "gemini" else scan_lines
+        frames.append(rejects(classify(scan(spark, path, source, pattern, guards.get(source)), source, zone, max_line_chars)))
+        if guards.get(source) is not None:
+            frames.append(
+                list_files(spark, path, source, pattern)
+                .where(F.col("bytes") > guards[source])
+                .select("source", F.lit("file_too_large").alias("reason"), "file_path",
+                        F.lit(0).cast("bigint").alias("block"), F.lit(0).cast("bigint").alias("seq")))
+    return reduce(DataFrame.unionByName, frames)

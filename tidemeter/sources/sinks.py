@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemeter.functions import calendar as cal
-from tidemeter.functions.tokens import share
+from tidemeter.functions.volumes import share
 from tidemeter.operators.cube import additive
 from tidemeter.operators.periods import period_model, wide
 from tidemeter.operators.rhythm import hourly
@@ -18,7 +18,7 @@ from tidemeter.schema import PARTS
 
 def write_period_csv(period_rows: DataFrame, models: Sequence[str], path: str) -> None:
     """Period, total, one column per model, calls; quotes are doubled inside fields."""
-    table = wide(period_rows, models).withColumnRenamed("total", "total_tokens")
+    table = wide(period_rows, models).withColumnRenamed("total", "total_volume")
     named = table.withColumn("period", cal.iso(F.col("period")))
     named.repartition(1).sortWithinPartitions("period").write.option("header", "true").option(
         "quote", '"').option("escape", '"').mode("overwrite").csv(path)

@@ -2,11 +2,13 @@
 
 Row-ordered readers (first-wins dedup, carry-forward) need batch windows, so they run
 inside ``foreachBatch`` on whole immutable files. Every sink writes a folder named after
-the batch, which makes a replay after failure overwrite itself.
+the query and the batch: a replay after failure overwrites itself, and another query on the
+same target, whose batches count from 0 too, overwrites nothing.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,7 +18,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tidemeter.functions import calendar as cal
 from tidemeter.functions import labels
-from tidemeter.functions.tokens import zero
+from tidemeter.functions.volumes import zero
 from tidemeter.plans.mart import UsageMart
 from tidemeter.sources import logs
 
@@ -24,27 +26,48 @@ from tidemeter.sources import logs
 REFRESH = "300 seconds"
 
 
-def file_stream(spark: SparkSession, path: str, schema, pattern: str) -> DataFrame:
-    return spark.readStream.schema(schema).option("pathGlobFilter", pattern).parquet(path)
+def table_stream(spark: SparkSession, root: str, name: str, schema) -> DataFrame:
+    """A stored table as a stream, be it one Parquet file or a folder of part files."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root}/{name}.parquet")
+    status = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(path)
+    reader = spark.readStream.schema(schema)
+    return reader.parquet(str(path)) if status.isDirectory() else reader.option("pathGlobFilter", f"{name}.parquet").parquet(root)
 
 
-def log_stream(spark: SparkSession, path: str, source: str, pattern: str | None = None) -> DataFrame:
+def closed(stream: DataFrame, folder: str) -> DataFrame:
+    """The stream with an end-of-input marker: a row of a far time, kept in ``folder``, that moves the watermark
+    past all windows, so that the last ones come out too. Its own window stays open and never comes out."""
+    spark = stream.sparkSession
+    fields = [F.lit("9999-01-01" if f.name == "ts" else None).cast(f.dataType).alias(f.name) for f in stream.schema]
+    spark.range(1).select(*fields).write.parquet(folder)
+    return stream.unionByName(spark.readStream.schema(stream.schema).parquet(folder))
+
+
+def log_stream(
+    spark: SparkSession, path: str, source: str, pattern: str | None = None,
+    max_file_bytes: int | None = None, files_per_batch: int = 1000,
+) -> DataFrame:
     """Lines (or whole files) with their lineage; land logs as immutable chunks."""
-    return (
+    guard = logs.MAX_FILE_BYTES if source == "gemini" and max_file_bytes is None else max_file_bytes
+    scan = (
         spark.readStream.format("text")
         .option("recursiveFileLookup", "true")
         .option("pathGlobFilter", pattern or logs.GLOBS[source])
         .option("wholetext", str(source == "gemini").lower())
+        .option("maxFilesPerTrigger", files_per_batch)
         .load(path)
-        .where(F.col("_metadata.file_size") <= logs.MAX_FILE_BYTES)
-        .select("value", F.col("_metadata.file_path").alias("file_path"),
+        .select(F.when(logs.fits(F.col("_metadata.file_size"), guard), F.col("value")).alias("value"),
+                F.col("_metadata.file_path").alias("file_path"),
                 F.col("_metadata.file_block_start").alias("block"))
     )
+    if source == "gemini" and pattern is None:
+        scan = scan.where(F.col("file_path").rlike(r"/chats/[^/]+$"))
+    return scan
 
 
-def parse_batch(batch: DataFrame, source: str, zone: str) -> DataFrame:
-    parse = {"claude": logs.parse_claude, "gemini": logs.parse_gemini, "codex": logs.parse_codex}[source]
-    return parse(logs.number_lines(batch), zone)
+def query_id(spark: SparkSession, checkpoint: str) -> str:
+    """The id that a started query keeps in its checkpoint for life."""
+    return json.loads(spark.read.text(f"{checkpoint}/metadata").first()[0])["id"]
 
 
 def start(
@@ -59,36 +82,55 @@ def start(
 
 def ingest_logs(
     spark: SparkSession, path: str, source: str, zone: str, target: str, checkpoint: str,
-    pattern: str | None = None, interval: str | None = None,
+    pattern: str | None = None, interval: str | None = None, rejects: str | None = None,
+    max_file_bytes: int | None = None, max_line_chars: int | None = None,
 ) -> StreamingQuery:
-    """Parse newly landed files into ``target/source=../batch=..``."""
+    """Parse newly landed files into ``target/source=../batch=..``, and what they do not yield, with its
+    reason, into ``rejects`` (by default beside the target)."""
+    rejects = rejects or f"{target.rstrip('/')}-rejects"
+
     def each(batch: DataFrame, batch_id: int) -> None:
-        parse_batch(batch, source, zone).drop("source").write.mode("overwrite").parquet(
-            f"{target}/source={source}/batch={batch_id}")
+        name = f"source={source}/batch={query_id(spark, checkpoint)}-{batch_id}"
+        lines = logs.number_lines(batch).persist()
+        try:
+            oversize = lines.where("value is null").select(
+                F.lit(source).alias("source"), F.lit("file_too_large").alias("reason"), "file_path", "block", "seq")
+            found = logs.classify(lines.where("value is not null"), source, zone, max_line_chars)
+            good = logs.first_messages(found) if source == "claude" else found.where("reason is null").drop("reason")
+            good.drop("source").write.mode("overwrite").parquet(f"{target}/{name}")
+            logs.rejects(found).unionByName(oversize.distinct()).drop("source").write.mode("overwrite").parquet(f"{rejects}/{name}")
+        finally:
+            lines.unpersist()
 
-    return start(log_stream(spark, path, source, pattern), each, checkpoint, interval)
+    return start(log_stream(spark, path, source, pattern, max_file_bytes), each, checkpoint, interval)
 
 
 def maintain(
     stream: DataFrame, mart: UsageMart, checkpoint: str, interval: str | None = None
 ) -> StreamingQuery:
-    """Merge each micro-batch of records into the mart and publish when content changed."""
+    """Merge each micro-batch of records into the mart and publish when content changed; failures are kept
+    in the mart's ``failures()``."""
     def each(batch: DataFrame, batch_id: int) -> None:
-        mart.add_batch(batch, batch_id)
+        mart.add_batch(batch, f"{query_id(stream.sparkSession, checkpoint)}-{batch_id}")
         mart.try_publish(mart.hours)
 
     return start(stream, each, checkpoint, interval)
 
 
-def tumbling_totals(stream: DataFrame, width: str, delay: str = "1 day", zone: str | None = None) -> DataFrame:
+def tumbling_totals(stream: DataFrame, width: str, delay: str = "1 day", zone: str | None = None, untimed: bool = False) -> DataFrame:
     """Totals per event-time window and model; week and month roll up from days.
 
+    ``untimed`` counts records without a time at the start of their day, as the batch day totals do;
+    it is for windows of whole days.
+
     Windows follow the wall clock of ``zone`` (the session's by default), so that a day
     window is a calendar day of the report. Watermarks need instants and windows count in
     UTC, so the wall clock is carried as if it were UTC and read back the same way.
     """
     wall = cal.wall_clock(F.col("ts"), zone) if zone else F.col("ts").cast("timestamp_ntz")
-    timed = stream.where("ts is not null").withColumn("at", cal.as_utc(wall)).withWatermark("at", delay)
+    if untimed:
+        wall = F.coalesce(wall, F.col("day").cast("timestamp_ntz"))
+    timed = stream.withColumn("at", cal.as_utc(wall)).where("at is not null").withWatermark("at", delay)
     return timed.groupBy(
         F.window("at", width).alias("w"), labels.model_or_unknown(F.col("model")).alias("model")
     ).agg(F.sum(zero(F.col("total"))).alias("total"), F.count(F.lit(1)).alias("calls")).select(
@@ -96,8 +138,10 @@ def tumbling_totals(stream: DataFrame, width: str, delay: str = "1 day", zone: s
 
 
 def unique_messages(stream: DataFrame, keys: list[str], delay: str = "1 day") -> DataFrame:
-    """First arrival per key within the watermark, with bounded state."""
-    return stream.where("ts is not null").withWatermark("ts", delay).dropDuplicatesWithinWatermark(keys)
+    """First arrival per key within the watermark, with bounded state; records without a time count at the
+    start of their day."""
+    at = F.coalesce(F.col("ts"), F.col("day").cast("timestamp"))
+    return stream.withColumn("_at", at).withWatermark("_at", delay).dropDuplicatesWithinWatermark(keys).drop("_at")
 
 
 def activity_sessions(stream: DataFrame, keys: list[str], gap: str, delay: str) -> DataFrame:
