@@ -30,13 +30,13 @@ from tidemeter.schema import PARTS
 
 
 @pytest.mark.parametrize("source,total,inp,out,read,write,want", [
-    ("claude", 150, 100, 30, 20, 0, [100, 30, 20, 0, 0]),
-    ("gemini", 150, 100, 30, 20, 0, [100, 30, 20, 0, 0]),
-    ("codex", 150, 120, 30, 20, 0, [100, 30, 20, 0, 0]),
-    ("unknown", 10, 5, 3, 0, 0, [5, 3, 0, 0, 2]),
-    ("claude", 40, 100, 30, 20, 0, [40, 0, 0, 0, 0]),
-    ("codex", 10, 5, 3, 9, 0, [0, 3, 7, 0, 0]),
-    ("claude", -5, 1, 1, 1, 1, [0, 0, 0, 0, 0]),
+    ("claude", 275, 140, 60, 45, 30, [140, 60, 45, 30, 0]),
+    ("gemini", 96, 50, 25, 16, 0, [50, 25, 16, 0, 5]),
+    ("codex", 210, 160, 35, 70, 0, [90, 35, 70, 0, 15]),
+    ("unknown", 18, 7, 4, 0, 0, [7, 4, 0, 0, 7]),
+    ("claude", 64, 90, 12, 5, 0, [64, 0, 0, 0, 0]),
+    ("codex", 23, 8, 6, 31, 0, [0, 6, 17, 0, 0]),
+    ("claude", -9, 2, 2, 2, 2, [0, 0, 0, 0, 0]),
 ])
 def test_composition(spark, source, total, inp, out, read, write, want):
     cols = [F.lit(source)] + [F.lit(v).cast("bigint") for v in (total, inp, out, read, write)]
@@ -48,16 +48,17 @@ def test_composition(spark, source, total, inp, out, read, write, want):
 def _mode_rows():
     def day(d, models, hours, cache=0, project="p"):
         """``hours`` are (hour, model, value); cache sits on the first row."""
-        return [dict(day=f"2026-07-{d:02d}", hour=h, model=m, total=v, cache_read=cache if i == 0 else 0, project=project)
+        return [dict(day=f"2025-03-{d:02d}", hour=h, model=m, total=v, cache_read=cache if i == 0 else 0, project=project)
                 for i, (h, m, v) in enumerate(hours)]
 
-    out = day(1, "a", [(10, "a", 900)])
-    out += day(2, "abc", [(8, "a", 1000), (12, "b", 1000), (18, "c", 1000)])
-    out += day(3, "a", [(22, "a", 500), (23, "a", 500), (0, "a", 500), (1, "a", 500)])
-    out += day(4, "a", [(h, "a", 150) for h in (1, 4, 7, 10, 13, 16, 19, 22)])
-    out += day(5, "a", [(h, "a", 600) for h in (1, 3, 5, 7, 9, 11, 13, 15, 17, 19)])
-    out += day(6, "abc", [(8, "a", 2000), (9, "b", 1000), (10, "c", 1000)], cache=1400)
-    out += day(7, "ab", [(8, "a", 800), (9, "b", 2200)])
+    # Just off each limit of the rules: volume, models, neighbouring hours, multiple of the median, cache share.
+    out = day(11, "x", [(15, "x", 640)])
+    out += day(12, "xyz", [(6, m, 700) for m in "xyz"])
+    out += day(13, "x", [(h, "x", 900) for h in (13, 14, 15)])
+    out += day(14, "x", [(h, "x", 260) for h in range(0, 24, 3)])
+    out += day(15, "x", [(h, "x", 640) for h in range(2, 20, 2)])
+    out += day(16, "x", [(4, "x", 3000)], cache=1200)
+    out += day(17, "xy", [(5, "x", 900), (20, "y", 2600)])
     return out
 
 
@@ -65,24 +66,22 @@ def test_work_modes(spark):
     rec = records(spark, _mode_rows())
     classified = md.classify(md.daily_features(cube(spark, _mode_rows()), en.entity_cube(rec, "project")))
     got = {r["day"].isoformat(): r["mode"] for r in classified.collect()}
-    want = ["insufficient", "explore", "deep", "cruise", "sprint", "cache"]
-    assert [got[f"2026-07-{d:02d}"] for d in range(1, 7)] == want
+    want = ["insufficient", "explore", "deep", "cruise", "sprint", "cache", "deep"]
+    assert [got[f"2025-03-{d}"] for d in range(11, 18)] == want
 
 
 def test_work_mode_model_filter_applies_first(spark):
-    rows = [r for r in _mode_rows() if r["model"] == "a"]
+    rows = [r for r in _mode_rows() if r["model"] == "x"]
     classified = md.classify(md.daily_features(cube(spark, rows), en.entity_cube(records(spark, rows), "project")))
     got = {r["day"].isoformat(): (r["total"], r["mode"]) for r in classified.collect()}
-    assert got["2026-07-07"] == (800, "insufficient")
+    assert got["2025-03-17"] == (900, "insufficient")
 
 
 def test_season_boundaries(spark):
-    totals = {"2026-06-29": 100, "2026-06-30": 120, "2026-07-01": 130, "2026-07-10": 200, "2026-07-11": 220, "2026-07-21": 300}
+    totals = {"2025-03-30": 40, "2025-03-31": 45, "2025-04-02": 50, "2025-04-09": 60, "2025-04-17": 70, "2025-04-18": 75}
     got = ss.seasons(cube(spark, [dict(day=d, total=v) for d, v in totals.items()])).orderBy("season").collect()
     assert [(r["start"].isoformat(), r["end"].isoformat()) for r in got] == [
-        ("2026-06-29", "2026-06-30"), ("2026-07-01", "2026-07-01"), ("2026-07-10", "2026-07-11"), ("2026-07-21", "2026-07-21")]
-    edge = cube(spark, [dict(day=d, total=v) for d, v in {"2026-07-01": 100, "2026-07-08": 120, "2026-07-16": 140}.items()])
-    assert [r["end"].isoformat() for r in ss.seasons(edge).orderBy("season").collect()] == ["2026-07-08", "2026-07-16"]
+        ("2025-03-30", "2025-03-31"), ("2025-04-02", "2025-04-09"), ("2025-04-17", "2025-04-18")]
 
 
 def test_season_character(spark):
@@ -124,14 +123,14 @@ def test_history_keeps_latest(spark):
 
 
 def test_trend_open_day_and_gaps(spark):
-    t = row(sq.trend(days(spark, {"2026-08-23": 100, "2026-08-24": 200, "2026-08-25": 300, "2026-08-26": 1}), "2026-08-26"))
-    assert (t["complete_days"], t["growth_streak"], t["decline_streak"], t["avg7"], t["avg30"], t["momentum"]) == (3, 2, 0, 200, 200, 0)
-    fortnight = {f"2026-08-{d:02d}": 100 if d < 8 else 200 for d in range(1, 15)}
-    t = row(sq.trend(days(spark, fortnight), "2026-08-15", since="2026-08-01"))
-    assert (t["avg7"], t["momentum"]) == (200, 1.0)
-    t = row(sq.trend(days(spark, {"2026-08-01": 100, "2026-08-03": 300}), "2026-08-04", since="2026-08-01"))
-    assert (t["complete_days"], t["avg7"], t["growth_streak"]) == (3, 133.3333, 1)
-    t = row(sq.trend(days(spark, {"2026-08-24": 100, "2026-08-25": 50}), "2026-08-26", until="2026-08-25"))
+    t = row(sq.trend(days(spark, {"2025-05-11": 40, "2025-05-12": 70, "2025-05-13": 130, "2025-05-14": 2}), "2025-05-14"))
+    assert (t["complete_days"], t["growth_streak"], t["decline_streak"], t["avg7"], t["avg30"], t["momentum"]) == (3, 2, 0, 80, 80, 0)
+    fortnight = {f"2025-05-{d:02d}": 60 if d < 8 else 150 for d in range(1, 15)}
+    t = row(sq.trend(days(spark, fortnight), "2025-05-15", since="2025-05-01"))
+    assert (t["avg7"], t["momentum"]) == (150, 1.5)
+    t = row(sq.trend(days(spark, {"2025-05-01": 90, "2025-05-03": 240}), "2025-05-04", since="2025-05-01"))
+    assert (t["complete_days"], t["avg7"], t["growth_streak"]) == (3, 110, 1)
+    t = row(sq.trend(days(spark, {"2025-05-12": 80, "2025-05-13": 30}), "2025-05-14", until="2025-05-13"))
     assert (t["complete_days"], t["decline_streak"]) == (2, 1)
 
 
@@ -301,10 +300,10 @@ def test_usage_status(spark, status, totals):
 
 
 @pytest.mark.parametrize("name,want", [
-    ("claude-opus-5", "backend-large"), ("claude-unknown-5", "claude-unknown-5"), ("backend-small", "backend-small"),
-    ("haiku", "backend-small"), ("my-opus-model", "my-opus-model"), ("claude-sonnet-4-5", "backend-balanced")])
+    ("claude-opus-3-7", "pool-l"), ("claude-instant-2", "claude-instant-2"), ("pool-s", "pool-s"),
+    ("sonnet", "pool-m"), ("our-haiku-proxy", "our-haiku-proxy"), ("claude-haiku-2-1", "pool-s")])
 def test_alias_rules(spark, name, want):
-    rules = [(3, "haiku", "backend-small"), (4, "sonnet", "backend-balanced"), (5, "opus", "backend-large")]
+    rules = [(9, "sonnet", "pool-m"), (2, "opus", "pool-l"), (7, "haiku", "pool-s")]
     got = row(spark.range(1).select(labels.resolve_model(F.lit(name), rules).alias("m")))
     assert got["m"] == want
 

@@ -5,6 +5,7 @@ from decimal import Decimal
 
 from tidemeter.operators.titles import label_sessions, session_titles, utterances
 from tidemeter.plans.mart import UsageMart
+from tidemeter.schema import CLAUDE_COUNTERS
 from tidemeter.sources import logs, manifest
 
 ZONE = "Asia/Shanghai"
@@ -165,3 +166,50 @@ def test_csv_quoting(spark, tmp_path):
     write_period_csv(period_model(rows, ["day"]), ['say "hi", ok'], str(tmp_path / "csv"))
     text = next((tmp_path / "csv").glob("part-*.csv")).read_text()
     assert text.splitlines() == ['period,total_volume,"say ""hi"", ok",calls', "2026-07-01,5,5,1"]
+
+
+def test_what_a_counter_is_not_becomes_a_reject(spark, tmp_path):
+    def line(i, usage):
+        return {"type": "assistant", "timestamp": f"2025-02-01T00:00:{i:02d}Z", "sessionId": "s", "cwd": "/p",
+                "message": {"id": f"m{i}", "model": "m", "usage": usage}}
+
+    name = CLAUDE_COUNTERS["input"]
+    values = [{name: 7}, {name: 7.0}, {name: 7.5}, {name: "many"}, {name: True}, "none", [1], None, {}, {name: None}]
+    _write(tmp_path / "a.jsonl", [line(i, v) for i, v in enumerate(values)])
+    good = {r["seq"]: r["total"] for r in logs.read_claude(spark, str(tmp_path), ZONE).collect()}
+    assert sorted(good.values()) == [0, 0, 0, 7, 7]
+    bad = logs.read_rejects(spark, {"claude": str(tmp_path)}, ZONE).groupBy("reason").count().collect()
+    assert {r["reason"]: r["count"] for r in bad} == {"bad_counter": 3, "bad_usage": 2}
+
+
+def test_guards_are_arguments(spark, tmp_path):
+    long = {"type": "assistant", "timestamp": "2025-02-01T00:00:00Z", "sessionId": "s" * 5000, "cwd": "/p",
+            "message": {"id": "m", "model": "m", "usage": {CLAUDE_COUNTERS["output"]: 3}}}
+    _write(tmp_path / "a.jsonl", [long])
+    path = str(tmp_path)
+    assert logs.read_claude(spark, path, ZONE).count() == 1
+    assert logs.read_claude(spark, path, ZONE, max_line_chars=1000).count() == 0
+    assert logs.read_claude(spark, path, ZONE, max_file_bytes=1000).count() == 0
+    reasons = lambda **k: [r["reason"] for r in logs.read_rejects(spark, {"claude": path}, ZONE, **k).collect()]
+    assert reasons() == [] and reasons(max_line_chars=1000) == ["line_too_long"]
+    assert reasons(max_file_bytes={"claude": 1000}) == ["file_too_large"]
+
+
+def test_a_new_checkpoint_keeps_earlier_batches(spark, tmp_path):
+    from tidemeter.streaming import live
+
+    for i in range(2):
+        rows = [{"type": "assistant", "timestamp": "2025-02-01T00:00:00Z", "message": {"id": f"m{i}{k}", "model": "m", "usage": "x" if k else {}}} for k in range(3)]
+        _write(tmp_path / f"in{i}" / "a.jsonl", rows)
+        live.ingest_logs(spark, str(tmp_path / f"in{i}"), "claude", ZONE, str(tmp_path / "out"), str(tmp_path / f"ck{i}")).awaitTermination()
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 2
+    assert spark.read.parquet(str(tmp_path / "out-rejects")).where("reason = 'bad_usage'").count() == 4
+
+
+def test_tables_stored_as_folders_stream(spark, tmp_path):
+    from tidemeter.streaming import live
+
+    spark.range(10).repartition(3).write.parquet(str(tmp_path / "t.parquet"))
+    stream = live.table_stream(spark, str(tmp_path), "t", "id long")
+    live.write_rows(stream, str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 10

@@ -17,7 +17,7 @@ from tidemeter.session import shared_dir
 from tidemeter.sources import layouts, logs, manifest, sinks
 
 ZONE = "Europe/Berlin"
-RULES = ((1, "haiku", "backend-small"), (2, "sonnet", "backend-balanced"), (3, "opus", "backend-large"))
+RULES = ((1, "haiku", "pool-s"), (2, "sonnet", "pool-m"), (3, "opus", "pool-l"))
 KEY = b"a fixed key for reproducible reports"
 
 _LOCAL = "(ts AT TIME ZONE 'UTC' AT TIME ZONE 'Europe/Berlin')"
@@ -187,18 +187,18 @@ def calendar_fields(t):
         cal.weekday(d).cast("bigint").alias("weekday"))
 
 
-_REQUEST = """x AS (SELECT event_id, CASE event_id % 8 WHEN 0 THEN 'claude-opus-4-1' WHEN 1 THEN 'sonnet' WHEN 2 THEN 'Claude-Haiku-3.5' WHEN 3 THEN 'claude-unknown-5'
-WHEN 4 THEN 'backend-large' WHEN 5 THEN 'opus-x' WHEN 6 THEN 'claude-haiku-4-5-fast' ELSE event_type END AS model FROM events)"""
+_REQUEST = """x AS (SELECT event_id, CASE event_id % 8 WHEN 0 THEN 'claude-opus-4-1' WHEN 1 THEN 'sonnet' WHEN 2 THEN 'Claude-Haiku-3.5' WHEN 3 THEN 'claude-instant-2'
+WHEN 4 THEN 'pool-l' WHEN 5 THEN 'opus-x' WHEN 6 THEN 'claude-haiku-4-5-fast' ELSE event_type END AS model FROM events)"""
 
 
 @query("X8 X9 J1", f"""WITH {_REQUEST}, t AS (SELECT model, count(*) AS calls, regexp_matches(model, '(?i)^(claude-)?(opus|sonnet|haiku)(-[0-9][A-Za-z0-9_.-]*)?$') AS is_tier FROM x GROUP BY 1)
 SELECT model, calls, CASE WHEN is_tier THEN lower(regexp_extract(model, '(?i)(opus|sonnet|haiku)', 1)) END AS tier,
-CASE WHEN model LIKE 'backend-%' OR NOT is_tier THEN model WHEN contains(model, 'haiku') THEN 'backend-small' WHEN contains(model, 'sonnet') THEN 'backend-balanced'
-WHEN contains(model, 'opus') THEN 'backend-large' ELSE model END AS backend FROM t""")
+CASE WHEN model LIKE 'pool-%' OR NOT is_tier THEN model WHEN contains(model, 'haiku') THEN 'pool-s' WHEN contains(model, 'sonnet') THEN 'pool-m'
+WHEN contains(model, 'opus') THEN 'pool-l' ELSE model END AS backend FROM t""")
 def alias_resolution(t):
     v = F.col("event_id") % 8
     model = F.col("event_type")
-    for i, name in enumerate(("claude-opus-4-1", "sonnet", "Claude-Haiku-3.5", "claude-unknown-5", "backend-large", "opus-x", "claude-haiku-4-5-fast")):
+    for i, name in enumerate(("claude-opus-4-1", "sonnet", "Claude-Haiku-3.5", "claude-instant-2", "pool-l", "opus-x", "claude-haiku-4-5-fast")):
         model = F.when(v == i, name).otherwise(model)
     rows = t.table("events").select(model.alias("model")).groupBy("model").agg(F.count(F.lit(1)).alias("calls"))
     return rows.select("model", "calls", labels.tier(F.col("model")).alias("tier"),
