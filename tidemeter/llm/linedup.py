@@ -22,14 +22,14 @@ MIN_WORDS = 25
 _DOC = ("doc_id", "key")
 
 
-def _lines() -> Column:
-    return F.split("text", "\n", -1)
+def _lines(text: str) -> Column:
+    return F.split(F.col(text).cast("string"), "\n", -1)
 
 
 def lines(docs: DataFrame) -> DataFrame:
     """``doc_id, key, pos, h, c, before``: two hashes of each line and the words before it, and a last row
     with null hashes for the end of the text. Null texts have no rows."""
-    rows = docs.where("text is not null").select(*_DOC, F.posexplode(F.concat(_lines(), F.array(F.lit(None).cast("string")))).alias("pos", "line"))
+    rows = docs.where("text is not null").select(*_DOC, F.posexplode(F.concat(_lines("text"), F.array(F.lit(None).cast("string")))).alias("pos", "line"))
     count = F.coalesce(F.regexp_count("line", F.lit(r"[^ \t\n\x0B\f\r]+")), F.lit(0))
     rows = rows.select(*_DOC, "pos", F.when(F.col("line").isNotNull(), F.xxhash64("line")).alias("h"), F.crc32(F.col("line").cast("binary")).alias("c"), count.alias("words"))
     rows = rows.repartition(*_DOC).dropDuplicates([*_DOC, "pos"])  # of rows repeated exactly
@@ -122,19 +122,20 @@ def dedup(docs: DataFrame, words: int = MIN_WORDS) -> DataFrame:
     runs = repeated_runs(narrow, words)
     cuts = runs.groupBy("d", "key").agg(F.collect_list(F.struct("lo", "hi")).alias("cuts"))
     row = docs.select(F.struct("*").alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("d"), F.xxhash64(text).alias("key"))
-    both = row.join(cuts, ["d", "key"], "left").select("row.*", "cuts")
-    kept = F.filter(_lines(), lambda x, i: ~F.exists("cuts", lambda c: (i >= c.lo) & (i < c.hi)))
-    total = F.coalesce(F.size(_lines()), F.lit(0))
+    both = row.join(cuts, ["d", "key"], "left")
+    kept = F.filter(_lines("row.text"), lambda x, i: ~F.exists("cuts", lambda c: (i >= c.lo) & (i < c.hi)))
+    total = F.coalesce(F.size(_lines("row.text")), F.lit(0))
     gone = F.coalesce(F.aggregate("cuts", F.lit(0), lambda a, c: a + c.hi - c.lo), F.lit(0))
+    cut = F.when(F.col("cuts").isNull(), F.col("row.text")).otherwise(F.array_join(kept, "\n"))
     return both.select(
-        *(F.when(F.col("cuts").isNull(), F.col(c)).otherwise(F.array_join(kept, "\n")).alias(c) if c == "text" else F.col(c) for c in docs.columns),
-        F.when(F.col("text").isNull(), 0).otherwise(total).cast("long").alias("n_lines"), gone.cast("long").alias("n_removed"),
-        F.coalesce(F.size("cuts"), F.lit(0)).cast("long").alias("n_runs"))
+        *((cut if c == "text" else F.col(f"row.`{c}`")).alias(c) for c in docs.columns),
+        F.when(F.col("row.text").isNull(), 0).otherwise(total).cast("long").alias("n_lines"), gone.cast("long").alias("n_removed"),
+        F.when(F.col("cuts").isNull(), 0).otherwise(F.size("cuts")).cast("long").alias("n_runs"))
 
 
 def report(docs: DataFrame) -> DataFrame:
     return dedup(docs.select("doc_id", "text")).select(
-        "doc_id", "n_lines", "n_removed", F.when(F.col("n_runs") > 0, F.col("n_runs")).otherwise(0).alias("n_runs"),
+        "doc_id", "n_lines", "n_removed", "n_runs",
         F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 
 

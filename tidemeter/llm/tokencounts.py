@@ -1,4 +1,4 @@
-"""Token counts without tokens: count-only Viterbi over a unigram vocabulary.
+"""Token counts alone: count-only Viterbi over a unigram vocabulary.
 
 An Aho-Corasick automaton lists every vocabulary piece in a word; dynamic programming over word places then
 carries the best score and the number of pieces on the best path, nothing else. Ties follow the reference
@@ -159,19 +159,19 @@ def _count(shared, name: str):
                 score[some] = np.add.reduceat(best, first[some])
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("key"), pa.array(total[first[1:]] - total[first[:-1]]), pa.array(np.diff(first).astype(np.int64)), pa.array(score)],
-                names=["doc_id", "key", "n_tokens", "n_words", "score"])
+                names=["doc_id", "key", "n_pieces", "n_words", "score"])
     return run
 
 
-def count_tokens(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """``doc_id, key, n_tokens, n_words, score`` for each row.
+def count_pieces(docs: DataFrame, path: str | None = None) -> DataFrame:
+    """``doc_id, key, n_pieces, n_words, score`` for each row.
 
-    Null and empty texts have no tokens. Repeated rows are counted each. Other columns are not read.
+    Null and empty texts have none. Repeated rows are counted each. Other columns are not read.
     """
     path = path or public_tokenizers.path("piece_bpe_32k.model")
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary(path))
-    return keyed(docs).mapInArrow(_count(shared, f"counter {path}"), "doc_id long, key long, n_tokens long, n_words long, score double")
+    return keyed(docs).mapInArrow(_count(shared, f"counter {path}"), "doc_id long, key long, n_pieces long, n_words long, score double")
 
 
 def report(docs: DataFrame) -> DataFrame:
-    return count_tokens(docs).select("doc_id", "n_tokens", "n_words", "score")
+    return count_pieces(docs).select("doc_id", "n_pieces", "n_words", "score")

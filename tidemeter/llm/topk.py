@@ -130,8 +130,9 @@ def _exactly(q: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int, skip: int):
 
 
 def _arrays(row: dict, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    x = np.frombuffer(row["data"], np.float64).reshape(row["dims"], -1)
-    return np.frombuffer(row["ids"], np.int64), np.ascontiguousarray(x[order]) if len(order) == len(x) else x
+    ids = np.frombuffer(row["ids"], np.int64)
+    x = np.frombuffer(row["data"], np.float64).reshape(row["dims"], len(ids))
+    return ids, np.ascontiguousarray(x[order]) if len(order) == len(x) else x
 
 
 def _queries(every: int, k: int, orders: dict[int, list[int]]):
@@ -167,7 +168,7 @@ def _meet(k: int, orders: dict[int, list[int]]):
                     kept = (row["block"], *_arrays(row, np.array(orders[row["dims"]], np.int64)))
                 _, ids, x = kept
                 places, mine, least = (np.frombuffer(batch.column(c)[i].as_py(), t) for c, t in (("q_places", np.int32), ("q_ids", np.int64), ("q_least", np.float64)))
-                q = np.frombuffer(batch.column("q_data")[i].as_py(), np.float64).reshape(len(mine), -1)
+                q = np.frombuffer(batch.column("q_data")[i].as_py(), np.float64).reshape(len(mine), row["q_dims"])
                 plain = max(np.abs(x).max(initial=0), np.abs(q).max(initial=0)) <= EXACT
                 first = q[:, :STEP] @ x[:STEP] if plain else None
                 out: list[list] = [[], [], [], []]
