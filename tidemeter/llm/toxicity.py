@@ -18,14 +18,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemeter.llm.common import BYTE_CODES, LOWER, SPACES, U64, chunks, fresh, keyed, rolling, words
 from tidemeter.llm.tokenizing import worker_state
 
 #: Labelled rows of each class that the machine learns from, at most; the lowest hashes of the id are taken.
-TRAIN_ROWS = 1000
+TRAIN_ROWS = 800
 ORDER, DECAY = 3, 0.6
-LANDMARKS = 56
+LANDMARKS = 48
 #: The least log-odds times root of count of a word that may speak for toxicity.
 WEAKEST = 5.0
 #: Word decisions beyond these count as evidence.
@@ -62,7 +63,7 @@ def _kernel(s: np.ndarray, t: np.ndarray) -> np.ndarray:
             continue
         total += np.einsum("nmj,nmj->nm", equal, inner[ORDER - 1])
         for i in range(ORDER - 1, 0, -1):
-            new = (equal * inner[i - 1]) @ toeplitz
+            new = ((equal * inner[i - 1]).reshape(-1, lt) @ toeplitz).reshape(shape)
             inner[i] *= np.float32(DECAY)
             inner[i][..., 1:] += new[..., :-1]
     return total
@@ -77,9 +78,12 @@ def self_kernel(strings: list[str], block: int = 2048) -> np.ndarray:
     return out
 
 
-def similarities(strings: list[str], marks: list[str], block: int = 512) -> np.ndarray:
+def similarities(strings: list[str], marks: list[str], block: int = 256) -> np.ndarray:
     """Cosine-normalised kernels (n, m); strings of fewer than ``ORDER`` characters are like nothing."""
-    t = codes(marks, max(map(len, marks)), 0)[None]
+    # Short and long landmarks apart, as all of a group are padded to its longest.
+    short = [j for j, m in enumerate(marks) if len(m) <= 7]
+    sets = [(g, codes([marks[j] for j in g], max(len(marks[j]) for j in g), 0)[None])
+            for g in (short, [j for j in range(len(marks)) if len(marks[j]) > 7]) if g]
     own = np.sqrt(self_kernel(marks))
     out = np.zeros((len(strings), len(marks)), np.float32)
     order = sorted((i for i, s in enumerate(strings) if len(s) >= ORDER), key=lambda i: len(strings[i]))
@@ -87,7 +91,9 @@ def similarities(strings: list[str], marks: list[str], block: int = 512) -> np.n
         rows = order[at: at + block]
         part = [strings[i] for i in rows]
         mine = np.sqrt(self_kernel(part, block))
-        out[rows] = _kernel(codes(part, max(map(len, part)), 1), t) / np.maximum(mine[:, None] * own, 1e-12)
+        mine, coded = mine[:, None], codes(part, max(map(len, part)), 1)
+        for g, t in sets:
+            out[np.ix_(rows, g)] = _kernel(coded, t) / np.maximum(mine * own[g], 1e-12)
     return out
 
 
@@ -95,22 +101,29 @@ def parts(word: str) -> list[str]:
     return [word] if len(word) <= PART else [word[i: i + PART] for i in range(0, len(word) - PART // 2, PART // 2)]
 
 
+def cut(strings: list[str]) -> tuple[list[str], np.ndarray]:
+    """Lower-cased parts of all words, and the word of each."""
+    own = [parts(s.lower()) for s in strings]
+    return [p for o in own for p in o], np.repeat(np.arange(len(own)), [len(o) for o in own])
+
+
 class Machine:
     """Word decisions and their calibration; plain data, so that it travels to the executors."""
 
     def __init__(self, marks: list[str], weights: np.ndarray, bias: float, final: np.ndarray):
         self.marks, self.weights, self.bias, self.final = marks, weights, bias, final
 
+    def combine(self, like: np.ndarray, owner: np.ndarray, words: int) -> np.ndarray:
+        """The largest decision on a part of each word."""
+        out = np.full(words, -np.inf)
+        np.maximum.at(out, owner, like @ self.weights + self.bias)
+        return out
+
     def decide(self, strings: list[str]) -> np.ndarray:
-        pieces, owner = [], []
-        for i, s in enumerate(strings):
-            own = parts(s.lower())
-            pieces += own
-            owner += [i] * len(own)
-        out = np.full(len(strings), -np.inf)
-        if pieces and self.marks:
-            np.maximum.at(out, owner, similarities(pieces, self.marks) @ self.weights + self.bias)
-        return np.where(np.isfinite(out), out, self.bias)
+        if not self.marks:
+            return np.full(len(strings), self.bias)
+        pieces, owner = cut(strings)
+        return self.combine(similarities(pieces, self.marks), owner, len(strings))
 
     def probability(self, decisions: np.ndarray, first: np.ndarray) -> np.ndarray:
         """Of texts whose words, ``decisions[first[i]:first[i + 1]]`` for text i, were decided on."""
@@ -213,29 +226,34 @@ def fit(bags: list[tuple[int, list[str]]], prior: float | None = None, seed: int
     values, vectors = np.linalg.eigh(similarities(names, names).astype(np.float64) + 1e-4 * np.eye(len(names)))
     root = (vectors / np.sqrt(values.clip(1e-6))) @ vectors.T
 
-    def machine(witnesses: list[str], negatives: list[str]) -> Machine:
-        x = similarities([w[:PART] for w in witnesses + negatives], names) @ root
-        often = np.sqrt([in_toxic[w] for w in witnesses] + [in_clean[w] for w in negatives])
+    every = sorted({w for b in toxic + clean for w in b})
+    number = {w: i for i, w in enumerate(every)}
+    toxic, clean = ([np.array([number[w] for w in b], np.int64) for b in side] for side in (toxic, clean))
+    pieces, owner = cut(every)
+    like = similarities(pieces, names)
+    whole = np.searchsorted(owner, np.arange(len(every)))  # the first part of each word
+    counts = np.array([[in_toxic[w] for w in every], [in_clean[w] for w in every]])
+
+    def machine(witnesses: np.ndarray, negatives: np.ndarray) -> tuple[Machine, np.ndarray]:
+        """Trained on these words; and the decision on every word."""
+        x = like[whole[np.concatenate((witnesses, negatives))]] @ root
+        often = np.sqrt(np.concatenate((counts[0][witnesses], counts[1][negatives])).clip(1))
         u, bias = _svm(x, np.r_[np.ones(len(witnesses)), -np.ones(len(negatives))], often)
-        return Machine(names, (root @ u).astype(np.float32), bias, np.zeros(2 * len(BORDERS) + 2))
+        made = Machine(names, (root @ u).astype(np.float32), bias, np.zeros(2 * len(BORDERS) + 2))
+        return made, made.combine(like, owner, len(every))
 
-    found = machine(telling, plain)
+    telling_at, plain_at = (np.array([number[w] for w in x], np.int64) for x in (telling, plain))
+    found, decided = machine(telling_at, plain_at)
     for _ in range(2):
         # Witnesses anew, and the clean words nearest to the border as further negatives.
-        decided = {}
-        for b in toxic[:400] + clean[:400]:
-            decided.update(dict.fromkeys(b))
-        every = list(decided)
-        decided = dict(zip(every, found.decide(every).tolist(), strict=True))
-        tops = [max(b, key=lambda w: decided[w]) for b in toxic[:400] if b]
-        witnesses = sorted({w for w in tops if decided[w] > 0 and not in_clean[w]} | set(telling))
-        hard = sorted({w for b in clean[:400] for w in b}, key=lambda w: (-decided[w], w))[:1500]
-        found = machine(witnesses, plain + hard)
+        tops = np.array([b[decided[b].argmax()] for b in toxic if len(b)], np.int64)
+        witnesses = np.union1d(tops[(decided[tops] > 0) & (counts[1][tops] == 0)], telling_at)
+        in_some = np.flatnonzero(counts[1])
+        hard = in_some[np.argsort(-decided[in_some], kind="stable")[:3000]]
+        found, decided = machine(witnesses, np.concatenate((plain_at, hard)))
     sample = toxic + clean
-    every = sorted({w for b in sample for w in b})
-    decided = dict(zip(every, found.decide(every).tolist(), strict=True))
     first = np.concatenate(([0], np.cumsum([len(b) for b in sample])))
-    x = evidence(np.array([decided[w] for b in sample for w in b]), first, found.bias)
+    x = evidence(decided[np.concatenate(sample)], first, found.bias)
     found.final = _logistic(x, np.r_[np.ones(len(toxic)), np.zeros(len(clean))], prior or len(toxic) / len(sample))
     return found
 
@@ -280,7 +298,7 @@ class _Known:
         return self.values[place][back]
 
 
-def _score(shared, name: str):
+def _score(shared, name: str, column: str = "score"):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = shared.value
         known = worker_state(name, _Known)
@@ -289,7 +307,7 @@ def _score(shared, name: str):
             decided = known.get(rolling(BYTE_CODES[LOWER[data]], starts, ends), lambda i: data[starts[i]: ends[i]].tobytes().decode("utf-8", "ignore"), machine)
             score = machine.probability(decided, first)
             names = [c for c in batch.schema.names]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(score)], names=[*names, "score"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(score)], names=[*names, column])
     return run
 
 
@@ -305,6 +323,13 @@ def score(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> DataFra
     return scored
 
 
+def clean(docs: DataFrame, machine: Machine, threshold: float = 0.5) -> DataFrame:
+    """The rows of ``docs``, all columns, whose text scores below ``threshold``."""
+    shared, column = docs.sparkSession.sparkContext.broadcast(machine), fresh("score")
+    schema = T.StructType([*docs.schema.fields, T.StructField(column, T.DoubleType())])
+    return docs.mapInArrow(_score(shared, fresh("decisions"), column), schema).where(F.col(column) < threshold).drop(column)
+
+
 def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return score(docs, labels).select(
         "doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
