@@ -180,7 +180,8 @@ def record_composition(t):
 @query("A8", f"""
 WITH {EV} SELECT strftime(day, '%Y-%m-%d') AS day, CAST(sum(total) AS BIGINT) AS total, count(*) AS calls,
 {', '.join(f'CAST(sum(coalesce({x},0)) AS BIGINT) AS {x}' for x in ('input', 'output', 'cache_read', 'cache_write'))},
-{', '.join(f"CAST(coalesce(sum(total) FILTER (source='{s}'),0) AS BIGINT) AS {s}_total" for s in ('claude', 'gemini', 'codex'))}
+{', '.join(f"CAST(coalesce(sum(total) FILTER (source='{s}'),0) AS BIGINT) AS {s}_total" for s in ('claude', 'gemini', 'codex'))},
+CAST(coalesce(sum(total) FILTER (source IS NULL OR source NOT IN ('claude', 'gemini', 'codex')),0) AS BIGINT) AS other_total
 FROM ev GROUP BY 1""")
 def daily_counters(t):
     return p.daily_counters(t.cube("ev", "day source")).withColumn("day", cal.iso(F.col("day")))

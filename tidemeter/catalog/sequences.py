@@ -8,15 +8,17 @@ from tidemeter.catalog.registry import query
 from tidemeter.catalog.sql import EV, GP, LN, folded
 from tidemeter.functions import calendar as cal
 from tidemeter.operators import sequence as sq
+from tidemeter.operators.cube import usage_cube
 
 _DAY_SUMS = ("total", "calls", "input", "output", "cache_read", "cache_write")
 _DAYS = """d AS (SELECT day, CAST(sum(total) AS BIGINT) AS total, count(*) AS calls, CAST(sum(coalesce(cache_read,0)) AS BIGINT) AS cache_read,
 CAST(sum(coalesce(input,0)) AS BIGINT) AS input, CAST(sum(coalesce(output,0)) AS BIGINT) AS output, CAST(sum(coalesce(cache_write,0)) AS BIGINT) AS cache_write,
 CAST(coalesce(sum(total) FILTER (source='claude'),0) AS BIGINT) AS source_claude, CAST(coalesce(sum(total) FILTER (source='gemini'),0) AS BIGINT) AS source_gemini,
-CAST(coalesce(sum(total) FILTER (source='codex'),0) AS BIGINT) AS source_codex FROM {base} GROUP BY 1)"""
+CAST(coalesce(sum(total) FILTER (source='codex'),0) AS BIGINT) AS source_codex,
+CAST(coalesce(sum(total) FILTER (source IS NULL OR source NOT IN ('claude', 'gemini', 'codex')),0) AS BIGINT) AS source_other FROM {base} GROUP BY 1)"""
 _ISLANDS = """i0 AS (SELECT day, day - CAST(row_number() OVER (ORDER BY day) AS INTEGER) AS isl FROM d WHERE total > 0),
 i1 AS (SELECT min(day) AS s, max(day) AS e, count(*) AS n FROM i0 GROUP BY isl)"""
-_RUN = ("total", "calls", "cache_read", "input", "output", "cache_write", "source_claude", "source_gemini", "source_codex")
+_RUN = ("total", "calls", "cache_read", "input", "output", "cache_write", "source_claude", "source_gemini", "source_codex", "source_other")
 
 
 @query("W2", f"""
@@ -29,6 +31,17 @@ def running_totals(t):
     return sq.running_totals(t.cube("gp", "day source")).withColumn("day", cal.iso(F.col("day")))
 
 
+@query("W2 A8", f"""
+WITH {EV}, s AS (SELECT day, CASE WHEN seq % 7 = 0 THEN 'own-tool' WHEN seq % 11 = 0 THEN 'unknown' ELSE source END AS source, total FROM ev),
+d AS (SELECT day, source, CAST(sum(total) AS BIGINT) AS total FROM s GROUP BY 1, 2)
+SELECT strftime(day, '%Y-%m-%d') AS day, source, total, CAST(sum(total) OVER (PARTITION BY source ORDER BY day) AS BIGINT) AS running FROM d""")
+def source_running_totals(t):
+    """With a source of one's own and records that name none."""
+    source = F.when(F.col("seq") % 7 == 0, "own-tool").when(F.col("seq") % 11 != 0, F.col("source"))
+    cube = usage_cube(t.rec("ev").withColumn("source", source), ["day", "source"])
+    return sq.source_running_totals(cube).withColumn("day", cal.iso(F.col("day")))
+
+
 @query("W3", f"""
 WITH {folded('ln')}, days AS (SELECT DISTINCT day FROM lnf),
 f AS (SELECT 'hours' AS kind, min(day) AS day FROM lnf WHERE total <> 0 GROUP BY hour
@@ -105,9 +118,9 @@ rl AS (SELECT a.day, b.leader AS from_model, a.leader AS to_model FROM ld a JOIN
 
 
 @query("W18", f"""
-WITH {LN}, lnc AS (SELECT *, model AS cm FROM ln), {_LEAD.format(base='lnc')} SELECT strftime(day, '%Y-%m-%d') AS day, from_model, to_model FROM rl""")
+WITH {folded('ln')}, {_LEAD.format(base='lnf')} SELECT strftime(day, '%Y-%m-%d') AS day, from_model, to_model FROM rl""")
 def leader_relays(t):
-    return sq.relays(sq.daily_leader(t.cube("ln", "day model"))).withColumn("day", cal.iso(F.col("day")))
+    return sq.relays(sq.daily_leader(t.folded("ln", "day model"))).withColumn("day", cal.iso(F.col("day")))
 
 
 @query("W19", f"""

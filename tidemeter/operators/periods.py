@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tidemeter.functions import calendar as cal
 from tidemeter.functions.volumes import share, share_or_null
 from tidemeter.operators.cube import additive, in_range
-from tidemeter.schema import COUNTERS, GRAINS, PARTS
+from tidemeter.schema import COUNTERS, GRAINS, PARTS, SOURCES
 
 
 def roll_up(daily: DataFrame, grains: Sequence[str] = GRAINS) -> DataFrame:
@@ -172,11 +172,15 @@ def ordered(rows: DataFrame, column: str, descending: bool = True) -> DataFrame:
     return rows.withColumn("position", F.row_number().over(W.orderBy(key, "period")).cast("bigint"))
 
 
-def daily_counters(cube: DataFrame, since: str | None = None, until: str | None = None) -> DataFrame:
-    """Day totals of each counter with one column per source."""
+def daily_counters(
+    cube: DataFrame, since: str | None = None, until: str | None = None, sources: Sequence[str] = SOURCES
+) -> DataFrame:
+    """Day totals of each counter with one column for each of ``sources`` and one for all the rest."""
+    listed = F.coalesce(F.col("source").isin(*sources), F.lit(False))
     rows = in_range(cube, since, until)
     return rows.groupBy("day").agg(
         *[F.sum(c).alias(c) for c in ("total", "calls", "input", "output", "cache_read", "cache_write")],
         *[F.coalesce(F.sum(F.when(F.col("source") == s, F.col("total"))), F.lit(0).cast("bigint")).alias(f"{s}_total")
-          for s in ("claude", "gemini", "codex")],
+          for s in sources],
+        F.coalesce(F.sum(F.when(~listed, F.col("total"))), F.lit(0).cast("bigint")).alias("other_total"),
     )

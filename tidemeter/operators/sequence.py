@@ -6,6 +6,8 @@ per calendar day.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -13,6 +15,7 @@ from pyspark.sql.window import WindowSpec
 
 from tidemeter.functions import calendar as cal
 from tidemeter.operators.cube import additive
+from tidemeter.schema import SOURCES
 
 # Token milestones and trend lengths.
 MILESTONES = tuple(10**n for n in range(3, 13))
@@ -132,11 +135,24 @@ def running_distinct(days: DataFrame, firsts: DataFrame) -> DataFrame:
         F.coalesce(F.sum(k).over(_so_far()), F.lit(0).cast("bigint")).alias(k) for k in kinds])
 
 
-def running_totals(cube: DataFrame) -> DataFrame:
-    """Running sums by day, with active days, best day and longest streak so far."""
+def source_running_totals(cube: DataFrame) -> DataFrame:
+    """Total and running total of every source there is, by day; one window per source."""
+    named = F.coalesce(F.nullif(F.col("source"), F.lit("")), F.lit("unknown"))
+    per = cube.withColumn("source", named).groupBy("day", "source").agg(F.sum("total").alias("total"))
+    so_far = W.partitionBy("source").orderBy("day").rowsBetween(W.unboundedPreceding, W.currentRow)
+    return per.select("day", "source", "total", F.sum("total").over(so_far).alias("running"))
+
+
+def running_totals(cube: DataFrame, sources: Sequence[str] = SOURCES) -> DataFrame:
+    """Running sums by day, with active days, best day and longest streak so far.
+
+    One column for each of ``sources``, and ``source_other`` for all the rest.
+    """
     per_source = [
         F.coalesce(F.sum(F.when(F.col("source") == s, F.col("total"))), F.lit(0).cast("bigint")).alias(f"source_{s}")
-        for s in ("claude", "gemini", "codex")]
+        for s in sources]
+    listed = F.coalesce(F.col("source").isin(*sources), F.lit(False))
+    per_source.append(F.coalesce(F.sum(F.when(~listed, F.col("total"))), F.lit(0).cast("bigint")).alias("source_other"))
     sums = ("total", "calls", "cache_read", "input", "output", "cache_write")
     days = cube.groupBy("day").agg(*[F.sum(c).alias(c) for c in sums], *per_source)
     active = F.col("total") > 0
@@ -145,7 +161,7 @@ def running_totals(cube: DataFrame) -> DataFrame:
         "_island", F.when(active, F.date_sub(F.col("day"), F.col("_rank").cast("int"))))
     length = F.when(active, F.row_number().over(W.partitionBy("_island").orderBy("day")))
     rows = rows.withColumn("_length", length)
-    running = [*sums, "source_claude", "source_gemini", "source_codex"]
+    running = [*sums, *(f"source_{s}" for s in (*sources, "other"))]
     return rows.select(
         "day", *[F.sum(c).over(_so_far()).alias(c) for c in running],
         F.greatest(F.max("total").over(_so_far()), F.lit(0).cast("bigint")).alias("max_day"),
