@@ -26,12 +26,12 @@ from pyspark.sql import functions as F
 
 from tidemeter.llm.common import SPACES, U64, Words, chunks, fan_out, keyed, mix, rolling, settle, windows, word_hashes, words
 from tidemeter.llm.components import components
-from tidemeter.llm.packed import by_bucket, planes, unplanes
+from tidemeter.llm.packed import NULL_ID, by_bucket, planes, unplanes
 
 N, PERCENT = 4, 85
 HINTS = 1 << 17
 #: Neighbours that a node is compared with in each of the first rounds, and the length of a salted list.
-NEAR, LIST = 3, 256
+NEAR, LIST = 2, 256
 #: Bits of the filter that picks documents whose sets are needed: 8 MB, a fixed bound.
 BITS = 1 << 26
 
@@ -131,22 +131,30 @@ def _pick(n: int, shared, wanted):
         allowed = np.frombuffer(wanted.value, np.uint8)
         for batch in chunks(batches):
             s = _Sets(batch.column("text"), n, *shared.value)
-            low = (_stamp(s.node, batch.column("key").to_numpy().view(U64)) & U64(BITS - 1)).astype(np.int64)
+            ids = batch.column("doc_id").fill_null(int(NULL_ID)).to_numpy().view(U64)
+            stamp = s.node ^ (batch.column("key").to_numpy().view(U64) >> U64(3)) ^ (ids << U64(20))
+            low = (stamp & U64(BITS - 1)).astype(np.int64)
             keep = np.flatnonzero(((allowed[low >> 3] >> (low & 7).astype(np.uint8)) & 1 == 1) & (s.n > 0))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(s.node[keep].view(np.int64)), pa.array([np.sort(s.of(i)).tobytes() for i in keep.tolist()], pa.binary())], names=["node", "items"])
+                [pa.array(s.node[keep].view(np.int64)), pa.array([_narrow(s.of(i)) for i in keep.tolist()], pa.binary())], names=["node", "items"])
     return run
 
 
-def _stamp(node: np.ndarray, key: np.ndarray) -> np.ndarray:
-    return node ^ (key >> U64(3))
+def _narrow(h: np.ndarray) -> bytes:
+    """A sorted set by the upper six bytes of its hashes: two sets have to agree by chance in 48 bits to be mistaken."""
+    return np.ascontiguousarray(np.sort(h).view(np.uint8).reshape(-1, 8)[:, 2:]).tobytes()
+
+
+def _widen(data: memoryview) -> np.ndarray:
+    six = np.frombuffer(data, np.uint8).reshape(-1, 6)
+    return np.concatenate((np.zeros((len(six), 2), np.uint8), six), 1).view(U64).ravel()
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         linked = []
         for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
-            x, y = np.frombuffer(x.as_buffer(), U64), np.frombuffer(y.as_buffer(), U64)
+            x, y = _widen(x.as_buffer()), _widen(y.as_buffer())
             if len(x) > len(y):
                 x, y = y, x
             place = np.minimum(np.searchsorted(y, x), len(y) - 1)
@@ -156,8 +164,11 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _fits(na, ia, nb, ib):
-    """Sizes allow a link, and so do the places of the shared shingle in both prefixes."""
-    most = F.least(ia, ib) + 1 + F.least(na - ia - 1, nb - ib - 1)
+    """Sizes allow a link, and so do the places of the shared shingle, if it is the first that both share.
+
+    The first shared shingle of a linked pair always fits, so a pair with none that fits is not linked.
+    """
+    most = 1 + F.least(na - ia - 1, nb - ib - 1)
     return (100 * F.least(na, nb) >= PERCENT * F.greatest(na, nb)) & ((100 + PERCENT) * most >= PERCENT * (na + nb))
 
 
@@ -171,7 +182,8 @@ def _bitmap(rows: DataFrame, hashed) -> bytes:
 
 
 def join(docs: DataFrame, n: int = N) -> DataFrame:
-    """``doc_id, key, n_shingles, component_id`` for each row: the smallest id that links reach.
+    """``doc_id, key, n_shingles, component_id, component`` for each row: the smallest id that links reach,
+    and a name of the component that no other has.
 
     Null or wordless texts are linked with nothing and keep their own id. Rows repeated exactly are linked,
     as are all rows of equal sets; a null id is never a component's name unless there is no other. Other
@@ -186,7 +198,7 @@ def join(docs: DataFrame, n: int = N) -> DataFrame:
     made = docs.mapInArrow(_profiles(n, hints), "doc_id long, key long, n long, node long, grp long, prefix binary")
     made = settle(made, "profiles")
     profiles = made.where("node is not null")
-    nodes = settle(profiles.groupBy("node").agg(F.min("doc_id").alias("least"), F.min("key").alias("key"), F.min("grp").alias("grp"), F.min("n").alias("n")), "nodes")
+    nodes = settle(profiles.groupBy("node").agg(F.min("doc_id").alias("least"), F.min(F.struct(F.coalesce("doc_id", F.lit(int(NULL_ID))).alias("id"), "key")).alias("one"), F.min("grp").alias("grp"), F.min("n").alias("n")), "nodes")
     groups = profiles.groupBy("grp").agg(F.min("n").alias("n"), F.first("prefix").alias("prefix"))
     buckets = fan_out(docs, 16)
     spread = groups.mapInArrow(_spread(buckets), "bucket int, h binary, grp binary, n binary, pos binary")
@@ -195,12 +207,14 @@ def join(docs: DataFrame, n: int = N) -> DataFrame:
     posts = posted.join(nodes.select("grp", "node"), "grp").select("token", "node", "n", "pos", "m").union(
         nodes.join(several, "grp").select(F.col("grp").alias("token"), "node", "n", F.lit(0).cast("long").alias("pos"), "m"))
     posts = settle(posts, "posts")
-    asked = nodes.join(posts.select("node").distinct(), "node", "left_semi")
-    wanted = spark.sparkContext.broadcast(_bitmap(asked, F.col("node").bitwiseXOR(F.shiftrightunsigned("key", 3))))
-    sets = docs.mapInArrow(_pick(n, hints, wanted), "node long, items binary").groupBy("node").agg(F.first("items").alias("items"))
-    sets = settle(sets, "sets")
 
     def verified(pairs: DataFrame) -> DataFrame:
+        """Links among candidates; the sets of one row of each node in question are read from its text anew."""
+        pairs = settle(pairs, "pairs")
+        ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+        stamp = F.col("node").bitwiseXOR(F.shiftrightunsigned("one.key", 3)).bitwiseXOR(F.shiftleft("one.id", 20))
+        wanted = spark.sparkContext.broadcast(_bitmap(nodes.join(ends, "node", "left_semi"), stamp))
+        sets = docs.mapInArrow(_pick(n, hints, wanted), "node long, items binary").groupBy("node").agg(F.first("items").alias("items"))
         x = sets.select(F.col("node").alias("a"), F.col("items").alias("x"))
         y = sets.select(F.col("node").alias("b"), F.col("items").alias("y"))
         return pairs.join(x, "a").join(y, "b").mapInArrow(_verify, "a long, b long")
@@ -234,11 +248,24 @@ def join(docs: DataFrame, n: int = N) -> DataFrame:
         labels = components(links)
     named = nodes.join(labels, "node", "left").withColumn("comp", F.coalesce("label", "node"))
     names = named.groupBy("comp").agg(F.min("least").alias("component_id"))
-    named = named.join(names, "comp").select("node", "component_id")
+    named = named.join(names, "comp").select("node", "component_id", F.col("comp").alias("component"))
     # A null node joins with nothing; its rows are spread by their own id instead.
-    alone = made.where("node is null").select("doc_id", "key", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    alone = made.where("node is null").select("doc_id", "key", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.xxhash64("doc_id", "key", F.lit("alone")).alias("component"))
     return profiles.select("doc_id", "key", F.col("n").alias("n_shingles"), "node").join(named, "node").select(
-        "doc_id", "key", "n_shingles", "component_id").union(alone)
+        "doc_id", "key", "n_shingles", "component_id", "component").union(alone)
+
+
+def distinct(docs: DataFrame, n: int = N) -> DataFrame:
+    """All columns of the one row of each component that stays: smallest id, null ids last, then text hash.
+
+    Texts without words are components of their own; of rows repeated exactly one stays.
+    """
+    found = join(docs, n)
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
+    kept = found.groupBy("component").agg(F.min(order).alias("one")).select(F.coalesce("one.doc_id", F.lit(int(NULL_ID))).alias("d"), F.col("one.key").alias("key"))
+    row = docs.select(F.struct("*").alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(int(NULL_ID))).alias("d"), F.xxhash64(F.col("text").cast("string")).alias("key"))
+    first = Window.partitionBy("d", "key").orderBy(F.lit(0))
+    return row.join(kept, ["d", "key"]).withColumn("k", F.row_number().over(first)).where("k = 1").select("row.*")
 
 
 def report(docs: DataFrame) -> DataFrame:
