@@ -17,11 +17,11 @@ def components(links: DataFrame, name: str = "labels") -> DataFrame:
     labels = settle(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("label")), name)
     while True:
         near = both.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("label").alias("near"))
-        hooked = settle(
-            labels.join(near, F.col("node") == F.col("a")).select("node", F.col("label").alias("old"), F.least("label", "near").alias("label")), name)
-        roots = hooked.select(F.col("node").alias("root"), F.col("label").alias("above"))
-        jumped = settle(
-            hooked.join(roots, F.col("label") == F.col("root")).select("node", "old", F.least("label", "above").alias("label")), name)
+        hooked = labels.join(near, F.col("node") == F.col("a")).select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
+        # The label of the label, as it was: what every node points to points further.
+        roots = labels.select(F.col("node").alias("root"), F.col("label").alias("above"))
+        jumped = hooked.join(roots, F.col("label") == F.col("root")).select("node", "old", F.least("label", "above").alias("label"))
+        jumped = settle(jumped, name)
         labels = jumped.select("node", "label")
         if jumped.where("label <> old").isEmpty():
             return labels

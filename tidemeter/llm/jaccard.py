@@ -6,10 +6,10 @@ Two sets of Jaccard ``PERCENT`` or more share a shingle in their prefixes, the f
 one group, and only groups are posted under shingles. Shingles posted by one group alone are dropped; group
 pairs are filtered by size and by position, expanded to their nodes, and nodes are verified on whole sets.
 
-Only components are asked for, so a pair whose nodes are known to be connected needs no check. Two rounds
-check a few neighbours for each node in posting lists, which joins the large groups of near copies; the last
-round checks every pair that passes the filters and still lies in two components, component by component
-within a list, so lists inside one component make no pairs. Long lists are salted in the first rounds.
+Only components are asked for, so a pair whose nodes are known to be connected needs no check. A first round
+checks a few neighbours of each node in posting lists, which joins the large groups of near copies; the second
+checks every pair that passes the filters and still lies in two components, component by component within a
+list, so lists inside one component make no pairs. Long lists are salted in the first round.
 
 The order hint is the ``HINTS`` most frequent shingles; it may hold fewer or other shingles without any
 change of results, since every order is right.
@@ -30,8 +30,8 @@ from tidemeter.llm.packed import NULL_ID, by_bucket, planes, unplanes
 
 N, PERCENT = 4, 85
 HINTS = 1 << 17
-#: Neighbours that a node is compared with in each of the first rounds, and the length of a salted list.
-NEAR, LIST = 2, 256
+#: Neighbours that a node is compared with in the first round, and the length of a salted list.
+NEAR, LIST = 4, 256
 #: Bits of the filter that picks documents whose sets are needed: 8 MB, a fixed bound.
 BITS = 1 << 26
 
@@ -220,10 +220,10 @@ def join(docs: DataFrame, n: int = N) -> DataFrame:
         return pairs.join(x, "a").join(y, "b").mapInArrow(_verify, "a long, b long")
 
     links, labels = None, None
-    for turn in (1, 2, 3):
+    for turn in (1, 2):
         held = posts.withColumn("comp", F.col("node")) if labels is None else (
             posts.join(labels, "node", "left").withColumn("comp", F.coalesce("label", "node")).drop("label"))
-        if turn < 3:
+        if turn == 1:
             salt = F.pmod(F.xxhash64("node", "token", F.lit(turn)), F.greatest(F.lit(1), F.floor(F.col("m") / LIST)))
             row = Window.partitionBy("token", "salt").orderBy("n", F.xxhash64("node", "token", F.lit(turn)), "node")
             beside = held.withColumn("salt", salt).select(
