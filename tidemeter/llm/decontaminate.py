@@ -189,6 +189,14 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         F.array_sort(F.collect_set(item)).alias("items"))
 
 
+def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of ``docs``, all columns, that share no window with an item."""
+    none = F.lit(-(1 << 63))
+    bad = overlaps(docs, benchmark).where("start is not null").select(F.coalesce("doc_id", none).alias("bad_id"), F.col("key").alias("bad_key")).distinct()
+    row = docs.select(F.struct("*").alias("row"), F.coalesce(F.col("doc_id").cast("long"), none).alias("d"), F.xxhash64(F.col("text").cast("string")).alias("k"))
+    return row.join(bad, (F.col("d") == F.col("bad_id")) & (F.col("k") == F.col("bad_key")), "left_anti").select("row.*")
+
+
 def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return decontaminate(docs, benchmark).select(
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
