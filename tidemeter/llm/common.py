@@ -116,7 +116,7 @@ _POWERS: list[np.ndarray] = [np.ones(1, U64), np.ones(1, U64)]
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first ``n`` powers of the base and of its inverse modulo 2**64."""
     if len(_POWERS[0]) < n:
-        size = 1 << (n - 1).bit_length()
+        size = n + n // 16
         for k, base in enumerate((BASE, pow(BASE, -1, 1 << 64))):
             steps = np.full(size, base, U64)
             steps[0] = 1

@@ -35,6 +35,8 @@ from tidemeter.llm.packed import NULL_ID, by_bucket, deltas, planes, undeltas, u
 SPAN, K, W = 400, 16, 64
 CLASS = SPAN - W + 1
 SHALLOW, CROWD = 24, 4096
+#: Bytes of text in arrays at once: a byte takes about a hundred bytes of arrays here.
+CHUNK = 2 << 20
 #: Bits of the filter of documents: 8 MB, a fixed bound.
 BITS = 1 << 26
 
@@ -117,7 +119,7 @@ def _scan(buckets: int):
     """Class and surroundings of every anchor, each sent once for a chunk; what shows inside the chunk is
     told to its documents at once."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches):
+        for batch in chunks(batches, CHUNK):
             batch = _sorted_batch(batch)
             a = _Anchors(batch.column("text"))
             if not len(a.p):
@@ -205,7 +207,7 @@ def merged(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
 
 def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Certain removals of each document, and the undecided anchors with the bytes of their spans."""
-    for batch in chunks(batches):
+    for batch in chunks(batches, CHUNK):
         a = _Anchors(batch.column("text"))
         ids, keys, known = (batch.column(c).to_pylist() for c in ("gone_id", "gone_key", "known"))
         out: list[tuple] = []
@@ -375,7 +377,7 @@ def _among(docs: DataFrame, shared, inside: bool) -> DataFrame:
 
 
 def _keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in chunks(batches):
+    for batch in chunks(batches, CHUNK):
         out: list[list] = [[], [], [], [], []]
         gone = batch.column("gone").to_pylist()
         for text, cut in zip(batch.column("text").to_pylist(), gone, strict=True):
