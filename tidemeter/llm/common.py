@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tidemeter.session import shared_dir
 
 #: Bytes of text that one task turns into arrays at once; a longer text is taken alone.
-CHUNK = 4 << 20
+CHUNK = 2 << 20
 U64 = np.uint64
 
 

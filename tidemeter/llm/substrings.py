@@ -23,6 +23,8 @@ from tidemeter.llm.common import SPACES, U64, chunks, fan_out, keyed, mix, rolli
 from tidemeter.llm.packed import NULL_ID, by_bucket, deltas, planes, undeltas, unplanes
 
 WINDOW = 20
+#: Bytes of text in a chunk whose equal windows are folded before they are sent.
+FOLD = 4 << 20
 
 _PACKED = "bucket int, hashes binary, places binary, ids binary, keys binary, firsts binary"
 _NAMES = ["bucket", "hashes", "places", "ids", "keys", "firsts"]
@@ -53,7 +55,7 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 def _scan(window: int, buckets: int, shards: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches):
+        for batch in chunks(batches, FOLD):
             batch = _order(batch)
             ids = batch.column("doc_id").to_numpy()
             keys = batch.column("key").to_numpy().view(U64).astype(np.uint32)
