@@ -108,3 +108,13 @@ def test_ties_go_to_the_longest_last_piece():
     counter = tokencounts.Counter([("<unk>", 0.0), ("▁a", -1.0), ("b", -1.0), ("▁ab", -3.0), ("c", -1.0), ("bc", -2.0)])
     # "▁a" + "bc" and "▁a" + "b" + "c" score alike: the earliest start into the end wins.
     assert counter.words(["abc"])[0].tolist() == [2]
+
+
+def test_counts_of_the_bpe_model_are_stated_to_differ():
+    import sentencepiece
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    text = "The people have international cooperation"
+    count, _ = tokencounts.Counter(tokencounts.vocabulary(path)).words(text.split(" "))
+    assert (count.sum(), len(sentencepiece.SentencePieceProcessor(model_file=path).encode(text))) == (15, 5)
+    assert "BPE" in tokencounts.__doc__ and "BPE" in tokencounts.count_pieces.__doc__

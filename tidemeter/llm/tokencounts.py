@@ -5,6 +5,11 @@ carries the best score and the number of pieces on the best path, nothing else.
 tokenizer: of equal scores into one place the earliest start, that is the longest last piece, stands. A
 character that is no piece costs ``UNKNOWN`` below the worst score and counts its bytes. Words begin at
 spaces (a space belongs to the word after it); each distinct word is solved once per worker.
+
+The default vocabulary, ``piece_bpe_32k.model``, is that of a BPE tokenizer: its scores are merge ranks, not log
+probabilities. The counts are exact for the unigram reading of these pieces and scores, and are NOT those of the
+BPE tokenizer that the file belongs to: on sf0.01 they differ on 995 of 1,000 texts, 1,091,648 pieces against
+957,624. No unigram model is fitted here; one has to be given by ``path`` for counts of a unigram tokenizer.
 """
 
 from __future__ import annotations
@@ -166,7 +171,8 @@ def _count(shared, name: str):
 def count_pieces(docs: DataFrame, path: str | None = None) -> DataFrame:
     """``doc_id, key, n_pieces, n_words, score`` for each row.
 
-    Null and empty texts have none. Repeated rows are counted each. Other columns are not read.
+    Null and empty texts have none. Repeated rows are counted each. Other columns are not read. Without ``path``
+    the pieces and merge ranks of a BPE model are read as a unigram vocabulary (see above).
     """
     path = path or public_tokenizers.path("piece_bpe_32k.model")
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary(path))
