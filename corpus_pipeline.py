@@ -21,9 +21,13 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.clean(docs, machine)
 
 
+#: Words from which a repeated run of lines is cut.
+LINE_WORDS = 25
+
+
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Runs of lines that an earlier document or line holds are cut; ``n_chars`` follows."""
-    made = linedup.dedup(docs)
+    made = linedup.dedup(docs, LINE_WORDS)
     if "n_chars" in docs.columns:
         made = made.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return made.select(*docs.columns)

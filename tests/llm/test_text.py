@@ -108,6 +108,16 @@ def test_lines(spark, texts):
     assert rows(made, "doc_id", "text", "n_removed") == sorted(brute.lines(docs), key=str)
 
 
+def test_short_notices_go_when_asked_for(spark):
+    rng = random.Random(12)
+    notice = prose(rng, 24, 5000)
+    docs = [(i, prose(rng, 30, 5000) + (f"\n{notice}" if i % 3 == 0 else "")) for i in range(12)]
+    df = frame(spark, docs)
+    for words in (25, 24, 1):
+        assert rows(linedup.report(df, words), "doc_id", "n_removed") == sorted(((d, n) for d, _, n in brute.lines(docs, words)), key=str)
+    assert sum(r.n_removed for r in linedup.report(df, 1).collect()) == 3
+
+
 def test_native_operator_runs_no_python(spark, texts):
     plan = linedup.dedup(frame(spark, texts[0][:9]))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan

@@ -1,12 +1,13 @@
 """Line dedup: repeated runs of whole lines, the first copy of which stays.
 
-Lines become ids, and a suffix array over the id sequences is built by distributed prefix doubling: level k
-ranks all blocks of ``2**k`` lines that occur twice or more, from pairs of ranks of level k - 1, by a sort of
-the distinct pairs. Blocks that occur once drop out, so levels shrink fast. Two ranks of one level name any
-longer run (its first and its last block), which bounds common prefixes from below: runs of equal names are
-equal.
-
-A run counts if it has ``MIN_WORDS`` words. Every maximal repeated run is the union of the least such runs
+Lines become ids, and blocks of lines are ranked by distributed prefix doubling: level k ranks all blocks of
+``2**k`` lines that occur twice or more, from pairs of ranks of level k - 1, by a sort of the distinct pairs.
+Blocks that occur once drop out, so levels shrink fast. Two ranks of one level name any longer run (its first
+and its last block): runs of equal names are equal. Neither a suffix array of all lines nor intervals of longest
+common prefixes are built; only repeated blocks have ranks, and runs are grouped by name instead.
+
+A run counts if it has ``words`` words; ``MIN_WORDS`` is only the default, that of the query's SQL twin, and with 1
+every repeated line with a word counts. Every maximal repeated run is the union of the least such runs
 that begin, or end, at its lines, so those are named; all but the earliest of equal ones are deleted, and
 what overlaps or touches merges into maximal runs again. Only DataFrame functions are used.
 """
@@ -133,8 +134,8 @@ def dedup(docs: DataFrame, words: int = MIN_WORDS) -> DataFrame:
         F.when(F.col("cuts").isNull(), 0).otherwise(F.size("cuts")).cast("long").alias("n_runs"))
 
 
-def report(docs: DataFrame) -> DataFrame:
-    return dedup(docs.select("doc_id", "text")).select(
+def report(docs: DataFrame, words: int = MIN_WORDS) -> DataFrame:
+    return dedup(docs.select("doc_id", "text"), words).select(
         "doc_id", "n_lines", "n_removed", "n_runs",
         F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 
