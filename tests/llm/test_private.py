@@ -100,3 +100,13 @@ def test_toxicity_without_labels(spark):
     docs = frame(spark, [(1, "ta ro"), (2, None)])
     none = spark.createDataFrame([], "doc_id long, toxic int")
     assert [r.predicted for r in toxicity.report(docs, none).collect()] == [0, 0]
+
+
+def test_spaces_and_shortness_hide_nothing(spark):
+    data = [(i, t, y) for i, t, y in sentences(900, 3, ("snarf", "blegg", "qx"))]
+    labels = spark.createDataFrame([(i, y, 0) for i, _, y in data], "doc_id long, toxic int, quality int")
+    asked = [(5000, "ta s n a r f ro mi dar"), (5001, "talen sn ar f dar"), (5002, "talen qx dar"), (5003, "sulpa q x midar"),
+             (5010, "ta r o m i ro mi dar"), (5011, "talen mi ne os dar"), (5012, "talen pa dar"), (5013, "")]
+    docs = frame(spark, [(i, t) for i, t, _ in data] + asked)
+    made = {r.doc_id: r.predicted for r in toxicity.report(docs, labels).where("doc_id >= 5000").collect()}
+    assert made == {i: int(i < 5010) for i, _ in asked}

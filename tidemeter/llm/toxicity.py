@@ -3,7 +3,10 @@
 A text is a bag of words: ``score`` is a calibrated function of its largest word decision and of the sum
 and share of what lies beyond the border (multiple-instance learning, so document labels suffice). The kernel counts common
 subsequences of ``ORDER`` characters, each damped by ``DECAY`` for every character it spans, so gaps and
-inserted characters lower a similarity and do not break it. Landmarks span the feature space
+inserted characters lower a similarity and do not break it. Shorter strings get an edge sign on both sides, so
+that one or two characters with the edges make a subsequence. Neighbouring words shorter than ``ORDER`` are also
+joined, in all runs of 2 to ``JOINED`` of them, and count as further words: spaces between single letters or
+pairs hide nothing. A piece of three characters or more between spaces is not joined with others. Landmarks span the feature space
 ``K_mm^-1/2 k(word)`` in which the machine is linear; training is on at most ``TRAIN_ROWS`` labelled
 documents of each class, never on held-out ones, and only from their texts. Every distinct word is scored
 once per worker; every word of every text counts.
@@ -33,6 +36,8 @@ WEAKEST = 5.0
 BORDERS = (-0.2, 0.2, 0.6)
 #: A longer word is scored in overlapping parts of this many characters.
 PART = 24
+#: So many neighbouring short words are joined, at most.
+JOINED = 8
 #: Words that a worker remembers the decision of.
 REMEMBERED = 3_000_000
 
@@ -69,6 +74,11 @@ def _kernel(s: np.ndarray, t: np.ndarray) -> np.ndarray:
     return total
 
 
+def edged(strings: list[str]) -> list[str]:
+    """Strings of fewer than ``ORDER`` characters between two signs that no word has."""
+    return [s if len(s) >= ORDER or not s else f"\x02{s}\x03" for s in strings]
+
+
 def self_kernel(strings: list[str], block: int = 2048) -> np.ndarray:
     out = np.zeros(len(strings), np.float32)
     for at in range(0, len(strings), block):
@@ -79,7 +89,8 @@ def self_kernel(strings: list[str], block: int = 2048) -> np.ndarray:
 
 
 def similarities(strings: list[str], marks: list[str], block: int = 256) -> np.ndarray:
-    """Cosine-normalised kernels (n, m); strings of fewer than ``ORDER`` characters are like nothing."""
+    """Cosine-normalised kernels (n, m); short strings are compared with their edges, an empty one is like nothing."""
+    strings, marks = edged(strings), edged(marks)
     # Short and long landmarks apart, as all of a group are padded to its longest.
     short = [j for j, m in enumerate(marks) if len(m) <= 7]
     sets = [(g, codes([marks[j] for j in g], max(len(marks[j]) for j in g), 0)[None])
@@ -145,13 +156,31 @@ def evidence(decisions: np.ndarray, first: np.ndarray, bias: float) -> np.ndarra
 
 
 def _spans(texts: pa.Array):
-    """Space-separated words without the signs around them: bytes, starts, ends, words before each text."""
+    """Space-separated words without the signs around them, and joined runs of short ones: bytes, starts, ends,
+    spans before each text."""
     w = words(texts, SPACES, True)
     letters = np.flatnonzero(_LETTERS[w.data])
     lo, hi = np.searchsorted(letters, w.starts), np.searchsorted(letters, w.ends)
     full = hi > lo
-    before = np.concatenate(([0], np.cumsum(full)))
-    return w.data, letters[lo[full]], letters[hi[full] - 1] + 1, before[w.first]
+    starts, ends = letters[lo[full]], letters[hi[full] - 1] + 1
+    first = np.concatenate(([0], np.cumsum(full)))[w.first]
+    # Words end to end, so that neighbours are one span.
+    size = ends - starts
+    to = np.cumsum(size)
+    data = w.data[np.arange(to[-1] if len(to) else 0) + np.repeat(starts - (to - size), size)]
+    starts, ends = to - size, to
+    begun = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))
+    short = begun[ends] - begun[starts] < ORDER
+    doc = np.searchsorted(first, np.arange(len(starts)), "right") - 1
+    # The place where the run of short words from each word ends, at its text's end at the latest.
+    stop = np.append(np.flatnonzero(~short), len(short))
+    reach = np.minimum(stop[np.searchsorted(stop, np.arange(len(short)))], first[doc + 1]) - np.arange(len(short))
+    joined = [(at, at + k - 1) for k in range(2, JOINED + 1) for at in [np.flatnonzero(reach >= k)]]
+    head = np.concatenate((np.arange(len(starts)), *(a for a, _ in joined)))
+    tail = np.concatenate((np.arange(len(starts)), *(z for _, z in joined)))
+    order = np.argsort(doc[head], kind="stable")
+    head, tail = head[order], tail[order]
+    return data, starts[head], ends[tail], np.searchsorted(doc[head], np.arange(len(first)))
 
 
 def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,10 +236,10 @@ def fit(bags: list[tuple[int, list[str]]], prior: float | None = None, seed: int
         n = in_toxic[w]
         return (np.log((n + 0.5) / (len(toxic) + 1)) - np.log((in_clean[w] + 0.5) / (len(clean) + 1))) * np.sqrt(n)
 
-    strength = {w: tell(w) for w in in_toxic if len(w) >= ORDER}
+    strength = {w: tell(w) for w in in_toxic}
     most = max(strength.values(), default=0)
     telling = [w for w in sorted(strength, key=lambda w: (-strength[w], w))[:300] if strength[w] >= max(WEAKEST, most / 8)]
-    plain = sorted(w for w in in_clean if len(w) >= ORDER)
+    plain = sorted(in_clean)
     plain = [plain[i] for i in rng.permutation(len(plain))[:6000].tolist()]
     if not telling or not plain:
         return Machine([], np.zeros(0), 0.0, np.array([0.0] * (2 * len(BORDERS) + 1) + [-3.0]))
