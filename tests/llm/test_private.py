@@ -110,3 +110,7 @@ def test_spaces_and_shortness_hide_nothing(spark):
     docs = frame(spark, [(i, t) for i, t, _ in data] + asked)
     made = {r.doc_id: r.predicted for r in toxicity.report(docs, labels).where("doc_id >= 5000").collect()}
     assert made == {i: int(i < 5010) for i, _ in asked}
+
+
+def test_toxicity_learns_from_enough():
+    assert (toxicity.LANDMARKS, toxicity.TRAIN_ROWS) == (56, 1000)

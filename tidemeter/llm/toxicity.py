@@ -27,9 +27,9 @@ from tidemeter.llm.common import BYTE_CODES, LOWER, SPACES, U64, chunks, fresh,
 from tidemeter.llm.tokenizing import worker_state
 
 #: Labelled rows of each class that the machine learns from, at most; the lowest hashes of the id are taken.
-TRAIN_ROWS = 800
+TRAIN_ROWS = 1000
 ORDER, DECAY = 3, 0.6
-LANDMARKS = 48
+LANDMARKS = 56
 #: The least log-odds times root of count of a word that may speak for toxicity.
 WEAKEST = 5.0
 #: Word decisions beyond these count as evidence.
