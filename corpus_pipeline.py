@@ -33,9 +33,13 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     return made.select(*docs.columns)
 
 
+#: Words of a shingle and least similarity in per cent of near copies.
+NEAR_WORDS, NEAR_PERCENT = 5, 80
+
+
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents that links connect, the one with the smallest id stays."""
-    return jaccard.distinct(docs)
+    return jaccard.distinct(docs, NEAR_WORDS, NEAR_PERCENT)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

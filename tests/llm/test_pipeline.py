@@ -13,7 +13,7 @@ from tests.compare import connect, difference
 from tests.llm import brute
 from tests.llm.test_private import sentences
 from tests.llm.test_text import prose
-from tidemeter.llm import queries
+from tidemeter.llm import jaccard, queries
 
 ROOT = "/root/testdata/sf0.001"
 
@@ -60,6 +60,18 @@ def test_pipeline(spark, tmp_path):
     assert len(kept & set(range(1100, 1112))) == 1, "near copies"
 
 
+def test_near_copies_between_the_limits(spark):
+    rng = random.Random(33)
+    words = [f"w{i}" for i in range(230)]
+    edited = [f"edit{i}" if i in (20, 60, 100, 140, 180) else w for i, w in enumerate(words)]
+    docs = [(1, " ".join(words)), (2, " ".join(edited)), (3, prose(rng, 230, 5000))]
+    five, four = ([brute.shingles(t, n) for _, t in docs[:2]] for n in (5, 4))
+    assert len(five[0] & five[1]) / len(five[0] | five[1]) >= 0.8 and len(four[0] & four[1]) / len(four[0] | four[1]) < 0.85
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert sorted(r.doc_id for r in corpus_pipeline.drop_near_copies(spark, df, ROOT).collect()) == [1, 3]
+    assert sorted(r.doc_id for r in jaccard.distinct(df).collect()) == [1, 2, 3]
+
+
 def test_stages_keep_the_columns(spark):
     docs = spark.read.parquet(f"{ROOT}/documents.parquet").limit(5)
     for _, stage in corpus_pipeline.STAGES[:-1]:

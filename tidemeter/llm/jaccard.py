@@ -1,8 +1,8 @@
 """N-gram Jaccard join by grouped prefixes.
 
-A document is the set of its hashed ``N``-word shingles, in an order that puts frequent shingles last.
-Two sets of Jaccard ``PERCENT`` or more share a shingle in their prefixes, the first
-``n - ceil(PERCENT n / 100) + 1``. Documents of equal sets are one node; nodes of equal prefix and size are
+A document is the set of its hashed ``n``-word shingles, in an order that puts frequent shingles last.
+Two sets of Jaccard ``percent`` or more share a shingle in their prefixes, the first
+``n - ceil(percent n / 100) + 1``. Documents of equal sets are one node; nodes of equal prefix and size are
 one group, and only groups are posted under shingles. Shingles posted by one group alone are dropped; group
 pairs are filtered by size and by position, expanded to their nodes, and nodes are verified on whole sets.
 
@@ -28,6 +28,7 @@ from tidemeter.llm.common import SPACES, U64, Words, chunks, fan_out, keyed, mix
 from tidemeter.llm.components import components
 from tidemeter.llm.packed import NULL_ID, by_bucket, planes, unplanes
 
+#: Of the query and its SQL twin.
 N, PERCENT = 4, 85
 HINTS = 1 << 17
 #: Neighbours that a node is compared with in the first round, and the length of a salted list.
@@ -65,7 +66,7 @@ def _frequent(n: int):
 class _Sets:
     """The sets of a chunk: shingles by document, frequent ones last, with sizes and node names."""
 
-    def __init__(self, texts: pa.Array, n: int, hints: np.ndarray, counts: np.ndarray):
+    def __init__(self, texts: pa.Array, n: int, percent: int, hints: np.ndarray, counts: np.ndarray):
         doc, h = shingles(words(texts, SPACES, True), n)
         rare = np.zeros(len(h), np.int64)
         if len(hints):
@@ -76,7 +77,7 @@ class _Sets:
         self.n = np.diff(self.first)
         total = np.concatenate(([0], np.cumsum(mix(self.h ^ U64(0xA5A5A5A5A5A5A5A5)), dtype=U64))).astype(U64)
         self.node = mix((total[self.first[1:]] - total[self.first[:-1]]) + self.n.astype(U64))
-        self.prefix = np.where(self.n > 0, self.n - (PERCENT * self.n + 99) // 100 + 1, 0)
+        self.prefix = np.where(self.n > 0, self.n - (percent * self.n + 99) // 100 + 1, 0)
         prefix_total = total[self.first[:-1] + self.prefix] - total[self.first[:-1]]
         self.group = mix(mix(prefix_total) + self.n.astype(U64))
 
@@ -84,10 +85,10 @@ class _Sets:
         return self.h[self.first[i]: self.first[i] + self.prefix[i] if prefix else self.first[i + 1]]
 
 
-def _profiles(n: int, shared):
+def _profiles(n: int, percent: int, shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches):
-            s = _Sets(batch.column("text"), n, *shared.value)
+            s = _Sets(batch.column("text"), n, percent, *shared.value)
             prefixes = [planes(s.of(i, True)) for i in range(batch.num_rows)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("key"), pa.array(s.n.astype(np.int64)), pa.array(s.node.view(np.int64), mask=s.n == 0),
@@ -126,11 +127,11 @@ def _shared_shingles(table: pa.Table) -> pa.Table:
     return pa.table({"token": h[keep].view(np.int64), "grp": group[at], "n": n[at].astype(np.int64), "pos": pos[at].astype(np.int64), "m": length[keep].astype(np.int64)})
 
 
-def _pick(n: int, shared, wanted):
+def _pick(n: int, percent: int, shared, wanted):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         allowed = np.frombuffer(wanted.value, np.uint8)
         for batch in chunks(batches):
-            s = _Sets(batch.column("text"), n, *shared.value)
+            s = _Sets(batch.column("text"), n, percent, *shared.value)
             ids = batch.column("doc_id").fill_null(int(NULL_ID)).to_numpy().view(U64)
             stamp = s.node ^ (batch.column("key").to_numpy().view(U64) >> U64(3)) ^ (ids << U64(20))
             low = (stamp & U64(BITS - 1)).astype(np.int64)
@@ -150,26 +151,28 @@ def _widen(data: memoryview) -> np.ndarray:
     return np.concatenate((np.zeros((len(six), 2), np.uint8), six), 1).view(U64).ravel()
 
 
-def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        linked = []
-        for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
-            x, y = _widen(x.as_buffer()), _widen(y.as_buffer())
-            if len(x) > len(y):
-                x, y = y, x
-            place = np.minimum(np.searchsorted(y, x), len(y) - 1)
-            both = int((y[place] == x).sum())
-            linked.append(100 * both >= PERCENT * (len(x) + len(y) - both))
-        yield batch.select(["a", "b"]).filter(pa.array(linked, pa.bool_()))
+def _verify(percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            linked = []
+            for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
+                x, y = _widen(x.as_buffer()), _widen(y.as_buffer())
+                if len(x) > len(y):
+                    x, y = y, x
+                place = np.minimum(np.searchsorted(y, x), len(y) - 1)
+                both = int((y[place] == x).sum())
+                linked.append(100 * both >= percent * (len(x) + len(y) - both))
+            yield batch.select(["a", "b"]).filter(pa.array(linked, pa.bool_()))
+    return run
 
 
-def _fits(na, ia, nb, ib):
+def _fits(na, ia, nb, ib, percent: int):
     """Sizes allow a link, and so do the places of the shared shingle, if it is the first that both share.
 
     The first shared shingle of a linked pair always fits, so a pair with none that fits is not linked.
     """
     most = 1 + F.least(na - ia - 1, nb - ib - 1)
-    return (100 * F.least(na, nb) >= PERCENT * F.greatest(na, nb)) & ((100 + PERCENT) * most >= PERCENT * (na + nb))
+    return (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & ((100 + percent) * most >= percent * (na + nb))
 
 
 def _bitmap(rows: DataFrame, hashed) -> bytes:
@@ -181,7 +184,7 @@ def _bitmap(rows: DataFrame, hashed) -> bytes:
     return bits.tobytes()
 
 
-def join(docs: DataFrame, n: int = N) -> DataFrame:
+def join(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
     """``doc_id, key, n_shingles, component_id, component`` for each row: the smallest id that links reach,
     and a name of the component that no other has.
 
@@ -195,7 +198,7 @@ def join(docs: DataFrame, n: int = N) -> DataFrame:
     often = often.orderBy(F.desc("c"), "h").limit(HINTS).toPandas()  # HINTS rows at most
     order = np.argsort(often["h"].to_numpy().astype(np.int64).view(U64))
     hints = spark.sparkContext.broadcast((often["h"].to_numpy().astype(np.int64).view(U64)[order], often["c"].to_numpy().astype(np.int64)[order]))
-    made = docs.mapInArrow(_profiles(n, hints), "doc_id long, key long, n long, node long, grp long, prefix binary")
+    made = docs.mapInArrow(_profiles(n, percent, hints), "doc_id long, key long, n long, node long, grp long, prefix binary")
     made = settle(made, "profiles")
     profiles = made.where("node is not null")
     nodes = settle(profiles.groupBy("node").agg(F.min("doc_id").alias("least"), F.min(F.struct(F.coalesce("doc_id", F.lit(int(NULL_ID))).alias("id"), "key")).alias("one"), F.min("grp").alias("grp"), F.min("n").alias("n")), "nodes")
@@ -214,10 +217,10 @@ def join(docs: DataFrame, n: int = N) -> DataFrame:
         ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
         stamp = F.col("node").bitwiseXOR(F.shiftrightunsigned("one.key", 3)).bitwiseXOR(F.shiftleft("one.id", 20))
         wanted = spark.sparkContext.broadcast(_bitmap(nodes.join(ends, "node", "left_semi"), stamp))
-        sets = docs.mapInArrow(_pick(n, hints, wanted), "node long, items binary").groupBy("node").agg(F.first("items").alias("items"))
+        sets = docs.mapInArrow(_pick(n, percent, hints, wanted), "node long, items binary").groupBy("node").agg(F.first("items").alias("items"))
         x = sets.select(F.col("node").alias("a"), F.col("items").alias("x"))
         y = sets.select(F.col("node").alias("b"), F.col("items").alias("y"))
-        return pairs.join(x, "a").join(y, "b").mapInArrow(_verify, "a long, b long")
+        return pairs.join(x, "a").join(y, "b").mapInArrow(_verify(percent), "a long, b long")
 
     links, labels = None, None
     for turn in (1, 2):
@@ -228,7 +231,7 @@ def join(docs: DataFrame, n: int = N) -> DataFrame:
             row = Window.partitionBy("token", "salt").orderBy("n", F.xxhash64("node", "token", F.lit(turn)), "node")
             beside = held.withColumn("salt", salt).select(
                 "node", "comp", "n", "pos", *(F.lag(c).over(row).alias(f"{c}_0") for c in ("node", "comp", "n", "pos")))
-            pairs = beside.where((F.col("comp") != F.col("comp_0")) & _fits(F.col("n"), F.col("pos"), F.col("n_0"), F.col("pos_0")))
+            pairs = beside.where((F.col("comp") != F.col("comp_0")) & _fits(F.col("n"), F.col("pos"), F.col("n_0"), F.col("pos_0"), percent))
             pairs = pairs.select(F.least("node", "node_0").alias("a"), F.greatest("node", "node_0").alias("b")).distinct()
             few = Window.partitionBy("a").orderBy(F.xxhash64("a", "b"))
             pairs = pairs.withColumn("k", F.row_number().over(few)).where(F.col("k") <= NEAR).drop("k")
@@ -239,9 +242,9 @@ def join(docs: DataFrame, n: int = N) -> DataFrame:
             parts = lists.groupBy("token", "comp").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
             a, b = (parts.select("token", *(F.col(c).alias(f"{c}_{s}") for c in ("comp", "lo", "hi"))) for s in "ab")
             close = a.join(b, "token").where(
-                "comp_a < comp_b" + f" and 100 * hi_b >= {PERCENT} * lo_a and 100 * hi_a >= {PERCENT} * lo_b").select("token", "comp_a", "comp_b")
+                "comp_a < comp_b" + f" and 100 * hi_b >= {percent} * lo_a and 100 * hi_a >= {percent} * lo_b").select("token", "comp_a", "comp_b")
             a, b = (lists.select("token", *(F.col(c).alias(f"{c}_{s}") for c in ("comp", "node", "n", "pos"))) for s in "ab")
-            pairs = close.join(a, ["token", "comp_a"]).join(b, ["token", "comp_b"]).where(_fits(F.col("n_a"), F.col("pos_a"), F.col("n_b"), F.col("pos_b")))
+            pairs = close.join(a, ["token", "comp_a"]).join(b, ["token", "comp_b"]).where(_fits(F.col("n_a"), F.col("pos_a"), F.col("n_b"), F.col("pos_b"), percent))
             pairs = pairs.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
         found = verified(pairs)
         links = settle(found if links is None else links.union(found), "links")
@@ -255,12 +258,12 @@ def join(docs: DataFrame, n: int = N) -> DataFrame:
         "doc_id", "key", "n_shingles", "component_id", "component").union(alone)
 
 
-def distinct(docs: DataFrame, n: int = N) -> DataFrame:
+def distinct(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
     """All columns of the one row of each component that stays: smallest id, null ids last, then text hash.
 
     Texts without words are components of their own; of rows repeated exactly one stays.
     """
-    found = join(docs, n)
+    found = join(docs, n, percent)
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
     kept = found.groupBy("component").agg(F.min(order).alias("one")).select(F.coalesce("one.doc_id", F.lit(int(NULL_ID))).alias("d"), F.col("one.key").alias("key"))
     row = docs.select(F.struct("*").alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(int(NULL_ID))).alias("d"), F.xxhash64(F.col("text").cast("string")).alias("key"))
