@@ -114,3 +114,20 @@ def test_spaces_and_shortness_hide_nothing(spark):
 
 def test_toxicity_learns_from_enough():
     assert (toxicity.LANDMARKS, toxicity.TRAIN_ROWS) == (56, 1000)
+
+
+def test_names_without_title_and_other_formats(spark):
+    texts = [(1, "Mrs Ada Byron came. Byron said that Ada's and BYRON’s byron, Byronic or McByron stay."), (2, "Mr Juan Carlos Garcia met Dr Byron's friend."), (3, "Byron alone"),
+             (4, "call (456) 555-2186, 456-555-2186, 030 1234567 or 0151/23456; 01-01-2020 10:20:30"), (5, "fe80::1a2b:3c4D and 2001:0db8:85a3:0000:0000:8a2e:0370:7334, std::map"),
+             (6, "mail jürgen.möß@mail.example.com иван@mail.example.com")]
+    text = {r.doc_id: r.text for r in pii.replace(frame(spark, texts), "k").collect()}
+    one = re.fullmatch(r"Mrs (\w+) (\w+) came. (\w+) said that (\w+)'s and (\w+)’s byron, Byronic or McByron stay\.", text[1])
+    assert one[2] == one[3] and one[5] == one[2].upper() and one[1] == one[4] and not {"Ada", "Byron"} & set(one.groups())
+    two = re.fullmatch(r"Mr (\w+) (\w+) (\w+) met Dr (\w+)'s friend\.", text[2])
+    assert two[4] == one[2] and not {"Juan", "Carlos", "Garcia"} & set(two.groups()) and two[1].endswith("n") and two[2].endswith("n")
+    assert text[3] == "Byron alone"
+    four = re.fullmatch(r"call \((\d{3})\) (\d{3})-(\d{4}), (\d{3})-(\d{3})-(\d{4}), (\d{3}) (\d{7}) or (\d{4})/(\d{5}); 01-01-2020 10:20:30", text[4])
+    assert four.groups()[:3] == four.groups()[3:6] and four[3] != "2186" and four[8] != "1234567" and four[10] != "23456"
+    five = re.fullmatch(r"([0-9a-f]{4})::([0-9a-f]{4}):([0-9a-f]{4}) and ((?:[0-9a-f]{4}:){7}[0-9a-f]{4}), std::map", text[5])
+    assert five[1] != "fe80" and five[4] != "2001:0db8:85a3:0000:0000:8a2e:0370:7334"
+    assert re.fullmatch(r"mail [a-z]{6}\.[a-z]{3}@\w+\.\w+\.com [a-z]{4}@\w+\.\w+\.com", text[6])

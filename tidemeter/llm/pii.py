@@ -1,7 +1,9 @@
 """Surrogates for personal data: detected entities receive keyed replacements of their own kind and format.
 
 Equal entities receive equal surrogates everywhere (coreference): mails by lower case, numbers by their
-digits whatever their signs, names word by word, so "Mrs Ada Byron" and "Mrs Byron" stay related. A surrogate
+digits whatever their signs, names word by word, so "Mrs Ada Byron" and "Mrs Byron" stay related. A person is
+found after a title, with up to four name words; where a document names one, the capitalised occurrences of those
+words without a title are replaced in it too. Persons that a document names by no title stay. A surrogate
 is a keyed hash shaped like its entity: digits fill the entity's own format, card numbers keep their issuer
 digit and stay valid or invalid, names keep gender, script and capitals. Collision checks then compare all
 surrogates with each other and with all entities found; who loses is hashed anew, until surrogates are
@@ -24,16 +26,24 @@ MALE = ("Mr", "Herr", "Monsieur", "Señor", "Sr", "г-н", "Г-н", "Κος")
 FEMALE = ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "г-жа", "Г-жа", "Κα")
 NEUTRAL = ("Dr", "Prof")
 _TITLES = "|".join(sorted((*MALE, *FEMALE, *NEUTRAL), key=lambda t: -len(t)))
-_NAME = r"\p{Lu}[\p{L}'’-]{1,30}"
+#: A possessive ending is no part of a name.
+_NAME = r"\p{Lu}(?:[\p{L}-]|['’](?!s(?!\p{L}))){1,30}"
+#: Places between a capitalised word and what stands beside it.
+_CAPITALISED = r"(?<![\p{L}\p{N}_'’-])(?=\p{Lu})|(?<=\p{L})(?![\p{L}'’-])|(?=['’]s(?!\p{L}))"
+_MAIL = r"\p{IsLatin}\p{IsCyrillic}\p{IsGreek}0-9"
+_V6 = r"(?<![0-9A-Za-z:.])(?=[0-9A-Fa-f:]{0,39}[0-9])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6}|(?:[0-9A-Fa-f]{1,4}:){1,7}:)(?![0-9A-Za-z:])"
+#: Numbers without a country: an area code in brackets, one that begins with 0, or three, three and four digits.
+_LOCAL = (r"(?<![0-9+.()-])(?:\([0-9]{2,5}\)[ .-]?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,2}"
+          r"|0[0-9]{1,4}[ /-](?:[0-9]{5,8}|[0-9]{3,4}(?:[ -][0-9]{2,6}){1,3})|[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4})(?![0-9]|[.-][0-9])")
 #: Kind -> pattern; a text is searched once, and of patterns that match at one place the first counts.
 KINDS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,8}\.[A-Za-z]{2,24}(?![A-Za-z0-9])",
+    "email": rf"(?<![{_MAIL}._%+-])[{_MAIL}._%+-]++@[A-Za-z0-9-]{{1,63}}(?:\.[A-Za-z0-9-]{{1,63}}){{0,8}}\.[A-Za-z]{{2,24}}(?![A-Za-z0-9])",
     "secret": r"(?i:password|passwd|secret|token|api_key|apikey)\s{0,3}[=:]\s{0,3}[\"']?[A-Za-z0-9_-]{8,200}+",
     "key": r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])",
     "card": r"(?<![0-9])[0-9]{4}(?:[ -]?[0-9]{4}){3}(?![0-9])",
-    "phone": r"\+[0-9]{1,3}[ .-]?\(?[0-9]{2,4}\)?(?:[ .-]?[0-9]{2,4}){2,3}(?![0-9])",
-    "ip": rf"(?<![0-9.])(?:{_OCTET}\.){{3}}{_OCTET}(?![0-9]|\.[0-9])",
-    "person": rf"(?<![\p{{L}}])(?:{_TITLES})\.? {_NAME}(?: {_NAME})?",
+    "phone": r"\+[0-9]{1,3}[ .-]?\(?[0-9]{2,4}\)?(?:[ .-]?[0-9]{2,4}){2,3}(?![0-9])|" + _LOCAL,
+    "ip": rf"(?<![0-9.])(?:{_OCTET}\.){{3}}{_OCTET}(?![0-9]|\.[0-9])|{_V6}",
+    "person": rf"(?<![\p{{L}}])(?:{_TITLES})\.? {_NAME}(?: {_NAME}){{0,3}}",
 }
 PATTERN = "|".join(f"(?:{p})" for p in KINDS.values())
 _SECRET = r"^(.*?[=:]\s{0,3}[\"']?)([A-Za-z0-9_-]+)$"
@@ -57,13 +67,13 @@ def _digits(h: Column, n: Column) -> Column:
 
 
 def _shape(value: Column, h: Column) -> Column:
-    """Letters by letters of their case, digits by digits, other characters kept; hexadecimal stays so."""
-    width = F.when(value.rlike("^[0-9a-f]+$"), 6).otherwise(26)
+    """ASCII letters by letters of their case, other letters by small ones, digits by digits, other characters kept; hexadecimal stays so."""
+    width = F.when(value.rlike("^[0-9a-f:]+$"), 6).otherwise(26)
 
     def char(c: Column, i: Column) -> Column:
         b = _byte(h, i) + F.floor(i / 32).cast("int") * 11
         letter = F.chr(F.lit(97) + F.pmod(b, width))
-        return F.when(c.rlike("[a-z]"), letter).when(c.rlike("[A-Z]"), F.upper(letter)).when(c.rlike("[0-9]"), F.pmod(b, F.lit(10)).cast("string")).otherwise(c)
+        return F.when(c.rlike("[a-z]"), letter).when(c.rlike("[A-Z]"), F.upper(letter)).when(c.rlike("[0-9]"), F.pmod(b, F.lit(10)).cast("string")).when(c.rlike(r"\p{L}"), letter).otherwise(c)
 
     return F.array_join(F.transform(F.split(value, ""), char), "")
 
@@ -110,6 +120,7 @@ def surrogate(key: str, kind: Column, value: Column, gender: Column, attempt: Co
         .when(kind == "key", F.concat(F.lit("AKIA"), _shape(F.substring(value, 5, 16), h)))
         .when(kind == "card", F.concat(card, last.cast("string")))
         .when(kind == "phone", F.concat(F.substring(value, F.lit(1), country), _digits(h, digits - country)))
+        .when((kind == "ip") & value.contains(":"), _shape(value, h))
         .when(kind == "ip", F.concat_ws(".", *((F.pmod(_byte(h, F.lit(i)) + _byte(h, F.lit(i + 8)), F.lit(254)) + 1).cast("string") for i in range(4))))
         .otherwise(name))
     return F.when(attempt >= WIDEN, F.concat(made, F.when(kind.isin("card", "phone"), _digits(h, F.lit(8))).when(kind == "ip", F.lit("")).otherwise(F.regexp_replace(F.substring(h, 1, 8), "[0-9]", "a")))).otherwise(made)
@@ -143,12 +154,13 @@ def _occurrences(docs: DataFrame) -> DataFrame:
     names = F.split(F.regexp_extract(m, _PERSON, 2), " ")
     one = lambda kind, gender, lead, raw: F.struct(kind.alias("kind"), gender.alias("gender"), lead.alias("lead"), raw.alias("raw"))
     no = F.lit("")
-    person = F.when(F.size(names) == 1, F.array(one(F.lit("last"), no, title, F.element_at(names, 1)))).otherwise(
-        F.array(one(F.lit("first"), gender, title, F.element_at(names, 1)), one(F.lit("last"), no, F.lit(" "), F.try_element_at(names, F.lit(2)))))
+    # The last of several words is a family name, those before it are given names.
+    person = F.transform(names, lambda w, i: F.when(i == F.size(names) - 1, one(F.lit("last"), no, F.when(i == 0, title).otherwise(" "), w)).otherwise(
+        one(F.lit("first"), gender, F.when(i == 0, title).otherwise(" "), w)))
     secret = F.array(one(F.lit("secret"), no, F.regexp_extract(m, _SECRET, 1), F.regexp_extract(m, _SECRET, 2)))
     parts = F.when(F.col("kind") == "person", person).when(F.col("kind") == "secret", secret).otherwise(F.array(one(F.col("kind"), no, no, m)))
     found = found.select("d", "key", "at", F.posexplode(parts).alias("part", "p")).select("d", "key", "at", "part", "p.*")
-    value = F.when(F.col("kind").isin("phone", "card"), F.regexp_replace("raw", "[^0-9]", "")).when(F.col("kind").isin("email", "first", "last"), F.lower("raw")).otherwise(F.col("raw"))
+    value = F.when(F.col("kind").isin("phone", "card"), F.regexp_replace("raw", "[^0-9]", "")).when(F.col("kind").isin("email", "ip", "first", "last"), F.lower("raw")).otherwise(F.col("raw"))
     return found.withColumn("value", value)
 
 
@@ -176,7 +188,8 @@ def hashed_anew(occurrences: DataFrame, key: str) -> DataFrame:
 
 
 def replace(docs: DataFrame, key: str) -> DataFrame:
-    """All columns of ``docs`` with surrogates in ``text``, and ``n_entities`` and ``kinds`` (a sorted list).
+    """All columns of ``docs`` with surrogates in ``text``, and ``n_entities`` (matches; names
+    without a title are replaced and not counted) and ``kinds`` (a sorted list).
 
     ``key`` is the secret that ties surrogates to entities. Null texts stay null. Rows repeated exactly get
     the same text; ids may be null or repeated. Columns of ``docs`` named like an added one give way to it.
@@ -189,14 +202,22 @@ def replace(docs: DataFrame, key: str) -> DataFrame:
     anew = hashed_anew(found, key).withColumnRenamed("made", "other")
     first = surrogate(key, F.col("kind"), F.col("value"), F.col("gender"), F.lit(0))
     put = found.join(anew, ["kind", "value"], "left").withColumn("made", F.coalesce("other", first))
-    put = put.select("d", "key", "at", "part", "kind", F.concat("lead", _render(F.col("kind"), F.col("raw"), F.col("made"))).alias("new"))
-    whole = put.groupBy("d", "key").agg(F.array_sort(F.collect_list(F.struct("at", "part", "new"))).alias("puts"), F.array_sort(F.collect_set("kind")).alias("kinds"))
+    put = put.select("d", "key", "at", "part", "kind", "value", "made", F.concat("lead", _render(F.col("kind"), F.col("raw"), F.col("made"))).alias("new"))
+    whole = put.groupBy("d", "key").agg(F.array_sort(F.collect_list(F.struct("at", "part", "new"))).alias("puts"), F.array_sort(F.collect_set("kind")).alias("kinds"),
+                                         *(F.map_from_entries(F.collect_set(F.when(F.col("kind") == k, F.struct("value", "made")))).alias(k) for k in ("first", "last")))
     last = F.element_at("puts", -1)["at"]
     news = F.transform(F.sequence(F.lit(0), last), lambda a: F.array_join(F.transform(F.filter("puts", lambda p: p["at"] == a), lambda p: p["new"]), ""))
-    whole = whole.select("d", "key", news.alias("news"), "kinds")
+    whole = whole.select("d", "key", news.alias("news"), "kinds", "first", "last")
     both = row.drop("text").join(whole, ["d", "key"], "left")
     gaps = F.split(F.col("row.text").cast("string"), PATTERN, -1)
-    pieces = F.transform(gaps, lambda g, i: F.concat(g, F.coalesce(F.get("news", i), F.lit(""))))
+    named = F.size("last") > 0
+
+    def untitled(w: Column) -> Column:
+        low = F.lower(w)
+        made = F.coalesce(F.try_element_at("last", low), F.try_element_at("first", low))
+        return F.when(w.rlike(r"^\p{Lu}") & made.isNotNull(), _render(F.lit("last"), w, made)).otherwise(w)
+
+    pieces = F.transform(gaps, lambda g, i: F.concat(F.when(named, F.array_join(F.transform(F.split(g, _CAPITALISED, -1), untitled), "")).otherwise(g), F.coalesce(F.get("news", i), F.lit(""))))
     changed = F.when(F.col("news").isNull(), F.col("row.text")).otherwise(F.array_join(pieces, ""))
     return both.select(
         *((changed.alias(c) if c == "text" else F.col(f"row.`{c}`").alias(c)) for c in docs.columns),
