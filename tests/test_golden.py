@@ -385,3 +385,13 @@ def test_pseudonymised_totals_equal_raw_totals(spark):
     totals = lambda r: sorted(x["total"] for x in en.entity_totals(en.entity_cube(r, "session", ["entity"])).collect())
     assert totals(rec) == totals(hidden)
     assert not {x["entity"] for x in en.entity_cube(hidden, "session", ["entity"]).collect()} & {"s0", "s1", "s2"}
+
+
+def test_hidden_totals_keep_colliding_entities_apart(spark, monkeypatch):
+    from tidemeter.catalog.ingest import hidden_totals
+
+    monkeypatch.setattr(pseudonym, "LENGTH", 2)
+    rec = records(spark, [{"day": "2026-01-01", "session": f"s{i % 200}", "total": 1 + i % 200} for i in range(400)])
+    got = hidden_totals(rec, "session", b"key").collect()
+    assert len({r.alias for r in got}) == 200 and sorted(r.total for r in got) == [2 * i for i in range(1, 201)]
+    assert max(len(r.alias) for r in got) > 10
