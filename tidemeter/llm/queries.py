@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemeter.llm import decontaminate, jaccard, linedup, packing, pii, substrings, suffixes, tokencounts, topk, toxicity
+from tidemeter.llm import decontaminate, jaccard, linedup, packing, pii, substrings, suffixes, tokencounts, topk, toxicity, vectorcodes
 from tidemeter.llm.common import load
 
 
@@ -50,9 +50,13 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(load(spark, sf_dir, "documents"))
 
 
+def op13_vectorcodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectorcodes.report(load(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op2_substrings, op3_toxicity, op4_packing, op5_topk, op6_jaccard, op7_suffixes, op8_tokencounts, op9_linedup, op10_pii)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_substrings, op3_toxicity, op4_packing, op5_topk, op6_jaccard, op7_suffixes, op8_tokencounts, op9_linedup, op10_pii, op13_vectorcodes)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontaminate": decontaminate.ORACLE_SQL, "op2_substrings": substrings.ORACLE_SQL, "op5_topk": topk.ORACLE_SQL, "op6_jaccard": jaccard.ORACLE_SQL, "op9_linedup": linedup.ORACLE_SQL}
+    return {"op1_decontaminate": decontaminate.ORACLE_SQL, "op2_substrings": substrings.ORACLE_SQL, "op5_topk": topk.ORACLE_SQL, "op6_jaccard": jaccard.ORACLE_SQL, "op9_linedup": linedup.ORACLE_SQL, "op13_vectorcodes": vectorcodes.ORACLE_SQL}
