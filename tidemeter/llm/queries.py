@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemeter.llm import decontaminate, jaccard, linedup, packing, periodicity, pii, substrings, suffixes, tokencounts, topk, toxicity, vectorcodes
+from tidemeter.llm import decontaminate, jaccard, linedup, packing, periodicity, pii, quality, substrings, suffixes, tokencounts, topk, toxicity, vectorcodes
 from tidemeter.llm.common import load
 
 
@@ -54,12 +54,16 @@ def op11_periodicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodicity.report(load(spark, sf_dir, "documents"))
 
 
+def op12_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.report(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
+
+
 def op13_vectorcodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectorcodes.report(load(spark, sf_dir, "embeddings"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op2_substrings, op3_toxicity, op4_packing, op5_topk, op6_jaccard, op7_suffixes, op8_tokencounts, op9_linedup, op10_pii, op11_periodicity, op13_vectorcodes)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_substrings, op3_toxicity, op4_packing, op5_topk, op6_jaccard, op7_suffixes, op8_tokencounts, op9_linedup, op10_pii, op11_periodicity, op12_quality, op13_vectorcodes)}
 
 
 def oracle_sql() -> dict[str, str]:
