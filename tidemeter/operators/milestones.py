@@ -136,10 +136,10 @@ def running_metrics(cube: DataFrame, projects: DataFrame, sessions: DataFrame) -
     The entity cubes are by day.
     """
     days = sq.day_totals(cube)
-    totals = unpivot(sq.running_totals(cube), {
-        **{c: c for c in ("total", "calls", "cache_read", "input", "output", "cache_write", "max_day",
-                          "active_days", "source_claude", "source_gemini", "source_codex")},
-        "longest_streak": "streak"}, ("day",))
+    running = sq.running_totals(cube)
+    totals = unpivot(running, {
+        **{c: c for c in ("total", "calls", "cache_read", "input", "output", "cache_write", "max_day", "active_days")},
+        **{c: c for c in running.columns if c.startswith("source_")}, "longest_streak": "streak"}, ("day",))
     seen = unpivot(sq.running_distinct(days, sq.first_seen(cube, projects, sessions)),
                    {c: c for c in ("hours", "models", "projects", "sessions")}, ("day",))
     turns = unpivot(tn.running_max_turns(cube, sessions), {"max_turns": "max_turns"}, ("day",))
