@@ -124,16 +124,27 @@ def scan_files(
 
 
 def _stripped(lines: DataFrame) -> DataFrame:
-    text = labels.strip(F.col("value"))
-    return lines.withColumn("value", text).where(F.char_length("value") > 0)
+    stripped = once(lines, _text=labels.strip(F.col("value"))).where(F.char_length("_text") > 0)
+    return stripped.withColumn("value", F.col("_text")).drop("_text")
 
 
-def _usage(text: Column, names: Mapping[str, str]) -> tuple[dict[str, Column], Column, Column]:
-    """Counters of a usage object, and whether it, or one of them, is present but not what it should be."""
+def once(rows: DataFrame, **columns: Column) -> DataFrame:
+    """Add columns, each computed in a node of its own: whatever reads one afterwards, a filter that would move
+    below included, never computes it again. Parsed JSON needs this, for expressions are inlined where they are used."""
+    for name, column in columns.items():
+        rows = rows.select("*", F.explode_outer(F.array(column)).alias(name))
+    return rows
+
+
+def _usage(rows: DataFrame, text: Column, names: Mapping[str, str]) -> tuple[DataFrame, dict[str, Column], Column, Column]:
+    """The rows with the parsed usage object, its counters, and whether it, or one of them, is present but not
+    what it should be."""
     fields = F.from_json(text, ", ".join(f"{n} string" for n in names.values()))
-    found = {key: counter(fields[n]) for key, n in names.items()}
-    bad = reduce(lambda a, b: a | b, (fields[n].isNotNull() & found[key].isNull() for key, n in names.items()))
-    return found, text.isNotNull() & ~text.rlike(r"^\s*\{"), bad
+    rows = once(rows, u=F.struct(text.alias("text"), fields.alias("fields")))
+    raw = {key: F.col(f"u.fields.{n}") for key, n in names.items()}
+    found = {key: counter(c) for key, c in raw.items()}
+    bad = reduce(lambda a, b: a | b, (raw[key].isNotNull() & found[key].isNull() for key in names))
+    return rows, found, F.col("u.text").isNotNull() & ~F.col("u.text").rlike(r"^\s*\{"), bad
 
 
 def _too_long(most: int | None) -> Column:
@@ -157,13 +168,11 @@ def classify_claude(
 ) -> DataFrame:
     """Every assistant line (or unreadable line) with a reject ``reason`` or null."""
     o = F.col("o")
-    found, bad_usage, bad_counter = _usage(F.col("o.message.usage"), CLAUDE_COUNTERS)
     too_long = _too_long(max_line_chars)
-    parsed = _stripped(lines).withColumn(
-        "o", F.from_json(F.when(~too_long, F.col("value")), CLAUDE_LINE, _CORRUPT)
-    )
+    parsed = once(_stripped(lines), o=F.from_json(F.when(~too_long, F.col("value")), CLAUDE_LINE, _CORRUPT))
     broken = o["_bad"].isNotNull()
     kept = parsed.where(too_long | (o["type"] == "assistant") | (o["type"].isNull() & broken))
+    kept, found, bad_usage, bad_counter = _usage(kept, o["message"]["usage"], CLAUDE_COUNTERS)
     model = o["message"]["model"]
     counters = {n: zero(c) for n, c in found.items()}
     ts = cal.instant(o["timestamp"], zone)
@@ -213,13 +222,13 @@ def first_messages(classified: DataFrame, scope: str = "file") -> DataFrame:
 
 
 def classify_gemini(files: DataFrame, zone: str) -> DataFrame:
-    parsed = files.withColumn("o", F.from_json("value", GEMINI_FILE, _CORRUPT))
+    parsed = once(files, o=F.from_json("value", GEMINI_FILE, _CORRUPT))
     broken = F.col("o.messages").isNull() & F.col("o._bad").isNotNull()
     exploded = parsed.select(
         "file_path", "block", F.col("o.sessionId").alias("session"), broken.alias("broken"),
         F.posexplode_outer("o.messages").alias("pos", "m"),
     ).where(F.col("broken") | (F.col("m.type") == "gemini"))
-    found, bad_usage, bad_counter = _usage(F.col(f"m.{GEMINI_USAGE}"), GEMINI_COUNTERS)
+    exploded, found, bad_usage, bad_counter = _usage(exploded, F.col(f"m.{GEMINI_USAGE}"), GEMINI_COUNTERS)
     parts = {n: zero(c) for n, c in found.items() if n != "total"}
     ts = cal.instant(F.col("m.timestamp"), zone)
     rows = exploded.select(
@@ -269,12 +278,9 @@ def classify_codex(
 ) -> DataFrame:
     """Token events with the model in force; context events only feed the carry-forward."""
     o = F.col("o")
-    text = F.col("o.payload.info.last_token_usage")
-    found, bad_usage, bad_counter = _usage(text, CODEX_COUNTERS)
     too_long = _too_long(max_line_chars)
-    parsed = _stripped(lines).withColumn(
-        "o", F.from_json(F.when(~too_long, F.col("value")), CODEX_LINE, _CORRUPT)
-    )
+    parsed = once(_stripped(lines), o=F.from_json(F.when(~too_long, F.col("value")), CODEX_LINE, _CORRUPT))
+    parsed, found, bad_usage, bad_counter = _usage(parsed, o["payload"]["info"]["last_token_usage"], CODEX_COUNTERS)
     broken = o["type"].isNull() & o["_bad"].isNotNull()
     kind = o["payload"]["type"]
     context = (o["type"] == "event_msg") & (kind == "turn_context")
