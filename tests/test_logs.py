@@ -70,15 +70,15 @@ def test_codex_carries_the_model_forward(spark, tmp_path):
     def event(kind, ts="2026-07-01T00:00:00Z", **payload):
         return {"type": "event_msg", "timestamp": ts, "payload": {"type": kind, **payload}}
 
-    def tokens(**u):
+    def spent(**u):
         return event("token_count", info={"last_token_usage": u})
 
     _write(tmp_path / "d" / "rollout-1.jsonl", [
-        tokens(input_tokens=1, output_tokens=1), event("turn_context", model="first"),
-        tokens(input_tokens=10, output_tokens=2, cached_input_tokens=4, reasoning_output_tokens=3),
-        event("turn_context"), tokens(input_tokens=1, output_tokens=1, total_tokens=70), event("token_count"),
-        event("turn_context", model="second"), tokens(input_tokens=2, output_tokens=2)])
-    _write(tmp_path / "d" / "rollout-2.jsonl", [tokens(input_tokens=5, output_tokens=5)])
+        spent(input_tokens=1, output_tokens=1), event("turn_context", model="first"),
+        spent(input_tokens=10, output_tokens=2, cached_input_tokens=4, reasoning_output_tokens=3),
+        event("turn_context"), spent(input_tokens=1, output_tokens=1, total_tokens=70), event("token_count"),
+        event("turn_context", model="second"), spent(input_tokens=2, output_tokens=2)])
+    _write(tmp_path / "d" / "rollout-2.jsonl", [spent(input_tokens=5, output_tokens=5)])
     got = sorted((r["model"], r["input"], r["output"], r["total"]) for r in logs.read_codex(spark, str(tmp_path), ZONE).collect())
     assert got == [("codex-unknown", 1, 1, 2), ("codex-unknown", 5, 5, 10), ("first", 1, 1, 70), ("first", 10, 5, 12), ("second", 2, 2, 4)]
 

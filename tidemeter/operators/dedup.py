@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -19,7 +19,12 @@ def first_per_key(rows: DataFrame, keys: list[str], order: list[str]) -> DataFra
     return ranked.where("_rank = 1").drop("_rank")
 
 
-def session_index(files: DataFrame) -> DataFrame:
-    """Session id (the file stem) to its file; the last path wins."""
-    stem = F.regexp_replace(F.element_at(F.split("file_path", "/"), -1), r"\.[^.]*$", "")
-    return files.groupBy(stem.alias("session")).agg(F.max("file_path").alias("file_path"))
+def file_stem(path: Column) -> Column:
+    """The file name without its last extension."""
+    return F.regexp_replace(F.element_at(F.split(path, "/"), -1), r"\.[^.]*$", "")
+
+
+def session_index(files: DataFrame, session: Column | None = None) -> DataFrame:
+    """Session id (the file stem, or what ``session`` takes from ``file_path``) to its file; the last path wins."""
+    ident = file_stem(F.col("file_path")) if session is None else session
+    return files.groupBy(ident.alias("session")).agg(F.max("file_path").alias("file_path"))

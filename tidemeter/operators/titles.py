@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemeter.functions import labels
 from tidemeter.operators.dedup import first_per_key
+from tidemeter.operators.once import once
 
 
 def utterances(lines: DataFrame) -> DataFrame:
@@ -14,10 +15,11 @@ def utterances(lines: DataFrame) -> DataFrame:
 
     ``lines`` is (session, line_no, value). The variant keeps string and list content apart.
     """
-    v = lines.select("session", "line_no", F.try_parse_json("value").alias("v"))
+    v = once(lines.select("session", "line_no", "value"), v=F.try_parse_json("value"))
     users = v.where(F.try_variant_get("v", "$.type", "string") == "user").select(
         "session", "line_no", F.try_variant_get("v", "$.message.content", "variant").alias("c"))
-    kind = F.schema_of_variant("c")
+    users = once(users, kind=F.schema_of_variant("c"))
+    kind = F.col("kind")
     part = F.from_json(F.to_json("c"), "array<struct<type string, text string>>")
     first_text = F.get(F.filter(part, lambda p: p["type"] == "text"), F.lit(0))["text"]
     return users.select(
@@ -28,8 +30,7 @@ def utterances(lines: DataFrame) -> DataFrame:
 
 def session_titles(spoken: DataFrame) -> DataFrame:
     """(session, title). Cleaning comes first, so at most sixty characters are shuffled."""
-    cleaned = spoken.where(labels.is_title_candidate(F.col("text"))).select(
-        "session", "line_no", labels.clean_title(F.col("text")).alias("title")).where("title is not null")
+    cleaned = once(spoken.where(labels.is_title_candidate(F.col("text"))), title=labels.clean_title(F.col("text"))).where("title is not null")
     return first_per_key(cleaned, ["session"], ["line_no"]).select("session", "title")
 
 

@@ -19,6 +19,7 @@ from tidemeter.functions import calendar as cal
 from tidemeter.functions import labels
 from tidemeter.functions.volumes import counter, zero
 from tidemeter.operators.dedup import first_per_key
+from tidemeter.operators.once import once
 from tidemeter.schema import (
     CLAUDE_COUNTERS, CLAUDE_LINE, CODEX_COUNTERS, CODEX_LINE, GEMINI_COUNTERS, GEMINI_FILE, GEMINI_USAGE, RECORD,
 )
@@ -128,14 +129,6 @@ def _stripped(lines: DataFrame) -> DataFrame:
     return stripped.withColumn("value", F.col("_text")).drop("_text")
 
 
-def once(rows: DataFrame, **columns: Column) -> DataFrame:
-    """Add columns, each computed in a node of its own: whatever reads one afterwards, a filter that would move
-    below included, never computes it again. Parsed JSON needs this, for expressions are inlined where they are used."""
-    for name, column in columns.items():
-        rows = rows.select("*", F.explode_outer(F.array(column)).alias(name))
-    return rows
-
-
 def _usage(rows: DataFrame, text: Column, names: Mapping[str, str]) -> tuple[DataFrame, dict[str, Column], Column, Column]:
     """The rows with the parsed usage object, its counters, and whether it, or one of them, is present but not
     what it should be."""
@@ -364,12 +357,23 @@ def read_all(
     sources: Iterable[str] | None = None,
     rules: Iterable[tuple[int, str, str]] = (),
     pattern: str | None = None,
+    max_file_bytes: Mapping[str, int | None] | None = None,
+    max_line_chars: int | None = None,
 ) -> DataFrame:
-    """Bag union of the selected sources; unselected paths are never listed."""
+    """Bag union of the selected sources; unselected paths are never listed.
+
+    Guards are those of ``read_rejects``, which lists with the same arguments every file and line left out here.
+    """
     chosen = [s for s in (sources or READERS) if s in paths and s in READERS]
     if not chosen:
         return spark.createDataFrame([], RECORD)
-    extra = {"claude": {"rules": rules}}
+    extra: dict[str, dict] = {s: {} for s in READERS}
+    extra["claude"]["rules"] = rules
+    for source, most in (max_file_bytes or {}).items():
+        extra.setdefault(source, {})["max_file_bytes"] = most
+    if max_line_chars is not None:
+        for source in ("claude", "codex"):
+            extra[source]["max_line_chars"] = max_line_chars
     named = {"pattern": pattern} if pattern else {}
     frames = [READERS[s](spark, paths[s], zone, **extra.get(s, {}), **named) for s in chosen]
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
