@@ -6,7 +6,7 @@ from __future__ import annotations
 def load() -> dict:
     """Import every catalogue module and return ``{name: Query}``."""
     from tidemeter.catalog import (  # noqa: F401
-        comparisons, entities, ingest, live, milestones, records, reports, rhythms, sequences, titles,
+        almanac, comparisons, entities, ingest, live, milestones, records, reports, rhythms, sequences, titles,
     )
     from tidemeter.catalog.registry import CATALOG
 

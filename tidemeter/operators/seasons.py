@@ -125,18 +125,18 @@ def against_history(current: DataFrame, history: DataFrame) -> DataFrame:
 
 
 def upsert_history(
-    history: DataFrame, fresh: DataFrame, keep: int = KEEP_SNAPSHOTS, scopes: int = KEEP_SCOPES
+    history: DataFrame, fresh: DataFrame, keep: int = KEEP_SNAPSHOTS, scopes: int = KEEP_SCOPES, recency: str = "generated"
 ) -> DataFrame:
     """Replace snapshots with the same id, keep the latest per scope and the latest scopes.
 
-    Both frames are (scope, id, generated, ...). Scope recency is ranked on one row per scope.
+    Both frames are (scope, id, generated, ...). Scope ``recency`` is ranked on one row per scope.
     """
     old = history.join(fresh.select("scope", "id").distinct(), ["scope", "id"], "left_anti")
     rows = old.unionByName(fresh)
     ranked = rows.withColumn("_n", F.row_number().over(
         W.partitionBy("scope").orderBy(F.desc("generated"), F.desc("id"))))
     kept = ranked.where(F.col("_n") <= keep).drop("_n")
-    latest = kept.groupBy("scope").agg(F.max("generated").alias("_u")).orderBy(F.desc("_u"), "scope").limit(scopes)
+    latest = kept.groupBy("scope").agg(F.max(recency).alias("_u")).orderBy(F.desc("_u"), "scope").limit(scopes)
     return kept.join(F.broadcast(latest.select("scope")), "scope", "left_semi")
 
 
