@@ -39,7 +39,8 @@ def test_pipeline(spark, tmp_path):
     passed = {r[0] for r in corpus_pipeline.drop_toxic(spark, raw, str(tmp_path)).select("doc_id").collect()}
     wrong = len(passed & toxic) + len({i for i, _, y in data if not y} - passed)
     assert wrong <= 0.03 * len(data) and {i for i, _ in docs[700:]} <= passed
-    left = [(i, t) for i, t, _ in brute.lines([d for d in docs if d[0] in passed])]
+    # What line dedup emptied goes with it; texts that were empty before stay.
+    left = [(i, t) for i, t, gone in brute.lines([d for d in docs if d[0] in passed]) if not gone or brute.SPACED.findall(t)]
     named = brute.jaccard(left)
     left = [d for d, (i, n, c) in zip(left, named) if i == c]
     bad = {r[0] for r in brute.decontaminate(left, [(7, item)]) if r[-1]}
@@ -85,4 +86,4 @@ def test_sql_twin(spark, name):
 
 def test_all_are_registered():
     names = set(queries.queries()) | set(corpus_pipeline.queries())
-    assert {n.split("_")[0] for n in names} == {"pipeline", *(f"op{i}" for i in range(1, 11))}
+    assert {n.split("_")[0] for n in names} == {"pipeline", *(f"op{i}" for i in range(1, 14))}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Iterable, Iterator
 from typing import NamedTuple
@@ -45,8 +46,23 @@ def fan_out(df: DataFrame, mb: float) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(200_000, stored // int(mb * (1 << 20))))
 
 
+def trim() -> None:
+    """Give freed memory back to the system, where the C library can: workers live on between tasks."""
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        return
+
+
 def chunks(batches: Iterable[pa.RecordBatch], limit: int = CHUNK, column: str = "text") -> Iterator[pa.RecordBatch]:
     """Slices of at most ``limit`` bytes of text, or of one row."""
+    try:
+        yield from _chunks(batches, limit, column)
+    finally:
+        trim()
+
+
+def _chunks(batches: Iterable[pa.RecordBatch], limit: int, column: str) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if not batch.num_rows:
             continue

@@ -153,7 +153,7 @@ def _spaced(texts: pa.Array):
 
 def _count(shared, name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = worker_state(name, lambda: Counter(shared.value))
+        counter = worker_state("counter", name, lambda: Counter(shared.value))
         for batch in chunks(batches):
             data, starts, ends, first = _spaced(batch.column("text"))
             count, best = counter.slots(rolling(BYTE_CODES[data], starts, ends), lambda i: data[starts[i]: ends[i]].tobytes().decode())

@@ -24,12 +24,14 @@ _LETTER = (_B >= 0x61) & (_B <= 0x7A) | (_B >= 0x41) & (_B <= 0x5A)
 _SIGN = (_B < 0x80) & ~_LETTER & ~SPACES
 
 
-def worker_state(name: str, make):
-    """Kept in the worker process between tasks; functions that travel by value have no other place."""
+def worker_state(kind: str, version: str, make):
+    """Kept in the worker process between tasks; functions that travel by value have no other place. A kind has one
+    slot: what another version left there goes, so a worker that serves many queries holds no more than one of each."""
     home = sys.modules.setdefault("_worker_state", types.ModuleType("_worker_state")).__dict__
-    if name not in home:
-        home[name] = make()
-    return home[name]
+    if kind not in home or home[kind][0] != version:
+        home.pop(kind, None)
+        home[kind] = (version, make())
+    return home[kind][1]
 
 
 class Units:
@@ -98,7 +100,7 @@ def units(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarr
 
 def encode(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     """The ids of all texts end to end and the ``n + 1`` places where each begins."""
-    table = worker_state(f"units {path}", lambda: Units(path))
+    table = worker_state("units", path, lambda: Units(path))
     data, starts, ends, first = units(texts)
     hashes = rolling(BYTE_CODES[data], starts, ends)
     slot = table.slots(hashes, lambda i: data[starts[i]: ends[i]].tobytes().decode())

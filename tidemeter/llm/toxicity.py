@@ -14,11 +14,13 @@ once per worker; every word of every text counts.
 
 from __future__ import annotations
 
+import pickle
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -327,10 +329,15 @@ class _Known:
         return self.values[place][back]
 
 
+def _shared(docs: DataFrame, machine: Machine):
+    """The machine with its class, as bytes: executors need no copy of this package to read it."""
+    return docs.sparkSession.sparkContext.broadcast(cloudpickle.dumps(machine))
+
+
 def _score(shared, name: str, column: str = "score"):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machine = shared.value
-        known = worker_state(name, _Known)
+        machine = pickle.loads(shared.value)
+        known = worker_state("decisions", name, _Known)
         for batch in chunks(batches):
             data, starts, ends, first = _spans(batch.column("text"))
             decided = known.get(rolling(BYTE_CODES[LOWER[data]], starts, ends), lambda i: data[starts[i]: ends[i]].tobytes().decode("utf-8", "ignore"), machine)
@@ -347,14 +354,14 @@ def score(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> DataFra
     repeated label row counts once, toxic if any says so.
     """
     machine = train(docs, labels, rows)
-    shared = docs.sparkSession.sparkContext.broadcast(machine)
+    shared = _shared(docs, machine)
     scored = keyed(docs).mapInArrow(_score(shared, fresh("decisions")), "doc_id long, key long, text string, score double")
     return scored
 
 
 def clean(docs: DataFrame, machine: Machine, threshold: float = 0.5) -> DataFrame:
     """The rows of ``docs``, all columns, whose text scores below ``threshold``."""
-    shared, column = docs.sparkSession.sparkContext.broadcast(machine), fresh("score")
+    shared, column = _shared(docs, machine), fresh("score")
     schema = T.StructType([*docs.schema.fields, T.StructField(column, T.DoubleType())])
     return docs.mapInArrow(_score(shared, fresh("decisions"), column), schema).where(F.col(column) < threshold).drop(column)
 
