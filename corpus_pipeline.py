@@ -26,8 +26,9 @@ LINE_WORDS = 25
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Runs of lines that an earlier document or line holds are cut; ``n_chars`` follows."""
-    made = linedup.dedup(docs, LINE_WORDS)
+    """Runs of lines that an earlier document or line holds are cut; ``n_chars`` follows. A document of which no
+    word is left goes; one that had none before stays."""
+    made = linedup.dedup(docs, LINE_WORDS).where("not (n_removed > 0 and text rlike r'\\A[\\x20\\x09-\\x0D]*\\z')")
     if "n_chars" in docs.columns:
         made = made.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return made.select(*docs.columns)
