@@ -8,10 +8,12 @@ from tidemeter.catalog.ingest import _CLAUDE, _CODEX, _EVX, _GEMINI, ZONE, _pick
 from tidemeter.catalog.records import _FIELDS
 from tidemeter.catalog.registry import query
 from tidemeter.catalog.sql import EV, GP
+from tidemeter.functions import labels
 from tidemeter.operators.cube import in_range, usage_cube
 from tidemeter.plans.mart import UsageMart
 from tidemeter.session import shared_dir
 from tidemeter.sources import layouts, logs, tables
+from tidemeter.streaming import late as lt
 from tidemeter.streaming import live as lv
 
 
@@ -48,6 +50,51 @@ def streamed_dedup(t):
         F.count(F.lit(1)).alias("messages"), F.sum("total").alias("total"))
 
 
+def _two_landings(t, early):
+    """Events as a stream of two landings: first the rows where ``early`` holds, then, in ``second()``, the others."""
+    path, events = shared_dir(t.spark, "landings"), t.table("events")
+    events.where(early).write.parquet(path)
+    stream = tables.events_as_usage(t.spark.readStream.schema(events.schema).parquet(path))
+    return stream, lambda: events.where(~early).write.mode("append").parquet(path)
+
+
+_LATE = """x AS (SELECT *, seq % 5 <> 0 AS early, coalesce(ts, CAST(day AS TIMESTAMP)) AS moment FROM ev),
+w AS (SELECT date_trunc('millisecond', max(moment)) - INTERVAL 1 DAY AS mark FROM x WHERE early)"""
+
+
+@query("L6", f"""WITH {EV}, {_LATE}
+SELECT strftime(day, '%Y-%m-%d') AS day, coalesce(model, 'unknown') AS model, CASE WHEN NOT early AND day + INTERVAL 1 DAY <= mark THEN 'late' ELSE 'timed' END AS arrival,
+CAST(sum(total) AS BIGINT) AS total, count(*) AS calls FROM x, w GROUP BY 1, 2, 3""")
+def late_day_totals(t):
+    """A fifth of all rows lands second: where its day had closed it is counted late, else in its day. Nothing is lost."""
+    stream, second = _two_landings(t, F.col("event_id") % 5 != 0)
+    out, late, check = (shared_dir(t.spark, n) for n in ("timed", "late", "ck"))
+    for land in (lambda: None, second):
+        land()
+        lt.tumbling_totals(stream, "1 day", out, late, check, untimed=True).awaitTermination()
+    timed = lv.read_updates(t.spark, out, ["start", "model"]).select(
+        F.date_format("start", "yyyy-MM-dd").alias("day"), "model", F.lit("timed").alias("arrival"), "total", "calls")
+    rest = t.spark.read.parquet(late).groupBy(F.date_format("at", "yyyy-MM-dd").alias("day"), labels.model_or_unknown(F.col("model")).alias("model")).agg(
+        F.sum("total").alias("total"), F.count(F.lit(1)).alias("calls"))
+    return timed.unionByName(rest.withColumn("arrival", F.lit("late")))
+
+
+@query("L7", f"""WITH {EV}, {_LATE}, y AS (SELECT x.*, n.copy FROM x, range(2) n(copy)), z AS (SELECT y.*, NOT early AND moment <= mark AS late FROM y, w)
+SELECT 'unique' AS arrival, source, count(DISTINCT seq) AS messages, CAST(sum(total) FILTER (copy = 0) AS BIGINT) AS total FROM z WHERE NOT late GROUP BY source
+UNION ALL SELECT 'late', source, count(*), CAST(sum(total) AS BIGINT) FROM z WHERE late GROUP BY source""")
+def late_messages(t):
+    """Every message comes twice; copies that come too late to be told apart are kept aside."""
+    stream, second = _two_landings(t, F.col("event_id") % 5 != 0)
+    out, late, check = (shared_dir(t.spark, n) for n in ("unique", "late", "ck"))
+    twice = stream.withColumn("copy", F.explode(F.array(F.lit(0), F.lit(1)))).drop("copy")
+    for land in (lambda: None, second):
+        land()
+        lt.unique_messages(twice, ["file_path", "seq"], out, late, check).awaitTermination()
+    count = lambda path, name: t.spark.read.parquet(path).groupBy("source").agg(
+        F.count(F.lit(1)).alias("messages"), F.sum("total").alias("total")).withColumn("arrival", F.lit(name))
+    return count(out, "unique").unionByName(count(late, "late"))
+
+
 @query("L8", f"""WITH {EV}, x AS (SELECT *, CASE WHEN ts - lag(ts) OVER w <= INTERVAL 6 HOUR THEN 0 ELSE 1 END AS fresh FROM ev WHERE ts IS NOT NULL AND session <> '' WINDOW w AS (PARTITION BY session ORDER BY ts)),
 y AS (SELECT *, sum(fresh) OVER (PARTITION BY session ORDER BY ts, seq) AS g FROM x)
 SELECT session, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS first_ts, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS last_ts, CAST(sum(total) AS BIGINT) AS total, count(*) AS calls
@@ -61,7 +108,7 @@ def streamed_activity_sessions(t):
     return t.spark.read.parquet(out).where("session <> ''").select("session", text("first_ts"), text("last_ts"), "total", "calls")
 
 
-@query("L8 W21", f"""WITH {GP}, d AS (SELECT day, sum(total) AS total FROM gp WHERE ts IS NOT NULL GROUP BY 1),
+@query("L8 W21", f"""WITH {GP}, d AS (SELECT day, sum(total) AS total FROM gp GROUP BY 1),
 e AS (SELECT *, CASE WHEN day - lag(day) OVER (ORDER BY day) < 8 AND month(day) = month(lag(day) OVER (ORDER BY day)) THEN 0 ELSE 1 END AS fresh FROM d),
 f AS (SELECT *, sum(fresh) OVER (ORDER BY day) AS g FROM e)
 SELECT strftime(min(day), '%Y-%m') AS month, strftime(min(day), '%Y-%m-%d') AS start, strftime(max(day), '%Y-%m-%d') AS "end", CAST(sum(total) AS BIGINT) AS total

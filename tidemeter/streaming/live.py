@@ -127,10 +127,18 @@ def tumbling_totals(stream: DataFrame, width: str, delay: str = "1 day", zone: s
     window is a calendar day of the report. Watermarks need instants and windows count in
     UTC, so the wall clock is carried as if it were UTC and read back the same way.
     """
+    return window_totals(timed_rows(stream, delay, zone, untimed), width)
+
+
+def timed_rows(stream: DataFrame, delay: str, zone: str | None = None, untimed: bool = False) -> DataFrame:
+    """The rows of a stream with their wall clock as ``at``, watermarked; rows without a time are left out."""
     wall = cal.wall_clock(F.col("ts"), zone) if zone else F.col("ts").cast("timestamp_ntz")
     if untimed:
         wall = F.coalesce(wall, F.col("day").cast("timestamp_ntz"))
-    timed = stream.withColumn("at", cal.as_utc(wall)).where("at is not null").withWatermark("at", delay)
+    return stream.withColumn("at", cal.as_utc(wall)).where("at is not null").withWatermark("at", delay)
+
+
+def window_totals(timed: DataFrame, width: str) -> DataFrame:
     return timed.groupBy(
         F.window("at", width).alias("w"), labels.model_or_unknown(F.col("model")).alias("model")
     ).agg(F.sum(zero(F.col("total"))).alias("total"), F.count(F.lit(1)).alias("calls")).select(
@@ -139,9 +147,17 @@ def tumbling_totals(stream: DataFrame, width: str, delay: str = "1 day", zone: s
 
 def unique_messages(stream: DataFrame, keys: list[str], delay: str = "1 day") -> DataFrame:
     """First arrival per key within the watermark, with bounded state; records without a time count at the
-    start of their day."""
+    start of their day. ``late.unique_messages`` also keeps what comes too late."""
+    return first_arrivals(dated(stream, delay), keys)
+
+
+def dated(stream: DataFrame, delay: str) -> DataFrame:
     at = F.coalesce(F.col("ts"), F.col("day").cast("timestamp"))
-    return stream.withColumn("_at", at).withWatermark("_at", delay).dropDuplicatesWithinWatermark(keys).drop("_at")
+    return stream.withColumn("_at", at).withWatermark("_at", delay)
+
+
+def first_arrivals(rows: DataFrame, keys: list[str]) -> DataFrame:
+    return rows.dropDuplicatesWithinWatermark(keys).drop("_at")
 
 
 def activity_sessions(stream: DataFrame, keys: list[str], gap: str, delay: str) -> DataFrame:
@@ -156,27 +172,35 @@ def season_sessions(stream: DataFrame, delay: str = "1 day") -> DataFrame:
     """Seasons on a stream: month plus a session window over days.
 
     Session windows merge when they touch, so a gap of seven and a half days splits days
-    that are eight apart and keeps days that are seven apart.
+    that are eight apart and keeps days that are seven apart. Records without a time count on their day.
     """
-    day = F.date_trunc("day", F.col("ts"))
-    daily = stream.where("ts is not null").withColumn("at", day).withWatermark("at", delay)
+    day = F.coalesce(F.date_trunc("day", F.col("ts")), F.col("day").cast("timestamp"))
+    daily = stream.withColumn("at", day).where("at is not null").withWatermark("at", delay)
     return daily.groupBy(
         F.date_format("at", "yyyy-MM").alias("month"), F.session_window("at", "7 days 12 hours").alias("w")
     ).agg(F.min("at").alias("start"), F.max("at").alias("end"), F.sum(zero(F.col("total"))).alias("total")).drop("w")
 
 
+#: Column of a batch's own time in an update-mode sink.
+STAMP = "_batch_ms"
+
+
 def write_updates(stream: DataFrame, path: str, checkpoint: str, interval: str | None = None) -> StreamingQuery:
-    """Update-mode sink: changed groups per batch."""
+    """Update-mode sink: changed groups per batch, under the query and the batch that changed them."""
+    from tidemeter.streaming.late import batch_metadata
+
     def each(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        spark = stream.sparkSession
+        stamp = batch_metadata(spark, checkpoint, batch_id)["batchTimestampMs"]
+        batch.withColumn(STAMP, F.lit(stamp)).write.mode("overwrite").parquet(f"{path}/batch={query_id(spark, checkpoint)}-{batch_id}")
 
     return start(stream, each, checkpoint, interval, mode="update")
 
 
 def read_updates(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
-    """Latest value of each group of an update-mode sink."""
-    newest = F.row_number().over(W.partitionBy(*keys).orderBy(F.desc("batch")))
-    return spark.read.parquet(path).withColumn("_r", newest).where("_r = 1").drop("_r", "batch")
+    """Latest value of each group of an update-mode sink, by the time of its batch."""
+    newest = F.row_number().over(W.partitionBy(*keys).orderBy(F.desc(STAMP), F.desc("batch")))
+    return spark.read.parquet(path).withColumn("_r", newest).where("_r = 1").drop("_r", "batch", STAMP)
 
 
 def write_rows(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
