@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemeter.catalog.ingest import _CLAUDE, _CODEX, _EVX, _GEMINI, ZONE, _pick, _plain
+from tidemeter.catalog.ingest import _CLAUDE, _CODEX, _EVX, _GEMINI, RULES, ZONE, _pick, _plain
 from tidemeter.catalog.records import _FIELDS
 from tidemeter.catalog.registry import query
 from tidemeter.catalog.sql import EV, GP
+from tidemeter.functions import calendar as cal
 from tidemeter.functions import labels
 from tidemeter.operators.cube import in_range, usage_cube
 from tidemeter.plans.mart import UsageMart
@@ -193,6 +194,48 @@ def refresh_changed_files(t):
     return _plain(mart.records())
 
 
+def _alias_lines(t):
+    """Turns whose most common models are request aliases."""
+    value = F.replace(F.col("value"), F.lit('"model":"click"'), F.lit('"model":"claude-opus-4-1"'))
+    return layouts.claude_lines(t.spark, t.root).withColumn("value", F.replace(value, F.lit('"model":"view"'), F.lit('"model":"sonnet"')))
+
+
+_ALIAS = "CASE model WHEN 'click' THEN 'pool-l' WHEN 'view' THEN 'pool-m' ELSE model END"
+
+
+@query("S6 S7 X9", f"""WITH {_EVX}, r AS ({_CLAUDE})
+SELECT {_ALIAS} AS model, CAST(sum(total) AS BIGINT) AS total, count(*) AS calls, CAST(0 AS BIGINT) AS again, (SELECT count(DISTINCT user_id) FROM evx WHERE source='claude') AS under_rules FROM r GROUP BY 1""")
+def refresh_after_rule_change(t):
+    """Files that did not change are parsed again when the alias rules do, and only then."""
+    landing, mart = shared_dir(t.spark, "files"), UsageMart(t.spark, shared_dir(t.spark, "mart"))
+    layouts.write_logs(_alias_lines(t), landing)
+    parsed = []
+    for rules in ((), (), RULES):
+        read = lambda source, files, after, rules=rules: logs.read_claude(
+            t.spark, landing, ZONE, rules, pattern="part-*", files=files, after=after)
+        parsed.append(mart.refresh_files(logs.list_files(t.spark, landing, "claude", "part-*"), read, rules))
+    return mart.records().groupBy("model").agg(F.sum("total").alias("total"), F.count(F.lit(1)).alias("calls")).select(
+        "*", F.lit(parsed[1]).cast("bigint").alias("again"), F.lit(parsed[2]).cast("bigint").alias("under_rules"))
+
+
+@query("S6 S7", f"""WITH {_EVX}, f AS (SELECT DISTINCT user_id FROM evx WHERE source='claude'),
+r AS (SELECT user_id, strftime(lt, '%Y-%m-%d') AS day FROM evx WHERE source='claude' AND ts IS NOT NULL AND model IS NOT NULL)
+SELECT CAST(f.user_id AS BIGINT) AS owner, count(DISTINCT day) AS days, min(day) AS first_day, max(day) AS last_day FROM f LEFT JOIN r USING (user_id) GROUP BY 1""")
+def file_day_index(t):
+    """The days of every file, kept by the manifest so that a refresh reads only partitions it must rewrite."""
+    landing, mart = shared_dir(t.spark, "files"), UsageMart(t.spark, shared_dir(t.spark, "mart"))
+    lines = layouts.claude_lines(t.spark, t.root)
+    read = lambda source, files, after: logs.read_claude(
+        t.spark, landing, ZONE, pattern="part-*", files=files, after=after)
+    for chunk in (lines.where("seq < 40000"), lines):
+        layouts.write_logs(chunk, landing)
+        mart.refresh_files(logs.list_files(t.spark, landing, "claude", "part-*"), read)
+    iso = lambda c: F.when(F.size("days") > 0, cal.iso(c))
+    return mart.index().select(
+        F.regexp_extract("file_path", r"owner=(\d+)", 1).cast("bigint").alias("owner"), F.size("days").cast("bigint").alias("days"),
+        iso(F.array_min("days")).alias("first_day"), iso(F.array_max("days")).alias("last_day"))
+
+
 @query("L5 X17", f"""WITH {EV} SELECT 'stable' AS state, count(DISTINCT session) AS members FROM ev WHERE session <> ''""")
 def stable_pseudonyms(t):
     """Aliases of two refreshes agree member by member."""

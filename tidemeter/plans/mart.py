@@ -13,23 +13,27 @@ Three kinds of state, all plain Parquet:
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import uuid
+from collections.abc import Callable, Iterable
+from datetime import date
 
 from pyspark import StorageLevel
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemeter.functions import calendar as cal
 from tidemeter.operators.cube import COVERAGE, usage_cube
 from tidemeter.operators.entities import entity_cube
 from tidemeter.operators.registry import folded_cube
 from tidemeter.operators.snapshot import snapshot_id
+from tidemeter.plans.files import Files
 from tidemeter.schema import COUNTERS, PARTS, RECORD
-from tidemeter.sources import manifest
+from tidemeter.sources import logs, manifest
 from tidemeter.sources.sinks import nested_periods
 
-_MANIFEST = "source string, file_path string, modified timestamp, bytes bigint"
+_MANIFEST = "source string, file_path string, modified timestamp, bytes bigint, rules string, reader int, days array<date>"
 _POINTER = "version bigint, snapshot_id string, first_day string, last_day string"
 _SUMS = ("calls", *COUNTERS, *PARTS, *COVERAGE)
 
@@ -42,19 +46,13 @@ def table_or_empty(spark: SparkSession, path: str, schema) -> DataFrame:
         return spark.createDataFrame([], schema)
 
 
-def prepare_checkpoints(spark: SparkSession, fallback: str) -> None:
-    """Use the cluster's checkpoint folder; set our own only where none is named."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or fallback
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(base)
-
-
 _FAILURE = "version long, error string, message string"
 
 
 class UsageMart:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
+        self.files = Files(spark, self.root)
 
     def _path(self, *parts: str) -> str:
         return "/".join((self.root, *parts))
@@ -126,50 +124,71 @@ class UsageMart:
         version, _ = self.latest()
         return self.spark.read.parquet(self._path("published", "data", f"version={version}"))
 
-    def records(self) -> DataFrame:
-        return table_or_empty(self.spark, self._path("records"), RECORD).select(*[f.name for f in RECORD])
-
-    def refresh_files(self, current: DataFrame, read: Callable[[str, DataFrame | None, str | None], DataFrame]) -> int:
+    def records(self, days: list[date] | None = None) -> DataFrame:
+        """All records, or those of the given days, of which only the partitions are listed and read."""
+        rows = table_or_empty(self.spark, self._path("records"), T.StructType([*RECORD.fields, T.StructField("p", T.StringType())]))
+        if days is not None:
+            rows = rows.where(F.col("p").isin([d.isoformat() for d in days]))
+        return rows.select(*[f.name for f in RECORD])
+
+    def index(self) -> DataFrame:
+        """Every file of the last refresh with how it was read and the days it has rows on."""
+        return table_or_empty(self.spark, self._path("manifest"), _MANIFEST)
+
+    def refresh_files(
+        self, current: DataFrame, read: Callable[[str, DataFrame | None, str | None], DataFrame],
+        rules: Iterable[tuple[int, str, str]] = (), reader: int = logs.READER_VERSION,
+    ) -> int:
         """Bring ``records`` in line with the files that exist now.
 
-        Only new or changed files are parsed and only days with changes are rewritten.
-        ``read`` takes (source, files, after): the files to keep and a UTC time before which
-        none of them was modified, both None on a first load. No file list reaches the
-        driver, only one count and one time per source. Returns the files parsed.
+        Only files that are new, changed, or were read under other ``rules`` or by another ``reader`` version are
+        parsed, and only days with changes are read and rewritten: the manifest knows the days of every file, so
+        the rest of the record store is not even listed. ``read`` takes (source, files, after): the files to keep
+        and a UTC time before which none of them was modified, both None on a first load. To the driver come one
+        count and time per source, and the touched days. Returns the files parsed.
+
+        Working tables lie under ``staging`` and go when the refresh ends. The manifest is written last: after a
+        failure the next refresh finds the old one and repeats the work.
         """
-        prepare_checkpoints(self.spark, self._path("checkpoints"))
-        current = current.checkpoint()
-        previous = table_or_empty(self.spark, self._path("manifest"), _MANIFEST)
-        fresh = manifest.changed(current, previous)
-        gone = manifest.removed(current, previous)
-        todo = fresh.groupBy("source").agg(
-            F.count(F.lit(1)).alias("files"),
-            F.date_format(
-                cal.wall_clock(F.min("modified"), "UTC") - F.expr("interval 1 second"), "yyyy-MM-dd'T'HH:mm:ss"
-            ).alias("after")).collect()
-        first = previous.isEmpty()
-        parsed = self.spark.createDataFrame([], RECORD)
-        for row in todo:
-            mine = fresh.where(F.col("source") == row["source"])
-            rows = read(row["source"], None if first else mine, None if first else row["after"])
-            parsed = parsed.unionByName(rows, allowMissingColumns=True)
-        parsed = parsed.select(*[f.name for f in RECORD]).checkpoint()
-        old = self.records()
-        touched_files = fresh.select(*manifest.KEYS).unionByName(gone.select(*manifest.KEYS)).distinct()
-        stale = old.join(touched_files, manifest.KEYS, "left_semi").select("day")
-        days = stale.unionByName(parsed.select("day")).distinct().checkpoint()
-        kept = old.join(days, "day", "left_semi").join(touched_files, manifest.KEYS, "left_anti")
-        body = kept.unionByName(parsed).checkpoint()
-        body.withColumn("p", F.date_format("day", "yyyy-MM-dd")).write.partitionBy(
-            "p").option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(self._path("records"))
-        self._drop_empty_days(days.join(body.select("day").distinct(), "day", "left_anti"))
-        current.select("source", "file_path", "modified", "bytes").write.mode("overwrite").parquet(self._path("manifest"))
+        stage = self._path("staging", uuid.uuid4().hex[:12])
+
+        def staged(frame: DataFrame, name: str) -> DataFrame:
+            frame.write.parquet(f"{stage}/{name}")
+            return self.spark.read.schema(frame.schema).parquet(f"{stage}/{name}")
+
+        try:
+            current = staged(manifest.read_by(current, rules, reader), "current")
+            previous = self.index()
+            fresh = staged(manifest.changed(current, previous, [*manifest.SIGNATURE, *manifest.READ_BY]), "fresh")
+            gone = manifest.removed(current, previous)
+            todo = fresh.groupBy("source").agg(
+                F.count(F.lit(1)).alias("files"),
+                F.date_format(
+                    cal.wall_clock(F.min("modified"), "UTC") - F.expr("interval 1 second"), "yyyy-MM-dd'T'HH:mm:ss"
+                ).alias("after")).collect()
+            first = previous.isEmpty()
+            parsed = self.spark.createDataFrame([], RECORD)
+            for row in todo:
+                mine = fresh.where(F.col("source") == row["source"])
+                rows = read(row["source"], None if first else mine, None if first else row["after"])
+                parsed = parsed.unionByName(rows, allowMissingColumns=True)
+            parsed = staged(parsed.select(*[f.name for f in RECORD]), "parsed")
+            touched = fresh.select(*manifest.KEYS).unionByName(gone.select(*manifest.KEYS)).distinct()
+            before = previous.join(touched, manifest.KEYS, "left_semi").select(F.explode("days").alias("day"))
+            days = sorted(r["day"] for r in before.union(parsed.select("day")).distinct().collect())
+            kept = self.records(days).join(touched, manifest.KEYS, "left_anti")
+            body = staged(kept.unionByName(parsed), "body")
+            left = {r["day"] for r in body.select("day").distinct().collect()}
+            body.withColumn("p", F.date_format("day", "yyyy-MM-dd")).write.partitionBy(
+                "p").option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(self._path("records"))
+            self._drop_empty_days([d for d in days if d not in left])
+            upkeep = staged(manifest.with_days(current, previous, fresh, parsed), "manifest")
+            upkeep.select(*self.index().columns).write.mode("overwrite").parquet(self._path("manifest"))
+        finally:
+            self.files.delete(stage)
         return sum(row["files"] for row in todo)
 
-    def _drop_empty_days(self, days: DataFrame) -> None:
+    def _drop_empty_days(self, days: list[date]) -> None:
         """Remove folders of days whose every row came from vanished files."""
-        jvm = self.spark.sparkContext._jvm
-        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
-        for row in days.collect():
-            path = jvm.org.apache.hadoop.fs.Path(self._path("records", f"p={row['day'].isoformat()}"))
-            path.getFileSystem(conf).delete(path, True)
+        for day in days:
+            self.files.delete(self._path("records", f"p={day.isoformat()}"))

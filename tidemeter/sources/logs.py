@@ -30,6 +30,9 @@ GLOBS = {"claude": "*.jsonl", "gemini": "session-*.json", "codex": "rollout-*.js
 SYNTHETIC_MODEL = "<synthetic>"
 DEFAULT_MODEL = {"gemini": "gemini-unknown", "codex": "codex-unknown"}
 
+#: Counts up whenever a reader would make other records of the same file; a refresh then parses it again.
+READER_VERSION = 1
+
 _CORRUPT = {"columnNameOfCorruptRecord": "_bad", "mode": "PERMISSIVE"}
 
 
