@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 from tidemeter.catalog.ingest import _CLAUDE, _CODEX, _EVX, _GEMINI, RULES, ZONE, _pick, _plain
 from tidemeter.catalog.records import _FIELDS
 from tidemeter.catalog.registry import query
-from tidemeter.catalog.sql import EV, GP
+from tidemeter.catalog.sql import EV, GP, folded, grains
 from tidemeter.functions import calendar as cal
 from tidemeter.functions import labels
 from tidemeter.operators.cube import in_range, usage_cube
 from tidemeter.plans.mart import UsageMart
+from tidemeter.plans.tiers import TieredMart
 from tidemeter.session import shared_dir
 from tidemeter.sources import layouts, logs, tables
 from tidemeter.streaming import late as lt
@@ -181,6 +182,26 @@ def streamed_mart(t):
     return mart.current().where("grain = 'month'").select("period", "total", "calls")
 
 
+@query("L2 L3 T3 J2", f"""WITH {folded('gp')}, g AS (SELECT g.grain, strftime(g.period, '%Y-%m-%d') AS period, cm AS model, CAST(sum(total) AS BIGINT) AS model_total, count(*) AS model_calls
+FROM gpf, LATERAL {grains()} g GROUP BY 1, 2, 3)
+SELECT grain, period, CAST(sum(model_total) OVER w AS BIGINT) AS total, CAST(sum(model_calls) OVER w AS BIGINT) AS calls, model, model_total,
+left((SELECT sha256(string_agg(l, ';' ORDER BY l)) FROM (SELECT strftime(day, '%Y-%m-%d') || '=' || sha256(string_agg(h, '' ORDER BY h)) AS l FROM
+(SELECT day, sha256(concat_ws('|', coalesce(model, 'unknown'), source, count(*), {_FIELDS})) AS h FROM gp GROUP BY day, model, source) GROUP BY day)), 24) AS snapshot_id
+FROM g WINDOW w AS (PARTITION BY grain, period)""")
+def tiered_mart(t):
+    """Batches of a stream by time, merged in tiers of two; each publishes the periods that it touched."""
+    mart, path = TieredMart(t.spark, shared_dir(t.spark, "tiers"), fan=2), shared_dir(t.spark, "landings")
+    events, check = t.table("events"), shared_dir(t.spark, "ck")
+    # The last landing holds days of all months again.
+    late = F.col("event_id") % 50 == 0
+    first = F.col("ts") < F.expr("timestamp_ntz'2024-01-12'")
+    for chunk in (first & ~late, ~first & ~late, late):
+        events.where(chunk).write.mode("append").parquet(path)
+        stream = tables.gaps_as_usage(t.spark.readStream.schema(events.schema).parquet(path))
+        lv.maintain_tiers(stream, mart, check).awaitTermination()
+    return mart.current().select("grain", "period", "total", "calls", F.explode("models").alias("model", "model_total"), F.lit(mart.snapshot()).alias("snapshot_id"))
+
+
 @query("S6 S7 L1", f"WITH {_EVX} {_pick(_CLAUDE)}")
 def refresh_changed_files(t):
     """A first landing, then grown and replaced files: only changed days are rewritten."""

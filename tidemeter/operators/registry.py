@@ -36,13 +36,17 @@ def registry(cube: DataFrame) -> DataFrame:
     Both rankings are top-k limits, so no window ever holds all models. The most
     recently active model takes the last seat when it arrived too late for one.
     """
-    activity = model_activity(cube)
-    seats = activity.orderBy(*_first_rank()).limit(CAPACITY).withColumn("role", F.lit("seat"))
+    return seats(model_activity(cube))
+
+
+def seats(activity: DataFrame) -> DataFrame:
+    """The registry from (model, first_ts, first_day, latest), be it computed now or maintained."""
+    first = activity.orderBy(*_first_rank()).limit(CAPACITY).withColumn("role", F.lit("seat"))
     newest = activity.orderBy(F.desc("latest"), F.desc("model")).limit(1).withColumn("role", F.lit("newest"))
     # Both branches carry every column, so they share one pass over the cube.
     rank = F.struct(
         F.col("first_ts").isNull().alias("untimed"), F.col("first_ts"), F.col("first_day"), F.col("model"))
-    both = seats.unionByName(newest).agg(
+    both = first.unionByName(newest).agg(
         F.transform(
             F.array_sort(F.collect_list(F.when(F.col("role") == "seat", rank))), lambda r: r["model"]
         ).alias("seated"),

@@ -20,6 +20,7 @@ from tidemeter.functions import calendar as cal
 from tidemeter.functions import labels
 from tidemeter.functions.volumes import zero
 from tidemeter.plans.mart import UsageMart
+from tidemeter.plans.tiers import TieredMart
 from tidemeter.sources import logs
 
 # Fixed value: default refresh interval.
@@ -117,6 +118,18 @@ def maintain(
     return start(stream, each, checkpoint, interval)
 
 
+def maintain_tiers(
+    stream: DataFrame, mart: TieredMart, checkpoint: str, interval: str | None = None
+) -> StreamingQuery:
+    """As ``maintain``, with work per batch that does not grow with the history. A publication that fails raises, and
+    the batch is repeated: its rows are not added twice, and the months that it touched are still marked."""
+    def each(batch: DataFrame, batch_id: int) -> None:
+        mart.add_batch(batch, query_id(stream.sparkSession, checkpoint), batch_id)
+        mart.publish()
+
+    return start(stream, each, checkpoint, interval)
+
+
 def tumbling_totals(stream: DataFrame, width: str, delay: str = "1 day", zone: str | None = None, untimed: bool = False) -> DataFrame:
     """Totals per event-time window and model; week and month roll up from days.
 
