@@ -39,6 +39,25 @@ def test_top_k_beyond_doubles(spark):
     assert rows(topk.top_k(df)) == sorted(want, key=str)
 
 
+def test_top_k_of_the_largest_doubles(spark):
+    data = [(i, [(-1.0) ** i * 1e308, 1.0]) for i in range(22)]
+    got = rows(topk.top_k(spark.createDataFrame(data, "vec_id long, embedding array<double>")))
+    want = [(q, r, i, (1 << 63) - 1 if r <= 10 else -(1 << 63)) for q in (0, 20) for r, i in enumerate([*(j for j in range(0, 22, 2) if j != q), *range(1, 21, 2)][:20], 1)]
+    assert got == sorted(want, key=str)
+
+
+def test_top_k_of_many_large_dimensions(spark):
+    """2,048 components near 2**22: sums that doubles would round."""
+    rng = random.Random(12)
+    data = [(i, [rng.randrange(1 << 21, 1 << 22) / 64 for _ in range(2048)]) for i in range(24)]
+    ints = [[round(64 * x) for x in v] for _, v in data]
+    want = []
+    for q in (0, 20):
+        found = sorted((-sum(a * b for a, b in zip(ints[q], v)), i) for i, v in enumerate(ints) if i != q)[:20]
+        want += [(q, r, i, -s) for r, (s, i) in enumerate(found, 1)]
+    assert rows(topk.top_k(spark.createDataFrame(data, "vec_id long, embedding array<double>"))) == sorted(want, key=str)
+
+
 def test_plan_uses_all_and_is_tight():
     rng = random.Random(6)
     for _ in range(200):

@@ -24,12 +24,20 @@ from tidemeter.llm.packed import NULL_ID
 K, EVERY = 20, 20
 #: Vectors in a block, and dimensions in a step.
 BLOCK, STEP = 4096, 16
-#: Doubles hold all products and sums of components up to this size exactly (up to 512 dimensions).
-EXACT = 1 << 22
+#: Doubles hold sums of products below this size exactly.
+EXACT = float(1 << 53)
+#: A component whose scaled value exceeds this, the largest double, counts as this.
+MOST = np.finfo(np.float64).max
 
 _BLOCK = "block long, dims int, ids binary, data binary, energy array<double>"
 
 
+def carried(x: np.ndarray, q: np.ndarray) -> bool:
+    """Doubles give every score of ``q`` (queries x dimensions) and ``x`` (dimensions x candidates) exactly."""
+    most = float(np.abs(x).max(initial=0)), float(np.abs(q).max(initial=0))
+    return max(most) < EXACT and len(x) * most[0] * most[1] < EXACT
+
+
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: dict[int, list] = {}
     task, made = TaskContext.get().partitionId(), 0
@@ -59,7 +67,8 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             good = (sizes >= 0) & (bad[starts[1:]] == bad[starts[:-1]])
             for dims in np.unique(sizes[good]).tolist():
                 rows = np.flatnonzero(good & (sizes == dims))
-                data = np.floor(64 * values[starts[rows][:, None] + np.arange(dims)])
+                with np.errstate(over="ignore"):
+                    data = np.floor(np.clip(64 * values[starts[rows][:, None] + np.arange(dims)], -MOST, MOST))
                 held.setdefault(dims, []).append((ids[rows], data))
                 if sum(len(x[0]) for x in held[dims]) >= BLOCK:
                     yield out(dims)
@@ -143,7 +152,7 @@ def _queries(every: int, k: int, orders: dict[int, list[int]]):
                 ids, x = _arrays(row, np.array(orders[row["dims"]], np.int64))
                 places = np.flatnonzero((ids % every == 0) & (ids != NULL_ID))
                 least = np.full(len(places), -np.inf)
-                if np.abs(x).max(initial=0) <= EXACT and len(ids) > k:
+                if carried(x, x) and len(ids) > k:
                     for i, p in enumerate(places.tolist()):
                         _, scores = search(x[:, p], x, ids, -np.inf, k, p)
                         least[i] = scores[-1]
@@ -169,7 +178,7 @@ def _meet(k: int, orders: dict[int, list[int]]):
                 _, ids, x = kept
                 places, mine, least = (np.frombuffer(batch.column(c)[i].as_py(), t) for c, t in (("q_places", np.int32), ("q_ids", np.int64), ("q_least", np.float64)))
                 q = np.frombuffer(batch.column("q_data")[i].as_py(), np.float64).reshape(len(mine), row["q_dims"])
-                plain = max(np.abs(x).max(initial=0), np.abs(q).max(initial=0)) <= EXACT
+                plain = carried(x, q)
                 first = q[:, :STEP] @ x[:STEP] if plain else None
                 out: list[list] = [[], [], [], []]
                 for j in range(len(mine)):
@@ -192,7 +201,8 @@ def top_k(vectors: DataFrame, k: int = K, every: int = EVERY) -> DataFrame:
     rows of highest integer inner product of ``floor(64 * x)``; ties go to the smaller id (null first).
 
     Rows without a vector, or with a null or non-finite component, take no part; vectors of other length
-    are not compared. A repeated id is a query, and a candidate, each time; a null id is no query.
+    are not compared. A component beyond the largest double after scaling counts as that, and scores stop at the
+    range of a long. A repeated id is a query, and a candidate, each time; a null id is no query.
     Other columns are not read.
     """
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
