@@ -17,8 +17,8 @@ WHEN CASE WHEN {n} <= 1 THEN 1.0 ELSE {i} / greatest({n} - 1, 1) END >= 0.35 THE
 
 
 def _entities(t, name):
-    """Project and session cubes by day, kept because many metrics read them."""
-    return t.kept_entities(name, "project"), t.kept_entities(name, "session")
+    """One pass over projects and one over sessions, which all metrics read."""
+    return t.passed(name, "project"), t.passed(name, "session")
 
 
 _Q = lambda names: ", ".join(f"'{n}'" for n in names)
@@ -136,6 +136,7 @@ def next_goals(t):
 SELECT metric, rung, target, tier FROM ul WHERE day > DATE '2024-02-10'""")
 def newly_unlocked(t):
     running = ms.running_metrics(t.kept("gp", "day hour source model", *_DAY_SUMS), *_entities(t, "gp"))
+    # What a pass says of a day depends on the days before it only.
     cut = lambda df: in_range(df, None, "2024-02-10")
     earlier = ms.running_metrics(
         cut(t.kept("gp", "day hour source model", *_DAY_SUMS)), *[cut(e) for e in _entities(t, "gp")])

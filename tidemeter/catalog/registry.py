@@ -9,7 +9,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemeter.operators.cube import additive, usage_cube
-from tidemeter.operators.entities import entity_cube
+from tidemeter.operators.entities import entity_cube, entity_pass
 from tidemeter.operators.registry import fold, registry
 from tidemeter.sources import tables
 
@@ -68,6 +68,12 @@ class Tables:
             f"kept {kind} {keys} {grain}", name,
             lambda: self.entities(name, kind, keys, grain).persist(StorageLevel.MEMORY_AND_DISK))
 
+    def passed(self, name: str, kind: str) -> DataFrame:
+        """The entity pass of a kind: a row per day and per distinct total, so no entity is kept."""
+        return self._once(
+            f"pass {kind}", name,
+            lambda: entity_pass(self.entities(name, kind, "day entity")).persist(StorageLevel.MEMORY_AND_DISK))
+
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.root}/{name}.parquet")
 

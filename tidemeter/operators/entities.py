@@ -64,6 +64,31 @@ def entity_totals(days: DataFrame) -> DataFrame:
     return days.groupBy("entity").agg(F.sum("total").alias("total"), F.sum("calls").alias("calls"))
 
 
+def entity_pass(days: DataFrame) -> DataFrame:
+    """What running metrics and distributions need of one kind of entity, from its cube by day, in one exchange by entity.
+
+    Each entity's days are walked once, in order: turns and total so far, its first and its last day. Two kinds of
+    row come out, summed before they are shuffled: ``part`` ``day`` has, by day, the number of entities first seen
+    (``fresh``) and the most turns that any had reached (``best``); ``part`` ``total`` has the number of entities
+    (``n``) of each total (``value``). Days up to any day are right for the range that ends there.
+    """
+    walk = W.partitionBy("entity").orderBy("day")
+    so_far = walk.rowsBetween(W.unboundedPreceding, 0)
+    rows = days.select(
+        "day", F.sum("calls").over(so_far).alias("turns"), F.sum("total").over(so_far).alias("reached"),
+        F.row_number().over(walk).alias("_n"), F.lead("day").over(walk).isNull().alias("_last"))
+    none = lambda kind: F.lit(None).cast(kind)
+    by_day = F.struct(
+        F.lit("day").alias("part"), F.col("day"), none("bigint").alias("value"),
+        (F.col("_n") == 1).cast("bigint").alias("fresh"), F.col("turns").alias("best"), none("bigint").alias("n"))
+    at_end = F.struct(
+        F.lit("total").alias("part"), none("date").alias("day"), F.col("reached").alias("value"),
+        none("bigint").alias("fresh"), none("bigint").alias("best"), F.lit(1).cast("bigint").alias("n"))
+    both = rows.select(F.explode(F.when(F.col("_last"), F.array(by_day, at_end)).otherwise(F.array(by_day))).alias("r")).select("r.*")
+    return both.groupBy("part", "day", "value").agg(
+        F.sum("fresh").alias("fresh"), F.max("best").alias("best"), F.sum("n").alias("n"))
+
+
 def entity_counts(rec: DataFrame) -> DataFrame:
     """Exact number of projects and sessions, longest session in turns.
 
@@ -189,7 +214,11 @@ def exact_median(values: DataFrame, column: str, digits: int = 21) -> DataFrame:
     value in three 21-bit digits instead: each pass counts one digit's histogram (at
     most 2^21 rows) and narrows both middle ranks to one bucket.
     """
-    hist = values.groupBy(F.col(column).alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    return median_of(values.groupBy(F.col(column).alias("v")).agg(F.count(F.lit(1)).alias("n")), digits)
+
+
+def median_of(hist: DataFrame, digits: int = 21) -> DataFrame:
+    """``exact_median`` of values ``v`` that occur ``n`` times."""
     ranks = None
     for level in (2, 1, 0):
         shift = digits * level
@@ -217,19 +246,29 @@ def distribution(cube: DataFrame, projects: DataFrame, sessions: DataFrame) -> D
 
     ``projects`` and ``sessions`` are entity cubes by any keys that include the entity.
     """
+    hist = lambda entities: entity_totals(entities).groupBy(F.col("total").alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    return _distribution(cube, hist(projects), hist(sessions))
+
+
+def distribution_from(cube: DataFrame, projects: DataFrame, sessions: DataFrame) -> DataFrame:
+    """``distribution`` from entity passes."""
+    hist = lambda done: done.where("part = 'total'").select(F.col("value").alias("v"), "n")
+    return _distribution(cube, hist(projects), hist(sessions))
+
+
+def _distribution(cube: DataFrame, projects: DataFrame, sessions: DataFrame) -> DataFrame:
+    """Projects and sessions are counted by their totals: number, maximum and median need nothing else."""
     per_day = cube.groupBy("day").agg(F.sum("total").alias("total"), F.sum("calls").alias("calls"))
     days = per_day.agg(
         F.count(F.lit(1)).alias("days"), F.sum("total").alias("total"), F.sum("calls").alias("calls"),
         F.avg("total").alias("m"), F.stddev_pop("total").alias("sd"), F.max("total").alias("day_max"),
     )
-    per_session, per_project = entity_totals(sessions), entity_totals(projects)
 
-    def facts(per: DataFrame):
-        return per.agg(F.struct(F.count(F.lit(1)).alias("n"), F.max("total").alias("most"))).scalar()
+    def facts(hist: DataFrame):
+        return hist.agg(F.struct(F.coalesce(F.sum("n"), F.lit(0).cast("bigint")).alias("n"), F.max("v").alias("most"))).scalar()
 
     joined = days.select(
-        "*", facts(per_session).alias("s"), facts(per_project).alias("p"),
-        exact_median(per_session, "total").scalar().alias("median"),
+        "*", facts(sessions).alias("s"), facts(projects).alias("p"), median_of(sessions).scalar().alias("median"),
     ).select(
         "*", F.col("s.n").alias("sessions"), F.col("s.most").alias("session_max"),
         F.col("p.n").alias("projects"), F.col("p.most").alias("project_max"))

@@ -133,23 +133,23 @@ def unpivot(row: DataFrame, columns: dict[str, str], keys: tuple[str, ...] = ())
 def running_metrics(cube: DataFrame, projects: DataFrame, sessions: DataFrame) -> DataFrame:
     """(day, metric, value) of every tracked metric, all of them non-decreasing.
 
-    The entity cubes are by day.
+    ``projects`` and ``sessions`` are entity passes (``entities.entity_pass``).
     """
     days = sq.day_totals(cube)
     running = sq.running_totals(cube)
     totals = unpivot(running, {
         **{c: c for c in ("total", "calls", "cache_read", "input", "output", "cache_write", "max_day", "active_days")},
         **{c: c for c in running.columns if c.startswith("source_")}, "longest_streak": "streak"}, ("day",))
-    seen = unpivot(sq.running_distinct(days, sq.first_seen(cube, projects, sessions)),
+    seen = unpivot(sq.running_distinct(days, sq.first_seen_from(cube, projects, sessions)),
                    {c: c for c in ("hours", "models", "projects", "sessions")}, ("day",))
-    turns = unpivot(tn.running_max_turns(cube, sessions), {"max_turns": "max_turns"}, ("day",))
+    turns = unpivot(tn.running_max_from(cube, sessions), {"max_turns": "max_turns"}, ("day",))
     return totals.unionByName(seen).unionByName(turns)
 
 
 def metric_values(cube: DataFrame, projects: DataFrame, sessions: DataFrame, generated: str) -> DataFrame:
     """(metric, value) of every laddered metric at the end of the range."""
     last = running_metrics(cube, projects, sessions).groupBy("metric").agg(F.max("value").alias("value"))
-    shape = unpivot(en.distribution(cube, projects, sessions), {c: c for c in (
+    shape = unpivot(en.distribution_from(cube, projects, sessions), {c: c for c in (
         "day_mean", "volume_per_call", "calls_per_day", "session_mean", "session_median", "session_max",
         "sessions_per_day", "project_mean", "project_max", "day_cv")})
     clock = unpivot(rh.hour_indices(cube), {c: c for c in (

@@ -112,12 +112,7 @@ def first_seen(cube: DataFrame, projects: DataFrame, sessions: DataFrame) -> Dat
     Counting first days and summing them replaces a running distinct count. The entity
     cubes are by day.
     """
-    hours = additive(cube.where("hour is not null"), ["day", "hour"], ["total"]).where("total <> 0").select(
-        F.lit("hours").alias("kind"), F.col("hour").cast("string").alias("member"), "day")
-    models = additive(cube, ["day", "model"], ["total"]).where("total <> 0").select(
-        F.lit("models").alias("kind"), F.col("model").alias("member"), "day")
-    small = hours.unionByName(models).groupBy("kind", "member").agg(F.min("day").alias("day"))
-    out = small.groupBy("kind", "day").agg(F.count(F.lit(1)).alias("fresh"))
+    out = _calendar_firsts(cube)
     for kind, entities in (("projects", projects), ("sessions", sessions)):
         firsts = entities.groupBy("entity").agg(F.min("day").alias("day"))
         out = out.unionByName(
@@ -125,6 +120,23 @@ def first_seen(cube: DataFrame, projects: DataFrame, sessions: DataFrame) -> Dat
     return out
 
 
+def first_seen_from(cube: DataFrame, projects: DataFrame, sessions: DataFrame) -> DataFrame:
+    """``first_seen`` from entity passes."""
+    out = _calendar_firsts(cube)
+    for kind, done in (("projects", projects), ("sessions", sessions)):
+        out = out.unionByName(done.where("part = 'day' and fresh > 0").select(F.lit(kind).alias("kind"), "day", "fresh"))
+    return out
+
+
+def _calendar_firsts(cube: DataFrame) -> DataFrame:
+    hours = additive(cube.where("hour is not null"), ["day", "hour"], ["total"]).where("total <> 0").select(
+        F.lit("hours").alias("kind"), F.col("hour").cast("string").alias("member"), "day")
+    models = additive(cube, ["day", "model"], ["total"]).where("total <> 0").select(
+        F.lit("models").alias("kind"), F.col("model").alias("member"), "day")
+    small = hours.unionByName(models).groupBy("kind", "member").agg(F.min("day").alias("day"))
+    return small.groupBy("kind", "day").agg(F.count(F.lit(1)).alias("fresh"))
+
+
 def running_distinct(days: DataFrame, firsts: DataFrame) -> DataFrame:
     """Running number of distinct hours, models, projects and sessions by day."""
     kinds = ("hours", "models", "projects", "sessions")

@@ -54,7 +54,15 @@ def running_max_turns(cube: DataFrame, sessions: DataFrame) -> DataFrame:
     per_day = sessions.groupBy("entity", "day").agg(F.sum("calls").alias("turns"))
     so_far = F.sum("turns").over(
         W.partitionBy("entity").orderBy("day").rowsBetween(W.unboundedPreceding, 0))
-    best = per_day.withColumn("so_far", so_far).groupBy("day").agg(F.max("so_far").alias("best"))
+    return _longest_so_far(cube, per_day.withColumn("so_far", so_far).groupBy("day").agg(F.max("so_far").alias("best")))
+
+
+def running_max_from(cube: DataFrame, done: DataFrame) -> DataFrame:
+    """``running_max_turns`` from an entity pass over sessions."""
+    return _longest_so_far(cube, done.where("part = 'day'").select("day", "best"))
+
+
+def _longest_so_far(cube: DataFrame, best: DataFrame) -> DataFrame:
     observed = cube.select("day", F.lit(None).cast("bigint").alias("best"))
     days = best.unionByName(observed).groupBy("day").agg(F.max("best").alias("best"))
     return days.select(
