@@ -11,8 +11,8 @@ checks a few neighbours of each node in posting lists, which joins the large gro
 checks every pair that passes the filters and still lies in two components, component by component within a
 list, so lists inside one component make no pairs. Long lists are salted in the first round.
 
-The order hint is the ``HINTS`` most frequent shingles; it may hold fewer or other shingles without any
-change of results, since every order is right.
+Frequencies are counted over all documents in a table of fixed size, by hash; the order may be any without a change
+of results.
 """
 
 from __future__ import annotations
@@ -30,7 +30,9 @@ from tidemeter.llm.packed import NULL_ID, by_bucket, planes, unplanes
 
 #: Of the query and its SQL twin.
 N, PERCENT = 4, 85
-HINTS = 1 << 17
+#: Places in which shingles are counted: 16 MB at one byte each, a fixed bound.
+BITS_COUNTED, BLOCK = 24, 4096
+COUNTERS = 1 << BITS_COUNTED
 #: Neighbours that a node is compared with in the first round, and the length of a salted list.
 NEAR, LIST = 4, 256
 #: Bits of the filter that picks documents whose sets are needed: 8 MB, a fixed bound.
@@ -53,26 +55,54 @@ def shingles(w: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
     return doc[new], h[new]
 
 
-def _frequent(n: int):
+def _counted(n: int):
+    """Counts of a task's shingles in ``COUNTERS`` places by hash, as rows of ``BLOCK`` places."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.zeros(COUNTERS, np.uint16)
         for batch in chunks(batches):
             _, h = shingles(words(batch.column("text"), SPACES, True), n)
-            found, count = np.unique(h, return_counts=True)
-            often = count > 2
-            yield pa.RecordBatch.from_arrays([pa.array(found[often].view(np.int64)), pa.array(count[often])], names=["h", "c"])
+            place, count = np.unique(h >> U64(64 - BITS_COUNTED), return_counts=True)
+            table[place] = np.minimum(table[place].astype(np.int64) + count, 65535)
+        for lo in range(0, COUNTERS // BLOCK, 256):
+            rows = table.reshape(-1, BLOCK)[lo: lo + 256]
+            some = np.flatnonzero(rows.any(1))
+            if len(some):
+                yield pa.RecordBatch.from_arrays([pa.array((lo + some).astype(np.int32)), pa.array([rows[i].tobytes() for i in some], pa.binary())], names=["block", "counts"])
     return run
 
 
+def _levels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums of the blocks of a partition, each on a logarithmic scale of one byte."""
+    held: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for block, counts in zip(batch.column("block").to_pylist(), batch.column("counts"), strict=True):
+            held.setdefault(block, np.zeros(BLOCK, np.int64))
+            held[block] += np.frombuffer(counts.as_buffer(), np.uint16)
+    blocks = sorted(held)
+    yield pa.RecordBatch.from_arrays(
+        [pa.array(blocks, pa.int32()), pa.array([np.minimum(6 * np.log2(1 + held[b]), 255).astype(np.uint8).tobytes() for b in blocks], pa.binary())], names=["block", "levels"])
+
+
+def frequencies(docs: DataFrame, n: int) -> np.ndarray:
+    """For each of ``COUNTERS`` places by hash, how often its shingles occur in all documents, on a logarithmic scale.
+
+    Shingles that share a place are taken together. It only orders shingles, and every order is right; a frequent
+    shingle has a full place in any company. ``COUNTERS`` bytes reach the driver and the executors.
+    """
+    tasks = docs.mapInArrow(_counted(n), "block int, counts binary")
+    made = tasks.repartition("block").mapInArrow(_levels, "block int, levels binary")
+    out = np.zeros(COUNTERS, np.uint8)
+    for block, levels in made.toLocalIterator():
+        out[block * BLOCK: (block + 1) * BLOCK] = np.frombuffer(bytes(levels), np.uint8)
+    return out
+
+
 class _Sets:
     """The sets of a chunk: shingles by document, frequent ones last, with sizes and node names."""
 
-    def __init__(self, texts: pa.Array, n: int, percent: int, hints: np.ndarray, counts: np.ndarray):
+    def __init__(self, texts: pa.Array, n: int, percent: int, levels: np.ndarray):
         doc, h = shingles(words(texts, SPACES, True), n)
-        rare = np.zeros(len(h), np.int64)
-        if len(hints):
-            place = np.minimum(np.searchsorted(hints, h), len(hints) - 1)
-            rare = np.where(hints[place] == h, counts[place], 0)
-        order = np.lexsort((rare, doc))
+        order = np.lexsort((levels[h >> U64(64 - BITS_COUNTED)], doc))
         self.h, self.first = h[order], np.searchsorted(doc, np.arange(len(texts) + 1))
         self.n = np.diff(self.first)
         total = np.concatenate(([0], np.cumsum(mix(self.h ^ U64(0xA5A5A5A5A5A5A5A5)), dtype=U64))).astype(U64)
@@ -88,7 +118,7 @@ class _Sets:
 def _profiles(n: int, percent: int, shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches):
-            s = _Sets(batch.column("text"), n, percent, *shared.value)
+            s = _Sets(batch.column("text"), n, percent, shared.value)
             prefixes = [planes(s.of(i, True)) for i in range(batch.num_rows)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("key"), pa.array(s.n.astype(np.int64)), pa.array(s.node.view(np.int64), mask=s.n == 0),
@@ -131,7 +161,7 @@ def _pick(n: int, percent: int, shared, wanted):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         allowed = np.frombuffer(wanted.value, np.uint8)
         for batch in chunks(batches):
-            s = _Sets(batch.column("text"), n, percent, *shared.value)
+            s = _Sets(batch.column("text"), n, percent, shared.value)
             ids = batch.column("doc_id").fill_null(int(NULL_ID)).to_numpy().view(U64)
             stamp = s.node ^ (batch.column("key").to_numpy().view(U64) >> U64(3)) ^ (ids << U64(20))
             low = (stamp & U64(BITS - 1)).astype(np.int64)
@@ -194,10 +224,7 @@ def join(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
     """
     spark = docs.sparkSession
     docs = keyed(docs)
-    often = docs.mapInArrow(_frequent(n), "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
-    often = often.orderBy(F.desc("c"), "h").limit(HINTS).toPandas()  # HINTS rows at most
-    order = np.argsort(often["h"].to_numpy().astype(np.int64).view(U64))
-    hints = spark.sparkContext.broadcast((often["h"].to_numpy().astype(np.int64).view(U64)[order], often["c"].to_numpy().astype(np.int64)[order]))
+    hints = spark.sparkContext.broadcast(frequencies(docs, n))
     made = docs.mapInArrow(_profiles(n, percent, hints), "doc_id long, key long, n long, node long, grp long, prefix binary")
     made = settle(made, "profiles")
     profiles = made.where("node is not null")
