@@ -36,7 +36,7 @@ SPAN, K, W = 400, 16, 64
 CLASS = SPAN - W + 1
 SHALLOW, CROWD = 24, 4096
 #: Bytes of text in arrays at once: a byte takes about a hundred bytes of arrays here.
-CHUNK = 2 << 20
+CHUNK = 1 << 20
 #: Bits of the filter of documents: 8 MB, a fixed bound.
 BITS = 1 << 26
 
