@@ -8,8 +8,9 @@ pairs are filtered by size and by position, expanded to their nodes, and nodes a
 
 Only components are asked for, so a pair whose nodes are known to be connected needs no check. A first round
 checks a few neighbours of each node in posting lists, which joins the large groups of near copies; the second
-checks every pair that passes the filters and still lies in two components, component by component within a
-list, so lists inside one component make no pairs. Long lists are salted in the first round.
+checks every pair that passes the filters and still lies in two components; nodes of one component make no
+pairs. Long lists are salted in the first round. In both, parity sketches
+(a set's shingles folded to ``SKETCH`` bits) rule out pairs before any set is fetched: they bound what two sets do not share.
 
 Frequencies are counted over all documents in a table of fixed size, by hash; the order may be any without a change
 of results.
@@ -17,6 +18,7 @@ of results.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,6 +37,9 @@ BITS_COUNTED, BLOCK = 24, 4096
 COUNTERS = 1 << BITS_COUNTED
 #: Neighbours that a node is compared with in the first round, and the length of a salted list.
 NEAR, LIST = 4, 256
+#: Bits of a node's parity sketch.
+SKETCH = 512
+_SKETCH = [f"s{i}" for i in range(SKETCH // 64)]
 #: Bits of the filter that picks documents whose sets are needed: 8 MB, a fixed bound.
 BITS = 1 << 26
 
@@ -111,6 +116,15 @@ class _Sets:
         prefix_total = total[self.first[:-1] + self.prefix] - total[self.first[:-1]]
         self.group = mix(mix(prefix_total) + self.n.astype(U64))
 
+    def sketches(self) -> pa.Array:
+        """``SKETCH`` bits for each document, a bit for whether an odd number of its shingles fall on it."""
+        doc = np.repeat(np.arange(len(self.n)), self.n)
+        key, count = np.unique(doc * SKETCH + (self.h & U64(SKETCH - 1)).astype(np.int64), return_counts=True)
+        key = key[count % 2 == 1]
+        out = np.zeros((len(self.n), SKETCH // 64), U64)
+        np.bitwise_or.at(out, (key // SKETCH, key % SKETCH // 64), U64(1) << (key % 64).astype(U64))
+        return pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(out[:, i]).view(np.int64)) for i in range(SKETCH // 64)], names=_SKETCH)
+
     def of(self, i: int, prefix: bool = False) -> np.ndarray:
         return self.h[self.first[i]: self.first[i] + self.prefix[i] if prefix else self.first[i + 1]]
 
@@ -122,8 +136,8 @@ def _profiles(n: int, percent: int, shared):
             prefixes = [planes(s.of(i, True)) for i in range(batch.num_rows)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("key"), pa.array(s.n.astype(np.int64)), pa.array(s.node.view(np.int64), mask=s.n == 0),
-                 pa.array(s.group.view(np.int64)), pa.array(prefixes, pa.binary())],
-                names=["doc_id", "key", "n", "node", "grp", "prefix"])
+                 pa.array(s.group.view(np.int64)), pa.array(prefixes, pa.binary()), s.sketches()],
+                names=["doc_id", "key", "n", "node", "grp", "prefix", "sketch"])
     return run
 
 
@@ -205,6 +219,13 @@ def _fits(na, ia, nb, ib, percent: int):
     return (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & ((100 + percent) * most >= percent * (na + nb))
 
 
+def _near(na, sa: str, nb, sb: str, percent: int):
+    """The sketches allow a link: each shingle that only one of two sets has turns one bit, so the sets differ in as
+    many shingles as the sketches in bits, at least."""
+    apart = sum((F.bit_count(F.col(f"{sa}.{c}").bitwiseXOR(F.col(f"{sb}.{c}"))) for c in _SKETCH), F.lit(0))
+    return (100 + percent) * apart <= (100 - percent) * (na + nb)
+
+
 def _bitmap(rows: DataFrame, hashed) -> bytes:
     """A bit for each value; ``BITS / 32768`` rows of 4 kB at most reach the driver."""
     bits = np.zeros(BITS // 8, np.uint8)
@@ -225,10 +246,10 @@ def join(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
     spark = docs.sparkSession
     docs = keyed(docs)
     hints = spark.sparkContext.broadcast(frequencies(docs, n))
-    made = docs.mapInArrow(_profiles(n, percent, hints), "doc_id long, key long, n long, node long, grp long, prefix binary")
+    made = docs.mapInArrow(_profiles(n, percent, hints), f"doc_id long, key long, n long, node long, grp long, prefix binary, sketch struct<{', '.join(f'{c}: bigint' for c in _SKETCH)}>")
     made = settle(made, "profiles")
     profiles = made.where("node is not null")
-    nodes = settle(profiles.groupBy("node").agg(F.min("doc_id").alias("least"), F.min(F.struct(F.coalesce("doc_id", F.lit(int(NULL_ID))).alias("id"), "key")).alias("one"), F.min("grp").alias("grp"), F.min("n").alias("n")), "nodes")
+    nodes = settle(profiles.groupBy("node").agg(F.min("doc_id").alias("least"), F.min(F.struct(F.coalesce("doc_id", F.lit(int(NULL_ID))).alias("id"), "key")).alias("one"), F.min("grp").alias("grp"), F.min("n").alias("n"), F.any_value("sketch").alias("sketch")), "nodes")
     groups = profiles.groupBy("grp").agg(F.min("n").alias("n"), F.first("prefix").alias("prefix"))
     buckets = fan_out(docs, 16)
     spread = groups.mapInArrow(_spread(buckets), "bucket int, h binary, grp binary, n binary, pos binary")
@@ -260,19 +281,25 @@ def join(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
                 "node", "comp", "n", "pos", *(F.lag(c).over(row).alias(f"{c}_0") for c in ("node", "comp", "n", "pos")))
             pairs = beside.where((F.col("comp") != F.col("comp_0")) & _fits(F.col("n"), F.col("pos"), F.col("n_0"), F.col("pos_0"), percent))
             pairs = pairs.select(F.least("node", "node_0").alias("a"), F.greatest("node", "node_0").alias("b")).distinct()
+            side = lambda c: nodes.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"s_{c}"))
+            pairs = pairs.join(side("a"), "a").join(side("b"), "b").where(_near(F.col("n_a"), "s_a", F.col("n_b"), "s_b", percent)).select("a", "b")
             few = Window.partitionBy("a").orderBy(F.xxhash64("a", "b"))
             pairs = pairs.withColumn("k", F.row_number().over(few)).where(F.col("k") <= NEAR).drop("k")
         else:
             held = settle(held, "held")
             open_ = held.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token")
             lists = settle(held.join(open_, "token", "left_semi"), "open")
-            parts = lists.groupBy("token", "comp").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
-            a, b = (parts.select("token", *(F.col(c).alias(f"{c}_{s}") for c in ("comp", "lo", "hi"))) for s in "ab")
-            close = a.join(b, "token").where(
-                "comp_a < comp_b" + f" and 100 * hi_b >= {percent} * lo_a and 100 * hi_a >= {percent} * lo_b").select("token", "comp_a", "comp_b")
-            a, b = (lists.select("token", *(F.col(c).alias(f"{c}_{s}") for c in ("comp", "node", "n", "pos"))) for s in "ab")
-            pairs = close.join(a, ["token", "comp_a"]).join(b, ["token", "comp_b"]).where(_fits(F.col("n_a"), F.col("pos_a"), F.col("n_b"), F.col("pos_b"), percent))
-            pairs = pairs.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
+            # Sizes of a linked pair lie in one band or in neighbouring ones; each pair meets in the smaller set's band.
+            band = F.col("n").cast("int") if percent >= 100 else F.floor(F.log("n") / math.log(100 / percent) + 1e-9).cast("int")
+            lists = lists.join(nodes.select("node", "sketch"), "node").withColumn("band", band)
+            a, b = (x.select("token", "band", *(F.col(c).alias(f"{c}_{s}") for c in ("comp", "node", "n", "pos", "sketch")))
+                    for s, x in (("a", lists), ("b", lists.withColumn("band", F.explode(F.array("band", F.col("band") - 1))))))
+            first = (F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("node_a") < F.col("node_b")))
+            # All of this is part of the join, so only pairs that may be linked come out of it.
+            meets = ((a["token"] == b["token"]) & (a["band"] == b["band"]) & (F.col("comp_a") != F.col("comp_b")) & first
+                     & _fits(F.col("n_a"), F.col("pos_a"), F.col("n_b"), F.col("pos_b"), percent)
+                     & _near(F.col("n_a"), "sketch_a", F.col("n_b"), "sketch_b", percent))
+            pairs = a.join(b, meets).select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
         found = verified(pairs)
         links = settle(found if links is None else links.union(found), "links")
         labels = components(links)
