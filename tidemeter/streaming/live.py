@@ -46,22 +46,25 @@ def closed(stream: DataFrame, folder: str) -> DataFrame:
 
 def log_stream(
     spark: SparkSession, path: str, source: str, pattern: str | None = None,
-    max_file_bytes: int | None = None, files_per_batch: int = 1000,
+    max_file_bytes: int | None = None, files_per_batch: int = 1000, bundled: bool = False,
 ) -> DataFrame:
-    """Lines (or whole files) with their lineage; land logs as immutable chunks."""
+    """Lines (or whole files) with their lineage; land logs as immutable chunks.
+
+    Bundles come as they are, for a batch to open with ``logs.unbundle``; all lines of a log must lie in one of them.
+    """
     guard = logs.MAX_FILE_BYTES if source == "gemini" and max_file_bytes is None else max_file_bytes
     scan = (
         spark.readStream.format("text")
         .option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", pattern or logs.GLOBS[source])
-        .option("wholetext", str(source == "gemini").lower())
+        .option("pathGlobFilter", pattern or (logs.BUNDLES if bundled else logs.GLOBS[source]))
+        .option("wholetext", str(source == "gemini" and not bundled).lower())
         .option("maxFilesPerTrigger", files_per_batch)
         .load(path)
-        .select(F.when(logs.fits(F.col("_metadata.file_size"), guard), F.col("value")).alias("value"),
+        .select(F.when(logs.fits(F.col("_metadata.file_size"), None if bundled else guard), F.col("value")).alias("value"),
                 F.col("_metadata.file_path").alias("file_path"),
                 F.col("_metadata.file_block_start").alias("block"))
     )
-    if source == "gemini" and pattern is None:
+    if source == "gemini" and pattern is None and not bundled:
         scan = scan.where(F.col("file_path").rlike(r"/chats/[^/]+$"))
     return scan
 
@@ -81,10 +84,22 @@ def start(
     return writer.start()
 
 
+def _opened(batch: DataFrame, source: str, max_file_bytes: int | None) -> DataFrame:
+    """The lines of a batch of bundles; those of logs beyond the guard are null."""
+    lines = logs.unbundle(batch)
+    guard = logs.MAX_FILE_BYTES if source == "gemini" and max_file_bytes is None else max_file_bytes
+    if guard is None:
+        return lines
+    size = F.octet_length("value")
+    if source != "gemini":
+        size = F.sum(size.cast("bigint") + 1).over(W.partitionBy("file_path"))
+    return lines.withColumn("_size", size).withColumn("value", F.when(F.col("_size") <= guard, F.col("value"))).drop("_size")
+
+
 def ingest_logs(
     spark: SparkSession, path: str, source: str, zone: str, target: str, checkpoint: str,
     pattern: str | None = None, interval: str | None = None, rejects: str | None = None,
-    max_file_bytes: int | None = None, max_line_chars: int | None = None,
+    max_file_bytes: int | None = None, max_line_chars: int | None = None, bundled: bool = False,
 ) -> StreamingQuery:
     """Parse newly landed files into ``target/source=../batch=..``, and what they do not yield, with its
     reason, into ``rejects`` (by default beside the target)."""
@@ -92,7 +107,7 @@ def ingest_logs(
 
     def each(batch: DataFrame, batch_id: int) -> None:
         name = f"source={source}/batch={query_id(spark, checkpoint)}-{batch_id}"
-        lines = logs.number_lines(batch).persist()
+        lines = (_opened(batch, source, max_file_bytes) if bundled else logs.number_lines(batch)).persist()
         try:
             oversize = lines.where("value is null").select(
                 F.lit(source).alias("source"), F.lit("file_too_large").alias("reason"), "file_path", "block", "seq")
@@ -103,7 +118,7 @@ def ingest_logs(
         finally:
             lines.unpersist()
 
-    return start(log_stream(spark, path, source, pattern, max_file_bytes), each, checkpoint, interval)
+    return start(log_stream(spark, path, source, pattern, max_file_bytes, bundled=bundled), each, checkpoint, interval)
 
 
 def maintain(
