@@ -22,7 +22,8 @@ def _parts(folder):
     return [f for _, _, files in os.walk(folder) for f in files if f.startswith("part-") and f.endswith(".txt")]
 
 
-@pytest.mark.parametrize("name", ["source_inventory", "all_sources_from_files", "streamed_log_ingest", "streamed_rejects"])
+@pytest.mark.parametrize("name", [
+    "source_inventory", "all_sources_from_files", "streamed_log_ingest", "streamed_rejects", "titles_from_logs", "labels_from_logs"])
 def test_landed_files_do_not_follow_the_number_of_logs(spark, tmp_path, monkeypatch, name):
     monkeypatch.setattr(sys.modules[CATALOG[name].build.__module__], "shared_dir", lambda _, kind: str(tmp_path / f"{kind}-{uuid.uuid4().hex}"))
     assert difference(CATALOG[name](spark, "/root/testdata/sf0.01"), connect("/root/testdata/sf0.01"), CATALOG[name].sql) is None

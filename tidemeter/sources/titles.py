@@ -24,17 +24,18 @@ MAX_LINE_CHARS = 4 * 1024 * 1024
 
 def read_titles(
     spark: SparkSession, path: str | list[str], pattern: str | None = None, session: Column | None = None,
-    sessions: DataFrame | None = None, max_line_chars: int | None = MAX_LINE_CHARS,
+    sessions: DataFrame | None = None, max_line_chars: int | None = MAX_LINE_CHARS, bundled: bool = False,
 ) -> DataFrame:
     """(session, file_path, title) of every log; the title is empty where no utterance is useful.
 
     ``session`` takes the id from ``file_path`` (by default its stem), ``sessions`` limits the result. Each split
     sends its first useful utterance only, cut to a title, so neither a long log nor a long prompt is shuffled.
+    ``bundled`` reads logs that were landed together (``logs.scan_bundles``); one without a line is not known there.
     """
-    index = session_index(logs.list_files(spark, path, "claude", pattern), session)
+    lines = logs.scan_bundles(spark, path, "claude", pattern) if bundled else logs.scan_lines(spark, path, "claude", pattern)
+    index = session_index(lines.select("file_path") if bundled else logs.list_files(spark, path, "claude", pattern), session)
     if sessions is not None:
         index = index.join(sessions.select("session").distinct(), "session", "left_semi")
-    lines = logs.scan_lines(spark, path, "claude", pattern)
     if max_line_chars is not None:
         lines = lines.where(F.char_length(labels.strip(F.col("value"))) <= max_line_chars)
     spoken = tt.utterances(lines.select(
