@@ -55,8 +55,9 @@ def session_label(session: Column, title: Column | None = None) -> Column:
 
 
 def strip(text: Column) -> Column:
-    """Unicode-aware strip; plain trim removes spaces only."""
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    """Unicode-aware strip; plain trim removes spaces only. Text without space at its ends, which is told at a glance,
+    is not searched for it."""
+    return F.when(text.rlike(r"(?Us)^\S(?:.*\S)?\z"), text).otherwise(F.regexp_replace(text, r"(?U)^\s+|\s+$", ""))
 
 
 def clean_title(text: Column, max_len: int = 60) -> Column:

@@ -13,10 +13,11 @@ def zero(col: Column) -> Column:
 
 
 def counter(text: Column) -> Column:
-    """A counter's text as a whole number, whole decimals too; null where it is none."""
+    """A counter's text as a whole number, whole decimals too; null where it is none. Decimals are only tried
+    for text that is no plain number."""
     number = text.try_cast("decimal(38,9)")
     whole = number.try_cast("bigint")
-    return F.when(whole == number, whole)
+    return F.coalesce(text.try_cast("bigint"), F.when(whole == number, whole))
 
 
 def composition(
