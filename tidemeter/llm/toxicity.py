@@ -15,7 +15,6 @@ once per worker; every word of every text counts.
 from __future__ import annotations
 
 import pickle
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemeter.llm.common import BYTE_CODES, LOWER, SPACES, U64, chunks, fresh, keyed, rolling, words
+from tidemeter.llm.common import BYTE_CODES, LOWER, SPACES, U64, chunks, fresh, keyed, rolling, trim, words
 from tidemeter.llm.tokenizing import worker_state
 
 #: Labelled rows of each class that the machine learns from, at most; the lowest hashes of the id are taken.
@@ -116,8 +115,12 @@ def parts(word: str) -> list[str]:
 
 def cut(strings: list[str]) -> tuple[list[str], np.ndarray]:
     """Lower-cased parts of all words, and the word of each."""
-    own = [parts(s.lower()) for s in strings]
-    return [p for o in own for p in o], np.repeat(np.arange(len(own)), [len(o) for o in own])
+    pieces, sizes = [], np.zeros(len(strings), np.int64)
+    for i, s in enumerate(strings):
+        own = parts(s.lower())
+        pieces += own
+        sizes[i] = len(own)
+    return pieces, np.repeat(np.arange(len(sizes)), sizes)
 
 
 class Machine:
@@ -225,45 +228,65 @@ def _logistic(x: np.ndarray, y: np.ndarray, prior: float, ridge: float = 1e-3) -
     return u
 
 
-def fit(bags: list[tuple[int, list[str]]], prior: float | None = None, seed: int = 7) -> Machine:
-    """From ``(toxic, words)`` documents; ``prior`` is the share of toxic ones among all labelled rows.
-    With one class only, every text gets that class's side."""
+def _numbered(bags: pa.Table) -> tuple[list[str], list[np.ndarray], list[np.ndarray]]:
+    """The distinct words, sorted, and the toxic and the clean documents as numbers of words: the driver holds each
+    word once, not each occurrence."""
+    number: dict[str, int] = {}
+    docs = []
+    for batch in bags.to_batches():
+        if not batch.num_rows:
+            continue
+        bag = batch.column("bag")
+        coded = bag.flatten().dictionary_encode()
+        own = np.array([number.setdefault(w, len(number)) for w in coded.dictionary.to_pylist()], np.int32)
+        taken = own[coded.indices.to_numpy(zero_copy_only=False)] if len(own) else own
+        ends = np.cumsum(bag.value_lengths().to_numpy(zero_copy_only=False))
+        docs += zip(batch.column("doc_id").to_pylist(), batch.column("toxic").to_pylist(), np.split(taken, ends[:-1]), strict=True)
+    every = sorted(number)
+    place = np.empty(len(every), np.int32)
+    place[np.array([number[w] for w in every], np.int64)] = np.arange(len(every))
+    docs = [(ident, y, place[b]) for ident, y, b in docs]
+    docs.sort(key=lambda d: (d[0], d[2].tolist()))
+    return every, [b for _, y, b in docs if y == 1], [b for _, y, b in docs if y != 1]
+
+
+def fit(every: list[str], toxic: list[np.ndarray], clean: list[np.ndarray], prior: float | None = None, seed: int = 7) -> Machine:
+    """From the documents of both classes, as places of their words in ``every``, which is sorted; ``prior`` is the
+    share of toxic ones among all labelled rows. With one class only, every text gets that class's side."""
     rng = np.random.default_rng(seed)
-    toxic, clean = [b for y, b in bags if y == 1], [b for y, b in bags if y != 1]
     if not toxic or not clean:
         return Machine([], np.zeros(0), 0.0, np.array([0.0] * (2 * len(BORDERS) + 1) + [3.0 if toxic else -3.0]))
-    in_toxic, in_clean = Counter(w for b in toxic for w in set(b)), Counter(w for b in clean for w in set(b))
-
-    def tell(w: str) -> float:
-        n = in_toxic[w]
-        return (np.log((n + 0.5) / (len(toxic) + 1)) - np.log((in_clean[w] + 0.5) / (len(clean) + 1))) * np.sqrt(n)
-
-    strength = {w: tell(w) for w in in_toxic}
-    most = max(strength.values(), default=0)
-    telling = [w for w in sorted(strength, key=lambda w: (-strength[w], w))[:300] if strength[w] >= max(WEAKEST, most / 8)]
-    plain = sorted(in_clean)
-    plain = [plain[i] for i in rng.permutation(len(plain))[:6000].tolist()]
-    if not telling or not plain:
+    counts = np.array([np.bincount(np.concatenate([np.unique(b) for b in side]), minlength=len(every)) for side in (toxic, clean)])
+
+    def tell(i: int) -> float:
+        n = int(counts[0, i])
+        return (np.log((n + 0.5) / (len(toxic) + 1)) - np.log((int(counts[1, i]) + 0.5) / (len(clean) + 1))) * np.sqrt(n)
+
+    in_toxic, in_clean = np.flatnonzero(counts[0]), np.flatnonzero(counts[1])
+    strength = np.array([tell(i) for i in in_toxic.tolist()])
+    most = strength.max(initial=0)
+    best = np.argsort(-strength, kind="stable")[:300]
+    best = best[strength[best] >= max(WEAKEST, most / 8)]
+    telling_at, strength = in_toxic[best], strength[best]
+    plain_at = in_clean[rng.permutation(len(in_clean))[:6000]]
+    if not len(telling_at) or not len(plain_at):
         return Machine([], np.zeros(0), 0.0, np.array([0.0] * (2 * len(BORDERS) + 1) + [-3.0]))
+    telling = [every[i] for i in telling_at.tolist()]
     # Landmarks: telling words that are least like those already taken, and a share of plain words.
     like = similarities(telling, [t[:PART] for t in telling])
     marks, near = [0], like[:, 0].copy()
     while len(marks) < min(len(telling), LANDMARKS * 3 // 4) and near.min() < 0.95:
-        value = np.array([strength[w] for w in telling]) * (1 - near).clip(0)
+        value = strength * (1 - near).clip(0)
         value[marks] = -1
         marks.append(int(value.argmax()))
         near = np.maximum(near, like[:, marks[-1]])
-    names = [telling[i][:PART] for i in marks] + [w[:PART] for w in plain[: LANDMARKS // 4]]
+    names = [telling[i][:PART] for i in marks] + [every[i][:PART] for i in plain_at[: LANDMARKS // 4].tolist()]
     values, vectors = np.linalg.eigh(similarities(names, names).astype(np.float64) + 1e-4 * np.eye(len(names)))
     root = (vectors / np.sqrt(values.clip(1e-6))) @ vectors.T
 
-    every = sorted({w for b in toxic + clean for w in b})
-    number = {w: i for i, w in enumerate(every)}
-    toxic, clean = ([np.array([number[w] for w in b], np.int64) for b in side] for side in (toxic, clean))
     pieces, owner = cut(every)
     like = similarities(pieces, names)
     whole = np.searchsorted(owner, np.arange(len(every)))  # the first part of each word
-    counts = np.array([[in_toxic[w] for w in every], [in_clean[w] for w in every]])
 
     def machine(witnesses: np.ndarray, negatives: np.ndarray) -> tuple[Machine, np.ndarray]:
         """Trained on these words; and the decision on every word."""
@@ -273,14 +296,12 @@ def fit(bags: list[tuple[int, list[str]]], prior: float | None = None, seed: int
         made = Machine(names, (root @ u).astype(np.float32), bias, np.zeros(2 * len(BORDERS) + 2))
         return made, made.combine(like, owner, len(every))
 
-    telling_at, plain_at = (np.array([number[w] for w in x], np.int64) for x in (telling, plain))
     found, decided = machine(telling_at, plain_at)
     for _ in range(2):
         # Witnesses anew, and the clean words nearest to the border as further negatives.
         tops = np.array([b[decided[b].argmax()] for b in toxic if len(b)], np.int64)
         witnesses = np.union1d(tops[(decided[tops] > 0) & (counts[1][tops] == 0)], telling_at)
-        in_some = np.flatnonzero(counts[1])
-        hard = in_some[np.argsort(-decided[in_some], kind="stable")[:3000]]
+        hard = in_clean[np.argsort(-decided[in_clean], kind="stable")[:3000]]
         found, decided = machine(witnesses, np.concatenate((plain_at, hard)))
     sample = toxic + clean
     first = np.concatenate(([0], np.cumsum([len(b) for b in sample])))
@@ -300,9 +321,12 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Machine
     picked = [known.where(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows) for c in (0, 1)]
     chosen = picked[0].unionByName(picked[1])
     bags = text.join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", "text").mapInArrow(_bags, "doc_id long, toxic int, bag array<string>")
-    # At most 2 * rows documents come back, as lists of words.
-    found = sorted(bags.collect(), key=lambda r: (r.doc_id, r.bag))
-    return fit([(r.toxic, r.bag) for r in found], shares.get(1, 0) / max(sum(shares.values()), 1))
+    # At most 2 * rows documents come back, as Arrow lists of words.
+    try:
+        return fit(*_numbered(bags.toArrow()), shares.get(1, 0) / max(sum(shares.values()), 1))
+    finally:
+        pa.default_memory_pool().release_unused()
+        trim()
 
 
 def held_out(doc_id):
