@@ -1,15 +1,16 @@
-"""N-gram Jaccard join by grouped prefixes.
+"""N-gram Jaccard join by prefixes.
 
 A document is the set of its hashed ``n``-word shingles, in an order that puts frequent shingles last.
 Two sets of Jaccard ``percent`` or more share a shingle in their prefixes, the first
-``n - ceil(percent n / 100) + 1``. Documents of equal sets are one node; nodes of equal prefix and size are
-one group, and only groups are posted under shingles. Shingles posted by one group alone are dropped; group
-pairs are filtered by size and by position, expanded to their nodes, and nodes are verified on whole sets.
-
-Only components are asked for, so a pair whose nodes are known to be connected needs no check. A first round
-checks a few neighbours of each node in posting lists, which joins the large groups of near copies; the second
-checks every pair that passes the filters and still lies in two components; nodes of one component make no
-pairs. Long lists are salted in the first round. In both, parity sketches
+``n - ceil(percent n / 100) + 1``. Documents of equal sets are one node, and nodes are posted under the shingles
+of their prefixes. A posting stays where another node of its list is left by the filters of size and of position;
+pairs pass the same filters, and nodes are verified on whole sets.
+
+Only components are asked for, so a pair whose nodes are known to be connected needs no check. Rounds of
+neighbours check a few neighbours of each node in posting lists, which joins the large groups of near copies; they
+go on while lists would still make many pairs and links are found. The last round checks every pair that passes the
+filters and still lies in two components; nodes of one component make no
+pairs. Long lists are salted among neighbours. In all, parity sketches
 (a set's shingles folded to ``SKETCH`` bits) rule out pairs before any set is fetched: they bound what two sets do not share.
 
 Frequencies are counted over all documents in a table of fixed size, by hash; the order may be any without a change
@@ -35,8 +36,15 @@ N, PERCENT = 4, 85
 #: Places in which shingles are counted: 16 MB at one byte each, a fixed bound.
 BITS_COUNTED, BLOCK = 24, 4096
 COUNTERS = 1 << BITS_COUNTED
-#: Neighbours that a node is compared with in the first round, and the length of a salted list.
+#: Neighbours that a node is compared with in a round, and the length of a salted list.
 NEAR, LIST = 4, 256
+#: Pairs of two components and one band that a posting may have, on average, before the last round; if it is more, another
+#: round of neighbours comes first, ``ROUNDS`` at most. It looks at ``BESIDE`` postings on a side and takes the nearest sketches.
+PAIRS, ROUNDS, BESIDE = 32, 3, 8
+#: Offsets at which the postings of a list, by size, are compared; longer lists are kept whole.
+OFFSETS = 64
+#: Bytes of a shingle's hash in a posting: with the bucket some 50 bits. Shingles taken for equal only add candidates.
+SHORT = 5
 #: Bits of a node's parity sketch.
 SKETCH = 512
 _SKETCH = [f"s{i}" for i in range(SKETCH // 64)]
@@ -72,7 +80,8 @@ def _counted(n: int):
             rows = table.reshape(-1, BLOCK)[lo: lo + 256]
             some = np.flatnonzero(rows.any(1))
             if len(some):
-                yield pa.RecordBatch.from_arrays([pa.array((lo + some).astype(np.int32)), pa.array([rows[i].tobytes() for i in some], pa.binary())], names=["block", "counts"])
+                packed = [pa.compress(planes(rows[i]), "zstd", asbytes=True) for i in some]
+                yield pa.RecordBatch.from_arrays([pa.array((lo + some).astype(np.int32)), pa.array(packed, pa.binary())], names=["block", "counts"])
     return run
 
 
@@ -82,7 +91,7 @@ def _levels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for block, counts in zip(batch.column("block").to_pylist(), batch.column("counts"), strict=True):
             held.setdefault(block, np.zeros(BLOCK, np.int64))
-            held[block] += np.frombuffer(counts.as_buffer(), np.uint16)
+            held[block] += unplanes(pa.decompress(counts.as_buffer(), 2 * BLOCK, "zstd"), np.uint16)
     blocks = sorted(held)
     yield pa.RecordBatch.from_arrays(
         [pa.array(blocks, pa.int32()), pa.array([np.minimum(6 * np.log2(1 + held[b]), 255).astype(np.uint8).tobytes() for b in blocks], pa.binary())], names=["block", "levels"])
@@ -113,8 +122,6 @@ class _Sets:
         total = np.concatenate(([0], np.cumsum(mix(self.h ^ U64(0xA5A5A5A5A5A5A5A5)), dtype=U64))).astype(U64)
         self.node = mix((total[self.first[1:]] - total[self.first[:-1]]) + self.n.astype(U64))
         self.prefix = np.where(self.n > 0, self.n - (percent * self.n + 99) // 100 + 1, 0)
-        prefix_total = total[self.first[:-1] + self.prefix] - total[self.first[:-1]]
-        self.group = mix(mix(prefix_total) + self.n.astype(U64))
 
     def sketches(self) -> pa.Array:
         """``SKETCH`` bits for each document, a bit for whether an odd number of its shingles fall on it."""
@@ -136,39 +143,71 @@ def _profiles(n: int, percent: int, shared):
             prefixes = [planes(s.of(i, True)) for i in range(batch.num_rows)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("key"), pa.array(s.n.astype(np.int64)), pa.array(s.node.view(np.int64), mask=s.n == 0),
-                 pa.array(s.group.view(np.int64)), pa.array(prefixes, pa.binary()), s.sketches()],
-                names=["doc_id", "key", "n", "node", "grp", "prefix", "sketch"])
+                 pa.array(prefixes, pa.binary()), s.sketches()],
+                names=["doc_id", "key", "n", "node", "prefix", "sketch"])
     return run
 
 
 def _spread(buckets: int):
+    """Postings by bucket; a task posts a node once."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(0, np.int64)
         for batch in batches:
-            rows = [unplanes(x, U64) for x in batch.column("prefix").to_pylist()]
-            if not rows:
+            names, first = np.unique(batch.column("node").to_numpy(), return_index=True)
+            batch = batch.take(pa.array(np.sort(first[~np.isin(names, seen)])))
+            seen = np.union1d(seen, names)
+            if not batch.num_rows:
                 continue
+            rows = [unplanes(x, U64) for x in batch.column("prefix").to_pylist()]
             sizes = np.array([len(r) for r in rows])
-            h = np.concatenate(rows)
-            group, n = (np.repeat(batch.column(c).to_numpy(), sizes) for c in ("grp", "n"))
+            h = mix(np.concatenate(rows))
+            node, n = (np.repeat(batch.column(c).to_numpy(), sizes) for c in ("node", "n"))
             pos = np.arange(len(h)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            out = [(b, planes(h[at]), planes(group[at]), planes(n[at].astype(np.uint32)), planes(pos[at].astype(np.uint32)))
-                   for b, at in by_bucket((mix(h) % U64(buckets)).astype(np.int64), buckets)]
+            short = h >> U64(64 - 8 * SHORT)
+            out = [(b, planes(short[at])[: SHORT * len(at)], planes(node[at]), planes(n[at].astype(np.uint32)), planes(pos[at].astype(np.uint32)))
+                   for b, at in by_bucket((h % U64(buckets)).astype(np.int64), buckets)]
             cols = list(zip(*out, strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[1:])], names=["bucket", "h", "grp", "n", "pos"])
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[1:])], names=["bucket", "h", "node", "n", "pos"])
     return run
 
 
-def _shared_shingles(table: pa.Table) -> pa.Table:
-    """Postings of shingles that several groups post, with the length of the list."""
-    h, group, n, pos = (np.concatenate([unplanes(x, t) for x in table.column(c).to_pylist()]) for c, t in (("h", U64), ("grp", np.int64), ("n", np.uint32), ("pos", np.uint32)))
-    order = np.argsort(h)
-    h = h[order]
-    start = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
-    size = np.diff(np.append(start, len(h)))
-    length = np.repeat(size, size)
-    keep = length > 1
-    at = order[keep]
-    return pa.table({"token": h[keep].view(np.int64), "grp": group[at], "n": n[at].astype(np.int64), "pos": pos[at].astype(np.int64), "m": length[keep].astype(np.int64)})
+def _partners(h: np.ndarray, n: np.ndarray, pos: np.ndarray, percent: int) -> np.ndarray:
+    """Postings, sorted by shingle and size, with another one in their list that ``_fits``; lists of more than ``OFFSETS`` stay whole."""
+    found = np.zeros(len(h), bool)
+    at = np.arange(len(h))
+    for d in range(1, OFFSETS + 1):
+        at = at[at + d < len(h)]
+        at = at[h[at] == h[at + d]]
+        if not len(at):
+            return found
+        x, y = at, at + d
+        fits = (100 * n[x] >= percent * n[y]) & ((100 + percent) * np.minimum(n[x] - pos[x], n[y] - pos[y]) >= percent * (n[x] + n[y]))
+        found[x[fits]] = found[y[fits]] = True
+    # Whoever still has a posting at the last offset lies in a longer list, as does that posting.
+    return found | np.isin(h, np.unique(h[at]))
+
+
+def _shared_shingles(percent: int):
+    def run(table: pa.Table) -> pa.Table:
+        """Postings that have a partner in their list, with the length of the list."""
+        short = (x + bytes(len(x) // SHORT * (8 - SHORT)) for x in table.column("h").to_pylist())
+        h = np.concatenate([unplanes(x, np.int64) for x in short])
+        node, n, pos = (np.concatenate([unplanes(x, t) for x in table.column(c).to_pylist()]) for c, t in (("node", np.int64), ("n", np.uint32), ("pos", np.uint32)))
+        n, pos = n.astype(np.int64), pos.astype(np.int64)
+        order = np.lexsort((node, n, h))
+        h, node, n, pos = h[order], node[order], n[order], pos[order]
+        new = np.ones(len(h), bool)
+        # The same node, posted by several tasks; two shingles of a node taken for equal keep the first place.
+        new[1:] = (h[1:] != h[:-1]) | (node[1:] != node[:-1])
+        h, node, n = h[new], node[new], n[new]
+        pos = np.minimum.reduceat(pos, np.flatnonzero(new))
+        keep = _partners(h, n, pos, percent)
+        h, node, n, pos = h[keep], node[keep], n[keep], pos[keep]
+        start = np.flatnonzero(np.concatenate((np.ones(min(1, len(h)), bool), h[1:] != h[:-1])))
+        size = np.diff(np.append(start, len(h)))
+        bucket = table.column("bucket")[0].as_py()
+        return pa.table({"token": (h << (62 - 8 * SHORT)) + bucket, "node": node, "n": n, "pos": pos, "m": np.repeat(size, size)})
+    return run
 
 
 def _pick(n: int, percent: int, shared, wanted):
@@ -219,11 +258,14 @@ def _fits(na, ia, nb, ib, percent: int):
     return (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & ((100 + percent) * most >= percent * (na + nb))
 
 
+def _apart(sa: str, sb: str):
+    return sum((F.bit_count(F.col(f"{sa}.{c}").bitwiseXOR(F.col(f"{sb}.{c}"))) for c in _SKETCH), F.lit(0))
+
+
 def _near(na, sa: str, nb, sb: str, percent: int):
     """The sketches allow a link: each shingle that only one of two sets has turns one bit, so the sets differ in as
     many shingles as the sketches in bits, at least."""
-    apart = sum((F.bit_count(F.col(f"{sa}.{c}").bitwiseXOR(F.col(f"{sb}.{c}"))) for c in _SKETCH), F.lit(0))
-    return (100 + percent) * apart <= (100 - percent) * (na + nb)
+    return (100 + percent) * _apart(sa, sb) <= (100 - percent) * (na + nb)
 
 
 def _bitmap(rows: DataFrame, hashed) -> bytes:
@@ -246,18 +288,13 @@ def join(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
     spark = docs.sparkSession
     docs = keyed(docs)
     hints = spark.sparkContext.broadcast(frequencies(docs, n))
-    made = docs.mapInArrow(_profiles(n, percent, hints), f"doc_id long, key long, n long, node long, grp long, prefix binary, sketch struct<{', '.join(f'{c}: bigint' for c in _SKETCH)}>")
+    made = docs.mapInArrow(_profiles(n, percent, hints), f"doc_id long, key long, n long, node long, prefix binary, sketch struct<{', '.join(f'{c}: bigint' for c in _SKETCH)}>")
     made = settle(made, "profiles")
     profiles = made.where("node is not null")
-    nodes = settle(profiles.groupBy("node").agg(F.min("doc_id").alias("least"), F.min(F.struct(F.coalesce("doc_id", F.lit(int(NULL_ID))).alias("id"), "key")).alias("one"), F.min("grp").alias("grp"), F.min("n").alias("n"), F.any_value("sketch").alias("sketch")), "nodes")
-    groups = profiles.groupBy("grp").agg(F.min("n").alias("n"), F.first("prefix").alias("prefix"))
+    nodes = settle(profiles.groupBy("node").agg(F.min("doc_id").alias("least"), F.min(F.struct(F.coalesce("doc_id", F.lit(int(NULL_ID))).alias("id"), "key")).alias("one"), F.min("n").alias("n"), F.any_value("sketch").alias("sketch")), "nodes")
     buckets = fan_out(docs, 16)
-    spread = groups.mapInArrow(_spread(buckets), "bucket int, h binary, grp binary, n binary, pos binary")
-    posted = spread.groupBy("bucket").applyInArrow(_shared_shingles, "token long, grp long, n long, pos long, m long")
-    several = nodes.groupBy("grp").agg(F.count("*").alias("m")).where("m > 1")
-    posts = posted.join(nodes.select("grp", "node"), "grp").select("token", "node", "n", "pos", "m").union(
-        nodes.join(several, "grp").select(F.col("grp").alias("token"), "node", "n", F.lit(0).cast("long").alias("pos"), "m"))
-    posts = settle(posts, "posts")
+    spread = profiles.select("node", "n", "prefix").mapInArrow(_spread(buckets), "bucket int, h binary, node binary, n binary, pos binary")
+    posts = settle(spread.groupBy("bucket").applyInArrow(_shared_shingles(percent), "token long, node long, n long, pos long, m long"), "posts")
 
     def verified(pairs: DataFrame) -> DataFrame:
         """Links among candidates; the sets of one row of each node in question are read from its text anew."""
@@ -270,39 +307,67 @@ def join(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
         y = sets.select(F.col("node").alias("b"), F.col("items").alias("y"))
         return pairs.join(x, "a").join(y, "b").mapInArrow(_verify(percent), "a long, b long")
 
-    links, labels = None, None
-    for turn in (1, 2):
-        held = posts.withColumn("comp", F.col("node")) if labels is None else (
-            posts.join(labels, "node", "left").withColumn("comp", F.coalesce("label", "node")).drop("label"))
+    def neighbours(lists: DataFrame, turn: int) -> DataFrame:
+        """Up to ``NEAR`` pairs of a node with nodes of other components that stand beside it in a list."""
+        salt = F.pmod(F.xxhash64("node", "token", F.lit(turn)), F.greatest(F.lit(1), F.floor(F.col("m") / LIST)))
+        row = Window.partitionBy("token", "salt").orderBy("n", F.xxhash64("node", "token", F.lit(turn)), "node")
+        one = F.struct("node", "comp", "n", "pos")
+        lags = range(1, 2 if turn == 1 else BESIDE + 1)
+        beside = lists.withColumn("salt", salt).withColumn("others", F.array(*(F.lag(one, k).over(row) for k in lags)))
+        beside = beside.select("node", "comp", "n", "pos", F.explode("others").alias("o"))
+        pairs = beside.where((F.col("comp") != F.col("o.comp")) & _fits(F.col("n"), F.col("pos"), F.col("o.n"), F.col("o.pos"), percent))
+        pairs = pairs.select(F.least("node", "o.node").alias("a"), F.greatest("node", "o.node").alias("b")).distinct()
+        side = lambda c: nodes.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"s_{c}"))
+        pairs = pairs.join(side("a"), "a").join(side("b"), "b").where(_near(F.col("n_a"), "s_a", F.col("n_b"), "s_b", percent))
         if turn == 1:
-            salt = F.pmod(F.xxhash64("node", "token", F.lit(turn)), F.greatest(F.lit(1), F.floor(F.col("m") / LIST)))
-            row = Window.partitionBy("token", "salt").orderBy("n", F.xxhash64("node", "token", F.lit(turn)), "node")
-            beside = held.withColumn("salt", salt).select(
-                "node", "comp", "n", "pos", *(F.lag(c).over(row).alias(f"{c}_0") for c in ("node", "comp", "n", "pos")))
-            pairs = beside.where((F.col("comp") != F.col("comp_0")) & _fits(F.col("n"), F.col("pos"), F.col("n_0"), F.col("pos_0"), percent))
-            pairs = pairs.select(F.least("node", "node_0").alias("a"), F.greatest("node", "node_0").alias("b")).distinct()
-            side = lambda c: nodes.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"s_{c}"))
-            pairs = pairs.join(side("a"), "a").join(side("b"), "b").where(_near(F.col("n_a"), "s_a", F.col("n_b"), "s_b", percent)).select("a", "b")
             few = Window.partitionBy("a").orderBy(F.xxhash64("a", "b"))
-            pairs = pairs.withColumn("k", F.row_number().over(few)).where(F.col("k") <= NEAR).drop("k")
-        else:
-            held = settle(held, "held")
-            open_ = held.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token")
-            lists = settle(held.join(open_, "token", "left_semi"), "open")
-            # Sizes of a linked pair lie in one band or in neighbouring ones; each pair meets in the smaller set's band.
-            band = F.col("n").cast("int") if percent >= 100 else F.floor(F.log("n") / math.log(100 / percent) + 1e-9).cast("int")
-            lists = lists.join(nodes.select("node", "sketch"), "node").withColumn("band", band)
-            a, b = (x.select("token", "band", *(F.col(c).alias(f"{c}_{s}") for c in ("comp", "node", "n", "pos", "sketch")))
-                    for s, x in (("a", lists), ("b", lists.withColumn("band", F.explode(F.array("band", F.col("band") - 1))))))
-            first = (F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("node_a") < F.col("node_b")))
-            # All of this is part of the join, so only pairs that may be linked come out of it.
-            meets = ((a["token"] == b["token"]) & (a["band"] == b["band"]) & (F.col("comp_a") != F.col("comp_b")) & first
-                     & _fits(F.col("n_a"), F.col("pos_a"), F.col("n_b"), F.col("pos_b"), percent)
-                     & _near(F.col("n_a"), "sketch_a", F.col("n_b"), "sketch_b", percent))
-            pairs = a.join(b, meets).select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
-        found = verified(pairs)
-        links = settle(found if links is None else links.union(found), "links")
-        labels = components(links)
+            return pairs.select("a", "b").withColumn("k", F.row_number().over(few)).where(F.col("k") <= NEAR).drop("k")
+        far = _apart("s_a", "s_b") / (F.col("n_a") + F.col("n_b"))
+        ways = pairs.select(far.alias("far"), F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("p")).select("far", "p.*")
+        few = Window.partitionBy("a").orderBy("far", F.xxhash64("a", "b"))
+        nearest = ways.withColumn("k", F.row_number().over(few)).where(F.col("k") <= NEAR)
+        return nearest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+    def opened(labels: DataFrame) -> DataFrame:
+        """Postings of lists that hold several components, with the band of their size.
+
+        Sizes of a linked pair lie in one band or in neighbouring ones; each pair meets in the smaller set's band.
+        """
+        held = settle(posts.join(labels, "node", "left").withColumn("comp", F.coalesce("label", "node")).drop("label"), "held")
+        open_ = held.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token")
+        band = F.col("n").cast("int") if percent >= 100 else F.floor(F.log("n") / math.log(100 / percent) + 1e-9).cast("int")
+        return settle(held.join(open_, "token", "left_semi").withColumn("band", band), "open")
+
+    def crowded(lists: DataFrame) -> bool:
+        """More pairs of two components in one band than ``PAIRS`` for each posting."""
+        each = lists.groupBy("token", "band", "comp").agg(F.count("*").alias("c"))
+        here = each.groupBy("token", "band").agg(F.sum("c").alias("c"), F.sum(F.col("c") * F.col("c")).alias("own"))
+        row = here.agg(F.sum((F.col("c").cast("double") * F.col("c") - F.col("own")) / 2), F.sum("c")).first()
+        return (row[0] or 0) > PAIRS * (row[1] or 0)
+
+    def every(lists: DataFrame) -> DataFrame:
+        """All pairs of two components that the filters leave. They are part of the join, so only pairs that may be linked come out of it."""
+        lists = lists.join(nodes.select("node", "sketch"), "node")
+        a, b = (x.select("token", "band", *(F.col(c).alias(f"{c}_{s}") for c in ("comp", "node", "n", "pos", "sketch")))
+                for s, x in (("a", lists), ("b", lists.withColumn("band", F.explode(F.array("band", F.col("band") - 1))))))
+        first = (F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("node_a") < F.col("node_b")))
+        meets = ((a["token"] == b["token"]) & (a["band"] == b["band"]) & (F.col("comp_a") != F.col("comp_b")) & first
+                 & _fits(F.col("n_a"), F.col("pos_a"), F.col("n_b"), F.col("pos_b"), percent)
+                 & _near(F.col("n_a"), "sketch_a", F.col("n_b"), "sketch_b", percent))
+        return a.join(b, meets).select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
+
+    links = settle(verified(neighbours(posts.withColumn("comp", F.col("node")), 1)), "links")
+    labels = components(links)
+    lists, turn, grown = opened(labels), 1, not links.isEmpty()
+    while grown and turn < ROUNDS and crowded(lists):
+        turn += 1
+        found = settle(verified(neighbours(lists, turn)), "links")
+        grown = not found.isEmpty()
+        if grown:
+            links = links.union(found)
+            labels = components(links)
+            lists = opened(labels)
+    labels = components(settle(links.union(verified(every(lists))), "links"))
     named = nodes.join(labels, "node", "left").withColumn("comp", F.coalesce("label", "node"))
     names = named.groupBy("comp").agg(F.min("least").alias("component_id"))
     named = named.join(names, "comp").select("node", "component_id", F.col("comp").alias("component"))
